@@ -105,3 +105,26 @@ def nearest_join(
             for o, v in values.items()
         }
     ).drop("_low", "_high")
+
+
+def curve_at_offsets(
+    df: DataFrame,
+    ref: DataFrame,
+    keys: Sequence[str],
+    ids: Sequence[str],
+    x: str,
+    ref_x: str,
+    ref_y: str,
+    offsets: Sequence[float],
+    carry: Sequence[str] = (),
+    edge: str = "null",
+) -> DataFrame:
+    """Long table ``(ids, carry, offset, at, ref_at)``: the curve at ``x + offset`` for every row and offset.
+
+    Only the columns named in ``carry`` travel with the multiplied rows.
+    """
+    wanted = list(dict.fromkeys([*ids, *keys, *carry, x]))
+    shifted = df.select(*wanted, F.explode(F.array(*[F.lit(float(o)) for o in offsets])).alias("offset")).withColumn(
+        "at", F.col(x) + F.col("offset")
+    )
+    return interp_join(shifted, ref, keys, "at", ref_x, ref_y, "ref_at", edge)

@@ -215,10 +215,10 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], row: str = ROW,
         return df.join(stats, list(keys), how)
     spread = (
         df.groupBy(*keys)
-        .agg(F.max(_chunk_of(df, row)).alias("_last"))
+        .agg(F.max(_chunk_of(df, row)).alias("_last_chunk"))
         .join(stats, list(keys))
-        .withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-        .drop("_last")
+        .withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last_chunk"))))
+        .drop("_last_chunk")
     )
     return df.withColumn(CHUNK, _chunk_of(df, row)).join(spread, [*keys, CHUNK], how).drop(CHUNK)
 

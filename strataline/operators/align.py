@@ -1,9 +1,991 @@
-"""placeholder"""
+"""Alignment of a series with its reference curve, and of its tail with its own prefix.
+
+``keys`` identify the series, ``ref_keys`` the reference curve (the same column unless a
+curve serves several series). Offsets, lags and candidate paths are small lists: rows are
+multiplied by them once, looked up by one sort, and reduced per row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from strataline.functions.series import index_series
-from strataline.operators.gaps import interpolate_gaps
-def prepare_reference(ref, x="tvt", y="gr", label=None, *, keys=("well_id",)):
-    picks = [F.avg(y).alias(y)] + ([F.min(label).alias(label)] if label else [])
-    merged = ref.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(*picks)
+
+from strataline.functions.asof import curve_at_offsets, interp_join, nearest_join
+from strataline.functions.columns import array_mean, array_median, array_std, clip, total
+from strataline.functions.nearest import nearest_points
+from strataline.functions.quantiles import key_percentiles, with_key_percentiles
+from strataline.functions.series import (
+    ROW,
+    Frame,
+    Rows,
+    apply_frames,
+    carried,
+    index_series,
+    is_long,
+    longest,
+    with_bound,
+    with_key_stats,
+)
+from strataline.operators.gaps import interpolate_gaps, robust_zscore
+from strataline.operators.windows import median_frame, rolling_frame, signature_frames
+from strataline.operators.zones import last_known, split_zone
+from strataline.settings import checkpoint
+
+WELL = ("well_id",)
+
+
+def prepare_reference(
+    ref: DataFrame, x: str = "tvt", y: str = "gr", label: str | None = None, *, keys: Sequence[str] = WELL
+) -> DataFrame:
+    """Usable reference: finite positions, equal positions averaged, gaps interpolated, rows numbered."""
+    merged = (
+        ref.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+        .groupBy(*keys, x)
+        .agg(F.avg(y).alias(y), *([F.min(label).alias(label)] if label else []))
+    )
     indexed = index_series(merged, keys, [x])
     return interpolate_gaps(indexed, y, "_y", keys=keys).withColumn(y, F.col("_y")).drop("_y")
+
+
+def regrid_reference(
+    ref: DataFrame, step: float, x: str = "tvt", y: str = "gr", *, keys: Sequence[str] = WELL, block: int = 4096
+) -> DataFrame:
+    """Reference on a uniform grid from its first position to just past its last; the end value is held."""
+    span = ref.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    size = F.lit(float(step))
+    count = F.ceil((F.col("_hi") + size - F.col("_lo")) / size)
+    blocks = span.withColumn("_n", count).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block)))
+    )
+    cells = blocks.withColumn(
+        "cell", F.explode(F.sequence(F.col("_block") * block, F.least(F.col("_block") * block + block, F.col("_n")) - 1))
+    )
+    places = cells.select(*keys, "cell", (F.col("_lo") + F.col("cell") * size).alias("grid_x"))
+    return interp_join(places, ref, keys, "grid_x", x, y, "grid_y")
+
+
+def nearest_reference(
+    df: DataFrame, ref: DataFrame, x: str, ref_x: str, values: dict[str, str], tie: str = "lower", *, keys=WELL
+) -> DataFrame:
+    """Values of the nearest reference row."""
+    return nearest_join(df, ref, keys, x, ref_x, values, tie)
+
+
+def _label(offset: float) -> str:
+    sign = "m" if offset < 0 else "p"
+    return f"{sign}{abs(offset):g}".replace(".", "_")
+
+
+def offset_family(
+    df: DataFrame,
+    ref: DataFrame,
+    anchor: str,
+    offsets: Sequence[float],
+    log: str = "gr",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    prefix: str = "resid",
+    *,
+    ids: Sequence[str] = (*WELL, ROW),
+    keys: Sequence[str] = WELL,
+    edge: str = "null",
+) -> DataFrame:
+    """One residual ``log − ref(anchor + offset)`` per offset and row."""
+    looked = curve_at_offsets(df, ref, keys, ids, anchor, ref_x, ref_y, offsets, [log], edge)
+    return looked.groupBy(*ids).agg(
+        *[
+            F.max(F.when(F.col("offset") == float(o), F.col(log) - F.col("ref_at"))).alias(f"{prefix}_{_label(o)}")
+            for o in offsets
+        ]
+    )
+
+
+def _spread(df: DataFrame, keys: Sequence[str], multiplied: DataFrame) -> DataFrame:
+    """Bring the multiplied rows of a short series together once, so that windows and per-row reductions share it."""
+    return multiplied if is_long(df) else multiplied.repartition(*keys)
+
+
+def _row_lags(df: DataFrame, ref: DataFrame, ref_keys, keys, row, log, prior, ref_x, ref_y, lags) -> DataFrame:
+    ids = [*keys, row]
+    looked = curve_at_offsets(df, ref, ref_keys, ids, prior, ref_x, ref_y, lags, [log], "clamp")
+    bound = longest(df, row)
+    looked = looked.select(*ids, F.col(log).alias("_x"), F.col("ref_at").alias("_y"), F.col("offset").alias("lag"))
+    return _spread(df, keys, with_bound(looked, bound, row) if bound else looked)
+
+
+def _correlation_frame(window: int, out: str, epsilon: float | None) -> Frame:
+    """Rolling Pearson correlation of ``_x`` and ``_y``; a window covers ``window // 2`` rows on each side."""
+    half = window // 2
+    x, y = F.col("_x"), F.col("_y")
+
+    def columns(rows: Rows) -> dict[str, Column]:
+        w = rows(-half, half)
+        n = F.count(F.lit(1)).over(w)
+        sx, sy, sxy = F.sum(x).over(w), F.sum(y).over(w), F.sum(x * y).over(w)
+        vx = F.greatest(F.sum(x * x).over(w) - sx * sx / n, F.lit(0.0))
+        vy = F.greatest(F.sum(y * y).over(w) - sy * sy / n, F.lit(0.0))
+        cov, scale = sxy - sx * sy / n, F.sqrt(vx * vy)
+        if epsilon is not None:
+            value = F.when(n >= 3, cov / (scale + epsilon))
+        else:
+            value = F.when((n >= 3) & (scale > 1e-8), cov / scale)
+        return {out: F.coalesce(value, F.lit(0.0))}
+
+    return Frame(half, half, columns)
+
+
+def lag_scan(
+    df: DataFrame,
+    ref: DataFrame,
+    max_lag: float = 80,
+    window: int = 51,
+    step: float = 1.0,
+    log: str = "gr",
+    prior: str = "prior",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+    row: str = ROW,
+) -> DataFrame:
+    """Rolling correlation of the log with the reference at ``prior + lag`` for all lags, reduced per row.
+
+    Best lag (the lowest at equal correlation), best correlation, correlation at lag 0, best
+    minus mean, peakiness, the reference at the best lag and its residual.
+    """
+    lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
+    ids = [*keys, row]
+    rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags)
+    scored = apply_frames(rows, [*keys, "lag"], _correlation_frame(window, "corr", 1e-6), row=row)
+    best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.col("corr"), -F.col("lag")))
+    reduced = scored.groupBy(*ids).agg(
+        best.alias("_b"),
+        F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("corr_at_0"),
+        F.avg("corr").alias("_mean"),
+        F.percentile("corr", F.lit(0.5)).alias("_median"),
+        F.stddev_pop("corr").alias("_std"),
+    )
+    return reduced.select(
+        *ids,
+        F.col("_b.lag").alias("best_lag"),
+        F.col("_b.corr").alias("best_corr"),
+        "corr_at_0",
+        (F.col("_b.corr") - F.col("_mean")).alias("corr_max_minus_mean"),
+        ((F.col("_b.corr") - F.col("_median")) / (F.col("_std") + 1e-6)).alias("peakiness"),
+        F.col("_b._y").alias("ref_at_best"),
+        (F.col("_b._y") - F.col("_b._x")).alias("ref_minus_log"),
+    )
+
+
+def lag_scan_multiscale(
+    df: DataFrame,
+    ref: DataFrame,
+    max_lag: float = 80,
+    windows: Sequence[int] = (21, 51, 101),
+    step: float = 1.0,
+    log: str = "gr",
+    prior: str = "prior",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+    row: str = ROW,
+) -> DataFrame:
+    """Lag scan on robust z-scores at several window lengths from one look-up.
+
+    Best lag and correlation per window, their agreement (std), the smoothed median lag, and
+    the normalised reference and residual at the median lag.
+    """
+    ref_keys = list(ref_keys or keys)
+    ids = [*keys, row]
+    lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
+    own = robust_zscore(df, log, "_z", keys=keys, row=row)
+    curve = robust_zscore(ref, ref_y, "_rz", keys=ref_keys)
+    rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags)
+    frames = [_correlation_frame(w, f"corr_{w}", None) for w in windows]
+    scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
+    reduced = scored.groupBy(*ids).agg(
+        *[
+            F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.col(f"corr_{w}"), -F.col("lag"))).alias(f"_b{w}")
+            for w in windows
+        ],
+        F.max("_x").alias("_z"),
+    )
+    found = reduced.select(
+        *ids,
+        "_z",
+        *[F.col(f"_b{w}.lag").alias(f"best_lag_{w}") for w in windows],
+        *[F.col(f"_b{w}.corr").alias(f"best_corr_{w}") for w in windows],
+    )
+    every = F.array(*[F.col(f"best_lag_{w}") for w in windows])
+    found = found.withColumns({"lag_agreement": array_std(every), "median_lag": array_median(every)})
+    bound = longest(df, row)
+    found = with_bound(found, bound, row) if bound else found
+    smooth = Frame(25, 25, lambda r: {"lag_consensus": F.avg("median_lag").over(r(-25, 25))})
+    found = apply_frames(found, keys, smooth, row=row)
+    places = found.join(df.select(*dict.fromkeys([*ids, *ref_keys]), F.col(prior).alias("_prior")), ids).withColumn(
+        "_at", F.col("_prior") + F.col("median_lag")
+    )
+    looked = interp_join(places, curve, ref_keys, "_at", ref_x, "_rz", "ref_z_at_median")
+    return looked.withColumn("residual_z", F.col("_z") - F.col("ref_z_at_median")).drop("_prior", "_at", "_z")
+
+
+def smooth_lag(
+    df: DataFrame, lag: str = "best_lag", mean: int = 50, median: int = 75, *, keys=WELL, row: str = ROW
+) -> DataFrame:
+    """Best lag smoothed by a centred mean and by a centred median."""
+    frames = [*rolling_frame(lag, [mean], ["mean"], center=True, prefix="lag_"), median_frame(lag, median, f"lag_median_{median}")]
+    return apply_frames(df, keys, frames, row=row)
+
+
+def best_shift(
+    df: DataFrame,
+    ref: DataFrame,
+    shifts: Sequence[float],
+    tails: Sequence[int | None] = (30, 100, None),
+    min_rows: int = 10,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+    row: str = ROW,
+) -> DataFrame:
+    """Per series, the shift of the reference with the least squared misfit on the last known rows.
+
+    One pass for several prefix lengths (None: all of it): shift, misfit, confidence, and the
+    spread of the shifts. Fewer than ``min_rows`` usable rows give shift 0, misfit 1e6, confidence 0.
+    """
+    ref_keys = list(ref_keys or keys)
+    zoned = split_zone(df, probe, keys=keys, row=row).where(F.col("in_prefix") & F.col(log).isNotNull())
+    known = zoned.withColumn("from_end", F.col("eval_start") - F.col(row))
+    looked = curve_at_offsets(
+        known, ref, ref_keys, [*keys, row], probe, ref_x, ref_y, shifts, [log, "from_end"], "clamp"
+    )
+    miss = F.pow(F.col(log) - F.col("ref_at"), 2)
+
+    def name(t: int | None) -> str:
+        return "all" if t is None else str(t)
+
+    def inside(t: int | None) -> Column:
+        return F.lit(True) if t is None else F.col("from_end") <= t
+
+    per_shift = looked.groupBy(*keys, "offset").agg(
+        *[F.avg(F.when(inside(t), miss)).alias(f"_m{name(t)}") for t in tails],
+        *[F.count(F.when(inside(t), miss)).alias(f"_n{name(t)}") for t in tails],
+    )
+    best = per_shift.groupBy(*keys).agg(
+        *[F.min_by(F.struct("offset", F.col(f"_m{name(t)}").alias("m")), F.struct(f"_m{name(t)}", "offset")).alias(f"_b{name(t)}") for t in tails],
+        *[F.avg(f"_m{name(t)}").alias(f"_a{name(t)}") for t in tails],
+        *[F.max(f"_n{name(t)}").alias(f"_n{name(t)}") for t in tails],
+    )
+    picks = []
+    for t in map(name, tails):
+        enough = F.col(f"_n{t}") >= min_rows
+        picks += [
+            F.when(enough, F.col(f"_b{t}.offset")).otherwise(0.0).alias(f"shift_{t}"),
+            F.when(enough, F.col(f"_b{t}.m")).otherwise(1e6).alias(f"misfit_{t}"),
+            F.when(enough, 1 - F.col(f"_b{t}.m") / (F.col(f"_a{t}") + 1e-9)).otherwise(0.0).alias(f"confidence_{t}"),
+        ]
+    result = best.select(*keys, *picks)
+    return result.withColumn("shift_spread", array_std(F.array(*[F.col(f"shift_{name(t)}") for t in tails])))
+
+
+def _reduce_candidates(looked: DataFrame, ids: Sequence[str], log: str, scale: float) -> list[Column]:
+    """Best candidate, its misfit, gap to the second and soft mean, from misfits per row and offset."""
+    miss = F.abs(F.col(log) - F.col("ref_at"))
+    weight = F.exp(-miss / scale)
+    ordered = F.array_sort(F.collect_list(miss))
+    return [
+        F.min_by("offset", F.when(miss.isNotNull(), F.struct(miss, F.col("offset")))).alias("best"),
+        F.min(miss).alias("best_miss"),
+        F.when(F.size(ordered) >= 2, F.get(ordered, F.lit(1)) - F.get(ordered, F.lit(0))).alias("top2_gap"),
+        (F.sum(weight * F.col("offset")) / F.sum(weight)).alias("soft"),
+        F.min_by("ref_at", F.when(miss.isNotNull(), F.struct(miss, F.col("offset")))).alias("best_ref"),
+    ]
+
+
+def local_offset_search(
+    df: DataFrame,
+    ref: DataFrame,
+    offsets: Sequence[float],
+    base: str = "prior",
+    log: str = "gr",
+    scale: float = 20.0,
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    ids: Sequence[str] = (*WELL, ROW),
+    keys: Sequence[str] = WELL,
+) -> DataFrame:
+    """Offset around ``base`` with the smallest log misfit: offset, misfit, misfit at 0, top-2 gap, soft mean."""
+    zero = float(min(offsets, key=abs))
+    looked = curve_at_offsets(df, ref, keys, ids, base, ref_x, ref_y, offsets, [log])
+    at_zero = F.max(F.when(F.col("offset") == zero, F.abs(F.col(log) - F.col("ref_at"))))
+    found = looked.groupBy(*ids).agg(*_reduce_candidates(looked, ids, log, scale), at_zero.alias("zero_abs_resid"))
+    return found.select(
+        *ids,
+        F.col("best").alias("best_offset"),
+        F.col("best_miss").alias("best_abs_resid"),
+        "zero_abs_resid",
+        "top2_gap",
+        F.col("soft").alias("soft_offset"),
+        F.col("best_ref").alias("best_ref"),
+    )
+
+
+def candidate_paths(
+    df: DataFrame,
+    ref: DataFrame,
+    endpoints: Sequence[float],
+    start: str = "anchor_value",
+    frac: str = "frac",
+    log: str = "gr",
+    scale: float = 20.0,
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    ids: Sequence[str] = (*WELL, ROW),
+    keys: Sequence[str] = WELL,
+) -> DataFrame:
+    """Straight paths ``start + frac·endpoint``: residual per endpoint, best and soft endpoint, top-2 gap."""
+    rows = df.select(
+        *dict.fromkeys([*ids, *keys]),
+        log,
+        F.col(start).alias("_s"),
+        F.col(frac).alias("_f"),
+        F.explode(F.array(*[F.lit(float(e)) for e in endpoints])).alias("offset"),
+    ).withColumn("at", F.col("_s") + F.col("_f") * F.col("offset"))
+    looked = interp_join(rows, ref, keys, "at", ref_x, ref_y, "ref_at", "null")
+    widest = max(abs(float(e)) for e in endpoints)
+    found = looked.groupBy(*ids).agg(
+        *_reduce_candidates(looked, ids, log, scale),
+        F.max(log).alias("_log"),
+        *[
+            F.max(F.when(F.col("offset") == float(e), F.col(log) - F.col("ref_at"))).alias(f"path_resid_{_label(e)}")
+            for e in endpoints
+        ],
+    )
+    return found.select(
+        *ids,
+        *[f"path_resid_{_label(e)}" for e in endpoints],
+        F.col("best_miss").alias("min_abs_resid"),
+        F.col("best").alias("best_endpoint"),
+        (F.col("best") / widest).alias("best_endpoint_centered"),
+        "top2_gap",
+        F.col("soft").alias("soft_endpoint"),
+        (F.col("_log") - F.col("best_ref")).alias("best_resid"),
+    )
+
+
+def _known_pairs(df, ref, log, probe, ref_x, ref_y, ref_keys, edge) -> DataFrame:
+    """Known rows with ``_y`` (log) and ``_x`` (reference at the known position)."""
+    known = df.where(F.col(probe).isNotNull())
+    return interp_join(known, ref, ref_keys, probe, ref_x, ref_y, "_x", edge).withColumn("_y", F.col(log))
+
+
+def affine_calibration(
+    df: DataFrame,
+    ref: DataFrame,
+    min_rows: int = 20,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """``log ≈ a·ref + b`` on the prefix; too few rows or a flat reference give a = 1 and the mean difference."""
+    pairs = _known_pairs(df, ref, log, probe, ref_x, ref_y, list(ref_keys or keys), "clamp")
+    x, y = F.when(F.col("_y").isNotNull(), F.col("_x")), F.when(F.col("_x").isNotNull(), F.col("_y"))
+    sums = pairs.groupBy(*keys).agg(
+        F.count(x).alias("cal_rows"),
+        F.stddev_pop(x).alias("_sd"),
+        F.regr_slope(y, x).alias("_a"),
+        F.regr_intercept(y, x).alias("_b"),
+        (F.avg("_y") - F.avg("_x")).alias("_d"),
+    )
+    fits = (F.col("cal_rows") >= min_rows) & (F.col("_sd") >= 1e-6)
+    flat = F.when(F.col("cal_rows") > 0, F.coalesce("_d", F.lit(0.0))).otherwise(0.0)
+    return sums.select(
+        *keys,
+        "cal_rows",
+        F.when(fits, F.col("_a")).otherwise(1.0).alias("cal_slope"),
+        F.when(fits, F.col("_b")).otherwise(flat).alias("cal_intercept"),
+    )
+
+
+def _with_robust_scale(rows: DataFrame, keys: Sequence[str], value: str, out: str, row: str) -> DataFrame:
+    """Add the median of a column per key and 1.4826·MAD, or the standard deviation, or NULL."""
+    rows = with_key_percentiles(rows, keys, {f"{out}_median": (value, 0.5)}, row)
+    rows = rows.withColumn("_dev", F.abs(F.col(value) - F.col(f"{out}_median")))
+    rows = with_key_percentiles(rows, keys, {"_mad": ("_dev", 0.5)}, row)
+    rows = with_key_stats(rows, keys, {"_sd": F.stddev_pop(value)}, row)
+    scale = F.coalesce(F.when(F.col("_mad") > 1e-12, F.col("_mad") * 1.4826), F.when(F.col("_sd") > 1e-12, F.col("_sd")))
+    return rows.withColumn(out, scale).drop("_dev", "_mad", "_sd")
+
+
+def robust_calibration(
+    df: DataFrame,
+    ref: DataFrame,
+    min_rows: int = 12,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+    row: str = ROW,
+) -> DataFrame:
+    """Line refitted after dropping residuals beyond 3.5 robust deviations; slope clipped to 0.35–2.25,
+    median intercept, noise clipped to 7.5–60, quality = absolute correlation.
+
+    Few rows or a flat reference give slope 1, the median difference, noise 28 (8–60) and quality 0.1 at most.
+    """
+    keys = list(keys)
+    x, y, keep = F.col("_x"), F.col("_y"), F.col("_keep")
+    pairs = _known_pairs(df, ref, log, probe, ref_x, ref_y, list(ref_keys or keys), "clamp")
+    pairs = pairs.where(x.isNotNull() & y.isNotNull()).select(*keys, row, "_x", "_y")
+    if is_long(pairs, row):
+        pairs = checkpoint(pairs)
+    rows = with_key_stats(
+        pairs,
+        keys,
+        {
+            "_n": F.count(F.lit(1)),
+            "_a0": F.regr_slope(y, x),
+            "_b0": F.regr_intercept(y, x),
+            "_sx": F.stddev_pop(x),
+            "_sy": F.stddev_pop(y),
+            "_corr": F.corr(x, y),
+        },
+        row,
+    )
+    rows = rows.withColumn("_r0", y - F.col("_a0") * x - F.col("_b0"))
+    rows = _with_robust_scale(rows, keys, "_r0", "_s0", row)
+    limit = 3.5 * F.greatest(F.coalesce("_s0", F.lit(20.0)), F.lit(1.0))
+    rows = rows.withColumn("_keep", F.abs(F.col("_r0") - F.col("_s0_median")) <= limit)
+    rows = with_key_stats(
+        rows, keys, {"_kept": F.sum(keep.cast("long")), "_a1": F.regr_slope(F.when(keep, y), F.when(keep, x))}, row
+    )
+    usable = (F.col("_n") >= min_rows) & (F.col("_sx") >= 1e-6)
+    refit = (F.col("_kept") >= min_rows) & (F.col("_kept") < F.col("_n"))
+    slope = F.when(usable, clip(F.when(refit, F.col("_a1")).otherwise(F.col("_a0")), 0.35, 2.25)).otherwise(1.0)
+    rows = rows.withColumn("cal_slope", slope).withColumn("_d", y - F.col("cal_slope") * x)
+    rows = with_key_percentiles(rows, keys, {"cal_intercept": ("_d", 0.5)}, row)
+    rows = rows.withColumn("_res", F.col("_d") - F.col("cal_intercept"))
+    rows = _with_robust_scale(rows, keys, "_res", "_sigma", row)
+    names = ["cal_slope", "cal_intercept", "_n", "_sx", "_sy", "_corr", "_sigma"]
+    per_key = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names])
+    corr = F.when((F.col("_n") >= 3) & (F.col("_sy") > 1e-6), F.abs("_corr")).otherwise(0.0)
+    few = F.col("_n") < min_rows
+    return per_key.select(
+        *keys,
+        F.col("_n").alias("cal_rows"),
+        "cal_slope",
+        "cal_intercept",
+        F.when(usable, clip(F.coalesce("_sigma", F.lit(20.0)), 7.5, 60.0))
+        .when(few, 28.0)
+        .otherwise(clip(F.coalesce("_sigma", F.lit(28.0)), 8.0, 60.0))
+        .alias("cal_sigma"),
+        F.when(usable, clip(corr, 0.0, 1.0)).when(few, 0.0).otherwise(0.1).alias("cal_quality"),
+    )
+
+
+def residual_sigma(
+    df: DataFrame,
+    ref: DataFrame,
+    min_rows: int = 20,
+    low: float = 10.0,
+    high: float = 60.0,
+    default: float = 30.0,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """Clipped standard deviation of ``log − ref`` on the prefix, or the default with few rows."""
+    pairs = _known_pairs(df, ref, log, probe, ref_x, ref_y, list(ref_keys or keys), "clamp")
+    miss = F.col("_y") - F.col("_x")
+    enough = F.count(miss) >= min_rows
+    return pairs.groupBy(*keys).agg(
+        F.when(enough, clip(F.stddev_pop(miss), low, high)).otherwise(default).alias("residual_sigma")
+    )
+
+
+def prefix_alignment(
+    df: DataFrame,
+    ref: DataFrame,
+    min_rows: int = 30,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """How well log and reference agree on the prefix: usable points, correlation, RMSE, residual std.
+
+    Positions outside the curve do not count; correlation needs ``min_rows`` points and spread on both sides.
+    """
+    pairs = _known_pairs(df, ref, log, probe, ref_x, ref_y, list(ref_keys or keys), "null")
+    x, y = F.when(F.col("_y").isNotNull(), F.col("_x")), F.when(F.col("_x").isNotNull(), F.col("_y"))
+    miss = F.col("_y") - F.col("_x")
+    enough = (F.count(miss) >= min_rows) & (F.stddev_pop(x) >= 1e-9) & (F.stddev_pop(y) >= 1e-9)
+    return pairs.groupBy(*keys).agg(
+        F.count(miss).alias("valid_points"),
+        F.when(enough, F.corr(x, y)).alias("prefix_corr"),
+        F.sqrt(F.avg(miss * miss)).alias("prefix_rmse"),
+        F.stddev_pop(miss).alias("prefix_resid_std"),
+    )
+
+
+MATCH_BLOCK = 1024
+
+
+def _unit_windows(rows: DataFrame, keys: Sequence[str], col: str, half: int, row: str) -> DataFrame:
+    """Values ±half around each row as an array with mean 0 and deviation 1, ends padded with the edge value."""
+    size = 2 * half + 1
+
+    def window(r: Rows) -> dict[str, Column]:
+        return {
+            "_w": F.collect_list(col).over(r(-half, half)),
+            "_before": F.count(F.lit(1)).over(r(-half, 0)) - 1,
+        }
+
+    found = apply_frames(rows, keys, Frame(half, half, window), row=row)
+    left = F.lit(half) - F.col("_before")
+    right = F.lit(size) - F.size("_w") - left
+    padded = F.concat(
+        F.array_repeat(F.element_at("_w", 1), left.cast("int")),
+        F.col("_w"),
+        F.array_repeat(F.element_at("_w", -1), right.cast("int")),
+    )
+    found = found.withColumn("_p", padded)
+    mean, std = array_mean(F.col("_p")), array_std(F.col("_p"))
+    found = found.withColumns({"_mean": mean, "_std": std}).withColumn(
+        "_unit", F.transform("_p", lambda v: (v - F.col("_mean")) / (F.col("_std") + 1e-6))
+    )
+    return found.withColumn("_whole", F.size("_w") == size).drop("_w", "_before", "_p", "_mean", "_std")
+
+
+def self_match(
+    df: DataFrame,
+    half: int = 15,
+    stride: int = 3,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    *,
+    keys: Sequence[str] = WELL,
+    row: str = ROW,
+) -> DataFrame:
+    """For each tail row, the known value at the prefix window most correlated with the window around the row.
+
+    Every tail window is compared with every prefix window, as the definition asks, in blocks
+    of both: a block pair is one matrix product and leaves one row per tail row. The number of
+    pairs grows with prefix × tail of a series; no pair of windows is ever a row.
+    """
+    keys = list(keys)
+    size = 2 * half + 1
+    zoned = split_zone(df, probe, keys=keys, row=row).withColumn("_part", F.col("in_prefix"))
+    smooth = Frame(2, 2, lambda r: {"_s": F.avg(log).over(r(-2, 2))})
+    zoned = apply_frames(zoned, [*keys, "_part"], smooth, row=row)
+    units = _unit_windows(zoned, [*keys, "_part"], "_s", half, row)
+    prefix = units.where(
+        F.col("in_prefix") & F.col("_whole") & ((F.col(row) - half) % stride == 0) & (F.col("eval_start") >= size + 1)
+    ).select(
+        *keys,
+        F.floor(F.col(row) / (MATCH_BLOCK * stride)).alias("_pb"),
+        F.col(row).alias("_center"),
+        F.col("_unit"),
+        F.col(probe).cast("double").alias("_value"),
+    )
+    tail = units.where(F.col("is_eval") & (F.col(row) >= F.col("eval_start"))).select(
+        *keys, F.col(row).alias(row), F.floor(F.col(row) / MATCH_BLOCK).alias("_tb"), "_unit"
+    )
+    prefix_blocks = prefix.select(*keys, "_pb").distinct()
+    tail_blocks = tail.select(*keys, "_tb").distinct()
+    left = tail.join(prefix_blocks, keys)
+    right = prefix.join(tail_blocks, keys)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own column identities for the cogroup
+    n_keys = len(keys)
+
+    def best(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, row, "_score", "_center", "_value"]
+        if t.empty or p.empty:
+            return pd.DataFrame(columns=names)
+        p = p.sort_values("_center")
+        scores = np.stack(t["_unit"].to_numpy()) @ np.stack(p["_unit"].to_numpy()).T / size
+        at = scores.argmax(axis=1)
+        out = {k: [v] * len(t) for k, v in zip(keys, key[:n_keys])}
+        return pd.DataFrame(out).assign(
+            **{
+                row: t[row].to_numpy(),
+                "_score": scores[np.arange(len(t)), at],
+                "_center": p["_center"].to_numpy()[at],
+                "_value": p["_value"].to_numpy()[at],
+            }
+        )[names]
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{row} bigint", "_score double", "_center bigint", "_value double"])
+    pair = [*keys, "_pb", "_tb"]
+    blocks = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, schema)
+    found = blocks.groupBy(*keys, row).agg(
+        F.max_by(F.struct("_value", "_score"), F.struct(F.col("_score"), -F.col("_center"))).alias("_b")
+    )
+    anchored = last_known(zoned.where(F.col(row) < F.col("eval_start")), {"_last": probe}, probe, keys, row)
+    lasts = anchored.groupBy(*keys).agg(F.max("_last").alias("_last"))
+    rows = zoned.where(F.col("is_eval")).select(*keys, row)
+    joined = rows.join(found, [*keys, row], "left").join(lasts, keys, "left")
+    return joined.select(
+        *keys,
+        row,
+        F.coalesce("_b._value", "_last").alias("match_value"),
+        F.coalesce("_b._score", F.lit(0.0)).alias("match_score"),
+    )
+
+
+def combine_scales(df: DataFrame, values: Sequence[str], scores: Sequence[str], base: str | None = None) -> DataFrame:
+    """Scales weighted by softmax(3·score), their plain mean, and the score-weighted change from ``base``."""
+    weights = [F.exp(3.0 * F.col(s)) for s in scores]
+    whole = total(weights) + 1e-9
+    soft = total([F.col(v) * w for v, w in zip(values, weights)]) / whole
+    out = {"scale_softmax": soft, "scale_mean": total([F.col(v) for v in values]) / float(len(values))}
+    if base is not None:
+        plain = total([F.greatest(F.col(s), F.lit(0.0)) for s in scores])
+        change = total([F.greatest(F.col(s), F.lit(0.0)) * (F.col(v) - F.col(base)) for v, s in zip(values, scores)])
+        out["scale_delta"] = F.when(plain > 0, change / plain).otherwise(0.0)
+    return df.withColumns(out)
+
+
+SIGNATURE = ["sig_mean", "sig_std", "sig_range", "sig_grad", "sig_center"]
+
+
+def signature_match(
+    df: DataFrame,
+    half: int = 15,
+    stride: int = 3,
+    log: str = "gr",
+    probe: str = "tvt_input",
+    *,
+    keys: Sequence[str] = WELL,
+    row: str = ROW,
+) -> DataFrame:
+    """Known value at the prefix row whose window signature is nearest to that of each tail row.
+
+    Signatures of prefix and tail are computed apart and scaled by the prefix (median, population
+    std). Score ``exp(−d/2.5)``, trust = score × prefix length / 250 (at most 1), gap to the second.
+    """
+    keys = list(keys)
+    zoned = split_zone(df, probe, keys=keys, row=row).withColumn("_part", F.col("in_prefix"))
+    signed = apply_frames(zoned, [*keys, "_part"], *signature_frames(log, half), row=row).drop("_step")
+    usable = signed.where(F.col("in_prefix") & F.col(log).isNotNull() & F.col(probe).isNotNull())
+    counted = with_key_stats(usable, keys, {"_known": F.count(F.lit(1))}, row)
+    candidates = counted.where((F.col("_known") >= max(30, 2 * half)) & (F.col(row) % stride == 0))
+    for c in SIGNATURE:
+        candidates = candidates.where(F.col(c).isNotNull())
+    middles = key_percentiles(candidates, keys, {f"_m_{c}": (c, 0.5) for c in SIGNATURE}, row)
+    spreads = candidates.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_cands"),
+        F.max("_known").alias("_known"),
+        F.max_by(probe, row).alias("_last_cand"),
+        *[F.when(F.stddev_pop(c) >= 1e-6, F.stddev_pop(c)).otherwise(1.0).alias(f"_s_{c}") for c in SIGNATURE],
+    )
+    scales = middles.join(spreads, keys).where(F.col("_cands") >= 5)
+
+    def scaled(rows: DataFrame, extra: Sequence[Column]) -> DataFrame:
+        return rows.join(scales.drop("_known") if "_known" in rows.columns else scales, keys).select(
+            *keys, *extra, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in SIGNATURE]
+        )
+
+    points = scaled(candidates, [F.col(row).alias("_center"), F.col(probe).cast("double").alias("_value")])
+    tail = signed.where(F.col("is_eval"))
+    probes = scaled(tail.where(F.col("sig_mean").isNotNull() & F.col("sig_center").isNotNull()), [F.col(row)])
+    nearest = nearest_points(
+        probes, points, [f"z_{c}" for c in SIGNATURE], 2, ids=[*keys, row], by=keys, payload=["_value", "_center"], tie="_center"
+    )
+    best = nearest.groupBy(*keys, row).agg(
+        F.min_by("_value", "rank").alias("match_value"),
+        F.min("distance").alias("_d1"),
+        F.max(F.when(F.col("rank") == 2, F.col("distance"))).alias("_d2"),
+    )
+    known = scales.select(*keys, F.col("_known"))
+    anchors = last_known(df.where(F.col(probe).isNotNull()), {"_anchor": probe}, probe, keys, row)
+    anchors = anchors.groupBy(*keys).agg(F.max("_anchor").alias("_anchor"))
+    score = F.exp(-clip(F.col("_d1"), 0.0, 20.0) / 2.5)
+    joined = tail.select(*keys, row).join(best, [*keys, row], "left").join(known, keys, "left").join(anchors, keys, "left")
+    return joined.select(
+        *keys,
+        row,
+        "match_value",
+        (F.col("match_value") - F.col("_anchor")).alias("match_delta"),
+        score.alias("match_score"),
+        clip(score * clip(F.col("_known") / 250.0, 0.0, 1.0), 0.0, 1.0).alias("match_trust"),
+        (F.col("_d2") - F.col("_d1")).alias("match_gap"),
+    )
+
+
+def _banded_distance(radius: int):
+    """Dynamic-time-warping distance of paired arrays, one numpy step per cell of the band for a whole batch."""
+
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        lengths = a.map(len).to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            x, y = np.stack(a.to_numpy()[at]), np.stack(b.to_numpy()[at])
+            before = np.full((len(at), n + 1), np.inf)
+            before[:, 0] = 0.0
+            for i in range(1, n + 1):
+                now = np.full((len(at), n + 1), np.inf)
+                for j in range(max(1, i - radius), min(n, i + radius) + 1):
+                    cheapest = np.minimum(np.minimum(before[:, j], now[:, j - 1]), before[:, j - 1])
+                    now[:, j] = (x[:, i - 1] - y[:, j - 1]) ** 2 + cheapest
+                before = now
+            out[at] = np.sqrt(before[:, n] / n)
+        return pd.Series(out)
+
+    return F.pandas_udf(distance, "double")
+
+
+def dtw_distance(a: str | Column, b: str | Column, radius: int) -> Column:
+    """Banded time-warping distance of two equally long arrays: ``sqrt(D / length)`` with squared cost."""
+    return _banded_distance(radius)(a, b)
+
+
+def dtw_lag_features(
+    df: DataFrame,
+    ref: DataFrame,
+    max_lag: float = 40,
+    lag_step: float = 2,
+    window: int = 41,
+    radius: int = 5,
+    sample_step: int = 5,
+    log: str = "gr",
+    prior: str = "prior",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    keys: Sequence[str] = WELL,
+    ref_keys: Sequence[str] | None = None,
+    row: str = ROW,
+) -> DataFrame:
+    """Warping distance of the log window to the reference window at each lag, for every k-th row, filled in between.
+
+    Best lag, least distance, distance at lag 0, spread, and confidence (second − best)/(best + 1e-6).
+    """
+    lags = [float(v) for v in np.arange(-max_lag, max_lag + lag_step / 2, lag_step)]
+    ids = [*keys, row]
+    half = window // 2
+    ends = with_key_stats(df, keys, {"_last": F.max(row)}, row)
+    ends = ends.withColumn("_sampled", (F.col(row) % sample_step == 0) | (F.col(row) == F.col("_last")))
+    looked = curve_at_offsets(
+        ends, ref, list(ref_keys or keys), ids, prior, ref_x, ref_y, lags, [log, "_sampled"], "clamp"
+    ).select(*ids, "_sampled", F.col(log).alias("_x"), F.col("ref_at").alias("_y"), F.col("offset").alias("lag"))
+    bound = longest(df, row)
+    looked = _spread(df, keys, with_bound(looked, bound, row) if bound else looked)
+
+    def arrays(r: Rows) -> dict[str, Column]:
+        w = r(-half, half)
+        return {
+            "_a": F.when(F.col("_sampled"), F.collect_list("_x").over(w)),
+            "_b": F.when(F.col("_sampled"), F.collect_list("_y").over(w)),
+        }
+
+    pairs = apply_frames(looked, [*keys, "lag"], Frame(half, half, arrays), row=row).where(F.col("_sampled"))
+    scored = pairs.select(*ids, "lag", dtw_distance("_a", "_b", radius).alias("d"))
+    ordered = F.array_sort(F.collect_list("d"))
+    anchors = scored.groupBy(*ids).agg(
+        F.min_by("lag", F.struct("d", "lag")).alias("dtw_best_lag"),
+        F.min("d").alias("dtw_min_distance"),
+        F.max(F.when(F.col("lag") == 0, F.col("d"))).alias("dtw_distance_at_0"),
+        (F.max("d") - F.min("d")).alias("dtw_spread"),
+        ((F.get(ordered, F.lit(1)) - F.min("d")) / (F.min("d") + 1e-6)).alias("dtw_confidence"),
+    )
+    names = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
+    rows = df.join(anchors, ids, "left")
+    return interpolate_columns(rows, names, keys=keys, row=row)
+
+
+def interpolate_columns(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str] = WELL, row: str = ROW) -> DataFrame:
+    """Fill the gaps of several columns that are known on the same rows, by one pass along the series."""
+    point = F.when(
+        F.col(cols[0]).isNotNull(), F.struct(F.col(row).alias("r"), *[F.col(c).cast("double").alias(c) for c in cols])
+    )
+    both = carried(df, keys, last={"_a": point}, following={"_b": point}, row=row)
+    share = (F.col(row) - F.col("_a.r")) / F.nullif(F.col("_b.r") - F.col("_a.r"), F.lit(0))
+    return both.withColumns(
+        {
+            c: F.coalesce(
+                F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * share, F.col(f"_a.{c}"), F.col(f"_b.{c}")
+            )
+            for c in cols
+        }
+    ).drop("_a", "_b")
+
+
+def sample_and_interpolate(
+    df: DataFrame, k: int, cols: Sequence[str], *, keys: Sequence[str] = WELL, row: str = ROW
+) -> DataFrame:
+    """Keep the columns at every k-th row and the last one, and interpolate between."""
+    ends = with_key_stats(df, keys, {"_last": F.max(row)}, row)
+    keep = (F.col(row) % k == 0) | (F.col(row) == F.col("_last"))
+    thinned = ends.withColumns({c: F.when(keep, F.col(c)) for c in cols}).drop("_last")
+    return interpolate_columns(thinned, cols, keys=keys, row=row)
+
+
+def alignment_interactions(
+    df: DataFrame, lag_a: str = "best_lag", lag_b: str = "dtw_best_lag", corr: str = "best_corr", confidence: str = "dtw_confidence"
+) -> DataFrame:
+    """Difference of two aligners' lags and the product of their strengths; NULL gives 0."""
+    return df.withColumns(
+        {
+            "lag_difference": F.coalesce(F.col(lag_a) - F.col(lag_b), F.lit(0.0)),
+            "lag_strength": F.coalesce(F.col(corr) * F.col(confidence), F.lit(0.0)),
+        }
+    )
+
+
+def fuse_candidates(
+    df: DataFrame,
+    ref: DataFrame,
+    candidates: Sequence[str],
+    log: str = "gr",
+    z: str = "z",
+    surface: str | None = None,
+    anchor: str | None = None,
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    ids: Sequence[str] = (*WELL, ROW),
+    keys: Sequence[str] = WELL,
+) -> DataFrame:
+    """Weighted mean of candidate columns; weight = exp(−log misfit/20) × (0.2 + 0.8·exp(−surface misfit/35)).
+
+    Penalties are capped at 6; an unknown misfit counts as 60 (log) and 120 (surface). Without weight the
+    median of the candidates stands in. Also the weighted std, weight sum, count and least log misfit.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(candidates)])
+    carry = [log, z, *([surface] if surface else []), *([anchor] if anchor else [])]
+    rows = df.select(*dict.fromkeys([*ids, *keys, *carry]), F.explode(values).alias("_c")).select("*", "_c.i", "_c.v").drop("_c")
+    looked = interp_join(rows, ref, keys, "v", ref_x, ref_y, "_ref", "null").where(F.col("v").isNotNull())
+    miss = F.abs(F.col(log) - F.col("_ref"))
+    weight = F.exp(-clip(F.coalesce(miss, F.lit(60.0)) / 20.0, 0.0, 6.0))
+    if surface:
+        off = F.coalesce(F.abs(F.col("v") + F.col(z) - F.col(surface)), F.lit(120.0))
+        factor = 0.20 + 0.80 * F.exp(-clip(off / 35.0, 0.0, 6.0))
+        weight = weight * F.when(F.col(surface).isNotNull(), factor).otherwise(1.0)
+    found = (
+        looked.withColumns({"_w": weight, "_miss": miss})
+        .groupBy(*ids)
+        .agg(
+            F.sum("_w").alias("weight_sum"),
+            F.sum(F.col("_w") * F.col("v")).alias("_wv"),
+            F.array_sort(F.collect_list(F.struct("i", "v", "_w"))).alias("_all"),
+            F.count("v").alias("candidate_count"),
+            F.min("_miss").alias("best_log_misfit"),
+            *([F.max(anchor).alias("_anchor")] if anchor else []),
+        )
+    )
+    plain = F.transform("_all", lambda c: c["v"])
+    light = F.col("weight_sum") <= 1e-8
+    fused = F.when(light, array_median(plain)).otherwise(F.col("_wv") / F.col("weight_sum"))
+    found = found.withColumn("fused", fused)
+    squares = F.aggregate(
+        "_all", F.lit(0.0), lambda acc, c: acc + c["_w"] * (c["v"] - F.col("fused")) * (c["v"] - F.col("fused"))
+    )
+    return found.withColumn(
+        "fused_std", F.when(light, array_std(plain)).otherwise(F.sqrt(squares / F.col("weight_sum")))
+    ).select(
+        *ids,
+        "fused",
+        *([(F.col("fused") - F.col("_anchor")).alias("fused_delta")] if anchor else []),
+        "fused_std",
+        "weight_sum",
+        "candidate_count",
+        "best_log_misfit",
+    )
+
+
+def signal_consensus(df: DataFrame, cols: Sequence[str], *, prefix: str = "sig") -> DataFrame:
+    """Mean, population std, median, range and pairwise differences of several signal columns."""
+    every = F.array(*[F.col(c).cast("double") for c in cols])
+    pairs = {
+        f"{a}_minus_{b}": F.col(a) - F.col(b) for i, a in enumerate(cols) for b in cols[i + 1:]
+    }
+    return df.withColumns(
+        {
+            f"{prefix}_mean": array_mean(every),
+            f"{prefix}_std": array_std(every),
+            f"{prefix}_median": array_median(every),
+            f"{prefix}_range": F.array_max(every) - F.array_min(every),
+            **pairs,
+        }
+    )
+
+
+def posterior_match(
+    df: DataFrame,
+    ref: DataFrame,
+    sigma_log: float = 8.0,
+    sigma_pos: float = 25.0,
+    prior: str = "prior",
+    log: str = "gr",
+    ref_x: str = "tvt",
+    ref_y: str = "gr",
+    *,
+    ids: Sequence[str] = (*WELL, ROW),
+    keys: Sequence[str] = WELL,
+) -> DataFrame:
+    """Mean reference position under Gaussian log misfit × Gaussian prior (±4σ), and the largest weight.
+
+    Reference rows meet probes through cells of 4σ; sums are kept per band of the exponent, so
+    that very small weights neither vanish nor need a second pass.
+    """
+    reach = 4.0 * sigma_pos
+    cell = F.lit(reach)
+    probes = df.where(F.col(log).isNotNull() & F.col(prior).isNotNull()).select(
+        *dict.fromkeys([*ids, *keys]), F.col(prior).alias("_t0"), F.col(log).alias("_g")
+    )
+    probes = probes.withColumn(
+        "_cell", F.explode(F.sequence(F.floor((F.col("_t0") - reach) / cell), F.floor((F.col("_t0") + reach) / cell)))
+    )
+    points = ref.where(F.col(ref_y).isNotNull()).select(
+        *keys, F.col(ref_x).alias("_t"), F.col(ref_y).alias("_r"), F.floor(F.col(ref_x) / cell).alias("_cell")
+    )
+    near = probes.join(points, [*keys, "_cell"]).where(F.abs(F.col("_t") - F.col("_t0")) <= reach)
+    power = -F.pow(F.col("_r") - F.col("_g"), 2) * (0.5 / sigma_log**2) - F.pow(F.col("_t") - F.col("_t0"), 2) * (
+        0.5 / sigma_pos**2
+    )
+    band = F.floor(power / 50.0)
+    part = F.exp(power - band * 50.0)
+    bands = near.groupBy(*ids, band.alias("_band")).agg(
+        F.sum(part).alias("_w"), F.sum(part * F.col("_t")).alias("_wt"), F.max(power).alias("_top")
+    )
+    ordered = F.collect_list(F.struct("_band", "_w", "_wt"))
+    found = bands.groupBy(*ids).agg(ordered.alias("_b"), F.max("_band").alias("_m"), F.max("_top").alias("_top"))
+
+    def summed(field: str) -> Column:
+        return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + b[field] * F.exp((b["_band"] - F.col("_m")) * 50.0))
+
+    found = found.withColumns({"_sw": summed("_w"), "_st": summed("_wt")})
+    return found.select(
+        *ids,
+        (F.col("_st") / F.col("_sw")).alias("posterior_position"),
+        (F.exp(F.col("_top") - F.col("_m") * 50.0) / F.col("_sw")).alias("posterior_peak"),
+    )

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.functions.quantiles import add_overall, key_percentiles, overall
+from strataline.functions.quantiles import add_overall, overall, with_key_percentiles
 from strataline.functions.series import (
     ROW,
     Frame,
     apply_frames,
-    attach,
     carried,
     with_key_stats,
 )
@@ -241,22 +240,25 @@ def plane_prior(
     row: str = ROW,
 ) -> DataFrame:
     """Least-squares plane ``value ≈ a·md + b·z + c`` on the prefix, evaluated at every row, with residual spread."""
-    m, d, t = F.col(md), F.col(z), F.col(probe)
-    sums = (
-        _prefix(df, probe, keys, row)
-        .groupBy(*keys)
-        .agg(
-            F.count(t).alias("_n"),
-            F.avg(m).alias("_m"),
-            F.avg(d).alias("_z"),
-            F.avg(t).alias("_t"),
-            F.var_pop(m).alias("_mm"),
-            F.var_pop(d).alias("_zz"),
-            F.covar_pop(m, d).alias("_mz"),
-            F.covar_pop(m, t).alias("_mt"),
-            F.covar_pop(d, t).alias("_zt"),
-            F.max_by(t, F.col(row)).alias("_last"),
-        )
+    zoned = split_zone(df, probe, keys=keys, row=row)
+    known = F.col("in_prefix") & F.col(probe).isNotNull()
+    m, d, t = F.when(known, F.col(md)), F.when(known, F.col(z)), F.when(known, F.col(probe))
+    fitted = with_key_stats(
+        zoned,
+        keys,
+        {
+            "_n": F.count(t),
+            "_m": F.avg(m),
+            "_z": F.avg(d),
+            "_t": F.avg(t),
+            "_mm": F.var_pop(m),
+            "_zz": F.var_pop(d),
+            "_mz": F.covar_pop(m, d),
+            "_mt": F.covar_pop(m, t),
+            "_zt": F.covar_pop(d, t),
+            "_end": F.max_by(t, F.when(known, F.col(row))),
+        },
+        row,
     )
     det = F.col("_mm") * F.col("_zz") - F.col("_mz") * F.col("_mz")
     flat = det <= F.lit(1e-12) * F.col("_mm") * F.col("_zz")
@@ -264,27 +266,23 @@ def plane_prior(
         (F.col("_mt") * F.col("_zz") - F.col("_zt") * F.col("_mz")) / det
     )
     b = F.when(flat, F.lit(0.0)).otherwise((F.col("_zt") * F.col("_mm") - F.col("_mt") * F.col("_mz")) / det)
-    plane = (
-        sums.where(F.col("_n") >= min_rows)
-        .withColumns({"plane_a": a, "plane_b": b})
+    enough = F.col("_n") >= min_rows
+    rows = (
+        fitted.withColumns({"plane_a": F.when(enough, a), "plane_b": F.when(enough, b)})
         .withColumn("plane_c", F.col("_t") - F.col("plane_a") * F.col("_m") - F.col("plane_b") * F.col("_z"))
-        .select(*keys, "plane_a", "plane_b", "plane_c", "_m", "_z", "_last")
-    )
-    rows = attach(df, plane, keys, row).withColumn(
-        "plane_value", F.col("plane_a") * m + F.col("plane_b") * d + F.col("plane_c")
+        .withColumn("plane_value", F.col("plane_a") * F.col(md) + F.col("plane_b") * F.col(z) + F.col("plane_c"))
+        .withColumn("_residual", F.when(known, F.col(probe) - F.col("plane_value")))
     )
-    residual = t - F.col("plane_value")
-    spread = rows.where(t.isNotNull()).groupBy(*keys).agg(F.stddev_pop(residual).alias("plane_std"))
-    p95 = key_percentiles(rows.where(t.isNotNull()), keys, {"plane_p95": (F.abs(residual), 0.95)}, row)
-    distance = F.sqrt(F.pow(m - F.col("_m"), 2) + F.pow(d - F.col("_z"), 2))
-    full = attach(rows, spread.join(p95, list(keys)), keys, row)
+    rows = with_key_stats(rows, keys, {"plane_std": F.stddev_pop("_residual")}, row)
+    rows = with_key_percentiles(rows, keys, {"plane_p95": (F.abs("_residual"), 0.95)}, row)
+    distance = F.sqrt(F.pow(F.col(md) - F.col("_m"), 2) + F.pow(F.col(z) - F.col("_z"), 2))
     outputs = {
-        "plane_minus_anchor": F.col("plane_value") - F.col("_last"),
-        "plane_distance": distance,
+        "plane_minus_anchor": F.col("plane_value") - F.col("_end"),
+        "plane_distance": F.when(enough, distance),
     }
-    full = full.withColumns(outputs).drop("_m", "_z", "_last")
     names = ["plane_a", "plane_b", "plane_c", "plane_value", "plane_std", "plane_p95", *outputs]
-    return full.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+    full = rows.withColumns(outputs).withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+    return full.select(*df.columns, *names)
 
 
 def positional(
