@@ -332,9 +332,9 @@ WINDOW5 = "OVER (PARTITION BY user_id, is_eval ORDER BY row_idx ROWS BETWEEN 2 P
 UNIT_SQL = f"""
 sm AS (SELECT *, avg(value) {WINDOW5} AS sv, n - eval_start AS tail_n FROM s),
 wi AS (SELECT user_id, row_idx, is_eval, eval_start, n, tvt_input, list(sv) OVER (PARTITION BY user_id, is_eval ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w0 FROM sm),
-pa AS (SELECT *, CASE WHEN is_eval THEN list_concat(list_concat(list_transform(range(greatest(3 - (row_idx - eval_start), 0)), i -> w0[1]), w0),
-         list_transform(range(greatest(3 - (n - 1 - row_idx), 0)), i -> w0[-1])) ELSE w0 END AS w FROM wi),
-un AS (SELECT *, list_transform(w, v -> (v - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS u FROM pa)"""
+pa AS (SELECT *, CASE WHEN is_eval THEN list_concat(list_concat(list_transform(range(greatest(3 - (row_idx - eval_start), 0)), lambda i: w0[1]), w0),
+         list_transform(range(greatest(3 - (n - 1 - row_idx), 0)), lambda i: w0[-1])) ELSE w0 END AS w FROM wi),
+un AS (SELECT *, list_transform(w, lambda v: (v - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS u FROM pa)"""
 
 
 @query(
