@@ -4,7 +4,7 @@ from importlib import import_module
 
 from strataline.plans.registry import CATALOG
 
-FAMILIES = ["zones", "gaps", "windows", "geometry", "align", "layers", "datum", "spatial"]
+FAMILIES = ["zones", "gaps", "windows", "geometry", "align", "layers", "datum", "spatial", "smooth"]
 
 for family in FAMILIES:
     import_module(f"strataline.plans.{family}")
