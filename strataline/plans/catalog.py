@@ -4,7 +4,9 @@ from importlib import import_module
 
 from strataline.plans.registry import CATALOG
 
-FAMILIES = ["zones", "gaps", "windows", "geometry", "align", "layers", "datum", "spatial", "smooth"]
+FAMILIES = [
+    "zones", "gaps", "windows", "geometry", "align", "layers", "datum", "spatial", "smooth", "evaluate", "blend", "models",
+]
 
 for family in FAMILIES:
     import_module(f"strataline.plans.{family}")
