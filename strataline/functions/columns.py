@@ -40,20 +40,20 @@ def mean_of(columns: Sequence[Column]) -> Column:
 
 
 def array_mean(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v) / F.size(array)
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(array), F.lit(0))
 
 
 def array_std(array: Column) -> Column:
     """Population standard deviation of an array of doubles."""
     mean = array_mean(array)
     squares = F.aggregate(F.transform(array, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
-    return F.sqrt(squares / F.size(array))
+    return F.sqrt(squares / F.nullif(F.size(array), F.lit(0)))
 
 
 def array_median(array: Column) -> Column:
     ordered, n = F.array_sort(array), F.size(array)
-    upper = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    lower = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+    upper = F.get(ordered, F.floor(n / 2).cast("int"))
+    lower = F.get(ordered, (F.floor((n + 1) / 2) - 1).cast("int"))
     return (lower + upper) / 2
 
 
@@ -66,3 +66,16 @@ def resolve_column(df: DataFrame, names: Sequence[str]) -> str:
         if name.lower() in by_lower:
             return by_lower[name.lower()]
     raise KeyError(f"none of {list(names)} in {df.columns}")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b``, NULL for a zero denominator (sessions may treat that as an error)."""
+    return F.try_divide(a, b)
+
+
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson correlation as an aggregate, NULL without spread; a row counts only if both are known."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    cov, sa, sb = [p.over(over) for p in parts] if over is not None else parts
+    return F.try_divide(cov, sa * sb)

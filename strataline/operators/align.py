@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.asof import curve_at_offsets, interp_join, nearest_join
-from strataline.functions.columns import array_mean, array_median, array_std, clip, total
+from strataline.functions.columns import array_mean, array_median, array_std, clip, correlation, ratio, total
 from strataline.functions.nearest import nearest_points
 from strataline.functions.quantiles import key_percentiles, with_key_percentiles
 from strataline.functions.series import (
@@ -308,7 +308,7 @@ def _reduce_candidates(looked: DataFrame, ids: Sequence[str], log: str, scale: f
         F.min_by("offset", F.when(miss.isNotNull(), F.struct(miss, F.col("offset")))).alias("best"),
         F.min(miss).alias("best_miss"),
         F.when(F.size(ordered) >= 2, F.get(ordered, F.lit(1)) - F.get(ordered, F.lit(0))).alias("top2_gap"),
-        (F.sum(weight * F.col("offset")) / F.sum(weight)).alias("soft"),
+        ratio(F.sum(weight * F.col("offset")), F.sum(weight)).alias("soft"),
         F.min_by("ref_at", F.when(miss.isNotNull(), F.struct(miss, F.col("offset")))).alias("best_ref"),
     ]
 
@@ -467,10 +467,11 @@ def robust_calibration(
             "_b0": F.regr_intercept(y, x),
             "_sx": F.stddev_pop(x),
             "_sy": F.stddev_pop(y),
-            "_corr": F.corr(x, y),
+            "_cov": F.covar_pop(x, y),
         },
         row,
     )
+    rows = rows.withColumn("_corr", ratio(F.col("_cov"), F.col("_sx") * F.col("_sy")))
     rows = rows.withColumn("_r0", y - F.col("_a0") * x - F.col("_b0"))
     rows = _with_robust_scale(rows, keys, "_r0", "_s0", row)
     limit = 3.5 * F.greatest(F.coalesce("_s0", F.lit(20.0)), F.lit(1.0))
@@ -548,7 +549,7 @@ def prefix_alignment(
     enough = (F.count(miss) >= min_rows) & (F.stddev_pop(x) >= 1e-9) & (F.stddev_pop(y) >= 1e-9)
     return pairs.groupBy(*keys).agg(
         F.count(miss).alias("valid_points"),
-        F.when(enough, F.corr(x, y)).alias("prefix_corr"),
+        F.when(enough, correlation(x, y)).alias("prefix_corr"),
         F.sqrt(F.avg(miss * miss)).alias("prefix_rmse"),
         F.stddev_pop(miss).alias("prefix_resid_std"),
     )
@@ -571,9 +572,9 @@ def _unit_windows(rows: DataFrame, keys: Sequence[str], col: str, half: int, row
     left = F.lit(half) - F.col("_before")
     right = F.lit(size) - F.size("_w") - left
     padded = F.concat(
-        F.array_repeat(F.element_at("_w", 1), left.cast("int")),
+        F.array_repeat(F.get("_w", F.lit(0)), left.cast("int")),
         F.col("_w"),
-        F.array_repeat(F.element_at("_w", -1), right.cast("int")),
+        F.array_repeat(F.try_element_at("_w", F.lit(-1)), right.cast("int")),
     )
     found = found.withColumn("_p", padded)
     mean, std = array_mean(F.col("_p")), array_std(F.col("_p"))
@@ -904,13 +905,13 @@ def fuse_candidates(
     )
     plain = F.transform("_all", lambda c: c["v"])
     light = F.col("weight_sum") <= 1e-8
-    fused = F.when(light, array_median(plain)).otherwise(F.col("_wv") / F.col("weight_sum"))
+    fused = F.when(light, array_median(plain)).otherwise(ratio(F.col("_wv"), F.col("weight_sum")))
     found = found.withColumn("fused", fused)
     squares = F.aggregate(
         "_all", F.lit(0.0), lambda acc, c: acc + c["_w"] * (c["v"] - F.col("fused")) * (c["v"] - F.col("fused"))
     )
     return found.withColumn(
-        "fused_std", F.when(light, array_std(plain)).otherwise(F.sqrt(squares / F.col("weight_sum")))
+        "fused_std", F.when(light, array_std(plain)).otherwise(F.sqrt(ratio(squares, F.col("weight_sum"))))
     ).select(
         *ids,
         "fused",

@@ -113,7 +113,9 @@ def kernel_smooth(
         left = F.lit(radius) - F.col("_back")
         right = F.lit(2 * radius + 1) - F.size("_v") - left
         padded = F.concat(
-            F.array_repeat(F.element_at("_v", 1), left.cast("int")), F.col("_v"), F.array_repeat(F.element_at("_v", -1), right.cast("int"))
+            F.array_repeat(F.get("_v", F.lit(0)), left.cast("int")),
+            F.col("_v"),
+            F.array_repeat(F.try_element_at("_v", F.lit(-1)), right.cast("int")),
         )
         return found.withColumn(out, _dot(padded, weights)).drop("_v", "_back")
     if kind != "uniform":

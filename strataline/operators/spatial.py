@@ -42,7 +42,7 @@ def _plane_at_query(weights: str, dx: Column, dy: Column, value: Column) -> tupl
         - b * (b * F.col("_v") - F.col("_vy") * c)
         + F.col("_vx") * (b * e - d * c)
     )
-    return sums, top / det
+    return sums, F.try_divide(top, det)
 
 
 def knn_plane(

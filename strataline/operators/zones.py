@@ -262,7 +262,7 @@ def plane_prior(
     )
     det = F.col("_mm") * F.col("_zz") - F.col("_mz") * F.col("_mz")
     flat = det <= F.lit(1e-12) * F.col("_mm") * F.col("_zz")
-    a = F.when(flat, F.col("_mt") / F.col("_mm")).otherwise(
+    a = F.when(flat, F.try_divide(F.col("_mt"), F.col("_mm"))).otherwise(
         (F.col("_mt") * F.col("_zz") - F.col("_zt") * F.col("_mz")) / det
     )
     b = F.when(flat, F.lit(0.0)).otherwise((F.col("_zt") * F.col("_mm") - F.col("_mt") * F.col("_mz")) / det)

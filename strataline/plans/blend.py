@@ -192,13 +192,13 @@ def regime_code(spark, sf):
     f"""WITH {PREDICTIONS}, {REGIME_SQL}, q AS (SELECT p.*, coalesce(TRY_CAST(nullif(regexp_extract(variant, 'beam_([0-9.]+)', 1), '') AS DOUBLE), 0) AS bw,
           coalesce(TRY_CAST(nullif(regexp_extract(variant, 'hold_([0-9.]+)', 1), '') AS DOUBLE), 0) AS hw,
           CASE regexp_extract(variant, 'scale_([0-9.]+)', 1) WHEN '5' THEN pred_a WHEN '12' THEN pred_b ELSE (pred_a + pred_b) / 2 END AS base FROM p JOIN rx USING (user_id))
-        SELECT user_id, row_idx, round((1 - hw) * ((1 - bw) * base + bw * pred_b) + hw * pred_c, 6) + 0.0 AS variant_pred FROM q WHERE is_eval""",
+        SELECT user_id, row_idx, round((1 - hw) * ((1 - bw) * base + bw * pred_b) + hw * pred_c, 8) + 0.0 AS variant_pred FROM q WHERE is_eval""",
 )
 def apply_variant(spark, sf):
     tail = predictions(spark, sf).where(F.col("tvt_input").isNull()).withColumn("mean", (F.col("pred_a") + F.col("pred_b")) / 2)
     rows = tail.join(regimes(spark, sf).select(*KEYS, "variant"), KEYS)
     found = blend.apply_variant(rows, "variant", {"5": "pred_a", "12": "pred_b"}, "mean", "pred_b", "pred_c")
-    return show(found, ID, ["variant_pred"])
+    return show(found, ID, ["variant_pred"], 8)
 
 
 @query(

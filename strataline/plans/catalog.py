@@ -5,7 +5,24 @@ from importlib import import_module
 from strataline.plans.registry import CATALOG
 
 FAMILIES = [
-    "zones", "gaps", "windows", "geometry", "align", "layers", "datum", "spatial", "smooth", "evaluate", "blend", "models",
+    "sources",
+    "zones",
+    "gaps",
+    "windows",
+    "geometry",
+    "align",
+    "layers",
+    "spatial",
+    "datum",
+    "smooth",
+    "evaluate",
+    "blend",
+    "models",
+    "overlap",
+    "audit",
+    "profile",
+    "text",
+    "flagship",
 ]
 
 for family in FAMILIES:

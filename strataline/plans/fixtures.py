@@ -43,7 +43,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Same rows in SQL: CTE "s".
 SERIES = """
-e AS (SELECT event_id, user_id, event_type, value,
+ev AS (SELECT event_id, user_id, event_type, value,
         (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS md,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row_idx,
         count(*) OVER (PARTITION BY user_id) AS n
@@ -54,7 +54,7 @@ s AS (SELECT user_id, row_idx, n, md, value, event_id, event_type,
         md * cos(user_id) AS x, md * sin(user_id) AS y, -md / 10 + value / 100 AS z,
         user_id % 25 AS ref_id, 900.0::DOUBLE + value % 100 AS prior,
         (n * 7) // 10 AS eval_start, row_idx >= (n * 7) // 10 AS is_eval
-      FROM e)"""
+      FROM ev)"""
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
