@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.functions.series import spread_join
 from strataline.settings import checkpoint
 
 CELL_POINTS = 64
@@ -70,7 +71,7 @@ def _in_block(
         *by, *[F.col(c).alias(f"_to{c}") for c in coords], *[c for c in points.columns if c not in (*by, *coords)],
         *_cells(axes, low, width),
     )
-    near = asked.join(renamed, [*by, *grid])
+    near = spread_join(asked, renamed, [*by, *grid], ids)
     if differ:
         near = near.where(~F.col(differ[0]).eqNullSafe(F.col("_owner")))
     square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])

@@ -181,12 +181,14 @@ def carried(
     )
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    entry = ends.select(
-        *keys,
-        CHUNK,
-        *[F.last(n, ignorenulls=True).over(earlier).alias(f"_from_{n}") for n in last],
-        *[F.last(n, ignorenulls=True).over(later).alias(f"_from_{n}") for n in following],
-        *[F.sum(n).over(earlier).alias(f"_from_{n}") for n in sums],
+    entry = checkpoint(
+        ends.select(
+            *keys,
+            CHUNK,
+            *[F.last(n, ignorenulls=True).over(earlier).alias(f"_from_{n}") for n in last],
+            *[F.last(n, ignorenulls=True).over(later).alias(f"_from_{n}") for n in following],
+            *[F.sum(n).over(earlier).alias(f"_from_{n}") for n in sums],
+        )
     )
     group = [*keys, CHUNK]
     ahead = Window.partitionBy(*group).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
@@ -206,29 +208,53 @@ def carried(
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], row: str = ROW, how: str = "left") -> DataFrame:
-    """Join one row of statistics per key to the rows of that key.
+    """Join the few statistics rows of each key (usually one) to the rows of that key.
 
-    For long series the statistics row is repeated once per chunk and the join runs on
+    For long series the statistics are repeated once per chunk and the join runs on
     key and chunk, so the rows of a key never meet in one task.
     """
     if not is_long(df, row):
         return df.join(stats, list(keys), how)
-    spread = (
-        df.groupBy(*keys)
-        .agg(F.max(_chunk_of(df, row)).alias("_last_chunk"))
-        .join(stats, list(keys))
-        .withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last_chunk"))))
-        .drop("_last_chunk")
-    )
+    sizes = df.groupBy(*keys).agg(F.max(_chunk_of(df, row)).alias("_last_chunk"))
+    return _attach_sized(df, sizes.join(stats, list(keys)), keys, row, how)
+
+
+def _attach_sized(df: DataFrame, sized: DataFrame, keys: Sequence[str], row: str, how: str) -> DataFrame:
+    """The join of ``attach``, given statistics with ``_last_chunk``.
+
+    The small side is written first: a chain of such joins then reads the rows once per
+    statistic instead of doubling its plan each time.
+    """
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last_chunk")))
+    spread = checkpoint(sized.withColumn(CHUNK, chunks).drop("_last_chunk"))
     return df.withColumn(CHUNK, _chunk_of(df, row)).join(spread, [*keys, CHUNK], how).drop(CHUNK)
 
 
+def spread_join(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], ids: Sequence[str], how: str = "inner", size: int | None = None
+) -> DataFrame:
+    """Join rows to a smaller table on keys of which one may hold most rows.
+
+    Where the largest key exceeds what a task may hold, its rows spread over salts taken from
+    their ids, and the table is repeated once per salt.
+    """
+    keys = list(keys)
+    largest = largest_group(df, keys)[0] if size is None else size
+    salts = largest // group_rows(df.sparkSession) + 1
+    if salts == 1:
+        return df.join(table, keys, how)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_key_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column], row: str = ROW) -> DataFrame:
     """Add plain aggregates of the whole series to each of its rows."""
     if not is_long(df, row):
         whole = Window.partitionBy(*keys)
         return df.withColumns({n: c.over(whole) for n, c in stats.items()})
-    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys, row)
+    sized = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()], F.max(_chunk_of(df, row)).alias("_last_chunk"))
+    return _attach_sized(df, sized, keys, row, "left")
 
 
 def with_length(df: DataFrame, keys: Sequence[str], out: str = "n_rows", row: str = ROW) -> DataFrame:

@@ -23,10 +23,12 @@ from strataline.functions.series import (
     Frame,
     Rows,
     apply_frames,
+    attach,
     carried,
     index_series,
     is_long,
     longest,
+    spread_join,
     with_bound,
     with_key_stats,
 )
@@ -118,7 +120,10 @@ def _row_lags(df: DataFrame, ref: DataFrame, ref_keys, keys, row, log, prior, re
 
 
 def _correlation_frame(window: int, out: str, epsilon: float | None) -> Frame:
-    """Rolling Pearson correlation of ``_x`` and ``_y``; a window covers ``window // 2`` rows on each side."""
+    """Rolling Pearson correlation of ``_x`` and ``_y``; a window covers ``window // 2`` rows on each side.
+
+    Fewer than three rows, or a side without spread beyond rounding, give 0.
+    """
     half = window // 2
     x, y = F.col("_x"), F.col("_y")
 
@@ -126,13 +131,14 @@ def _correlation_frame(window: int, out: str, epsilon: float | None) -> Frame:
         w = rows(-half, half)
         n = F.count(F.lit(1)).over(w)
         sx, sy, sxy = F.sum(x).over(w), F.sum(y).over(w), F.sum(x * y).over(w)
-        vx = F.greatest(F.sum(x * x).over(w) - sx * sx / n, F.lit(0.0))
-        vy = F.greatest(F.sum(y * y).over(w) - sy * sy / n, F.lit(0.0))
-        cov, scale = sxy - sx * sy / n, F.sqrt(vx * vy)
+        sxx, syy = F.sum(x * x).over(w), F.sum(y * y).over(w)
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        varied = (vx > 1e-9 * sxx) & (vy > 1e-9 * syy)
+        cov, scale = sxy - sx * sy / n, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
         if epsilon is not None:
-            value = F.when(n >= 3, cov / (scale + epsilon))
+            value = F.when((n >= 3) & varied, cov / (scale + epsilon))
         else:
-            value = F.when((n >= 3) & (scale > 1e-8), cov / scale)
+            value = F.when((n >= 3) & varied & (scale > 1e-8), cov / scale)
         return {out: F.coalesce(value, F.lit(0.0))}
 
     return Frame(half, half, columns)
@@ -155,14 +161,14 @@ def lag_scan(
 ) -> DataFrame:
     """Rolling correlation of the log with the reference at ``prior + lag`` for all lags, reduced per row.
 
-    Best lag (the lowest at equal correlation), best correlation, correlation at lag 0, best
+    Best lag (the lowest at equal correlation, to nine decimals), best correlation, correlation at lag 0, best
     minus mean, peakiness, the reference at the best lag and its residual.
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
     ids = [*keys, row]
     rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags)
     scored = apply_frames(rows, [*keys, "lag"], _correlation_frame(window, "corr", 1e-6), row=row)
-    best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.col("corr"), -F.col("lag")))
+    best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.round("corr", 9), -F.col("lag")))
     reduced = scored.groupBy(*ids).agg(
         best.alias("_b"),
         F.max(F.when(F.col("lag") == 0, F.col("corr"))).alias("corr_at_0"),
@@ -212,7 +218,7 @@ def lag_scan_multiscale(
     scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
     reduced = scored.groupBy(*ids).agg(
         *[
-            F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.col(f"corr_{w}"), -F.col("lag"))).alias(f"_b{w}")
+            F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.round(f"corr_{w}", 9), -F.col("lag"))).alias(f"_b{w}")
             for w in windows
         ],
         F.max("_x").alias("_z"),
@@ -611,7 +617,7 @@ def self_match(
     ).select(
         *keys,
         F.floor(F.col(row) / (MATCH_BLOCK * stride)).alias("_pb"),
-        F.col(row).alias("_center"),
+        F.col(row).alias("_center"),  # keeps the recorded bound of the row number
         F.col("_unit"),
         F.col(probe).cast("double").alias("_value"),
     )
@@ -620,8 +626,8 @@ def self_match(
     )
     prefix_blocks = prefix.select(*keys, "_pb").distinct()
     tail_blocks = tail.select(*keys, "_tb").distinct()
-    left = tail.join(prefix_blocks, keys)
-    right = prefix.join(tail_blocks, keys)
+    left = attach(tail, prefix_blocks, keys, row, "inner")
+    right = attach(prefix, tail_blocks, keys, "_center", "inner")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own column identities for the cogroup
     n_keys = len(keys)
 
@@ -652,7 +658,7 @@ def self_match(
     anchored = last_known(zoned.where(F.col(row) < F.col("eval_start")), {"_last": probe}, probe, keys, row)
     lasts = anchored.groupBy(*keys).agg(F.max("_last").alias("_last"))
     rows = zoned.where(F.col("is_eval")).select(*keys, row)
-    joined = rows.join(found, [*keys, row], "left").join(lasts, keys, "left")
+    joined = attach(rows, lasts, keys, row).join(found, [*keys, row], "left")
     return joined.select(
         *keys,
         row,
@@ -710,7 +716,8 @@ def signature_match(
     scales = middles.join(spreads, keys).where(F.col("_cands") >= 5)
 
     def scaled(rows: DataFrame, extra: Sequence[Column]) -> DataFrame:
-        return rows.join(scales.drop("_known") if "_known" in rows.columns else scales, keys).select(
+        own = scales.drop("_known") if "_known" in rows.columns else scales
+        return attach(rows, own, keys, row, "inner").select(
             *keys, *extra, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in SIGNATURE]
         )
 
@@ -729,7 +736,8 @@ def signature_match(
     anchors = last_known(df.where(F.col(probe).isNotNull()), {"_anchor": probe}, probe, keys, row)
     anchors = anchors.groupBy(*keys).agg(F.max("_anchor").alias("_anchor"))
     score = F.exp(-clip(F.col("_d1"), 0.0, 20.0) / 2.5)
-    joined = tail.select(*keys, row).join(best, [*keys, row], "left").join(known, keys, "left").join(anchors, keys, "left")
+    per_key = anchors.join(known, keys, "left")
+    joined = attach(tail.select(*keys, row), per_key, keys, row).join(best, [*keys, row], "left")
     return joined.select(
         *keys,
         row,
@@ -969,7 +977,7 @@ def posterior_match(
     points = ref.where(F.col(ref_y).isNotNull()).select(
         *keys, F.col(ref_x).alias("_t"), F.col(ref_y).alias("_r"), F.floor(F.col(ref_x) / cell).alias("_cell")
     )
-    near = probes.join(points, [*keys, "_cell"]).where(F.abs(F.col("_t") - F.col("_t0")) <= reach)
+    near = spread_join(probes, points, [*keys, "_cell"], ids).where(F.abs(F.col("_t") - F.col("_t0")) <= reach)
     power = -F.pow(F.col("_r") - F.col("_g"), 2) * (0.5 / sigma_log**2) - F.pow(F.col("_t") - F.col("_t0"), 2) * (
         0.5 / sigma_pos**2
     )

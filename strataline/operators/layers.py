@@ -17,6 +17,7 @@ from strataline.functions.series import (
     apply_frames,
     carried,
     index_series,
+    spread_join,
     with_key_stats,
 )
 from strataline.operators.windows import distinct_in_range
@@ -322,8 +323,8 @@ def target_encode(
         fold, cat, smooth(F.col("_all_s") - F.col("_s"), F.col("_all_n") - F.col("_n")).alias(out)
     )
     every = add_overall(whole, overall).select(cat, smooth(F.col("_all_s"), F.col("_all_n")).alias(out))
-    seen = train.join(others, [fold, cat], "left")
-    new = test.join(every, cat, "left")
+    seen = spread_join(train, others, [fold, cat], train.columns, "left")
+    new = spread_join(test, every, [cat], test.columns, "left")
     fill = F.coalesce(out, "_g")
     return (
         add_overall(seen, overall).withColumn(out, fill).drop("_g"),
@@ -337,5 +338,6 @@ def encode_categories(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
         train, test = train.withColumn(col, F.coalesce(col, F.lit(UNKNOWN))), test.withColumn(col, F.coalesce(col, F.lit(UNKNOWN)))
         words = train.select(col).distinct().unionByName(test.select(col).distinct()).distinct()
         codes = index_series(words, [], [col], f"{col}_code")
-        train, test = train.join(codes, col, "left"), test.join(codes, col, "left")
+        train = spread_join(train, codes, [col], train.columns, "left")
+        test = spread_join(test, codes, [col], test.columns, "left")
     return train, test

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.asof import interp_join
-from strataline.functions.series import ROW
+from strataline.functions.series import ROW, attach
 from strataline.operators.align import prepare_reference
 from strataline.operators.datum import contact_predict
 from strataline.operators.evaluate import metrics
@@ -128,12 +128,13 @@ def gated_override(
     out: str = "overridden",
     *,
     keys: Sequence[str] = WELL,
+    row: str = ROW,
 ) -> DataFrame:
     """Mix the training target (by depth, inside the training range) into accepted entities; flags changed rows."""
     keys = list(keys)
     curve = _train_curve(train, [target], md, keys)
     found = interp_join(test, curve, keys, md, md, {"_value": f"train_{target}"}, edge="null")
-    joined = found.join(gate.select(*keys, "accepted"), keys, "left")
+    joined = attach(found, gate.select(*keys, "accepted"), keys, row)
     use = F.coalesce("accepted", F.lit(False)) & F.col("_value").isNotNull()
     mixed = (1 - weight) * F.col(pred) + weight * F.col("_value")
     return joined.withColumns({out: F.when(use, mixed).otherwise(F.col(pred)), "changed": use}).drop("_value", "accepted")
@@ -182,7 +183,7 @@ def contact_override(
     )
     ok = (F.col("train_rows") >= min_train) & (F.col("known_rows") >= min_rows) & (F.col("prefix_rmse") <= limit)
     accepted = gate.select(*keys, F.coalesce(ok, F.lit(False)).alias("_ok"))
-    joined = found.join(accepted, keys, "left")
+    joined = attach(found, accepted, keys, row)
     use = F.col("_ok") & F.col("_value").isNotNull()
     return joined.withColumns({out: F.when(use, F.col("_value")).otherwise(F.col(pred)), "changed": F.coalesce(use, F.lit(False))}).drop(
         "_value", "_ok"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strataline.functions.asof import bracket
 from strataline.functions.columns import col as as_col
 from strataline.functions.quantiles import with_key_percentiles
-from strataline.functions.series import ROW, Frame, Rows, apply_frames, carried, with_key_stats
+from strataline.functions.series import ROW, Frame, Rows, apply_frames, carried, spread_join, with_key_stats
 
 WELL = ("well_id",)
 STATS = ("mean", "std", "min", "max")
@@ -293,11 +293,8 @@ def distinct_in_range(
     """
     ids = list(ids or [*keys, ROW])
     labels = ref.select(*keys, label).distinct()
-    probes = (
-        df.select(*dict.fromkeys([*ids, *keys]), F.col(x).alias("_x"))
-        .join(labels, list(keys))
-        .withColumn("_end", F.col("_x") + F.lit(float(radius)))
-    )
+    places = df.select(*dict.fromkeys([*ids, *keys]), F.col(x).alias("_x"))
+    probes = spread_join(places, labels, keys, ids).withColumn("_end", F.col("_x") + F.lit(float(radius)))
     found = bracket(probes, ref.select(*keys, label, ref_x), [*keys, label], "_end", ref_x, [])
     counts = found.groupBy(*ids).agg(
         F.sum(F.coalesce(F.col("_low.x") >= F.col("_x") - F.lit(float(radius)), F.lit(False)).cast("long")).alias(out)

@@ -127,11 +127,12 @@ SCAN_LAGS = [float(v) for v in range(-6, 7)]
 def correlation_sql(half, epsilon, name="corr"):
     o = f"OVER (PARTITION BY user_id, off ORDER BY row_idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
     cov = f"(sum(lx * ly) {o} - sum(lx) {o} * sum(ly) {o} / count(*) {o})"
-    vx = f"greatest(sum(lx * lx) {o} - sum(lx) {o} * sum(lx) {o} / count(*) {o}, 0)"
-    vy = f"greatest(sum(ly * ly) {o} - sum(ly) {o} * sum(ly) {o} / count(*) {o}, 0)"
+    vx = f"(sum(lx * lx) {o} - sum(lx) {o} * sum(lx) {o} / count(*) {o})"
+    vy = f"(sum(ly * ly) {o} - sum(ly) {o} * sum(ly) {o} / count(*) {o})"
+    usable = f"count(*) {o} >= 3 AND {vx} > 1e-9 * sum(lx * lx) {o} AND {vy} > 1e-9 * sum(ly * ly) {o}"
     if epsilon:
-        return f"CASE WHEN count(*) {o} >= 3 THEN {cov} / (sqrt({vx} * {vy}) + 1e-6) ELSE 0 END AS {name}"
-    return f"CASE WHEN count(*) {o} >= 3 AND sqrt({vx} * {vy}) > 1e-8 THEN {cov} / sqrt({vx} * {vy}) ELSE 0 END AS {name}"
+        return f"CASE WHEN {usable} THEN {cov} / (sqrt({vx} * {vy}) + 1e-6) ELSE 0 END AS {name}"
+    return f"CASE WHEN {usable} AND sqrt({vx} * {vy}) > 1e-8 THEN {cov} / sqrt({vx} * {vy}) ELSE 0 END AS {name}"
 
 
 SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness", "ref_at_best", "ref_minus_log"]
@@ -141,7 +142,7 @@ SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness"
     "f06_lag_scan",
     f"""WITH {SERIES}, {REFERENCE}, {offsets_sql(SCAN_LAGS, "clamp")}, w AS (SELECT user_id, row_idx, off, value AS lx, ref_at AS ly FROM lk),
         c AS (SELECT *, {correlation_sql(7, True)} FROM w),
-        b AS (SELECT user_id, row_idx, arg_max({{'off': off, 'corr': corr, 'lx': lx, 'ly': ly}}, (round(corr, 10), -off)) AS m,
+        b AS (SELECT user_id, row_idx, arg_max({{'off': off, 'corr': corr, 'lx': lx, 'ly': ly}}, (round(corr, 9), -off)) AS m,
           max(corr) FILTER (off = 0) AS corr_at_0, avg(corr) AS av, quantile_cont(corr, 0.5) AS me, stddev_pop(corr) AS sd FROM c GROUP BY 1, 2),
         o AS (SELECT user_id, row_idx, m.off AS best_lag, m.corr AS best_corr, corr_at_0, m.corr - av AS corr_max_minus_mean,
           (m.corr - me) / (sd + 1e-6) AS peakiness, m.ly AS ref_at_best, m.ly - m.lx AS ref_minus_log FROM b)
@@ -170,8 +171,8 @@ def robust_sql(table, key, col, out, name):
         {offsets_sql(SCAN_LAGS, "clamp", "sz").replace("rb ab", "zrb ab").replace("seg ag", "zseg ag")},
         w AS (SELECT user_id, row_idx, off, lz AS lx, ref_at AS ly FROM lk),
         c AS (SELECT *, {correlation_sql(5, False, "c11")}, {correlation_sql(10, False, "c21")} FROM w),
-        b AS (SELECT user_id, row_idx, max(lx) AS lz, arg_max({{'off': off, 'corr': c11}}, (round(c11, 10), -off)) AS m11,
-          arg_max({{'off': off, 'corr': c21}}, (round(c21, 10), -off)) AS m21 FROM c GROUP BY 1, 2),
+        b AS (SELECT user_id, row_idx, max(lx) AS lz, arg_max({{'off': off, 'corr': c11}}, (round(c11, 9), -off)) AS m11,
+          arg_max({{'off': off, 'corr': c21}}, (round(c21, 9), -off)) AS m21 FROM c GROUP BY 1, 2),
         d AS (SELECT b.user_id, b.row_idx, lz, prior, ref_id, m11.off AS best_lag_11, m21.off AS best_lag_21, m11.corr AS best_corr_11, m21.corr AS best_corr_21,
           abs(m11.off - m21.off) / 2 AS lag_agreement, (m11.off + m21.off) / 2 AS median_lag FROM b JOIN s USING (user_id, row_idx)),
         q AS (SELECT *, prior + median_lag AS place, avg(median_lag) OVER ({BY} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS lag_consensus FROM d),

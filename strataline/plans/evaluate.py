@@ -143,13 +143,13 @@ def mixed(spark, sf):
         {
             "m1": F.col("value") * 0.8 + wave * 10,
             "m2": F.col("value") * 1.1 - F.cos(F.col("row_idx").cast("double")) * 15 + 3,
-            "m3": F.lit(40.0) + F.col("value") * 0.5 + F.col("row_idx") % 7,
+            "m3": F.lit(40.0) + F.col("value") * 0.5 + F.sin(F.col("row_idx") / 3.0) * 8,
         }
     )
 
 
 MIXED = PREDICTIONS + """,
-mx AS (SELECT *, CAST(user_id % 5 AS INT) AS fold, value * 0.8::DOUBLE + sin(row_idx) * 10 AS m1, value * 1.1::DOUBLE - cos(row_idx) * 15 + 3 AS m2, 40.0::DOUBLE + value * 0.5::DOUBLE + row_idx % 7 AS m3 FROM p)"""
+mx AS (SELECT *, CAST(user_id % 5 AS INT) AS fold, value * 0.8::DOUBLE + sin(row_idx) * 10 AS m1, value * 1.1::DOUBLE - cos(row_idx) * 15 + 3 AS m2, 40.0::DOUBLE + value * 0.5::DOUBLE + sin(row_idx / 3.0::DOUBLE) * 8 AS m3 FROM p)"""
 
 
 @query("k12_nested_audit")

@@ -32,13 +32,18 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder and read them back from there."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table, next to the checkpoints where every executor can reach it."""
     use_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared folder and go on from there.
+
+    A written table is computed once, survives lost executors, and later steps read only the
+    columns they need. Column metadata (the recorded bound) is kept in the file schema.
+    """
+    path = work_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
