@@ -1,9 +1,12 @@
-"""Exact k nearest points through a grid whose cells grow until the answer is certain.
+"""Exact k nearest points through nested grids.
 
-The finest level is chosen so that no cell holds many points. A probe looks at the 3×3 block
-of cells around it; any point closer than one cell width lies in that block, so a k-th distance
-of at most the cell width settles the probe. The others go on to cells twice as wide, up to one
-cell for everything. Dense places are settled in small cells and never meet wide ones.
+Cells halve from level to level; the finest level is the first at which no cell holds many
+points. Counts of points per cell tell for every probe the finest level at which the 3×3 block
+of cells around it holds k points. A point closer than one cell width lies in that block, so a
+k-th distance of at most the cell width settles the probe; otherwise it looks again at cells
+twice as wide. A block with k points bounds the k-th distance by 2.83 widths, so two more looks
+are enough unless points are not allowed for the probe. Dense places are settled in small cells
+and never meet wide ones.
 
 Points at exactly the same place are thinned first to those that can be an answer at all: with
 the order at equal distance fixed, the first k of a place, and with "not from the same series"
@@ -29,6 +32,17 @@ def _cells(axes: Sequence[str], low: Sequence[float], width: float) -> list[Colu
     return [F.floor((F.col(a) - F.lit(o)) / F.lit(width)).alias(f"_g{i}") for i, (a, o) in enumerate(zip(axes, low))]
 
 
+def _at_level(grid: Sequence[str], finest: int, level: Column) -> list[Column]:
+    """Cell numbers at a coarser level, from those at the finest one."""
+    return [F.floor(F.col(g) / F.pow(F.lit(2.0), F.lit(finest) - level)).alias(g) for g in grid]
+
+
+def _around(df: DataFrame, grid: Sequence[str]) -> DataFrame:
+    for g in grid:
+        df = df.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    return df
+
+
 def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool) -> DataFrame:
     if not owned:
         first = Window.partitionBy(*place).orderBy(tie)
@@ -41,45 +55,67 @@ def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool
 
 
 def _finest(points: DataFrame, by: Sequence[str], axes: Sequence[str], low: Sequence[float], side: float) -> int:
-    """First even level at which no cell holds more than ``CELL_POINTS`` points."""
-    for level in range(0, MAX_LEVEL, 2):
+    """First level at which no cell holds more than ``CELL_POINTS`` points, by bisection."""
+    least, most = 0, MAX_LEVEL
+    while least < most:
+        level = (least + most) // 2
         cells = _cells(axes, low, side / 2**level)
         if points.groupBy(*by, *cells).count().agg(F.max("count")).first()[0] <= CELL_POINTS:
-            return level
-    return MAX_LEVEL
+            most = level
+        else:
+            least = level + 1
+    return least
+
+
+def _with_level(asked: DataFrame, points: DataFrame, by: Sequence[str], grid: Sequence[str], finest: int, k: int, ids) -> DataFrame:
+    """Add ``_level``: the finest one at which the block around the probe's cell holds k points, else 0."""
+    levels = F.explode(F.array(*[F.lit(n) for n in range(finest + 1)]))
+    cells = points.groupBy(*by, *grid).agg(F.count(F.lit(1)).alias("_n")).withColumn("_level", levels)
+    counted = cells.select(*by, "_level", *_at_level(grid, finest, F.col("_level")), "_n")
+    counted = counted.groupBy(*by, "_level", *grid).agg(F.sum("_n").alias("_n"))
+    rich = _around(counted, grid).groupBy(*by, "_level", *grid).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
+    places = asked.select(*by, *grid).distinct()
+    own = [F.col(g).alias(f"_own{g}") for g in grid]
+    tried = places.select(*by, *grid, *own).withColumn("_level", levels)
+    tried = tried.select(*by, "_level", *[f"_own{g}" for g in grid], *_at_level(grid, finest, F.col("_level")))
+    best = (
+        tried.join(rich, [*by, "_level", *grid], "left_semi")
+        .groupBy(*by, *[f"_own{g}" for g in grid])
+        .agg(F.max("_level").alias("_level"))
+    )
+    best = best.select(*by, *[F.col(f"_own{g}").alias(g) for g in grid], "_level")
+    return spread_join(asked, best, [*by, *grid], ids, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
 
 
 def _in_block(
     waiting: DataFrame,
     points: DataFrame,
     by: Sequence[str],
-    axes: Sequence[str],
+    grid: Sequence[str],
     coords: Sequence[str],
-    low: Sequence[float],
-    width: float,
+    finest: int,
     k: int,
     ids: Sequence[str],
     differ: tuple[str, str] | None,
     tie: str,
 ) -> DataFrame:
-    """The k nearest points among those in the block of cells around each probe."""
-    grid = [f"_g{i}" for i in range(len(axes))]
-    asked = waiting.select(*waiting.columns, *_cells(axes, low, width))
-    for g in grid:
-        asked = asked.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
-    renamed = points.select(
-        *by, *[F.col(c).alias(f"_to{c}") for c in coords], *[c for c in points.columns if c not in (*by, *coords)],
-        *_cells(axes, low, width),
+    """The k nearest points among those in the block of cells around each probe, at the probe's level."""
+    others = [c for c in waiting.columns if c not in grid]
+    asked = _around(waiting.select(*others, *_at_level(grid, finest, F.col("_level"))), grid)
+    used = [r[0] for r in waiting.select("_level").distinct().collect()]  # a few small numbers
+    answers = [c for c in points.columns if c not in (*by, *coords, *grid)]
+    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used])))
+    placed = placed.select(
+        *by, "_level", *[F.col(c).alias(f"_to{c}") for c in coords], *answers, *_at_level(grid, finest, F.col("_level"))
     )
-    near = spread_join(asked, renamed, [*by, *grid], ids)
+    near = spread_join(asked, placed, [*by, "_level", *grid], ids)
     if differ:
         near = near.where(~F.col(differ[0]).eqNullSafe(F.col("_owner")))
     square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
     order = Window.partitionBy(*ids).orderBy("_d", f"_p_{tie}")
-    answers = [c for c in renamed.columns if c.startswith("_p_")]
     return (
         near.withColumn("_d", F.sqrt(square))
-        .select(*ids, "_d", *answers)
+        .select(*ids, "_level", "_d", *[c for c in answers if c.startswith("_p_")])
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )
@@ -108,6 +144,7 @@ def nearest_points(
     factors = list(scale or [1.0] * len(dims))
     coords = [f"_c{i}" for i in range(len(dims))]
     axes = coords[:2]
+    grid = [f"_g{i}" for i in range(len(axes))]
     scaled = [(F.col(d).cast("double") / F.lit(float(s))).alias(c) for d, s, c in zip(dims, factors, coords)]
     placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
     extra = [differ[0]] if differ else []
@@ -115,30 +152,34 @@ def nearest_points(
     answers = [F.col(p).alias(f"_p_{p}") for p in dict.fromkeys([*payload, tie])]
     owner = [F.col(differ[1]).alias("_owner")] if differ else []
     known = _thin(points.select(*by, *scaled, *answers, *owner).where(placed), [*by, *coords], k, f"_p_{tie}", bool(differ))
-    known, waiting = checkpoint(known), checkpoint(asked)
-    low, side = _box(known, waiting, axes)
-    level = _finest(known, by, axes, low, side) if side else 0
+    known, asked = checkpoint(known), checkpoint(asked)
+    low, side = _box(known, asked, axes)
+    base = (side or 1.0) * (1 + 1e-12)
+    finest = _finest(known, by, axes, low, base) if side else 0
+    known = known.select("*", *_cells(axes, low, base / 2**finest))
+    asked = asked.select("*", *_cells(axes, low, base / 2**finest))
+    waiting = checkpoint(_with_level(asked, known, by, grid, finest, k, ids))
     settled = []
-    while True:
-        width = (side or 1.0) / 2**level * (1 + 1e-12)
-        found = _in_block(waiting, known, by, axes, coords, low, width, k, ids, differ, tie)
-        if level == 0:  # one cell holds everything
-            settled.append(found)
-            break
-        found = checkpoint(found)
+    while waiting.take(1):
+        found = checkpoint(_in_block(waiting, known, by, grid, coords, finest, k, ids, differ, tie))
+        width = F.lit(base) / F.pow(F.lit(2.0), F.col("_level"))
         sure = (
-            found.groupBy(*ids)
+            found.groupBy(*ids, "_level")
             .agg(F.max("_d").alias("_far"), F.count(F.lit(1)).alias("_n"))
-            .where((F.col("_n") == k) & (F.col("_far") <= width))
+            .where(((F.col("_n") == k) & (F.col("_far") <= width)) | (F.col("_level") == 0))
             .select(*ids)
         )
         settled.append(found.join(sure, ids, "left_semi"))
-        waiting = checkpoint(waiting.join(sure, ids, "left_anti"))
-        if not waiting.take(1):
-            break
-        level -= 1
+        # At level 0 one cell holds everything: those probes are done, with or without an answer.
+        left = waiting.where(F.col("_level") > 0).join(sure, ids, "left_anti")
+        waiting = checkpoint(left.withColumn("_level", F.col("_level") - 1))
+    answer = [F.col(f"_p_{p}").alias(p) for p in payload]
+    if not settled:
+        return known.limit(0).crossJoin(asked.limit(0).select(*ids)).select(
+            *ids, F.lit(0).alias("rank"), F.lit(0.0).alias("distance"), *answer
+        )
     every = reduce(lambda a, b: a.unionByName(b), settled)
-    return every.select(*ids, "rank", F.col("_d").alias("distance"), *[F.col(f"_p_{p}").alias(p) for p in payload])
+    return every.select(*ids, "rank", F.col("_d").alias("distance"), *answer)
 
 
 def _box(known: DataFrame, asked: DataFrame, axes: Sequence[str]) -> tuple[list[float], float]:

@@ -45,19 +45,31 @@ def _by_rank(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *results)
 
 
+def _by_column(wanted: Wanted) -> list[tuple[Column, dict[str, float]]]:
+    """Wanted percentiles grouped by column: one pass over the values of a column gives all of them."""
+    grouped: dict[str, tuple[Column, dict[str, float]]] = {}
+    for name, (column, q) in wanted.items():
+        grouped.setdefault(str(column), (_col(column), {}))[1][name] = q
+    return list(grouped.values())
+
+
+def _shares(column: Column, names: dict[str, float]) -> Column:
+    return F.percentile(column, F.array(*[F.lit(float(q)) for q in names.values()]))
+
+
 def key_percentiles(df: DataFrame, keys: Sequence[str], wanted: Wanted, row: str = ROW) -> DataFrame:
     """One row per key with the wanted percentiles ``{name: (column, fraction)}``."""
     bound = longest(df, row) if keys else None
     if bound is None:
         bound = largest_group(df, keys)[0]
     if bound <= group_rows(df.sparkSession):
-        picks = [F.percentile(_col(c), F.lit(float(q))).alias(n) for n, (c, q) in wanted.items()]
-        return df.groupBy(*keys).agg(*picks)
-    by_column: dict[str, tuple[Column, dict[str, float]]] = {}
-    for name, (column, q) in wanted.items():
-        by_column.setdefault(str(column), (_col(column), {}))[1][name] = q
+        columns = _by_column(wanted)
+        found = df.groupBy(*keys).agg(*[_shares(c, names).alias(f"_q{i}") for i, (c, names) in enumerate(columns)])
+        return found.select(
+            *keys, *[F.get(f"_q{i}", F.lit(j)).alias(n) for i, (_, names) in enumerate(columns) for j, n in enumerate(names)]
+        )
     base = df.select(*keys).distinct() if keys else None
-    parts = [_by_rank(df, keys, column, names) for column, names in by_column.values()]
+    parts = [_by_rank(df, keys, column, names) for column, names in _by_column(wanted)]
     if not keys:
         return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
     return reduce(lambda a, b: a.join(b, list(keys), "left"), parts, base)
@@ -67,7 +79,10 @@ def with_key_percentiles(df: DataFrame, keys: Sequence[str], wanted: Wanted, row
     """Add percentiles of the whole series to each of its rows."""
     if not is_long(df, row):
         whole = Window.partitionBy(*keys)
-        return df.withColumns({n: F.percentile(_col(c), F.lit(float(q))).over(whole) for n, (c, q) in wanted.items()})
+        columns = _by_column(wanted)
+        found = df.withColumns({f"_q{i}": _shares(c, names).over(whole) for i, (c, names) in enumerate(columns)})
+        picks = {n: F.get(f"_q{i}", F.lit(j)) for i, (_, names) in enumerate(columns) for j, n in enumerate(names)}
+        return found.withColumns(picks).drop(*[f"_q{i}" for i in range(len(columns))])
     return attach(df, key_percentiles(df, keys, wanted, row), keys, row)
 
 

@@ -111,11 +111,28 @@ def _spread(df: DataFrame, keys: Sequence[str], multiplied: DataFrame) -> DataFr
     return multiplied if is_long(df) else multiplied.repartition(*keys)
 
 
-def _row_lags(df: DataFrame, ref: DataFrame, ref_keys, keys, row, log, prior, ref_x, ref_y, lags) -> DataFrame:
+def _log_sums(log: str, window: int) -> Frame:
+    """Window sums of the log itself: the same for every lag, so taken before rows are multiplied by lags."""
+    half, x = window // 2, F.col(log)
+
+    def columns(rows: Rows) -> dict[str, Column]:
+        w = rows(-half, half)
+        return {
+            f"_n_{window}": F.count(F.lit(1)).over(w),
+            f"_sx_{window}": F.sum(x).over(w),
+            f"_sxx_{window}": F.sum(x * x).over(w),
+        }
+
+    return Frame(half, half, columns)
+
+
+def _row_lags(df: DataFrame, ref: DataFrame, ref_keys, keys, row, log, prior, ref_x, ref_y, lags, windows) -> DataFrame:
     ids = [*keys, row]
-    looked = curve_at_offsets(df, ref, ref_keys, ids, prior, ref_x, ref_y, lags, [log], "clamp")
     bound = longest(df, row)
-    looked = looked.select(*ids, F.col(log).alias("_x"), F.col("ref_at").alias("_y"), F.col("offset").alias("lag"))
+    summed = apply_frames(df, keys, [_log_sums(log, w) for w in windows], row=row)
+    sums = [f"{s}_{w}" for w in windows for s in ("_n", "_sx", "_sxx")]
+    looked = curve_at_offsets(summed, ref, ref_keys, ids, prior, ref_x, ref_y, lags, [log, *sums], "clamp")
+    looked = looked.select(*ids, *sums, F.col(log).alias("_x"), F.col("ref_at").alias("_y"), F.col("offset").alias("lag"))
     return _spread(df, keys, with_bound(looked, bound, row) if bound else looked)
 
 
@@ -129,9 +146,8 @@ def _correlation_frame(window: int, out: str, epsilon: float | None) -> Frame:
 
     def columns(rows: Rows) -> dict[str, Column]:
         w = rows(-half, half)
-        n = F.count(F.lit(1)).over(w)
-        sx, sy, sxy = F.sum(x).over(w), F.sum(y).over(w), F.sum(x * y).over(w)
-        sxx, syy = F.sum(x * x).over(w), F.sum(y * y).over(w)
+        n, sx, sxx = F.col(f"_n_{window}"), F.col(f"_sx_{window}"), F.col(f"_sxx_{window}")
+        sy, syy, sxy = F.sum(y).over(w), F.sum(y * y).over(w), F.sum(x * y).over(w)
         vx, vy = sxx - sx * sx / n, syy - sy * sy / n
         varied = (vx > 1e-9 * sxx) & (vy > 1e-9 * syy)
         cov, scale = sxy - sx * sy / n, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
@@ -166,7 +182,7 @@ def lag_scan(
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
     ids = [*keys, row]
-    rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags)
+    rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags, [window])
     scored = apply_frames(rows, [*keys, "lag"], _correlation_frame(window, "corr", 1e-6), row=row)
     best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.round("corr", 9), -F.col("lag")))
     reduced = scored.groupBy(*ids).agg(
@@ -213,7 +229,7 @@ def lag_scan_multiscale(
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
     own = robust_zscore(df, log, "_z", keys=keys, row=row)
     curve = robust_zscore(ref, ref_y, "_rz", keys=ref_keys)
-    rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags)
+    rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags, windows)
     frames = [_correlation_frame(w, f"corr_{w}", None) for w in windows]
     scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
     reduced = scored.groupBy(*ids).agg(

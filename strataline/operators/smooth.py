@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -231,22 +231,31 @@ def clip_delta(
     return add_overall(df, bounds).withColumn(out, alpha * clip(F.col(delta), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def _limit(max_slope: float, col: str, md: str, row: str, keys: Sequence[str], group: Sequence[str]):
-    """Carry the limited value through one sorted run of rows, starting from the entry value."""
+def _limit(rows: DataFrame, max_slope: float, col: str, md: str, row: str, group: Sequence[str]) -> DataFrame:
+    """Carry the limited value through the sorted rows of each group, starting from its entry value.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
-        values, depths = pdf[col].to_numpy(float), pdf[md].to_numpy(float)
-        out = np.empty(len(values))
-        value, depth = float(pdf["_entry"].iloc[0]), float(pdf["_entry_md"].iloc[0])
-        for i in range(len(values)):
-            reach = max_slope * max(abs(depths[i] - depth), 1e-6)
-            value = min(max(values[i], value - reach), value + reach)
-            depth = depths[i]
-            out[i] = value
-        return pdf[[*group, row]].assign(_limited=out)
-
-    return run
+    Rows stream through in order; only the last value is kept between batches, never a whole group.
+    """
+    group = list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, value, depth = None, 0.0, 0.0
+        for pdf in batches:
+            owners = list(zip(*[pdf[g] for g in group]))
+            columns = [pdf[c].to_numpy(float) for c in (col, md, "_entry", "_entry_md")]
+            out = np.empty(len(pdf))
+            for i, (owner, v, d, entry, entry_md) in enumerate(zip(owners, *columns)):
+                if owner != current:
+                    current, value, depth = owner, entry, entry_md
+                reach = max_slope * max(abs(d - depth), 1e-6)
+                value = min(max(v, value - reach), value + reach)
+                depth = d
+                out[i] = value
+            yield pdf[[*group, row]].assign(_limited=out)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in [*group, row]], "_limited double"])
+    return rows.repartition(*group).sortWithinPartitions(*group, row).mapInPandas(run, schema)
 
 
 def slope_limit(
@@ -269,14 +278,11 @@ def slope_limit(
     are needed and the result is the sequential one.
     """
     keys = list(keys)
-    types = dict(df.dtypes)
     if not is_long(df, row):
         rows = df.select(*keys, row, col, md, F.col(start).alias("_entry"), F.col(start_md).alias("_entry_md"))
-        schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{row} {types[row]}", "_limited double"])
-        limited = rows.groupBy(*keys).applyInPandas(_limit(max_slope, col, md, row, keys, keys), schema)
+        limited = _limit(rows, max_slope, col, md, row, keys)
         return df.join(limited.withColumnRenamed("_limited", out), [*keys, row])
     group = [*keys, CHUNK]
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{CHUNK} bigint", f"{row} {types[row]}", "_limited double"])
     size = F.lit(group_rows(df.sparkSession))
     rows = checkpoint(
         df.select(*keys, row, col, md, F.col(start).alias("_start"), F.col(start_md).alias("_start_md")).withColumn(
@@ -294,9 +300,8 @@ def slope_limit(
             F.coalesce(F.lag("_last_md").over(before), "_m").alias("_entry_md"),
         )
     )
-    run = _limit(max_slope, col, md, row, keys, group)
     while True:
-        limited = checkpoint(rows.join(entries, group).groupBy(*group).applyInPandas(run, schema))
+        limited = checkpoint(_limit(rows.join(entries, group), max_slope, col, md, row, group))
         left = limited.groupBy(*group).agg(F.max_by("_limited", row).alias("_exit"))
         checked = checkpoint(
             entries.join(left, group).select(

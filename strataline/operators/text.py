@@ -66,22 +66,20 @@ LINE = rf"(?i)(?:Action:\s*)?({_TOOL})\s+([^\n]+)"
 ARGUMENT = rf"""({"|".join(ARGUMENTS)})\s*=\s*["']([^"']+)["']"""
 
 
-def _hits(col: str, terms: Sequence[str]) -> Column:
-    """Terms that occur, in the order given, case aside."""
-    low = F.lower(F.col(col))
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, F.lower(t)))
-
-
 def keyword_score(df: DataFrame, col: str, weights: dict[str, int] | None = None, most: int = 10) -> DataFrame:
     """Sum of the weights of the terms that occur (each once), and the first of them as text."""
     weights = weights or KEYWORD_WEIGHTS
-    low = F.lower(F.col(col))
-    score = F.lit(0)
-    for term, weight in weights.items():
-        score = score + F.when(F.contains(low, F.lit(term.lower())), weight).otherwise(0)
-    return df.withColumns(
-        {"score": score, "terms": F.array_join(F.slice(_hits(col, list(weights)), 1, most), ", ")}
-    )
+    # Each term is looked for once in the lower-case text; score and term list come from the flags.
+    lowered = df.withColumn("_low", F.lower(F.col(col)))
+    flags = F.array(*[F.contains(F.col("_low"), F.lit(t.lower())) for t in weights])
+    found = lowered.withColumn("_found", flags)
+    score, hits = F.lit(0), []
+    for i, (term, weight) in enumerate(weights.items()):
+        hit = F.get("_found", F.lit(i))
+        score = score + F.when(hit, weight).otherwise(0)
+        hits.append(F.when(hit, F.lit(term)))
+    terms = F.array_join(F.slice(F.array_compact(F.array(*hits)), 1, most), ", ")
+    return found.withColumns({"score": score, "terms": terms}).drop("_low", "_found")
 
 
 def redact(df: DataFrame, col: str, n: int = 140, out: str = "preview") -> DataFrame:
