@@ -25,6 +25,7 @@ def bracket(
     values: Sequence[str],
     low: str = "_low",
     high: str = "_high",
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add the last reference row at or before ``x`` and the first one after it, as structs ``(x, values…)``.
 
@@ -38,7 +39,7 @@ def bracket(
         *keys, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.struct(*probe.columns).alias("_probe")
     )
     merged = refs.unionByName(probes, allowMissingColumns=True)
-    sizes = largest_group(merged, keys)
+    sizes = sizes or largest_group(merged, keys)
     if sizes[0] <= group_rows(probe.sparkSession):
         ahead = Window.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
         back = Window.partitionBy(*keys).orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
@@ -77,10 +78,11 @@ def interp_join(
     ref_y: str | dict[str, str],
     out: str = "ref_at",
     edge: str = "clamp",
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Piecewise-linear look-up of one or several reference columns ``{output: column}`` at ``x``."""
     outputs = ref_y if isinstance(ref_y, dict) else {out: ref_y}
-    found = bracket(probe, ref, keys, x, ref_x, list(dict.fromkeys(outputs.values())))
+    found = bracket(probe, ref, keys, x, ref_x, list(dict.fromkeys(outputs.values())), sizes=sizes)
     return found.withColumns({o: interpolated(F.col(x), y, edge) for o, y in outputs.items()}).drop("_low", "_high")
 
 
@@ -127,4 +129,6 @@ def curve_at_offsets(
     shifted = df.select(*wanted, F.explode(F.array(*[F.lit(float(o)) for o in offsets])).alias("offset")).withColumn(
         "at", F.col(x) + F.col("offset")
     )
-    return interp_join(shifted, ref, keys, "at", ref_x, ref_y, "ref_at", edge)
+    own, curve = largest_group(df, keys), largest_group(ref, keys)
+    sizes = tuple(a * len(offsets) + b for a, b in zip(own, curve))
+    return interp_join(shifted, ref, keys, "at", ref_x, ref_y, "ref_at", edge, sizes)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.series import spread_join
-from strataline.settings import checkpoint
+from strataline.settings import checkpoint, group_rows
 
 CELL_POINTS = 64
 MAX_LEVEL = 40
@@ -55,19 +55,24 @@ def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool
 
 
 def _finest(points: DataFrame, by: Sequence[str], axes: Sequence[str], low: Sequence[float], side: float) -> int:
-    """First level at which no cell holds more than ``CELL_POINTS`` points, by bisection."""
-    least, most = 0, MAX_LEVEL
-    while least < most:
-        level = (least + most) // 2
+    """First level at which no cell holds more than ``CELL_POINTS`` points: doubling, then bisection."""
+
+    def fits(level: int) -> bool:
         cells = _cells(axes, low, side / 2**level)
-        if points.groupBy(*by, *cells).count().agg(F.max("count")).first()[0] <= CELL_POINTS:
-            most = level
-        else:
-            least = level + 1
-    return least
+        return points.groupBy(*by, *cells).count().agg(F.max("count")).first()[0] <= CELL_POINTS
+
+    if fits(0):
+        return 0
+    least, most = 0, 4
+    while most < MAX_LEVEL and not fits(most):
+        least, most = most, min(2 * most, MAX_LEVEL)
+    while most - least > 1:
+        level = (least + most) // 2
+        least, most = (least, level) if fits(level) else (level, most)
+    return most
 
 
-def _with_level(asked: DataFrame, points: DataFrame, by: Sequence[str], grid: Sequence[str], finest: int, k: int, ids) -> DataFrame:
+def _with_level(asked: DataFrame, points: DataFrame, by: Sequence[str], grid: Sequence[str], finest: int, k: int, ids, size) -> DataFrame:
     """Add ``_level``: the finest one at which the block around the probe's cell holds k points, else 0."""
     levels = F.explode(F.array(*[F.lit(n) for n in range(finest + 1)]))
     cells = points.groupBy(*by, *grid).agg(F.count(F.lit(1)).alias("_n")).withColumn("_level", levels)
@@ -84,7 +89,7 @@ def _with_level(asked: DataFrame, points: DataFrame, by: Sequence[str], grid: Se
         .agg(F.max("_level").alias("_level"))
     )
     best = best.select(*by, *[F.col(f"_own{g}").alias(g) for g in grid], "_level")
-    return spread_join(asked, best, [*by, *grid], ids, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+    return spread_join(asked, best, [*by, *grid], ids, "left", size).withColumn("_level", F.coalesce("_level", F.lit(0)))
 
 
 def _in_block(
@@ -94,21 +99,22 @@ def _in_block(
     grid: Sequence[str],
     coords: Sequence[str],
     finest: int,
+    used: Sequence[int],
     k: int,
     ids: Sequence[str],
     differ: tuple[str, str] | None,
     tie: str,
+    size: int | None,
 ) -> DataFrame:
     """The k nearest points among those in the block of cells around each probe, at the probe's level."""
     others = [c for c in waiting.columns if c not in grid]
     asked = _around(waiting.select(*others, *_at_level(grid, finest, F.col("_level"))), grid)
-    used = [r[0] for r in waiting.select("_level").distinct().collect()]  # a few small numbers
     answers = [c for c in points.columns if c not in (*by, *coords, *grid)]
     placed = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used])))
     placed = placed.select(
         *by, "_level", *[F.col(c).alias(f"_to{c}") for c in coords], *answers, *_at_level(grid, finest, F.col("_level"))
     )
-    near = spread_join(asked, placed, [*by, "_level", *grid], ids)
+    near = spread_join(asked, placed, [*by, "_level", *grid], ids, size=size)
     if differ:
         near = near.where(~F.col(differ[0]).eqNullSafe(F.col("_owner")))
     square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
@@ -158,10 +164,21 @@ def nearest_points(
     finest = _finest(known, by, axes, low, base) if side else 0
     known = known.select("*", *_cells(axes, low, base / 2**finest))
     asked = asked.select("*", *_cells(axes, low, base / 2**finest))
-    waiting = checkpoint(_with_level(asked, known, by, grid, finest, k, ids))
+    # Few probes cannot overload a join key; otherwise the joins look for hot cells themselves.
+    rows = asked.count()
+    size = rows if 9 * rows <= group_rows(asked.sparkSession) else None
     settled = []
-    while waiting.take(1):
-        found = checkpoint(_in_block(waiting, known, by, grid, coords, finest, k, ids, differ, tie))
+    if finest == 0:
+        only = asked.withColumn("_level", F.lit(0))
+        settled.append(_in_block(only, known, by, grid, coords, finest, [0], k, ids, differ, tie, size))
+        waiting = only.limit(0)
+    else:
+        waiting = checkpoint(_with_level(asked, known, by, grid, finest, k, ids, size))
+    while True:
+        used = [] if finest == 0 else [r[0] for r in waiting.select("_level").distinct().collect()]  # a few small numbers
+        if not used:
+            break
+        found = checkpoint(_in_block(waiting, known, by, grid, coords, finest, used, k, ids, differ, tie, size))
         width = F.lit(base) / F.pow(F.lit(2.0), F.col("_level"))
         sure = (
             found.groupBy(*ids, "_level")
@@ -174,10 +191,9 @@ def nearest_points(
         left = waiting.where(F.col("_level") > 0).join(sure, ids, "left_anti")
         waiting = checkpoint(left.withColumn("_level", F.col("_level") - 1))
     answer = [F.col(f"_p_{p}").alias(p) for p in payload]
-    if not settled:
-        return known.limit(0).crossJoin(asked.limit(0).select(*ids)).select(
-            *ids, F.lit(0).alias("rank"), F.lit(0.0).alias("distance"), *answer
-        )
+    if not settled:  # no probes
+        nothing = asked.limit(0).withColumn("_level", F.lit(0))
+        settled.append(_in_block(nothing, known, by, grid, coords, finest, [0], k, ids, differ, tie, size))
     every = reduce(lambda a, b: a.unionByName(b), settled)
     return every.select(*ids, "rank", F.col("_d").alias("distance"), *answer)
 

@@ -577,7 +577,7 @@ def prefix_alignment(
     )
 
 
-MATCH_BLOCK = 1024
+MATCH_BLOCK = 256
 
 
 def _unit_windows(rows: DataFrame, keys: Sequence[str], col: str, half: int, row: str) -> DataFrame:
@@ -642,32 +642,40 @@ def self_match(
     )
     prefix_blocks = prefix.select(*keys, "_pb").distinct()
     tail_blocks = tail.select(*keys, "_tb").distinct()
-    left = attach(tail, prefix_blocks, keys, row, "inner")
-    right = attach(prefix, tail_blocks, keys, "_center", "inner")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own column identities for the cogroup
-    n_keys = len(keys)
-
-    def best(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, row, "_score", "_center", "_value"]
-        if t.empty or p.empty:
-            return pd.DataFrame(columns=names)
-        p = p.sort_values("_center")
-        scores = np.stack(t["_unit"].to_numpy()) @ np.stack(p["_unit"].to_numpy()).T / size
-        at = scores.argmax(axis=1)
-        out = {k: [v] * len(t) for k, v in zip(keys, key[:n_keys])}
-        return pd.DataFrame(out).assign(
-            **{
-                row: t[row].to_numpy(),
-                "_score": scores[np.arange(len(t)), at],
-                "_center": p["_center"].to_numpy()[at],
-                "_value": p["_value"].to_numpy()[at],
-            }
-        )[names]
-
-    types = dict(df.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{row} bigint", "_score double", "_center bigint", "_value double"])
     pair = [*keys, "_pb", "_tb"]
-    blocks = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, schema)
+
+    def packed(rows: DataFrame, fields: Sequence[str], place: str) -> DataFrame:
+        """One row per block: its windows end to end in one array, the other fields beside it."""
+        inner = F.array_sort(F.collect_list(F.struct(place, *[f for f in fields if f != place], "_unit")))
+        blocks = rows.groupBy(*pair).agg(inner.alias("_all"))
+        return blocks.select(
+            *pair,
+            F.flatten("_all._unit").alias(f"_units_{place}"),
+            *[F.col(f"_all.{f}").alias(f"_list_{f}") for f in fields],
+        )
+
+    left = packed(attach(tail, prefix_blocks, keys, row, "inner"), [row], row)
+    right = packed(attach(prefix, tail_blocks, keys, "_center", "inner"), ["_center", "_value"], "_center")
+
+    def best(tails: pd.Series, prefixes: pd.Series) -> pd.DataFrame:
+        places, scores = [], []
+        for t, p in zip(tails, prefixes):
+            product = np.asarray(t).reshape(-1, size) @ np.asarray(p).reshape(-1, size).T / size
+            at = product.argmax(axis=1)
+            places.append(at)
+            scores.append(product[np.arange(len(at)), at])
+        return pd.DataFrame({"at": places, "score": scores})
+
+    match = F.pandas_udf(best, "at array<bigint>, score array<double>")
+    joined = left.join(right, pair).withColumn("_m", match(f"_units_{row}", "_units__center"))
+    entries = F.arrays_zip(F.col(f"_list_{row}").alias("r"), F.col("_m.at").alias("at"), F.col("_m.score").alias("score"))
+    blocks = joined.select(*keys, "_list__center", "_list__value", F.explode(entries).alias("_e")).select(
+        *keys,
+        F.col("_e.r").alias(row),
+        F.col("_e.score").alias("_score"),
+        F.get("_list__center", F.col("_e.at").cast("int")).alias("_center"),
+        F.get("_list__value", F.col("_e.at").cast("int")).alias("_value"),
+    )
     found = blocks.groupBy(*keys, row).agg(
         F.max_by(F.struct("_value", "_score"), F.struct(F.col("_score"), -F.col("_center"))).alias("_b")
     )
