@@ -27,11 +27,11 @@ def bracket(
     high: str = "_high",
     sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Add the last reference row at or before ``x`` and the first one after it, as structs ``(x, values…)``.
+    """Add the last reference row at or before ``x`` and the first one after it, as structs ``(_x, values…)``.
 
     Reference positions must be unique within the key (see ``prepare_reference``).
     """
-    point = F.struct(F.col(ref_x).cast("double").alias("x"), *[F.col(v).alias(v) for v in values])
+    point = F.struct(F.col(ref_x).cast("double").alias("_x"), *[F.col(v).alias(v) for v in values])
     refs = ref.where(F.col(ref_x).isNotNull()).select(
         *keys, F.col(ref_x).cast("double").alias("_x"), F.lit(0).alias("_kind"), point.alias("_ref")
     )
@@ -57,8 +57,8 @@ def bracket(
 
 def interpolated(x: Column, y: str, edge: str, low: str = "_low", high: str = "_high") -> Column:
     """Value of the piecewise-linear curve at ``x`` from a bracket; outside: ``clamp`` or ``null``."""
-    x0, y0 = F.col(f"{low}.x"), F.col(f"{low}.{y}")
-    x1, y1 = F.col(f"{high}.x"), F.col(f"{high}.{y}")
+    x0, y0 = F.col(f"{low}._x"), F.col(f"{low}.{y}")
+    x1, y1 = F.col(f"{high}._x"), F.col(f"{high}.{y}")
     outside_low = y1 if edge == "clamp" else F.lit(None).cast("double")
     outside_high = y0 if edge == "clamp" else F.when(x == x0, y0)
     return (
@@ -97,7 +97,7 @@ def nearest_join(
 ) -> DataFrame:
     """Values ``{output: column}`` of the nearest reference row; ``tie`` picks a side at equal distance."""
     found = bracket(probe, ref, keys, x, ref_x, list(dict.fromkeys(values.values())))
-    below, above = F.col(x) - F.col("_low.x"), F.col("_high.x") - F.col(x)
+    below, above = F.col(x) - F.col("_low._x"), F.col("_high._x") - F.col(x)
     closer = below <= above if tie == "lower" else below < above
     # An exact hit is always the lower neighbour.
     take_low = F.col("_high").isNull() | (F.col("_low").isNotNull() & (closer | (below == 0)))

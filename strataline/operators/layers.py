@@ -219,7 +219,7 @@ def interval_context(
     """
     bounds = interval_bounds(ref, ref_x, label, keys=keys)
     found = bracket(df, bounds, keys, x, "top", ["base"])
-    top, base = F.coalesce("_low.x", "_high.x"), F.coalesce("_low.base", "_high.base")
+    top, base = F.coalesce("_low._x", "_high._x"), F.coalesce("_low.base", "_high.base")
     found = found.withColumns({"_t": top, "_b": base, "interval_thickness": base - top}).drop("_low", "_high")
     thick = F.when(F.abs("interval_thickness") > 1e-9, F.col("interval_thickness"))
     before, after = F.col(x) - F.col("_t"), F.col("_b") - F.col(x)

@@ -68,13 +68,13 @@ def fit_rf(df: DataFrame, features: Sequence[str], y: str, *, trees: int = 50, d
 def fit_ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float) -> PipelineModel:
     """Standardised features, squared error plus ``alpha`` times the squared weights.
 
-    Features are scaled by their population deviation; Spark scales by the sample deviation and divides the
-    squared error by the number of rows, hence ``alpha·(n − 1)/n²``.
+    Features are scaled by their population deviation. Spark scales by the sample deviation, divides the
+    squared error by the number of rows and works on the label over its deviation, hence the factors.
     """
-    rows = max(df.where(F.col(y).isNotNull()).count(), 1)
+    rows, spread = df.agg(F.count(y), F.stddev_pop(y)).first()
     scale = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     line = LinearRegression(
-        featuresCol="_scaled", labelCol=y, predictionCol="prediction", regParam=alpha * (rows - 1) / rows**2,
+        featuresCol="_scaled", labelCol=y, predictionCol="prediction", regParam=alpha * max(rows - 1, 1) / max(rows, 1) ** 2 * (spread or 1.0),
         elasticNetParam=0.0, solver="normal", standardization=False,
     )
     return Pipeline(stages=[_assembled(features), scale, line]).fit(df)

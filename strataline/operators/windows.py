@@ -297,6 +297,6 @@ def distinct_in_range(
     probes = spread_join(places, labels, keys, ids).withColumn("_end", F.col("_x") + F.lit(float(radius)))
     found = bracket(probes, ref.select(*keys, label, ref_x), [*keys, label], "_end", ref_x, [])
     counts = found.groupBy(*ids).agg(
-        F.sum(F.coalesce(F.col("_low.x") >= F.col("_x") - F.lit(float(radius)), F.lit(False)).cast("long")).alias(out)
+        F.sum(F.coalesce(F.col("_low._x") >= F.col("_x") - F.lit(float(radius)), F.lit(False)).cast("long")).alias(out)
     )
     return df.join(counts, ids, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
