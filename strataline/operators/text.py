@@ -84,7 +84,7 @@ def keyword_score(df: DataFrame, col: str, weights: dict[str, int] | None = None
 
 def redact(df: DataFrame, col: str, n: int = 140, out: str = "preview") -> DataFrame:
     """Preview of n characters on one line, with keys, tokens and passwords masked."""
-    text = F.translate(F.substring(F.col(col), 1, n), "\n", " ")
+    text = F.replace(F.substring(F.col(col), 1, n), F.lit("\n"), F.lit(" "))
     for pattern, mask in REDACTIONS:
         text = F.regexp_replace(text, pattern, mask)
     return df.withColumn(out, text)
@@ -142,7 +142,7 @@ def route_priority(edges: DataFrame, source: str, score: str = "score") -> DataF
 def rank_records(df: DataFrame, col: str, ids: Sequence[str], weights: dict[str, int] | None = None, n: int = 140) -> DataFrame:
     """Records by score, highest first, with size, lines, terms and a redacted preview."""
     scored = redact(keyword_score(df, col, weights, 8), col, n)
-    lines = F.length(F.col(col)) - F.length(F.translate(F.col(col), "\n", "")) + 1
+    lines = F.length(F.col(col)) - F.length(F.replace(F.col(col), F.lit("\n"), F.lit(""))) + 1
     return scored.select(
         *ids, F.octet_length(F.col(col)).cast("long").alias("bytes"), lines.cast("long").alias("lines"), "score", "terms", "preview"
     ).orderBy(F.desc("score"), *ids)
