@@ -6,18 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataline.llm.common import table
+from strataline.llm.common import held_out, table
+from strataline.llm.language import fit_language, predict_language
+from strataline.llm.quality import fit_quality, score_quality
 from strataline.llm.tokens import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.select("doc_id", "text").join(labels.select("doc_id", "quality").where(~held_out(F.col("doc_id"))), "doc_id")
+    scored = score_quality(docs, fit_quality(known))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs, fit_language(docs.where(~held_out(F.col("doc_id")))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_token_counts,)
+    f.__name__: f for f in (op1_quality_ranking, op9_language_id, op10_token_counts)
 }
 SQL: dict[str, str] = {}
