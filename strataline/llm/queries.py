@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm.common import held_out, table
+from strataline.llm.decontaminate import scan_benchmark
 from strataline.llm.language import fit_language, predict_language
+from strataline.llm.pii import find_pii
 from strataline.llm.quality import fit_quality, score_quality
 from strataline.llm.tokens import count_tokens
 
@@ -23,6 +25,14 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("masked")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict_language(docs, fit_language(docs.where(~held_out(F.col("doc_id")))))
@@ -34,6 +44,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_ranking, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_quality_ranking, op7_decontamination, op8_pii_spans, op9_language_id, op10_token_counts)
 }
 SQL: dict[str, str] = {}
