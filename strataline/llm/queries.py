@@ -15,6 +15,7 @@ from strataline.llm.merkle import compare_with_next
 from strataline.llm.neardup import near_duplicates
 from strataline.llm.pii import find_pii
 from strataline.llm.quality import fit_quality, score_quality
+from strataline.llm.suffixes import remove_repeats
 from strataline.llm.tokens import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +32,10 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100))
 
@@ -54,6 +59,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_ranking, op2_merkle_fingerprints, op6_odd_sketches, op7_decontamination, op8_pii_spans, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_quality_ranking, op2_merkle_fingerprints, op5_suffix_dedup, op6_odd_sketches, op7_decontamination, op8_pii_spans, op9_language_id, op10_token_counts)
 }
 SQL: dict[str, str] = {}
