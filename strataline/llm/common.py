@@ -53,6 +53,18 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_ids(rows: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` (id, text) with an id per row, and the names (id, name) to go back by if ids had to be given.
+
+    Ids that are present and unique stay. Else rows are numbered and written once, so that a row keeps its number.
+    """
+    most, absent = rows.groupBy("id").count().agg(F.max("count"), F.count_if(F.col("id").isNull())).first()
+    if (most or 0) <= 1 and not absent:
+        return rows, None
+    numbered = steps.keep(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
+    return numbered.select(F.col("row").alias("id"), "text"), numbered.select(F.col("row").alias("id"), F.col("id").alias("name"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text; a text is never cut."""
     for batch in batches:
@@ -129,7 +141,7 @@ _INVERSE = U64(pow(int(_POWER), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
         for i, base in enumerate((_POWER, _INVERSE)):
@@ -149,7 +161,7 @@ def find_words(texts: Texts, data: np.ndarray, is_word: np.ndarray) -> Words:
     ending = np.zeros(n + 1, bool)
     ending[1:] = inside[:-1] & ~(inside[1:] & ~starting[1:])
     start, end = np.flatnonzero(starting[:n]), np.flatnonzero(ending)
-    power, inverse = _powers_upto(max(n, 1))
+    power, inverse = powers_upto(max(n, 1))
     upto = np.zeros(n + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=upto[1:])
     code = (upto[end] - upto[start]) * inverse[start] if len(start) else np.zeros(0, U64)

@@ -12,9 +12,11 @@ from strataline.llm.common import held_out, table
 from strataline.llm.decontaminate import scan_benchmark
 from strataline.llm.language import fit_language, predict_language
 from strataline.llm.merkle import compare_with_next
+from strataline.llm.mixing import mix_sources
 from strataline.llm.neardup import near_duplicates
 from strataline.llm.pii import find_pii
 from strataline.llm.quality import fit_quality, score_quality
+from strataline.llm.spans import remove_repeated_spans
 from strataline.llm.suffixes import remove_repeats
 from strataline.llm.tokens import count_tokens
 
@@ -32,6 +34,14 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -59,6 +69,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_ranking, op2_merkle_fingerprints, op5_suffix_dedup, op6_odd_sketches, op7_decontamination, op8_pii_spans, op9_language_id, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_quality_ranking,
+        op2_merkle_fingerprints,
+        op3_sentence_spans,
+        op4_pfair_mixing,
+        op5_suffix_dedup,
+        op6_odd_sketches,
+        op7_decontamination,
+        op8_pii_spans,
+        op9_language_id,
+        op10_token_counts,
+    )
 }
 SQL: dict[str, str] = {}

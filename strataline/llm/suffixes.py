@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import U64, Steps, Texts, batch, map_slices
+from strataline.llm.common import U64, Steps, Texts, batch, map_slices, own_ids
 
 DEPTH = 200
 GRAM = 32
@@ -211,16 +211,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts, and those shorter than ``depth``, lose nothing. Rows that repeat an id are
     documents of their own, and so are rows without id. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    steps = Steps(spark, "suffixes")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = rows.groupBy("id").count().agg(F.max("count"), F.count_if(F.col("id").isNull())).first()
-    renumbered = (ids[0] or 0) > 1 or (ids[1] or 0) > 0
-    if renumbered:
-        # Written once, so that a row keeps its number.
-        rows = steps.keep(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
-        names = rows.select(F.col("row").alias("id"), F.col("id").alias("name"))
-        rows = rows.select(F.col("row").alias("id"), "text")
+    steps = Steps(docs.sparkSession, "suffixes")
+    rows, names = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
     many = _grams(rows, depth).groupBy("gram").count().where("count > 1").select("gram")
     runs = steps.keep(_run_rows(rows, depth).join(many, "gram"))
     groups = steps.keep(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "pos")).alias("one")))
@@ -251,6 +243,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list("span").alias("spans"))  # at most the runs of one text
     )
     out = _without(rows.join(spans, "id", "left").select("id", "text", "spans"), depth)
-    if renumbered:
+    if names is not None:
         out = out.join(names, "id").drop("id").withColumnRenamed("name", "id")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
