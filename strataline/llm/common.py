@@ -77,6 +77,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start, end - start)
 
 
+def columns_of(df: DataFrame) -> str:
+    """The columns of a table as a schema string."""
+    return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in df.dtypes)
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """Apply a function to slices of Arrow batches."""
 

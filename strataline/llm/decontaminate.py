@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import U64, Texts, Words, batch, byte_table, find_words, flags, map_slices, mix
+from strataline.llm.common import U64, Texts, Words, batch, byte_table, columns_of, find_words, flags, map_slices, mix
 
 WINDOW = 13
 # Most bytes of benchmark text in one broadcast set; a larger benchmark is scanned for in several parts.
@@ -120,6 +120,18 @@ def _scan(rows: DataFrame, known: BenchmarkSet) -> DataFrame:
     return map_slices(rows, run, f"id {kind}, row_key string, n_words long, spans array<struct<first: long, last: long>>, items array<string>")
 
 
+def _verdict(spans: list[tuple[int, int]], n_words: int, one_in: int) -> tuple[list[dict[str, int]], int, bool]:
+    """Union of word ranges, the words in it, and whether that is contamination."""
+    own: list[dict[str, int]] = []
+    for first, last in sorted(spans):
+        if own and first <= own[-1]["last"]:
+            own[-1]["last"] = max(own[-1]["last"], last)
+        else:
+            own.append({"first": first, "last": last})
+    hit = sum(s["last"] - s["first"] for s in own)
+    return own, hit, hit > 0 and one_in * hit >= n_words
+
+
 def _finish(found: DataFrame, one_in: int) -> DataFrame:
     """Union of the word ranges, the items in order, and the verdict."""
     kind = found.schema["id"].dataType.simpleString()
@@ -127,37 +139,83 @@ def _finish(found: DataFrame, one_in: int) -> DataFrame:
 
     def run(batches):
         for rows in batches:
-            merged, hit, digests, count = [], [], [], []
-            for spans, items in zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True):
-                own: list[dict[str, int]] = []
-                for s in sorted(spans, key=lambda s: s["first"]):
-                    if own and s["first"] <= own[-1]["last"]:
-                        own[-1]["last"] = max(own[-1]["last"], s["last"])
-                    else:
-                        own.append(dict(s))
+            merged, hit, bad, digests, count = [], [], [], [], []
+            sizes = rows.column("n_words").to_pylist()
+            for size, spans, items in zip(sizes, rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True):
+                own, n_hit, contaminated = _verdict([(s["first"], s["last"]) for s in spans], size, one_in)
                 names = sorted(set(items))
                 merged.append(own)
-                hit.append(sum(s["last"] - s["first"] for s in own))
+                hit.append(n_hit)
+                bad.append(contaminated)
                 digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
                 count.append(len(names))
-            n_hit = np.array(hit, np.int64)
-            n_words = rows.column("n_words").to_numpy()
             yield batch(
                 id=rows.column("id"),
-                n_words=n_words,
-                n_hit=n_hit,
-                n_items=np.array(count, np.int64),
+                row_key=rows.column("row_key"),
+                n_words=rows.column("n_words"),
+                n_hit=pa.array(hit, pa.int64()),
+                n_items=pa.array(count, pa.int64()),
                 items_sha256=pa.array(digests, pa.string()),
-                contaminated=(n_hit > 0) & (one_in * n_hit >= n_words),
+                contaminated=pa.array(bad, pa.bool_()),
                 spans=pa.array(merged, ranges),
             )
 
-    return found.select("id", "n_words", "spans", "items").mapInArrow(
+    return found.select("id", "row_key", "n_words", "spans", "items").mapInArrow(
         run,
-        f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, last: long>>",
+        f"id {kind}, row_key string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, last: long>>",
     )
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text) rows, and how many parts of at most about ``part_bytes`` they make."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-size // part_bytes) or 1
+
+
+def _loaded(items: DataFrame, window: int) -> BenchmarkSet:
+    """The set of a part; its size was measured before."""
+    return BenchmarkSet.of([(r.item, r.text) for r in items.collect()], window)
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    window: int = WINDOW,
+    one_in: int = ONE_IN,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, that ``scan_benchmark`` does not find contaminated.
+
+    A benchmark of one part is scanned for where the rows are. Beyond that the verdicts are joined by
+    id and a digest of the text.
+    """
+    items, parts = _items(benchmark, item_col, "text", part_bytes)
+    if parts > 1:
+        found = scan_benchmark(docs, benchmark, id_col, text_col, item_col, window, one_in, part_bytes, digest=True)
+        bad = found.where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(_loaded(items, window))
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts.of(piece.column(text_col))
+        data = _LOWER[texts.data]
+        words = find_words(texts, data, _WORD)
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for first, last, _ in shared.value.hits(data, words):
+            spans[int(words.text[first])].append((first, last))
+        clean = np.ones(piece.num_rows, bool)
+        for text, own in spans.items():
+            clean[text] = not _verdict(own, int(words.counts[text]), one_in)[2]
+        return piece.filter(pa.array(clean))
+
+    return map_slices(docs, run, columns_of(docs), text=text_col)
+
+
 def scan_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -167,6 +225,7 @@ def scan_benchmark(
     window: int = WINDOW,
     one_in: int = ONE_IN,
     part_bytes: int = PART_BYTES,
+    digest: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged hit word ranges).
 
@@ -179,19 +238,16 @@ def scan_benchmark(
     Null and empty texts and items have no words; an item without id is left out; an item that is repeated counts once; repeated rows and
     null ids give a row each; other columns are ignored; an empty benchmark hits nothing.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // part_bytes) or 1
+    items, parts = _items(benchmark, item_col, text_col, part_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = rows.withColumn("row_key", F.sha2(F.coalesce("text", F.lit("")), 256) if digest or parts > 1 else F.lit(""))
     if parts == 1:
-        known = BenchmarkSet.of([(r.item, r.text) for r in items.collect()], window)
-        found = _scan(rows.withColumn("row_key", F.lit("")), known)
+        found = _scan(keyed, _loaded(items, window))
     else:
-        keyed = rows.withColumn("row_key", F.sha2(F.coalesce("text", F.lit("")), 256))
         found = None
         for part in range(parts):
-            own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
-            scanned = _scan(keyed, BenchmarkSet.of([(r.item, r.text) for r in own], window)).withColumn("part", F.lit(part))
+            own = _loaded(items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part), window)
+            scanned = _scan(keyed, own).withColumn("part", F.lit(part))
             found = scanned if found is None else found.unionByName(scanned)
         # Equal rows (id and text) are counted, brought together once and repeated at the end.
         found = (
@@ -206,4 +262,5 @@ def scan_benchmark(
             )
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         )
-    return _finish(found, one_in).withColumnRenamed("id", id_col)
+    out = _finish(found, one_in).withColumnRenamed("id", id_col)
+    return out if digest else out.drop("row_key")

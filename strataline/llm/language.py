@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import Steps, Texts, batch, map_slices
+from strataline.llm.common import Steps, Texts, batch, columns_of, map_slices
 
 # Which languages are closely related. Fixed values; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -201,3 +201,14 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
         return batch(id=piece.column("id"), lang_pred=pa.array(names, pa.string()), score=score)
 
     return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.25) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language can be told: not ``und``, and with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        names, score = shared.value.predict(piece.column(text_col))
+        return piece.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
+
+    return map_slices(docs, run, columns_of(docs), text=text_col)

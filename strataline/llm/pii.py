@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import batch, map_slices
+from strataline.llm.common import batch, columns_of, map_slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -238,7 +238,22 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def _masked(text: str | None, base: list[Span], added: list[Span]) -> str | None:
+    return mask(text, [(s, e, f"<{k}>") for k, s, e in (*base, *added)]) if base or added else text
+
+
+def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with every span that ``find_pii`` finds in the text replaced by its kind; all else unchanged."""
+    names = docs.columns
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        masked = pa.array([_masked(t, *find_private(t)) for t in piece.column(text_col).to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([masked if n == text_col else piece.column(n) for n in names], names=names)
+
+    return map_slices(docs, run, columns_of(docs), text=text_col)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, masked.
 
     The counts and the digest are of the base patterns in the text as it stands. Transducers then rewrite
@@ -247,23 +262,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     ``spans`` where they overlap no span of their kind. Offsets are code points, ends exclusive.
     ``masked`` is the text with every span replaced by its kind in angle brackets.
 
-    With ``keep`` the other columns stay as they are and the text is replaced by the masked one. Null and
-    empty texts have no spans (null stays null); repeated rows and null ids give a row each.
+    Null and empty texts have no spans (null stays null); repeated rows and null ids give a row each; other
+    columns are ignored.
     """
-    if keep:
-        rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    else:
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names, kinds = rows.columns, dict(rows.dtypes)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = piece.column("text").to_pylist()
         found = [find_private(t) for t in texts]
-        masked = pa.array(
-            [t if not b and not a else mask(t, [(s, e, f"<{k}>") for k, s, e in (*b, *a)]) for t, (b, a) in zip(texts, found, strict=True)], pa.string()
-        )
-        if keep:
-            return pa.RecordBatch.from_arrays([masked if n == "text" else piece.column(n) for n in names], names=names)
         counts = {f"n_{k}": np.array([sum(s[0] == k for s in b) for b, _ in found], np.int64) for k in KINDS}
         return batch(
             id=piece.column("id"),
@@ -271,11 +277,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             base_sha256=pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
             spans=pa.array([_joined([*b, *a]) for b, a in found], pa.string()),
             n_added=np.array([len(a) for _, a in found], np.int64),
-            masked=masked,
+            masked=pa.array([_masked(t, b, a) for t, (b, a) in zip(texts, found, strict=True)], pa.string()),
         )
 
-    if keep:
-        out = map_slices(rows, run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
-        return out.withColumnRenamed("text", text_col) if text_col != "text" else out
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return map_slices(rows, run, f"id {kinds['id']}, {counts}, base_sha256 string, spans string, n_added long, masked string").withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_slices(rows, run, f"id {kind}, {counts}, base_sha256 string, spans string, n_added long, masked string").withColumnRenamed("id", id_col)

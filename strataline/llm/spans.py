@@ -13,7 +13,7 @@ from strataline.llm.common import U64, Steps, Texts, Words, powers_upto, batch,
 
 # A span is the shortest run of at least so many sentences that has at least so many words.
 RUN = 2
-MIN_WORDS = 8
+MIN_WORDS = 20
 # A sentence of more words is also cut after words whose hash is 0 modulo CUT, so that text without
 # full stops has sentences that follow its content.
 LONG_SENTENCE = 24
