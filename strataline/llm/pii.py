@@ -210,13 +210,14 @@ _ENDINGS = frozenset("com org net edu gov info io de fr es uk eu".split())
 
 
 def find_private(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and spans that the disguises hide: those that overlap no base span or earlier one of their kind."""
+    """Base spans, and spans that the disguises hide: those that no base span of their kind covers, the longest first of any that overlap."""
     if not text:
         return [], []
     base = find_plain(text)
     added: list[Span] = []
-    for kind, s, e in sorted(set(find_disguised(text)), key=lambda x: (x[0], x[1], -x[2])):
-        if all(e <= s2 or e2 <= s for k2, s2, e2 in (*base, *added) if k2 == kind):
+    for kind, s, e in sorted(set(find_disguised(text)), key=lambda x: (x[0], x[1] - x[2], x[1])):
+        covered = any(k == kind and s2 <= s and e <= e2 for k, s2, e2 in base)
+        if not covered and all(k != kind or e <= s2 or e2 <= s for k, s2, e2 in added):
             added.append((kind, s, e))
     return base, added
 
@@ -259,7 +260,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The counts and the digest are of the base patterns in the text as it stands. Transducers then rewrite
     look-alike letters and digits, spelled digits and written-out "at" and "dot", remembering for every
     character the source range it stands for; identifiers found there are mapped back and added to
-    ``spans`` where they overlap no span of their kind. Offsets are code points, ends exclusive.
+    ``spans`` where no base span of their kind covers them. Offsets are code points, ends exclusive.
     ``masked`` is the text with every span replaced by its kind in angle brackets.
 
     Null and empty texts have no spans (null stays null); repeated rows and null ids give a row each; other
