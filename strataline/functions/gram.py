@@ -7,16 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Values of a fold column; each brings (columns + 2)² numbers to the driver.
+MOST_FOLDS = 1_000
+
 
 def gram_sums(df: DataFrame, cols: Sequence[str], y: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Sums of products of the columns, the target and a constant 1; names ``s_<i>_<j>``, i ≤ j."""
+    """Sums of products of the columns, the target and a constant 1; names ``s_<i>_<j>``, i ≤ j.
+
+    Only rows count of which all columns, the target and the weight are known.
+    """
     terms = [*[F.col(c).cast("double") for c in cols], F.col(y).cast("double"), F.lit(1.0)]
-    w = F.lit(1.0) if weight is None else weight
+    known = reduce(lambda a, b: a & b, [t.isNotNull() for t in terms[:-1]])
+    w = F.when(known, F.lit(1.0) if weight is None else weight)
     sums = [F.sum(w * terms[i] * terms[j]).alias(f"s_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
     return df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
 
@@ -69,5 +77,8 @@ def gram(df: DataFrame, cols: Sequence[str], y: str, weight: Column | None = Non
 
 
 def gram_by(df: DataFrame, cols: Sequence[str], y: str, by: str, weight: Column | None = None) -> dict[object, Gram]:
-    """One Gram per value of a fold column (a handful of values)."""
-    return {row[by]: Gram.of(cols, row) for row in gram_sums(df, cols, y, [by], weight).collect()}
+    """One Gram per value of a fold column; more than ``MOST_FOLDS`` values are an error."""
+    rows = gram_sums(df, cols, y, [by], weight).limit(MOST_FOLDS + 1).collect()
+    if len(rows) > MOST_FOLDS:
+        raise ValueError(f"{by} has more than {MOST_FOLDS} values")
+    return {row[by]: Gram.of(cols, row) for row in rows}

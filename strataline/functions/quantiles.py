@@ -92,8 +92,15 @@ def overall(df: DataFrame, wanted: Wanted) -> DataFrame:
 
 
 def add_overall(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row table next to every row; the single row is what gets broadcast."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """Put the columns of a one-row table next to every row; the single row is what gets broadcast.
+
+    A table of several rows is an error when the query runs; one without rows gives NULLs.
+    """
+    kinds = dict(one_row.dtypes)
+    rows = one_row.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in one_row.columns])
+    several = F.raise_error(F.lit("a table of one row was expected"))
+    checked = rows.select(*[F.when(F.col("_rows") > 1, several.cast(kinds[c])).otherwise(F.col(c)).alias(c) for c in one_row.columns])
+    return df.crossJoin(F.broadcast(checked))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], col: str, out: str, row: str = ROW) -> DataFrame:

@@ -141,10 +141,37 @@ def apply_frames(df: DataFrame, keys: Sequence[str], *stages: Frame | Sequence[F
     size = F.lit(group_rows(df.sparkSession))
     before = sum(max(f.before for f in step) for step in steps)
     after = sum(max(f.after for f in step) for step in steps)
-    first = F.greatest(F.floor((F.col(row) - F.lit(after)) / size), F.lit(0))
-    last = F.floor((F.col(row) + F.lit(before)) / size)
-    copies = df.withColumn(CHUNK, F.explode(F.sequence(first, last)))
-    return add(copies, Rows([*keys, CHUNK], row)).where(F.col(CHUNK) == _chunk_of(df, row)).drop(CHUNK)
+    placed = _placed(df, keys, row)
+    first = F.greatest(F.floor((F.col(_PLACE) - F.lit(after)) / size), F.lit(0))
+    last = F.floor((F.col(_PLACE) + F.lit(before)) / size)
+    copies = placed.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    own = F.col(CHUNK) == F.floor(F.col(_PLACE) / size)
+    return add(copies, Rows([*keys, CHUNK], row)).where(own).drop(CHUNK, _PLACE)
+
+
+_PLACE = "_place"
+
+
+def with_place(df: DataFrame, keys: Sequence[str], out: str, row: str = ROW) -> DataFrame:
+    """Add the 0-based position of each row among the rows of its key that are in the table."""
+    if not is_long(df, row):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(row)).cast("long") - 1)
+    return _placed(df, keys, row).withColumnRenamed(_PLACE, out)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
+    """Add the position of each row among the rows of its key that are there.
+
+    Row numbers of a filtered table have gaps, and a frame counts rows, not numbers. Each chunk of
+    row numbers counts its own rows and adds what the chunks before it hold.
+    """
+    rows = df.withColumn(CHUNK, _chunk_of(df, row))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    starts = checkpoint(counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(row)
+    joined = rows.join(starts, [*keys, CHUNK], "left")
+    return joined.withColumn(_PLACE, F.col("_before") + F.row_number().over(inside) - 1).drop(CHUNK, "_before")
 
 
 def carried(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions.columns import array_std, clip, total
 from strataline.functions.gram import Gram, gram, gram_by, gram_sums
+from strataline.functions.quantiles import add_overall
 from strataline.functions.series import ROW, with_key_stats
 from strataline.operators import search
 from strataline.operators.smooth import fade, median_cascade, savgol
@@ -145,9 +146,9 @@ def convex_weights(
 def weight_grid(
     df: DataFrame, base: str, a: str, b: str, y: str, grid_a: Sequence[float], grid_b: Sequence[float]
 ) -> DataFrame:
-    """RMSE of ``base + u·a + v·b`` for every pair of weights, from one aggregate; the best first."""
+    """RMSE of ``base + u·a + v·b`` for every pair of weights, from one aggregate of the rows with all four known; the best first."""
     r, x, z = F.col(y) - F.col(base), F.col(a), F.col(b)
-    sums = df.agg(
+    sums = df.where(r.isNotNull() & x.isNotNull() & z.isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.sum(r * r).alias("rr"), F.sum(r * x).alias("ra"), F.sum(r * z).alias("rb"),
         F.sum(x * x).alias("aa"), F.sum(x * z).alias("ab"), F.sum(z * z).alias("bb"),
     )
@@ -162,8 +163,10 @@ def weight_grid(
 
 
 def _fade_sums(df: DataFrame, target: str, cols: Sequence[str], md_since: str, taus: Sequence[float | None]) -> DataFrame:
-    """One row per τ with product sums of the target and the faded columns; all τ in one pass over the rows."""
+    """One row per τ with product sums of the target and the faded columns; all τ in one pass over the rows with all of them known."""
     t = F.col(target)
+    for c in (target, md_since, *cols):
+        df = df.where(F.col(c).isNotNull())
     aggregates = [F.count(t).alias("n"), F.sum(t * t).alias("tt")]
     for i, tau in enumerate(taus):
         faded = [F.col(c) * fade(md_since, tau) for c in cols]
@@ -300,10 +303,14 @@ def apply_variant(
 
 
 def blend_from_history(df: DataFrame, history: DataFrame, cols: Sequence[str], ids: Sequence[str], out: str = "blend") -> DataFrame:
-    """Apply saved weights ``(model, weight)``; models without a weight do not count."""
-    long = df.select(*ids, F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("p")) for c in cols])).alias("_m"))
-    joined = long.select(*ids, "_m.*").join(history.select("model", "weight"), "model")
-    return joined.groupBy(*ids).agg(F.sum(F.col("p") * F.col("weight")).alias(out))
+    """Apply saved weights ``(model, weight)``; models without a weight and unknown predictions do not count.
+
+    The weights of the named columns are one row next to every row; a row with nothing to weigh gets NULL.
+    """
+    weights = history.agg(*[F.sum(F.when(F.col("model") == c, F.col("weight"))).alias(f"_w_{i}") for i, c in enumerate(cols)])
+    parts = F.filter(F.array(*[F.col(c).cast("double") * F.col(f"_w_{i}") for i, c in enumerate(cols)]), lambda p: p.isNotNull())
+    value = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, p: a + p))
+    return add_overall(df, weights).select(*ids, value.alias(out))
 
 
 def entity_features(df: DataFrame, cols: Sequence[str], core: Sequence[str], keys: Sequence[str] = WELL) -> DataFrame:

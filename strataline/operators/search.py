@@ -9,31 +9,37 @@ import numpy as np
 from strataline.functions.gram import Gram
 
 
-def greedy_average(gram: Gram, rounds: int = 200, gain: float = 1e-5) -> tuple[list[float], float]:
-    """Start with the best model; keep adding a copy of whichever model lowers the error of the plain average."""
-    counts = np.zeros(len(gram.names))
-    start = min(range(len(gram.names)), key=lambda i: gram.rmse(gram.single(i)))
-    counts[start] = 1
-    best = gram.rmse(counts)
-    for _ in range(rounds):
-        improved = False
-        for i in range(len(gram.names)):
-            trial = counts + gram.single(i)
-            score = gram.rmse(trial / trial.sum())
-            if score < best - gain:
-                counts, best, improved = trial, score, True
-                break
-        if not improved:
-            break
-    return [float(c) for c in counts / counts.sum()], best
-
-
-def transfer_climb(gram: Gram, step: float = 0.01, negative: bool = False, rounds: int = 2000) -> tuple[list[float], float]:
-    """Move one step of weight from one model to another, the best move each round, while the error falls."""
+def single_errors(gram: Gram) -> np.ndarray:
+    """RMSE of every model alone."""
+    square = np.diag(gram.xx) - 2 * gram.xy + gram.sums[-2, -2]
+    return np.sqrt(np.maximum(square / gram.rows, 0.0))
+
+
+def greedy_average(gram: Gram, gain: float = 1e-5) -> tuple[list[float], float]:
+    """Start with the best model; keep adding a copy of the first model that lowers the error of the plain average.
+
+    All additions are scored at once from the product sums. Every addition gains at least ``gain``, so it ends.
+    """
+    alone = single_errors(gram)
+    best = float(alone.min())
+    counts = gram.single(int(alone.argmin()))
+    while True:
+        size = counts.sum() + 1
+        square = counts @ gram.xx @ counts + 2 * gram.xx @ counts + np.diag(gram.xx)
+        mse = square / size**2 - 2 * (counts @ gram.xy + gram.xy) / size + gram.sums[-2, -2]
+        better = np.flatnonzero(np.sqrt(np.maximum(mse / gram.rows, 0.0)) < best - gain)
+        if not len(better):
+            return [float(c) for c in counts / counts.sum()], best
+        counts = counts + gram.single(int(better[0]))
+        best = gram.rmse(counts / counts.sum())
+
+
+def transfer_climb(gram: Gram, step: float = 0.01, negative: bool = False) -> tuple[list[float], float]:
+    """Move one step of weight from one model to another, the best move each round, while the error falls by 1e-9 or more."""
     m = len(gram.names)
     weights = gram.single(min(range(m), key=lambda i: gram.rmse(gram.single(i)))).copy()
     best = gram.rmse(weights)
-    for _ in range(rounds):
+    while True:
         moves = []
         for i in range(m):
             if weights[i] < step - 1e-12 and not negative:
@@ -84,7 +90,10 @@ def simplex_search(gram: Gram, step: float) -> tuple[list[float], float]:
 
 
 def projected_descent(a: np.ndarray, b: np.ndarray, project, start: np.ndarray, limit: int = 200_000) -> np.ndarray:
-    """Minimise ½ wᵀAw − bᵀw over a convex set, until a projected step no longer moves (accelerated steps)."""
+    """Minimise ½ wᵀAw − bᵀw over a convex set, until a projected step no longer moves (accelerated steps).
+
+    An error if that takes more than ``limit`` steps.
+    """
     size = float(np.linalg.eigvalsh(a)[-1]) or 1.0
     w = project(start)
     ahead, t = w.copy(), 1.0
@@ -97,8 +106,8 @@ def projected_descent(a: np.ndarray, b: np.ndarray, project, start: np.ndarray,
         residual = np.abs(new - project(new - (a @ new - b) / size)).max()
         w, t = new, t_next
         if residual <= 1e-12 * max(1.0, np.abs(w).max()):
-            break
-    return w
+            return w
+    raise ArithmeticError(f"no minimum after {limit} steps")
 
 
 def non_negative(w: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from strataline.functions.series import (
     attach,
     is_long,
     with_key_stats,
+    with_place,
 )
 from strataline.operators.windows import median_frame
 from strataline.operators.zones import last_known
@@ -37,10 +38,13 @@ def _dot(array: Column, weights: Sequence[float]) -> Column:
 
 def _edge_fit(order: int):
     def fit(values: pd.Series, place: pd.Series) -> pd.Series:
-        out = [
-            float(projection(len(v), order)[int(p)] @ np.asarray(v, dtype=float)) if v is not None and len(v) > order else None
-            for v, p in zip(values, place)
-        ]
+        out = []
+        for v, p in zip(values, place):
+            known = None if v is None or len(v) <= order else np.asarray(v, dtype=float)
+            if known is None or np.isnan(known).any():
+                out.append(None)
+            else:
+                out.append(float(projection(len(known), order)[int(p)] @ known))
         return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(fit, "double")
@@ -53,41 +57,43 @@ def savgol(
 
     Interior rows are one fixed kernel over a row frame. Rows within half a window of an end take
     the polynomial fitted to the first or last window; only they carry values for the fit. Series
-    with at most ``order + 2`` rows stay as they are. Rows must be numbered from 0.
+    with at most ``order + 2`` rows stay as they are. Positions are those of the rows in the table, so a tail
+    is smoothed as a series of its own; where a window holds an unknown value the result is unknown.
     """
     half = window // 2
     width = 2 * half + 1 if window % 2 else window - 1
     half = width // 2
-    sized = with_key_stats(df, keys, {"_n": F.count(F.lit(1))}, row)
+    v, at = F.struct(F.col(col).cast("double").alias("v")), F.col("_at")
+    sized = with_key_stats(with_place(df, keys, "_at", row), keys, {"_n": F.count(F.lit(1))}, row)
     odd = F.col("_n") - (F.col("_n") + 1) % 2
     w = F.least(F.lit(width), odd).cast("int")
-    near = (F.col(row) < width) | (F.col(row) >= F.col("_n") - width)
-    sized = sized.withColumns({"_w": w, "_near": F.when(near, F.col(col).cast("double"))})
+    near = (at < width) | (at >= F.col("_n") - width)
+    sized = sized.withColumns({"_w": w, "_near": F.when(near, v)})
 
     def lists(rows: Rows) -> dict[str, Column]:
         return {
-            "_mid": F.collect_list(F.col(col).cast("double")).over(rows(-half, half)),
+            "_mid": F.collect_list(v).over(rows(-half, half)),
             "_ends": F.collect_list("_near").over(rows(-(width - 1), width - 1)),
         }
 
     found = apply_frames(sized, keys, Frame(width - 1, width - 1, lists), row=row)
     h = F.floor(F.col("_w") / 2)
-    from_end = F.col("_n") - 1 - F.col(row)
-    first, last = F.col(row) < h, from_end < h
+    from_end = F.col("_n") - 1 - at
+    first, last = at < h, from_end < h
     short = F.col("_n") < width
     edge_values = (
         F.when(first, F.slice("_ends", F.lit(1), F.col("_w")))
         .when(last, F.slice("_ends", -F.col("_w"), F.col("_w")))
-        .when(short, F.slice("_ends", (F.col(row) - h + 1).cast("int"), F.col("_w")))
+        .when(short, F.slice("_ends", (at - h + 1).cast("int"), F.col("_w")))
     )
-    place = F.when(first, F.col(row)).when(last, F.col("_w") - 1 - from_end).otherwise(h)
-    fitted = _edge_fit(order)(edge_values, place.cast("int"))
+    place = F.when(first, at).when(last, F.col("_w") - 1 - from_end).otherwise(h)
+    fitted = _edge_fit(order)(F.transform(edge_values, lambda x: x["v"]), place.cast("int"))
     usable = (F.col("_n") > order + 2) & (F.col("_w") > order) & (F.col("_w") >= 3)
     inner = ~first & ~last & ~short
-    value = F.when(~usable, F.col(col).cast("double")).when(inner, _dot(F.col("_mid"), centre_row(width, order))).otherwise(
+    value = F.when(~usable, F.col(col).cast("double")).when(inner, _dot(F.col("_mid.v"), centre_row(width, order))).otherwise(
         F.col("_edge")
     )
-    return found.withColumn("_edge", fitted).withColumn(out, value).drop("_n", "_w", "_near", "_mid", "_ends", "_edge")
+    return found.withColumn("_edge", fitted).withColumn(out, value).drop("_n", "_w", "_at", "_near", "_mid", "_ends", "_edge")
 
 
 def kernel_smooth(
@@ -100,14 +106,18 @@ def kernel_smooth(
     keys: Sequence[str] = WELL,
     row: str = ROW,
 ) -> DataFrame:
-    """Gaussian (``size`` = sigma) or uniform (``size`` = rows) smoothing; beyond the ends the edge value counts on."""
+    """Gaussian (``size`` = sigma) or uniform (``size`` = rows) smoothing; beyond the ends the edge value counts on.
+
+    Where a window holds an unknown value the result is unknown.
+    """
     v = F.col(col).cast("double")
+    kept = F.struct(v.alias("v"))
     if kind == "gaussian":
         weights = gaussian_kernel(size)
         radius = len(weights) // 2
 
         def lists(rows: Rows) -> dict[str, Column]:
-            return {"_v": F.collect_list(v).over(rows(-radius, radius)), "_back": F.count(F.lit(1)).over(rows(-radius, 0)) - 1}
+            return {"_v": F.collect_list(kept).over(rows(-radius, radius)), "_back": F.count(F.lit(1)).over(rows(-radius, 0)) - 1}
 
         found = apply_frames(df, keys, Frame(radius, radius, lists), row=row)
         left = F.lit(radius) - F.col("_back")
@@ -117,20 +127,20 @@ def kernel_smooth(
             F.col("_v"),
             F.array_repeat(F.try_element_at("_v", F.lit(-1)), right.cast("int")),
         )
-        return found.withColumn(out, _dot(padded, weights)).drop("_v", "_back")
+        return found.withColumn(out, _dot(F.transform(padded, lambda x: x["v"]), weights)).drop("_v", "_back")
     if kind != "uniform":
         raise ValueError(kind)
     size = int(size)
     sized = with_key_stats(
-        df, keys, {"_n": F.count(F.lit(1)), "_head": F.min_by(v, row), "_tail": F.max_by(v, row), "_all": F.sum(v)}, row
+        with_place(df, keys, "_at", row), keys, {"_n": F.count(F.lit(1)), "_head": F.min_by(v, row), "_tail": F.max_by(v, row)}, row
     )
     # Series shorter than the window use a window of their own length: at most size rows.
-    sized = sized.withColumn("_few", F.when(F.col("_n") < size, v))
+    sized = sized.withColumn("_few", F.when(F.col("_n") < size, kept))
     back, ahead = size // 2, size - 1 - size // 2
 
     def sums(rows: Rows) -> dict[str, Column]:
         return {
-            "_sum": F.sum(v).over(rows(-back, ahead)),
+            "_sum": F.when(F.count(v).over(rows(-back, ahead)) == F.count(F.lit(1)).over(rows(-back, ahead)), F.sum(v).over(rows(-back, ahead))),
             "_list": F.collect_list("_few").over(rows(-(size - 1), size - 1)),
         }
 
@@ -138,15 +148,16 @@ def kernel_smooth(
     m = F.least(F.col("_n"), F.lit(size))
     lo = F.floor(m / 2)
     hi = m - 1 - lo
-    miss_low = F.greatest(lo - F.col(row), F.lit(0))
-    miss_high = F.greatest(hi - (F.col("_n") - 1 - F.col(row)), F.lit(0))
-    start = F.greatest(F.col(row) - lo, F.lit(0))
+    miss_low = F.greatest(lo - F.col("_at"), F.lit(0))
+    miss_high = F.greatest(hi - (F.col("_n") - 1 - F.col("_at")), F.lit(0))
+    start = F.greatest(F.col("_at") - lo, F.lit(0))
     own = F.aggregate(
-        F.slice("_list", (start + 1).cast("int"), (m - miss_low - miss_high).cast("int")), F.lit(0.0), lambda a, x: a + x
+        F.slice("_list.v", (start + 1).cast("int"), (m - miss_low - miss_high).cast("int")), F.lit(0.0), lambda a, x: a + x
     )
     inside = F.when(F.col("_n") < size, own).otherwise(F.col("_sum"))
-    value = (inside + miss_low * F.col("_head") + miss_high * F.col("_tail")) / m
-    return found.withColumn(out, value).drop("_n", "_head", "_tail", "_all", "_few", "_sum", "_list")
+    before = F.when(miss_low > 0, miss_low * F.col("_head")).otherwise(0.0)
+    beyond = F.when(miss_high > 0, miss_high * F.col("_tail")).otherwise(0.0)
+    return found.withColumn(out, (inside + before + beyond) / m).drop("_n", "_at", "_head", "_tail", "_few", "_sum", "_list")
 
 
 def median_cascade(
@@ -163,16 +174,19 @@ def median_cascade(
 ) -> DataFrame:
     """Centred median filter, followed by polynomial smoothing if a window is given.
 
-    ``pad="shrink"`` lets the window shrink at the ends, ``pad="zero"`` counts missing rows as 0.
+    ``pad="shrink"`` lets the window shrink at the ends and leaves out unknown values; ``pad="zero"`` counts
+    rows beyond the ends as 0 and is unknown where the window holds an unknown value.
     """
     half = median // 2
     if pad == "shrink":
         filtered = apply_frames(df, keys, median_frame(col, median, "_median"), row=row)
     else:
-        lists = Frame(half, half, lambda rows: {"_v": F.collect_list(F.col(col).cast("double")).over(rows(-half, half))})
+        kept = F.struct(F.col(col).cast("double").alias("v"))
+        lists = Frame(half, half, lambda rows: {"_v": F.collect_list(kept).over(rows(-half, half))})
         filtered = apply_frames(df, keys, lists, row=row)
-        full = F.array_sort(F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(2 * half + 1) - F.size("_v"))))
-        filtered = filtered.withColumn("_median", F.get(full, F.lit(half))).drop("_v")
+        full = F.array_sort(F.concat("_v.v", F.array_repeat(F.lit(0.0), F.lit(2 * half + 1) - F.size("_v"))))
+        known = ~F.exists("_v", lambda x: x["v"].isNull())
+        filtered = filtered.withColumn("_median", F.when(known, F.get(full, F.lit(half)))).drop("_v")
     if window is None:
         return filtered.withColumnRenamed("_median", out)
     return savgol(filtered, "_median", window, order, out, keys=keys, row=row).drop("_median")
