@@ -18,6 +18,7 @@ from strataline.functions.asof import curve_at_offsets, interp_join, nearest_joi
 from strataline.functions.columns import array_mean, array_median, array_std, clip, correlation, ratio, total
 from strataline.functions.nearest import nearest_points
 from strataline.functions.quantiles import key_percentiles, with_key_percentiles
+from strataline.functions.scan import curve_fits, rolling_correlations, scan_chunks
 from strataline.functions.series import (
     ROW,
     Frame,
@@ -111,6 +112,25 @@ def _spread(df: DataFrame, keys: Sequence[str], multiplied: DataFrame) -> DataFr
     return multiplied if is_long(df) else multiplied.repartition(*keys)
 
 
+def _signals(
+    df: DataFrame, ref: DataFrame, log: str, prior: str, ref_x: str, keys: Sequence[str], ref_keys: Sequence[str], row: str
+) -> DataFrame:
+    """``_x`` and ``_p``: log and prior with gaps filled by the series' median; without any value 0 and the curve's median."""
+    filled = with_key_percentiles(df, keys, {"_log_median": (log, 0.5), "_prior_median": (prior, 0.5)}, row)
+    middle = key_percentiles(ref, ref_keys, {"_curve_median": (ref_x, 0.5)})
+    bound = longest(df, row)
+    joined = spread_join(filled, middle, ref_keys, [*keys, row], "left", size=bound)
+    joined = with_bound(joined, bound, row) if bound else joined
+    return joined.withColumns(
+        {"_x": F.coalesce(log, "_log_median", F.lit(0.0)), "_p": F.coalesce(prior, "_prior_median", "_curve_median")}
+    ).drop("_log_median", "_prior_median", "_curve_median")
+
+
+def _best_of(corr: np.ndarray) -> np.ndarray:
+    """Column of the best correlation, the lowest lag at equal ones to nine decimals."""
+    return np.argmax(np.round(corr, 9), axis=1)
+
+
 def _log_sums(log: str, window: int) -> Frame:
     """Window sums of the log itself: the same for every lag, so taken before rows are multiplied by lags."""
     half, x = window // 2, F.col(log)
@@ -178,10 +198,34 @@ def lag_scan(
     """Rolling correlation of the log with the reference at ``prior + lag`` for all lags, reduced per row.
 
     Best lag (the lowest at equal correlation, to nine decimals), best correlation, correlation at lag 0, best
-    minus mean, peakiness, the reference at the best lag and its residual.
+    minus mean, peakiness, the reference at the best lag and its residual. Gaps of log and prior count as the
+    series' median. Curves that do not fit a task take the way over Spark windows.
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
     ids = [*keys, row]
+    df = _signals(df, ref, log, prior, ref_x, keys, list(ref_keys or keys), row)
+    log, prior = "_x", "_p"
+    if curve_fits(ref, list(ref_keys or keys)):
+        half, shifts = window // 2, np.array(lags)
+
+        def reduce(x, place, curve_x, curve_y):
+            (corr,), values = rolling_correlations(x, place, curve_x, curve_y, shifts, [half], 1e-6)
+            best = _best_of(corr)
+            at = np.arange(len(x))
+            top, there = corr[at, best], values[at, best]
+            zero = np.flatnonzero(shifts == 0)
+            return {
+                "best_lag": shifts[best],
+                "best_corr": top,
+                "corr_at_0": corr[:, zero[0]] if len(zero) else np.full(len(x), np.nan),
+                "corr_max_minus_mean": top - corr.mean(axis=1),
+                "peakiness": (top - np.median(corr, axis=1)) / (corr.std(axis=1) + 1e-6),
+                "ref_at_best": there,
+                "ref_minus_log": there - x,
+            }
+
+        result = "best_lag double, best_corr double, corr_at_0 double, corr_max_minus_mean double, peakiness double, ref_at_best double, ref_minus_log double"
+        return scan_chunks(df, ref, keys, list(ref_keys or keys), (log, prior, ref_x, ref_y), half, reduce, result, row)
     rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags, [window])
     scored = apply_frames(rows, [*keys, "lag"], _correlation_frame(window, "corr", 1e-6), row=row)
     best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.round("corr", 9), -F.col("lag")))
@@ -227,24 +271,42 @@ def lag_scan_multiscale(
     ref_keys = list(ref_keys or keys)
     ids = [*keys, row]
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
+    df = _signals(df, ref, log, prior, ref_x, keys, ref_keys, row)
+    prior = "_p"
     own = robust_zscore(df, log, "_z", keys=keys, row=row)
     curve = robust_zscore(ref, ref_y, "_rz", keys=ref_keys)
-    rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags, windows)
-    frames = [_correlation_frame(w, f"corr_{w}", None) for w in windows]
-    scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
-    reduced = scored.groupBy(*ids).agg(
-        *[
-            F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.round(f"corr_{w}", 9), -F.col("lag"))).alias(f"_b{w}")
-            for w in windows
-        ],
-        F.max("_x").alias("_z"),
-    )
-    found = reduced.select(
-        *ids,
-        "_z",
-        *[F.col(f"_b{w}.lag").alias(f"best_lag_{w}") for w in windows],
-        *[F.col(f"_b{w}.corr").alias(f"best_corr_{w}") for w in windows],
-    )
+    if curve_fits(ref, ref_keys):
+        halves, shifts = [w // 2 for w in windows], np.array(lags)
+
+        def reduce(x, place, curve_x, curve_y):
+            corrs, _ = rolling_correlations(x, place, curve_x, curve_y, shifts, halves, None)
+            best = [_best_of(c) for c in corrs]
+            at = np.arange(len(x))
+            return (
+                {"_z": x}
+                | {f"best_lag_{w}": shifts[b] for w, b in zip(windows, best, strict=True)}
+                | {f"best_corr_{w}": c[at, b] for w, c, b in zip(windows, corrs, best, strict=True)}
+            )
+
+        result = ", ".join(f"{c} double" for c in ["_z", *(f"best_lag_{w}" for w in windows), *(f"best_corr_{w}" for w in windows)])
+        found = scan_chunks(own, curve, keys, ref_keys, ("_z", prior, ref_x, "_rz"), max(halves), reduce, result, row)
+    else:
+        rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags, windows)
+        frames = [_correlation_frame(w, f"corr_{w}", None) for w in windows]
+        scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
+        reduced = scored.groupBy(*ids).agg(
+            *[
+                F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.round(f"corr_{w}", 9), -F.col("lag"))).alias(f"_b{w}")
+                for w in windows
+            ],
+            F.max("_x").alias("_z"),
+        )
+        found = reduced.select(
+            *ids,
+            "_z",
+            *[F.col(f"_b{w}.lag").alias(f"best_lag_{w}") for w in windows],
+            *[F.col(f"_b{w}.corr").alias(f"best_corr_{w}") for w in windows],
+        )
     every = F.array(*[F.col(f"best_lag_{w}") for w in windows])
     found = found.withColumns({"lag_agreement": array_std(every), "median_lag": array_median(every)})
     bound = longest(df, row)
@@ -820,11 +882,15 @@ def dtw_lag_features(
 ) -> DataFrame:
     """Warping distance of the log window to the reference window at each lag, for every k-th row, filled in between.
 
-    Best lag, least distance, distance at lag 0, spread, and confidence (second − best)/(best + 1e-6).
+    Best lag, least distance, distance at lag 0, spread, and confidence (second − best)/(best + 1e-6). Gaps of
+    log and prior count as the series' median.
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + lag_step / 2, lag_step)]
     ids = [*keys, row]
     half = window // 2
+    given = df
+    df = _signals(df, ref, log, prior, ref_x, keys, list(ref_keys or keys), row)
+    log, prior = "_x", "_p"
     ends = with_key_stats(df, keys, {"_last": F.max(row)}, row)
     ends = ends.withColumn("_sampled", (F.col(row) % sample_step == 0) | (F.col(row) == F.col("_last")))
     looked = curve_at_offsets(
@@ -851,7 +917,7 @@ def dtw_lag_features(
         ((F.get(ordered, F.lit(1)) - F.min("d")) / (F.min("d") + 1e-6)).alias("dtw_confidence"),
     )
     names = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
-    rows = df.join(anchors, ids, "left")
+    rows = given.join(anchors, ids, "left")
     return interpolate_columns(rows, names, keys=keys, row=row)
 
 

@@ -121,7 +121,7 @@ def offset_family(spark, sf):
     return show(found, ID, FAMILY_NAMES)
 
 
-SCAN_LAGS = [float(v) for v in range(-6, 7)]
+SCAN_LAGS = [float(v) for v in range(-60, 61)]
 
 
 def correlation_sql(half, epsilon, name="corr"):
@@ -135,13 +135,18 @@ def correlation_sql(half, epsilon, name="corr"):
     return f"CASE WHEN {usable} AND sqrt({vx} * {vy}) > 1e-8 THEN {cov} / sqrt({vx} * {vy}) ELSE 0 END AS {name}"
 
 
+# Log with the gaps filled by the series' median.
+FILLED_SQL = """
+sm AS (SELECT user_id, quantile_cont(gr, 0.5) AS med FROM s GROUP BY 1),
+sf AS (SELECT s.*, coalesce(gr, med, 0) AS lx FROM s JOIN sm USING (user_id))"""
+
 SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness", "ref_at_best", "ref_minus_log"]
 
 
 @query(
     "f06_lag_scan",
-    f"""WITH {SERIES}, {REFERENCE}, {offsets_sql(SCAN_LAGS, "clamp")}, w AS (SELECT user_id, row_idx, off, value AS lx, ref_at AS ly FROM lk),
-        c AS (SELECT *, {correlation_sql(7, True)} FROM w),
+    f"""WITH {SERIES}, {REFERENCE}, {FILLED_SQL}, {offsets_sql(SCAN_LAGS, "clamp", "sf")}, w AS (SELECT user_id, row_idx, off, lx, ref_at AS ly FROM lk),
+        c AS (SELECT *, {correlation_sql(25, True)} FROM w),
         b AS (SELECT user_id, row_idx, arg_max({{'off': off, 'corr': corr, 'lx': lx, 'ly': ly}}, (round(corr, 9), -off)) AS m,
           max(corr) FILTER (off = 0) AS corr_at_0, avg(corr) AS av, quantile_cont(corr, 0.5) AS me, stddev_pop(corr) AS sd FROM c GROUP BY 1, 2),
         o AS (SELECT user_id, row_idx, m.off AS best_lag, m.corr AS best_corr, corr_at_0, m.corr - av AS corr_max_minus_mean,
@@ -149,11 +154,11 @@ SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness"
         SELECT user_id, row_idx, {rounded(*SCAN)} FROM o""",
 )
 def lag_scan(spark, sf):
-    found = align.lag_scan(series(spark, sf), curves(spark, sf), 6, 15, log="value", **REF)
+    found = align.lag_scan(series(spark, sf), curves(spark, sf), 60, 51, **REF)
     return show(found, ID, SCAN)
 
 
-MULTI = ["best_lag_11", "best_lag_21", "best_corr_11", "best_corr_21", "lag_agreement", "median_lag", "lag_consensus", "ref_z_at_median", "residual_z"]
+MULTI = ["best_lag_21", "best_lag_51", "best_corr_21", "best_corr_51", "lag_agreement", "median_lag", "lag_consensus", "ref_z_at_median", "residual_z"]
 
 
 def robust_sql(table, key, col, out, name):
@@ -165,23 +170,23 @@ def robust_sql(table, key, col, out, name):
 
 @query(
     "f07_lag_scan_multiscale",
-    f"""WITH {SERIES}, {REFERENCE}, {robust_sql("s", "user_id", "value", "lz", "sz")}, {robust_sql("r", "ref_id", "gr", "rz", "rzt")},
+    f"""WITH {SERIES}, {REFERENCE}, {robust_sql("s", "user_id", "gr", "lz", "sz")}, {robust_sql("r", "ref_id", "gr", "rz", "rzt")},
         zseg AS (SELECT ref_id, tvt AS x0, rz AS y0, lead(tvt) OVER w AS x1, lead(rz) OVER w AS y1 FROM rzt WINDOW w AS (PARTITION BY ref_id ORDER BY tvt)),
         zrb AS (SELECT ref_id, min(tvt) AS lo, max(tvt) AS hi, arg_min(rz, tvt) AS ylo, arg_max(rz, tvt) AS yhi FROM rzt GROUP BY 1),
         {offsets_sql(SCAN_LAGS, "clamp", "sz").replace("rb ab", "zrb ab").replace("seg ag", "zseg ag")},
         w AS (SELECT user_id, row_idx, off, lz AS lx, ref_at AS ly FROM lk),
-        c AS (SELECT *, {correlation_sql(5, False, "c11")}, {correlation_sql(10, False, "c21")} FROM w),
-        b AS (SELECT user_id, row_idx, max(lx) AS lz, arg_max({{'off': off, 'corr': c11}}, (round(c11, 9), -off)) AS m11,
-          arg_max({{'off': off, 'corr': c21}}, (round(c21, 9), -off)) AS m21 FROM c GROUP BY 1, 2),
-        d AS (SELECT b.user_id, b.row_idx, lz, prior, ref_id, m11.off AS best_lag_11, m21.off AS best_lag_21, m11.corr AS best_corr_11, m21.corr AS best_corr_21,
-          abs(m11.off - m21.off) / 2 AS lag_agreement, (m11.off + m21.off) / 2 AS median_lag FROM b JOIN s USING (user_id, row_idx)),
+        c AS (SELECT *, {correlation_sql(10, False, "c21")}, {correlation_sql(25, False, "c51")} FROM w),
+        b AS (SELECT user_id, row_idx, max(lx) AS lz, arg_max({{'off': off, 'corr': c21}}, (round(c21, 9), -off)) AS m21,
+          arg_max({{'off': off, 'corr': c51}}, (round(c51, 9), -off)) AS m51 FROM c GROUP BY 1, 2),
+        d AS (SELECT b.user_id, b.row_idx, lz, prior, ref_id, m21.off AS best_lag_21, m51.off AS best_lag_51, m21.corr AS best_corr_21, m51.corr AS best_corr_51,
+          abs(m21.off - m51.off) / 2 AS lag_agreement, (m21.off + m51.off) / 2 AS median_lag FROM b JOIN s USING (user_id, row_idx)),
         q AS (SELECT *, prior + median_lag AS place, avg(median_lag) OVER ({BY} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS lag_consensus FROM d),
         o AS (SELECT q.*, {interp_sql("a", "q.place")} AS ref_z_at_median, lz - ref_z_at_median AS residual_z
           FROM {interp_from("a", "q", "q.place", "q.ref_id").replace("rb ab", "zrb ab").replace("seg ag", "zseg ag")})
         SELECT user_id, row_idx, {rounded(*MULTI)} FROM o""",
 )
 def lag_scan_multiscale(spark, sf):
-    found = align.lag_scan_multiscale(series(spark, sf), curves(spark, sf), 6, (11, 21), log="value", **REF)
+    found = align.lag_scan_multiscale(series(spark, sf), curves(spark, sf), 60, (21, 51), **REF)
     return show(found, ID, MULTI)
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataline.settings import ship
+
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,7 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     def add(plan: Plan) -> Plan:
         if name in CATALOG:
             raise ValueError(f"duplicate query {name}")
-        CATALOG[name] = Query(name, plan, sql)
+
+        @wraps(plan)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return plan(spark, sf_dir)
+
+        CATALOG[name] = Query(name, run, sql)
         return plan
 
     return add

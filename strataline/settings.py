@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,30 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    The sources go as one archive into the shared folder and from there to every executor. A package
+    that is installed on all machines does not need it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_strataline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    use_checkpoint_dir(spark)
+    name = f"{context.getCheckpointDir()}/strataline-{uuid.uuid4().hex}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    context.addPyFile(name)
+    context._strataline_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and go on from there.
 
