@@ -1051,26 +1051,34 @@ def posterior_match(
     ids: Sequence[str] = (*WELL, ROW),
     keys: Sequence[str] = WELL,
 ) -> DataFrame:
-    """Mean reference position under Gaussian log misfit × Gaussian prior (±4σ), and the largest weight.
+    """Mean reference position under Gaussian log misfit × Gaussian prior, and the largest weight, over all reference rows.
 
-    Reference rows meet probes through cells of 4σ; sums are kept per band of the exponent, so
-    that very small weights neither vanish nor need a second pass.
+    One row per row of ``df``; NULL without log, prior or reference. ``ids`` are the series' keys and its row
+    number, ``keys`` the reference's. Weights are taken relative to the largest, so that small ones do not vanish.
+    Curves that do not fit a task are met by a join on their key, with sums per band of the exponent.
     """
-    reach = 4.0 * sigma_pos
-    cell = F.lit(reach)
+    near_log, near_pos = 0.5 / sigma_log**2, 0.5 / sigma_pos**2
+    if curve_fits(ref, keys):
+
+        def reduce(x, place, curve_x, curve_y):
+            position, peak = np.full(len(x), np.nan), np.full(len(x), np.nan)
+            known = np.flatnonzero(~np.isnan(x) & ~np.isnan(place)) if len(curve_x) else np.zeros(0, int)
+            rows = max(1, 2_000_000 // max(len(curve_x), 1))
+            for start in range(0, len(known), rows):
+                part = known[start : start + rows]
+                power = -((curve_y - x[part, None]) ** 2) * near_log - (curve_x - place[part, None]) ** 2 * near_pos
+                weight = np.exp(power - power.max(axis=1, keepdims=True))
+                total = weight.sum(axis=1)
+                position[part], peak[part] = weight @ curve_x / total, 1 / total
+            return {"posterior_position": position, "posterior_peak": peak}
+
+        return scan_chunks(df, ref, ids[:-1], keys, (log, prior, ref_x, ref_y), 0, reduce, "posterior_position double, posterior_peak double", ids[-1])
     probes = df.where(F.col(log).isNotNull() & F.col(prior).isNotNull()).select(
         *dict.fromkeys([*ids, *keys]), F.col(prior).alias("_t0"), F.col(log).alias("_g")
     )
-    probes = probes.withColumn(
-        "_cell", F.explode(F.sequence(F.floor((F.col("_t0") - reach) / cell), F.floor((F.col("_t0") + reach) / cell)))
-    )
-    points = ref.where(F.col(ref_y).isNotNull()).select(
-        *keys, F.col(ref_x).alias("_t"), F.col(ref_y).alias("_r"), F.floor(F.col(ref_x) / cell).alias("_cell")
-    )
-    near = spread_join(probes, points, [*keys, "_cell"], ids).where(F.abs(F.col("_t") - F.col("_t0")) <= reach)
-    power = -F.pow(F.col("_r") - F.col("_g"), 2) * (0.5 / sigma_log**2) - F.pow(F.col("_t") - F.col("_t0"), 2) * (
-        0.5 / sigma_pos**2
-    )
+    points = ref.where(F.col(ref_y).isNotNull()).select(*keys, F.col(ref_x).alias("_t"), F.col(ref_y).alias("_r"))
+    near = spread_join(probes, points, keys, ids)
+    power = -F.pow(F.col("_r") - F.col("_g"), 2) * near_log - F.pow(F.col("_t") - F.col("_t0"), 2) * near_pos
     band = F.floor(power / 50.0)
     part = F.exp(power - band * 50.0)
     bands = near.groupBy(*ids, band.alias("_band")).agg(
@@ -1083,8 +1091,9 @@ def posterior_match(
         return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + b[field] * F.exp((b["_band"] - F.col("_m")) * 50.0))
 
     found = found.withColumns({"_sw": summed("_w"), "_st": summed("_wt")})
-    return found.select(
+    found = found.select(
         *ids,
         (F.col("_st") / F.col("_sw")).alias("posterior_position"),
         (F.exp(F.col("_top") - F.col("_m") * 50.0) / F.col("_sw")).alias("posterior_peak"),
     )
+    return df.select(*ids).join(found, list(ids), "left")

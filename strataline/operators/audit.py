@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,16 @@ def submission_audit(pred: DataFrame, sample: DataFrame, value: str, id_col: str
 
 
 def _row_number_hash(id_col: str, value: str, digits: int) -> Column:
-    scaled = F.rint(F.col(value) * 10**digits).try_cast("bigint").cast("string")
-    digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), scaled))
+    v = F.col(value).cast("double")
+    scaled = F.rint(v * 10**digits)
+    # Within the grid the scaled whole number; beyond it, NaN, infinity and unknown each have a form of their own.
+    form = (
+        F.when(v.isNull(), "null")
+        .when(F.isnan(v), "nan")
+        .when(F.abs(scaled) < 9e18, scaled.try_cast("bigint").cast("string"))
+        .otherwise(v.cast("string"))
+    )
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), form))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
 
 
@@ -109,25 +119,35 @@ def candidate_stats(
 def pairwise_distance(preds: DataFrame, names: Sequence[str], name: str = "name", value: str = "value", id_col: str = "id") -> DataFrame:
     """RMSE and summed absolute difference of every pair of candidates, over the ids both have.
 
-    Candidates become columns (a handful of names), and all pairs are summed in one pass over
-    the ids; pairs of rows never exist.
+    Candidates become columns (a handful of names), blocks of ids are compared as matrices, and every
+    task hands over one row per pair; pairs of rows never exist.
     """
-    wide = preds.groupBy(id_col).pivot(name, list(names)).agg(F.avg(value))
-    pairs = list(combinations(sorted(names), 2))
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        gap = F.col(f"`{a}`") - F.col(f"`{b}`")
-        sums += [F.count(gap).alias(f"n{i}"), F.sum(gap * gap).alias(f"s{i}"), F.sum(F.abs(gap)).alias(f"a{i}")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"n{i}").alias("rows"),
-                F.sqrt(F.col(f"s{i}") / F.col(f"n{i}")).alias("rmse"), F.col(f"a{i}").alias("abs_sum"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+    ordered = sorted(names)
+    pairs = np.array(list(combinations(range(len(ordered)), 2)), np.int32).reshape(-1, 2)
+    wide = preds.groupBy(id_col).pivot(name, ordered).agg(F.avg(value)).select(*[F.col(f"`{n}`").cast("double").alias(f"c{i}") for i, n in enumerate(ordered)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(ordered), len(ordered)))
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            for i in range(len(ordered)):
+                gap = rows - rows[:, i : i + 1]
+                known = ~np.isnan(gap)
+                gap[~known] = 0.0
+                total[:, i] += known.sum(axis=0), np.einsum("ij,ij->j", gap, gap), np.abs(gap).sum(axis=0)
+        a, b = pairs.T
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(total[0][a, b].astype(np.int64)), pa.array(total[1][a, b]), pa.array(total[2][a, b])], names=["a", "b", "n", "s", "t"]
+        )
+
+    parts = wide.mapInArrow(sums, "a int, b int, n long, s double, t double")
+    title = F.array(*[F.lit(n) for n in ordered])
+    rows = F.sum("n")
+    return (
+        parts.groupBy("a", "b")
+        .agg(rows.alias("rows"), F.when(rows > 0, F.sqrt(F.sum("s") / rows)).alias("rmse"), F.when(rows > 0, F.sum("t")).alias("abs_sum"))
+        .select(F.get(title, F.col("a")).alias("left"), F.get(title, F.col("b")).alias("right"), "rows", "rmse", "abs_sum")
     )
-    return wide.agg(*sums).select(F.explode(rows).alias("_p")).select("_p.*")
 
 
 def nearest_candidate(distances: DataFrame, fingerprints: DataFrame | None = None, name: str = "name") -> DataFrame:

@@ -151,16 +151,17 @@ def knn_rows(
     entity: str = "well_id",
     tie: str = "_point",
 ) -> DataFrame:
-    """Several surfaces from row points: the k_query nearest, own entity dropped, first k_keep kept, weights 1/(d + 1e-6).
+    """Several surfaces from row points: of the k_query nearest the first k_keep of other entities, weights 1/(d + 1e-6).
 
-    Also the mean over the surfaces of their population std among the kept neighbours.
+    Where the k_query nearest hold fewer of others, the nearest of the own entity fill up; a probe without any
+    neighbour has NULLs. Also the mean over the surfaces of their population std among the kept neighbours.
     """
     known = points.select(*[F.col(v).cast("double").alias(f"v_{v}") for v in values], *xy, F.col(entity).alias("_other"), F.col(tie).alias("_tie"))
     near = nearest_points(query, known, xy, k_query, ids=ids, payload=["_other", *[f"v_{v}" for v in values]], tie="_tie")
     near = near.join(query.select(*dict.fromkeys([*ids, entity])), list(ids))
-    others = near.where(F.col("_other") != F.col(entity))
-    ranked = others.groupBy(*ids).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "distance", *[f"v_{v}" for v in values]))), 1, k_keep).alias("_n")
+    own = F.col("_other").eqNullSafe(F.col(entity)).alias("_own")
+    ranked = near.groupBy(*ids).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(own, "rank", "distance", *[f"v_{v}" for v in values]))), 1, k_keep).alias("_n")
     )
     kept = ranked.select(*ids, F.explode("_n").alias("_e")).select(*ids, "_e.*")
     weight = 1 / (F.col("distance") + 1e-6)
@@ -168,11 +169,12 @@ def knn_rows(
     total = spread[0]
     for s in spread[1:]:
         total = total + s
-    return kept.groupBy(*ids).agg(
+    found = kept.groupBy(*ids).agg(
         *[(F.sum(weight * F.col(f"v_{v}")) / F.sum(weight)).alias(f"knn_{v}") for v in values],
         (total / float(len(values))).alias("knn_std"),
         F.count(F.lit(1)).alias("neighbours"),
     )
+    return query.select(*ids).join(found, list(ids), "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0).cast("long")))
 
 
 def loo_knn_error(
@@ -249,7 +251,7 @@ def spatial_elevation(
     """Target of the tail from the elevation ``target + z`` of other folds' points, raw and anchored on the prefix.
 
     Points are an even sample of each series; weights are inverse distances (an exact hit counts
-    alone); the anchor is the median prefix residual.
+    alone); the anchor is the median prefix residual. Every tail row is there, without neighbours with NULLs.
     """
     points = even_sample(df, samples, keys=[key], row=row).select(
         F.col(fold).alias("_fold"),
@@ -267,7 +269,7 @@ def spatial_elevation(
             F.avg(F.when(exact, F.col("_s"))), F.sum(F.when(~exact, weight * F.col("_s"))) / F.sum(F.when(~exact, weight))
         ).alias("_guess")
     )
-    rows = df.select(key, row, z, probe, target).join(found, [key, row])
+    rows = df.select(key, row, z, probe, target).join(found, [key, row], "left")
     bound = longest(df, row)
     rows = with_bound(rows, bound, row) if bound else rows
     miss = rows.where(F.col(probe).isNotNull()).withColumn("_miss", F.col(target) + F.col(z) - F.col("_guess"))

@@ -66,8 +66,8 @@ LINE = rf"(?i)(?:Action:\s*)?({_TOOL})\s+([^\n]+)"
 ARGUMENT = rf"""({"|".join(ARGUMENTS)})\s*=\s*["']([^"']+)["']"""
 
 
-def keyword_score(df: DataFrame, col: str, weights: dict[str, int] | None = None, most: int = 10) -> DataFrame:
-    """Sum of the weights of the terms that occur (each once), and the first of them as text."""
+def keyword_score(df: DataFrame, col: str, weights: dict[str, int] | None = None, most: int | None = None) -> DataFrame:
+    """Sum of the weights of the terms that occur (each once), and the terms as text: all, or the first ``most``."""
     weights = weights or KEYWORD_WEIGHTS
     # Each term is looked for once in the lower-case text; score and term list come from the flags.
     lowered = df.withColumn("_low", F.lower(F.col(col)))
@@ -78,7 +78,8 @@ def keyword_score(df: DataFrame, col: str, weights: dict[str, int] | None = None
         hit = F.get("_found", F.lit(i))
         score = score + F.when(hit, weight).otherwise(0)
         hits.append(F.when(hit, F.lit(term)))
-    terms = F.array_join(F.slice(F.array_compact(F.array(*hits)), 1, most), ", ")
+    matched = F.array_compact(F.array(*hits))
+    terms = F.array_join(matched if most is None else F.slice(matched, 1, most), ", ")
     return found.withColumns({"score": score, "terms": terms}).drop("_low", "_found")
 
 
@@ -141,7 +142,7 @@ def route_priority(edges: DataFrame, source: str, score: str = "score") -> DataF
 
 def rank_records(df: DataFrame, col: str, ids: Sequence[str], weights: dict[str, int] | None = None, n: int = 140) -> DataFrame:
     """Records by score, highest first, with size, lines, terms and a redacted preview."""
-    scored = redact(keyword_score(df, col, weights, 8), col, n)
+    scored = redact(keyword_score(df, col, weights), col, n)
     lines = F.length(F.col(col)) - F.length(F.replace(F.col(col), F.lit("\n"), F.lit(""))) + 1
     return scored.select(
         *ids, F.octet_length(F.col(col)).cast("long").alias("bytes"), lines.cast("long").alias("lines"), "score", "terms", "preview"

@@ -475,12 +475,12 @@ POSTERIOR = ["posterior_position", "posterior_peak"]
 
 @query(
     "f24_posterior_match",
-    f"""WITH {SERIES}, {REFERENCE}, j AS (SELECT s.user_id, s.row_idx, tvt, -(r.gr - s.gr) * (r.gr - s.gr) * (0.5 / 64.0) - (tvt - prior) * (tvt - prior) * (0.5 / 9.0) AS pw
-          FROM s JOIN r ON r.ref_id = s.ref_id AND abs(tvt - prior) <= 12.0 WHERE s.gr IS NOT NULL),
+    f"""WITH {SERIES}, {REFERENCE}, j AS (SELECT s.user_id, s.row_idx, tvt, -(r.gr - s.gr) * (r.gr - s.gr) * (0.5 / 64.0) - (tvt - prior) * (tvt - prior) * (0.5 / 625.0) AS pw
+          FROM s LEFT JOIN r ON r.ref_id = s.ref_id AND s.gr IS NOT NULL),
         m AS (SELECT user_id, row_idx, max(pw) AS top FROM j GROUP BY 1, 2),
         o AS (SELECT user_id, row_idx, sum(exp(pw - top) * tvt) / sum(exp(pw - top)) AS posterior_position, 1 / sum(exp(pw - top)) AS posterior_peak FROM j JOIN m USING (user_id, row_idx) GROUP BY 1, 2)
         SELECT user_id, row_idx, {rounded(*POSTERIOR)} FROM o""",
 )
 def posterior_match(spark, sf):
-    found = align.posterior_match(series(spark, sf), curves(spark, sf), 8.0, 3.0, ids=ID, keys=REF_KEYS)
+    found = align.posterior_match(series(spark, sf), curves(spark, sf), 8.0, 25.0, ids=ID, keys=REF_KEYS)
     return show(found, ID, POSTERIOR)

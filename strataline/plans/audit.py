@@ -40,12 +40,21 @@ nd AS (SELECT sy.name, arg_min(other, (round(rmse, 9), other)) AS nearest, min(r
 
 
 def some(spark, sf):
-    """Predictions for two thirds of the sample, some of them twice."""
+    """Predictions for two thirds of the sample, some of them twice, some not finite, and some under unknown ids."""
     a = candidates(spark, sf).where("name = 'a'").select("id", "value")
     row = F.regexp_extract("id", r"_(\d+)$", 1).cast("long")
     return a.where(row % 3 != 0).unionByName(a.where(row % 3 == 1).withColumn("value", F.col("value") + 2))
 
 
+def flawed(spark, sf):
+    """The same with values that are missing or infinite and with ids that are not in the sample."""
+    rows = some(spark, sf)
+    row = F.regexp_extract("id", r"_(\d+)$", 1).cast("long")
+    broken = F.when(row % 11 == 4, F.lit(float("inf"))).when(row % 13 != 5, F.col("value"))
+    strangers = rows.where(row % 7 == 2).withColumn("id", F.concat(F.lit("x"), F.col("id")))
+    return rows.withColumn("value", broken).unionByName(strangers)
+
+
 SOME = """
 so AS (SELECT id, pred_a AS value FROM sm WHERE row_idx % 3 <> 0 UNION ALL SELECT id, pred_a + 2 FROM sm WHERE row_idx % 3 = 1)"""
 
@@ -68,12 +77,16 @@ def dedupe_mean(spark, sf):
 
 @query(
     "o03_submission_audit",
-    f"""WITH {CANDIDATES}, {SOME}, d AS (SELECT id, count(*) AS n FROM so GROUP BY 1)
-        SELECT count(*) AS rows, (SELECT count(*) FROM sm) AS sample_rows, count(*) - count(DISTINCT id) AS duplicates, (SELECT count(*) FROM sm WHERE id NOT IN (SELECT id FROM so)) AS missing_ids,
-          0::BIGINT AS unknown_ids, 0::BIGINT AS non_finite, FALSE AS valid, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 5) + 0.0 AS std FROM so""",
+    f"""WITH {CANDIDATES}, {SOME}, sr AS (SELECT *, CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) AS k FROM so),
+        fl AS (SELECT id, CASE WHEN k % 11 = 4 THEN 'infinity'::DOUBLE WHEN k % 13 <> 5 THEN value END AS value FROM sr UNION ALL SELECT concat('x', id), value FROM sr WHERE k % 7 = 2),
+        o AS (SELECT count(*) AS rows, (SELECT count(*) FROM sm) AS sample_rows, count(*) - count(DISTINCT id) AS duplicates, (SELECT count(*) FROM sm WHERE id NOT IN (SELECT id FROM fl)) AS missing_ids,
+          (SELECT count(DISTINCT id) FROM fl WHERE id NOT IN (SELECT id FROM sm)) AS unknown_ids, count(*) FILTER (value IS NULL OR NOT isfinite(value)) AS non_finite,
+          min(value) FILTER (isfinite(value)) AS lo, max(value) FILTER (isfinite(value)) AS hi, avg(value) FILTER (isfinite(value)) AS mean, stddev_pop(value) FILTER (isfinite(value)) AS std FROM fl)
+        SELECT rows, sample_rows, duplicates, missing_ids, unknown_ids, non_finite, duplicates + missing_ids + unknown_ids + non_finite = 0 AS valid,
+          round(lo, 6) + 0.0 AS min, round(hi, 6) + 0.0 AS max, round(mean, 6) + 0.0 AS mean, round(std, 5) + 0.0 AS std FROM o""",
 )
 def submission_audit(spark, sf):
-    found = audit.submission_audit(some(spark, sf), sample(spark, sf), "value")
+    found = audit.submission_audit(flawed(spark, sf), sample(spark, sf), "value")
     ids = ["rows", "sample_rows", "duplicates", "missing_ids", "unknown_ids", "non_finite", "valid"]
     return found.select(*ids, *[(F.round(c, 5 if c == "std" else 6) + 0.0).alias(c) for c in ("min", "max", "mean", "std")])
 
@@ -88,11 +101,13 @@ STATS = ["mean", "std", "min", "max", "q01", "q50", "q99"]
 
 @query(
     "o05_candidate_stats",
-    f"""WITH {CANDIDATES}, o AS (SELECT name, count(*) AS rows, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.01) AS q01,
-          quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.99) AS q99 FROM cd GROUP BY 1) SELECT name, rows, TRUE AS valid, {rounded(*STATS)} FROM o""",
+    f"""WITH {CANDIDATES.replace("FROM sm)", "FROM sm WHERE row_idx % 9 <> 3)")}, o AS (SELECT name, count(*) AS rows, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.01) AS q01,
+          quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.99) AS q99 FROM cd GROUP BY 1) SELECT name, rows, rows = (SELECT count(*) FROM sm) AND rows = (SELECT count(*) FROM cd c JOIN sm USING (id) WHERE c.name = o.name AND isfinite(c.value)) AS valid, {rounded(*STATS)} FROM o""",
 )
 def candidate_stats(spark, sf):
-    return show(audit.candidate_stats(candidates(spark, sf), sample(spark, sf)), ["name", "rows", "valid"], STATS)
+    rows = candidates(spark, sf)
+    row = F.regexp_extract("id", r"_(\d+)$", 1).cast("long")
+    return show(audit.candidate_stats(rows.where((F.col("name") != "c") | (row % 9 != 3)), sample(spark, sf)), ["name", "rows", "valid"], STATS)
 
 
 def distances(spark, sf):

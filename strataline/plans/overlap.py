@@ -15,12 +15,13 @@ def split(spark, sf):
     copy = (F.col("user_id") % 10 == 0) | (F.col("user_id") % 20 == 5)
     train = rows.where((F.col("user_id") % 5 != 0) | copy)
     target = F.when(F.col("user_id") % 20 == 5, F.round("value", 1)).otherwise(F.col("value"))
-    return test, train.withColumn("target", target)
+    shifted = F.when(F.col("user_id") % 20 == 5, F.col("gr") + 0.25).otherwise(F.col("gr"))
+    return test, train.withColumns({"target": target, "gr": shifted})
 
 
 SPLIT = f"""{SERIES},
 te AS (SELECT *, value AS target, value * 0.9::DOUBLE + 1 AS pred FROM s WHERE user_id % 5 = 0),
-tr AS (SELECT *, CASE WHEN user_id % 20 = 5 THEN round(value, 1) ELSE value END AS target FROM s WHERE user_id % 5 <> 0 OR user_id % 10 = 0 OR user_id % 20 = 5)"""
+tr AS (SELECT * REPLACE (CASE WHEN user_id % 20 = 5 THEN gr + 0.25 ELSE gr END AS gr), CASE WHEN user_id % 20 = 5 THEN round(value, 1) ELSE value END AS target FROM s WHERE user_id % 5 <> 0 OR user_id % 10 = 0 OR user_id % 20 = 5)"""
 
 
 @query(
@@ -41,11 +42,11 @@ def label_lookup(spark, sf):
 
 
 GATE = f"""
-cu AS (SELECT user_id, md AS x0, z AS z0, target AS t0, lead(md) OVER w AS x1, lead(z) OVER w AS z1, lead(target) OVER w AS t1 FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY md)),
+cu AS (SELECT user_id, md AS x0, z AS z0, target AS t0, gr AS g0, lead(gr) OVER w AS g1, lead(md) OVER w AS x1, lead(z) OVER w AS z1, lead(target) OVER w AS t1 FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY md)),
 gp AS (SELECT te.*, z - CASE WHEN md = x0 THEN z0 ELSE z0 + (z1 - z0) * (md - x0) / (x1 - x0) END AS gz, tvt_input - CASE WHEN md = x0 THEN t0 ELSE t0 + (t1 - t0) * (md - x0) / (x1 - x0) END AS gt,
-         CASE WHEN md = x0 THEN t0 ELSE t0 + (t1 - t0) * (md - x0) / (x1 - x0) END AS tv FROM te ASOF LEFT JOIN cu ON cu.user_id = te.user_id AND te.md >= cu.x0),
+         CASE WHEN md = x0 THEN t0 ELSE t0 + (t1 - t0) * (md - x0) / (x1 - x0) END AS tv, abs(gr - CASE WHEN md = x0 THEN g0 ELSE g0 + (g1 - g0) * (md - x0) / (x1 - x0) END) AS gl FROM te ASOF LEFT JOIN cu ON cu.user_id = te.user_id AND te.md >= cu.x0),
 gt AS (SELECT user_id, count(gz) AS z_rows, count(CASE WHEN gz IS NOT NULL THEN gr END) AS log_rows, count(gt) AS known_rows, avg(abs(gz)) AS z_gap,
-         CASE WHEN count(CASE WHEN gz IS NOT NULL THEN gr END) > 0 THEN 0.0::DOUBLE END AS log_gap, sqrt(avg(gt * gt)) AS target_rmse FROM gp GROUP BY 1),
+         avg(CASE WHEN gz IS NOT NULL THEN gl END) AS log_gap, sqrt(avg(gt * gt)) AS target_rmse FROM gp GROUP BY 1),
 ga AS (SELECT *, CASE WHEN user_id NOT IN (SELECT user_id FROM tr) THEN 'no_copy' WHEN z_rows < 20 THEN 'too_few_z_rows' WHEN known_rows < 20 THEN 'too_few_known_rows'
          WHEN target_rmse < 0.02 AND log_gap < 0.5 AND z_gap < 0.02 THEN 'accepted' ELSE 'gate_failed' END AS status FROM gt)"""
 
@@ -71,6 +72,27 @@ def gated_override(spark, sf):
     return show(overlap.gated_override(test, train, gate, "pred", 0.5, "target", keys=KEYS), [*ID, "changed"], ["overridden"])
 
 
+@query(
+    "n02_lookup_complete",
+    f"""WITH {SPLIT}, l AS (SELECT te.user_id, te.row_idx, tr.target AS label FROM te LEFT JOIN tr USING (user_id, row_idx))
+        SELECT count(*) AS rows, count(*) - count(label) AS missing, count(*) = count(label) AS complete FROM l""",
+)
+def lookup_complete(spark, sf):
+    test, train = split(spark, sf)
+    return overlap.lookup_complete(overlap.label_lookup(test.drop("target"), train, ID, "target"))
+
+
+@query(
+    "n04_changed_report",
+    f"""WITH {SPLIT}, {GATE} SELECT gp.user_id, count(*) AS rows, CAST(sum(CASE WHEN status = 'accepted' AND tv IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS changed_rows
+        FROM gp JOIN ga USING (user_id) GROUP BY 1""",
+)
+def changed_report(spark, sf):
+    test, train = split(spark, sf)
+    gate = overlap.overlap_gate(test, train, {"rows": 20}, "target", keys=KEYS)
+    return overlap.changed_report(overlap.gated_override(test, train, gate, "pred", 0.5, "target", keys=KEYS), KEYS)
+
+
 @query(
     "n05_contact_override",
     f"""WITH {SPLIT}, {REFERENCE}, ct AS (SELECT ref_id, coalesce(min(tvt) FILTER (geology = 'SMALL'), min(tvt)) AS c FROM r GROUP BY 1),

@@ -88,7 +88,7 @@ ROWS = ["knn_v", "knn_w", "knn_std"]
 
 @query(
     "h05_knn_rows",
-    f"""WITH {POINTS}, {ranked("TRUE", False)}, f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY k) AS j FROM rk WHERE k <= 40 AND label <> olabel),
+    f"""WITH {POINTS}, {ranked("TRUE", False)}, f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY label = olabel, k) AS j FROM rk WHERE k <= 40),
         t AS (SELECT vec_id, v, w, 1 / (d + 1e-6) AS wt FROM f WHERE j <= 20),
         o AS (SELECT vec_id, sum(wt * v) / sum(wt) AS knn_v, sum(wt * w) / sum(wt) AS knn_w, (stddev_pop(v) + stddev_pop(w)) / 2 AS knn_std, count(*) AS neighbours FROM t GROUP BY 1)
         SELECT vec_id, neighbours, {rounded(*ROWS)} FROM o""",
@@ -130,15 +130,15 @@ def neighbor_dip(spark, sf):
 
 @query(
     "h08_spatial_elevation",
-    f"""WITH {SERIES}, sp AS (SELECT DISTINCT s.user_id, row_idx, x, y, value + z AS el FROM s, range(10) t(i) WHERE row_idx = (i * (n - 1)) // (least(n, 10) - 1) AND i < least(n, 10)),
+    f"""WITH {SERIES}, sp AS (SELECT DISTINCT s.user_id, row_idx, x, y, value + z AS el FROM s, range(80) t(i) WHERE row_idx = (i * (n - 1)) // (least(n, 80) - 1) AND i < least(n, 80)),
         nb AS (SELECT s.user_id, s.row_idx, el, sqrt(pow(s.x - sp.x, 2) + pow(s.y - sp.y, 2)) AS d, row_number() OVER (PARTITION BY s.user_id, s.row_idx
           ORDER BY sqrt(pow(s.x - sp.x, 2) + pow(s.y - sp.y, 2)), sp.user_id, sp.row_idx) AS k FROM s, sp WHERE s.user_id % 5 <> sp.user_id % 5),
-        g AS (SELECT user_id, row_idx, sum(el / d) / sum(1 / d) AS guess FROM nb WHERE k <= 6 GROUP BY 1, 2),
+        g AS (SELECT user_id, row_idx, sum(el / d) / sum(1 / d) AS guess FROM nb WHERE k <= 30 GROUP BY 1, 2),
         b AS (SELECT user_id, quantile_cont(value + z - guess, 0.5) AS bias FROM s JOIN g USING (user_id, row_idx) WHERE NOT is_eval GROUP BY 1)
         SELECT s.user_id, s.row_idx, round(guess - z, 5) + 0.0 AS spatial_raw, round(guess - z + bias, 5) + 0.0 AS spatial_anchored
-        FROM s JOIN g USING (user_id, row_idx) JOIN b ON b.user_id = s.user_id WHERE is_eval""",
+        FROM s LEFT JOIN g USING (user_id, row_idx) JOIN b ON b.user_id = s.user_id WHERE is_eval""",
 )
 def spatial_elevation(spark, sf):
     rows = series(spark, sf).withColumn("fold", F.col("user_id") % 5)
-    found = spatial.spatial_elevation(rows, "fold", 10, 6, "value", key="user_id")
+    found = spatial.spatial_elevation(rows, "fold", 80, 30, "value", key="user_id")
     return show(found, ID, ["spatial_raw", "spatial_anchored"], 5)

@@ -17,9 +17,9 @@ def score_sql(col, weights):
     return " + ".join(f"CASE WHEN contains(lower({col}), {quoted(t)}) THEN {w} ELSE 0 END" for t, w in weights.items())
 
 
-def terms_sql(col, weights, most):
+def terms_sql(col, weights):
     return (
-        f"array_to_string(list_filter([{', '.join(map(quoted, weights))}], lambda t: contains(lower({col}), t))[1:{most}], ', ')"
+        f"array_to_string(list_filter([{', '.join(map(quoted, weights))}], lambda t: contains(lower({col}), t)), ', ')"
     )
 
 
@@ -32,7 +32,7 @@ def redact_sql(col, n):
 
 @query(
     "q01_keyword_score",
-    f"SELECT doc_id, CAST({score_sql('text', TERMS)} AS INT) AS score, {terms_sql('text', TERMS, 10)} AS terms FROM documents",
+    f"SELECT doc_id, CAST({score_sql('text', TERMS)} AS INT) AS score, {terms_sql('text', TERMS)} AS terms FROM documents",
 )
 def keyword_score(spark, sf):
     return text.keyword_score(table(spark, sf, "documents"), "text", TERMS).select("doc_id", "score", "terms")
@@ -122,7 +122,7 @@ def route_priority(spark, sf):
 @query(
     "q06_rank_records",
     f"""SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CAST({score_sql('text', TERMS)} AS INT) AS score,
-          {terms_sql('text', TERMS, 8)} AS terms, {redact_sql('text', 140)} AS preview FROM documents""",
+          {terms_sql('text', TERMS)} AS terms, {redact_sql('text', 140)} AS preview FROM documents""",
 )
 def rank_records(spark, sf):
     return text.rank_records(table(spark, sf, "documents"), "text", ["doc_id"], TERMS)
