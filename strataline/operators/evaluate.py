@@ -14,6 +14,7 @@ from strataline.functions.gram import Gram, gram_by
 from strataline.functions.quantiles import overall
 from strataline.functions.series import ROW, index_series
 from strataline.operators.search import greedy_average, simplex_search
+from strataline.settings import checkpoint
 from strataline.operators.zones import last_known
 
 WELL = ("well_id",)
@@ -92,12 +93,12 @@ def run_cv(
     folds: int,
     test: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Out-of-fold predictions, mean test prediction, and scores per fold and overall.
+    """Out-of-fold predictions, mean test prediction, and scores per fold; ``cv_summary`` sums them up.
 
     One distributed fit per fold; what loops is the number of folds.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    rows = assembler.transform(df)
+    rows = checkpoint(assembler.transform(df))  # read by every fit and every score
     held, mean = [], None if test is None else assembler.transform(test)
     for i in range(folds):
         model = make().setParams(featuresCol="_features", labelCol=y, predictionCol="oof").fit(rows.where(F.col(fold) != i))
@@ -111,6 +112,19 @@ def run_cv(
     return out, mean, metrics_by(out, y, "oof", [fold])
 
 
+def cv_summary(rows: DataFrame, y: str, fold: str, pred: str = "oof") -> DataFrame:
+    """One row: folds, rows, overall RMSE of the out-of-fold predictions, mean and population std of the folds' RMSE."""
+    square = F.pow(F.col(pred) - F.col(y), 2)
+    folds = rows.groupBy(fold).agg(F.count(square).alias("rows"), F.sum(square).alias("sse"), F.sqrt(F.avg(square)).alias("rmse"))
+    return folds.agg(
+        F.count(F.lit(1)).alias("folds"),
+        F.sum("rows").alias("rows"),
+        F.sqrt(F.sum("sse") / F.sum("rows")).alias("overall_rmse"),
+        F.avg("rmse").alias("mean_rmse"),
+        F.stddev_pop("rmse").alias("std_rmse"),
+    )
+
+
 def _bin(x: str, edges: Sequence[float]) -> Column:
     """Number of the bin (lower, upper] that holds x, the lowest edge included; NULL outside."""
     value = F.col(x)

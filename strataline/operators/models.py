@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.operators.evaluate import run_cv
@@ -46,25 +46,55 @@ def fit_gbt(
     depth: int = 5,
     rate: float = 0.1,
     validation: str | None = None,
+    weight: str | None = None,
     seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees; with a validation flag column they stop when its error stops falling."""
+    """Boosted trees, rows weighted by a column if named; with a validation flag column they stop when its error stops falling."""
     trees = GBTRegressor(
         featuresCol="_features", labelCol=y, predictionCol="prediction", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
     )
     if validation:
         trees = trees.setValidationIndicatorCol(validation)
+    if weight:
+        trees = trees.setWeightCol(weight)
     return Pipeline(stages=[_assembled(features), trees]).fit(df)
 
 
-def fit_rf(df: DataFrame, features: Sequence[str], y: str, *, trees: int = 50, depth: int = 4, leaf: int = 5, seed: int = 42) -> PipelineModel:
-    """Random forest, for entity-level features."""
+def fit_rf(
+    df: DataFrame,
+    features: Sequence[str],
+    y: str,
+    *,
+    trees: int = 50,
+    depth: int = 4,
+    leaf: int = 5,
+    weight: str | None = None,
+    seed: int = 42,
+) -> PipelineModel:
+    """Random forest, for entity-level features; rows weighted by a column if named."""
     forest = RandomForestRegressor(
         featuresCol="_features", labelCol=y, predictionCol="prediction", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed
     )
+    if weight:
+        forest = forest.setWeightCol(weight)
     return Pipeline(stages=[_assembled(features), forest]).fit(df)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Store a fitted model in a folder every machine can reach."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """(feature, importance) of a fitted tree model, the shares adding up to 1."""
+    shares = model.stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(f, float(s)) for f, s in zip(features, shares, strict=True)], "feature string, importance double")
+
+
 def fit_ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float) -> PipelineModel:
     """Standardised features, squared error plus ``alpha`` times the squared weights.
 

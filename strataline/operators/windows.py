@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.asof import bracket
 from strataline.functions.columns import col as as_col
 from strataline.functions.quantiles import with_key_percentiles
+from strataline.functions.scan import curve_fits, scan_chunks
 from strataline.functions.series import ROW, Frame, Rows, apply_frames, carried, spread_join, with_key_stats
 
 WELL = ("well_id",)
@@ -288,15 +290,29 @@ def distinct_in_range(
 ) -> DataFrame:
     """Number of different labels of the reference within ``radius`` of ``x``.
 
-    For each label of the curve, the last place at or before ``x + radius`` tells whether the
-    label occurs in the range; reference rows inside the range are never listed.
+    Chunks of the series meet their curve as arrays, and each label is looked for by bisection. For curves
+    that do not fit a task the last place of each label at or before ``x + radius`` is joined to the rows.
     """
     ids = list(ids or [*keys, ROW])
-    labels = ref.select(*keys, label).distinct()
-    places = df.select(*dict.fromkeys([*ids, *keys]), F.col(x).alias("_x"))
-    probes = spread_join(places, labels, keys, ids).withColumn("_end", F.col("_x") + F.lit(float(radius)))
-    found = bracket(probes, ref.select(*keys, label, ref_x), [*keys, label], "_end", ref_x, [])
-    counts = found.groupBy(*ids).agg(
-        F.sum(F.coalesce(F.col("_low._x") >= F.col("_x") - F.lit(float(radius)), F.lit(False)).cast("long")).alias(out)
-    )
+    reach = float(radius)
+    if curve_fits(ref, keys):
+        known = ref.where(F.col(ref_x).isNotNull() & F.col(label).isNotNull())
+        coded = known.withColumn("_code", F.dense_rank().over(Window.partitionBy(*keys).orderBy(label)))
+
+        def reduce(values, _, curve_x, codes):
+            found = np.zeros(len(values), np.int64)
+            for code in np.unique(codes):
+                at = curve_x[codes == code]
+                found += np.searchsorted(at, values + reach, "right") > np.searchsorted(at, values - reach, "left")
+            return {out: np.where(np.isnan(values), 0, found)}
+
+        counts = scan_chunks(df, coded, ids[:-1], keys, (x, x, ref_x, "_code"), 0, reduce, f"`{out}` long", ids[-1])
+    else:
+        labels = ref.select(*keys, label).distinct()
+        places = df.select(*dict.fromkeys([*ids, *keys]), F.col(x).alias("_x"))
+        probes = spread_join(places, labels, keys, ids).withColumn("_end", F.col("_x") + F.lit(reach))
+        found = bracket(probes, ref.select(*keys, label, ref_x), [*keys, label], "_end", ref_x, [])
+        counts = found.groupBy(*ids).agg(
+            F.sum(F.coalesce(F.col("_low._x") >= F.col("_x") - F.lit(reach), F.lit(False)).cast("long")).alias(out)
+        )
     return df.join(counts, ids, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))

@@ -74,6 +74,32 @@ def run_cv(spark, sf):
     return show(rows, [*ID, "fold"], ["oof"], 4)
 
 
+# The fits of a line on one column per fold, in closed form.
+CV_LINE = f"""WITH {PREDICTIONS}, pf AS (SELECT *, CAST(user_id % 5 AS INT) AS fold FROM p),
+        fits AS (SELECT f.fold, regr_slope(pf.value, pf.pred_c) AS b, regr_intercept(pf.value, pf.pred_c) AS a FROM pf JOIN (SELECT DISTINCT fold FROM pf) f ON pf.fold <> f.fold GROUP BY 1)"""
+
+
+@query(
+    "k06_cv_summary",
+    f"""{CV_LINE}, e AS (SELECT fold, pow(a + b * pred_c - value, 2) AS q FROM pf JOIN fits USING (fold)),
+        g AS (SELECT fold, count(*) AS n, sum(q) AS sse, sqrt(avg(q)) AS rmse FROM e GROUP BY 1)
+        SELECT count(*) AS folds, CAST(sum(n) AS BIGINT) AS rows, round(sqrt(sum(sse) / sum(n)), 5) + 0.0 AS overall_rmse, round(avg(rmse), 5) + 0.0 AS mean_rmse, round(stddev_pop(rmse), 5) + 0.0 AS std_rmse FROM g""",
+)
+def cv_summary(spark, sf):
+    rows, _, _ = evaluate.run_cv(folded(spark, sf), lambda: LinearRegression(solver="normal"), ["pred_c"], "value", "fold", 5)
+    return show(evaluate.cv_summary(rows, "value", "fold"), ["folds", "rows"], ["overall_rmse", "mean_rmse", "std_rmse"], 5)
+
+
+@query(
+    "k06_cv_test_mean",
+    f"""{CV_LINE}, m AS (SELECT avg(a) AS a, avg(b) AS b FROM fits) SELECT user_id, row_idx, round(a + b * pred_c, 5) + 0.0 AS prediction FROM p, m WHERE is_eval""",
+)
+def cv_test_mean(spark, sf):
+    rows = folded(spark, sf)
+    _, test, _ = evaluate.run_cv(rows, lambda: LinearRegression(solver="normal"), ["pred_c"], "value", "fold", 5, rows.where("tvt_input is null"))
+    return show(test, ID, ["prediction"], 5)
+
+
 @query(
     "k07_group_holdout",
     """WITH r AS (SELECT user_id, row_number() OVER (ORDER BY md5(concat(user_id, '|3')), user_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))

@@ -8,6 +8,7 @@ from strataline.operators.blend import entity_features
 from strataline.plans.evaluate import mixed
 from strataline.plans.fixtures import ID, KEYS, PREDICTIONS, predictions, series, show
 from strataline.plans.registry import query
+from strataline.settings import work_folder
 
 FEATURES = ["md", "x", "y", "z", "m2", "m3"]
 
@@ -15,14 +16,14 @@ FEATURES = ["md", "x", "y", "z", "m2", "m3"]
 @query("m01_fit_gbt")
 def fit_gbt(spark, sf):
     rows = mixed(spark, sf).withColumn("is_valid", F.col("fold") == 0)
-    model = models.fit_gbt(rows, FEATURES, "value", rounds=5, depth=3, validation="is_valid")
+    model = models.fit_gbt(rows, FEATURES, "value", validation="is_valid")
     return show(models.score(model, rows), ID, ["prediction"], 4)
 
 
 @query("m02_fit_rf")
 def fit_rf(spark, sf):
     wells = entity_features(series(spark, sf), ["value", "gr", "z", "md"], ["gr"], KEYS)
-    model = models.fit_rf(wells, ["gr__mean", "gr__std", "z__mean", "md__mean"], "value__mean", trees=10)
+    model = models.fit_rf(wells, ["gr__mean", "gr__std", "z__mean", "md__mean"], "value__mean")
     return show(models.score(model, wells), KEYS, ["prediction"], 4)
 
 
@@ -32,6 +33,26 @@ def fit_ridge(spark, sf):
     return show(models.score(models.fit_ridge(rows, FEATURES, "value", 10.0), rows), ID, ["prediction"], 4)
 
 
+@query(
+    "m03_ridge_one_column",
+    f"""WITH {PREDICTIONS}, t AS (SELECT avg(md) AS m, stddev_pop(md) AS s, avg(value) AS y, count(*) AS cnt FROM p),
+        w AS (SELECT sum((md - m) / s * value) / (max(cnt) + 10) AS b FROM p, t) SELECT user_id, row_idx, round(y + b * (md - m) / s, 4) + 0.0 AS prediction FROM p, t, w""",
+)
+def ridge_one_column(spark, sf):
+    """A ridge line on one standardised column has a closed form."""
+    rows = predictions(spark, sf)
+    return show(models.score(models.fit_ridge(rows, ["md"], "value", 10.0), rows), ID, ["prediction"], 4)
+
+
+@query("m01_weighted_importance")
+def weighted_importance(spark, sf):
+    """Known rows count ten times; the stored model is read back before its importances are listed."""
+    rows = mixed(spark, sf).withColumn("w", F.when(F.col("tvt_input").isNull(), 1.0).otherwise(10.0))
+    path = work_folder(spark, "model")
+    models.save_model(models.fit_gbt(rows, FEATURES, "value", weight="w"), path)
+    return show(models.feature_importance(models.load_model(path), FEATURES, spark), ["feature"], ["importance"])
+
+
 @query("m04_fit_residual")
 def fit_residual(spark, sf):
     rows = mixed(spark, sf)
