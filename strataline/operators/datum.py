@@ -31,23 +31,31 @@ def datum_offsets(
     row: str = ROW,
 ) -> DataFrame:
     """Offset ``value + z − surface`` on the prefix: median of all, first, middle and late rows, exponential mean."""
+    return _offsets(df, {prefix: surface}, late, probe, z, keys=keys, row=row)
+
+
+def _offsets(
+    df: DataFrame, surfaces: dict[str, str], late: int, probe: str, z: str, *, keys: Sequence[str], row: str
+) -> DataFrame:
+    """Offsets of several surfaces (by prefix) from one pass over the prefix rows."""
     known = split_zone(df, probe, keys=keys, row=row).where(F.col("in_prefix"))
     n, i = F.col("eval_start"), F.col(row)
     third, two = F.floor(n / 3), F.floor(2 * n / 3)
-    b = _offset(surface, probe, z)
-    weight = F.exp(0.02 * (i - (n - 1)))  # scaled so that it cannot overflow on long prefixes
-    rows = known.withColumns(
-        {
-            "_full": b,
-            "_early": F.when((third == 0) | (i < third), b),
-            "_mid": F.when((two <= third) | ((i >= third) & (i < two)), b),
-            "_late": F.when((n < 5) | (i >= n - late), b),
-            "_w": weight,
+    # Scaled so that it cannot overflow on long prefixes.
+    rows, wanted, means = known.withColumn("_w", F.exp(0.02 * (i - (n - 1)))), {}, []
+    for prefix, surface in surfaces.items():
+        b = _offset(surface, probe, z)
+        parts = {
+            "full": b,
+            "early": F.when((third == 0) | (i < third), b),
+            "mid": F.when((two <= third) | ((i >= third) & (i < two)), b),
+            "late": F.when((n < 5) | (i >= n - late), b),
         }
-    )
-    medians = key_percentiles(rows, keys, {f"{prefix}_{p}": (f"_{p}", 0.5) for p in ("full", "early", "mid", "late")}, row)
-    means = rows.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_full")) / F.sum("_w")).alias(f"{prefix}_exp"))
-    return medians.join(means, list(keys))
+        rows = rows.withColumns({f"_in_{prefix}_{kind}": part for kind, part in parts.items()})
+        wanted |= {f"{prefix}_{kind}": (f"_in_{prefix}_{kind}", 0.5) for kind in parts}
+        full = F.col(f"_in_{prefix}_full")
+        means.append((F.sum(F.col("_w") * full) / F.sum(F.when(full.isNotNull(), F.col("_w")))).alias(f"{prefix}_exp"))
+    return key_percentiles(rows, keys, wanted, row).join(rows.groupBy(*keys).agg(*means), list(keys))
 
 
 def datum_predict(
@@ -61,14 +69,10 @@ def datum_predict(
     row: str = ROW,
 ) -> DataFrame:
     """Target from each surface with the full, late and exponential offset."""
-    for s in surfaces:
-        offsets = datum_offsets(df.select(*keys, row, probe, z, s), s, late, probe, z, f"_{s}", keys=keys, row=row)
-        df = attach(df, offsets, keys, row)
-        base = F.col(s) - F.col(z)
-        df = df.withColumns({f"{s}_{kind}": base + F.col(f"_{s}_{kind}") for kind in ("full", "late", "exp")}).drop(
-            *[f"_{s}_{kind}" for kind in ("full", "early", "mid", "late", "exp")]
-        )
-    return df
+    offsets = _offsets(df.select(*keys, row, probe, z, *surfaces), {f"_{s}": s for s in surfaces}, late, probe, z, keys=keys, row=row)
+    joined = attach(df, offsets, keys, row)
+    values = {f"{s}_{kind}": F.col(s) - F.col(z) + F.col(f"_{s}_{kind}") for s in surfaces for kind in ("full", "late", "exp")}
+    return joined.withColumns(values).drop(*[f"_{s}_{kind}" for s in surfaces for kind in ("full", "early", "mid", "late", "exp")])
 
 
 def surface_spread(df: DataFrame, cols: Sequence[str], prefix: str = "surface") -> DataFrame:

@@ -35,8 +35,9 @@ def fit_ridge(spark, sf):
 
 @query(
     "m03_ridge_one_column",
-    f"""WITH {PREDICTIONS}, t AS (SELECT avg(md) AS m, stddev_pop(md) AS s, avg(value) AS y, count(*) AS cnt FROM p),
-        w AS (SELECT sum((md - m) / s * value) / (max(cnt) + 10) AS b FROM p, t) SELECT user_id, row_idx, round(y + b * (md - m) / s, 4) + 0.0 AS prediction FROM p, t, w""",
+    f"""WITH {PREDICTIONS}, t AS (SELECT avg(md) AS mx, stddev_pop(md) AS sx, avg(value) AS my, count(*) AS cnt FROM p),
+        w AS (SELECT sum((md - mx) / sx * value) / (max(cnt) + 10) AS slope FROM p, t)
+        SELECT user_id, row_idx, round(my + slope * (md - mx) / sx, 4) + 0.0 AS prediction FROM p, t, w""",
 )
 def ridge_one_column(spark, sf):
     """A ridge line on one standardised column has a closed form."""
