@@ -682,10 +682,13 @@ def self_match(
 
     Every tail window is compared with every prefix window, as the definition asks, in blocks
     of both: a block pair is one matrix product and leaves one row per tail row. The number of
-    pairs grows with prefix × tail of a series; no pair of windows is ever a row.
+    pairs grows with prefix × tail of a series; no pair of windows is ever a row. Gaps of the log count as the
+    series' median.
     """
     keys = list(keys)
     size = 2 * half + 1
+    df = with_key_percentiles(df, keys, {"_log_median": (log, 0.5)}, row).withColumn("_log", F.coalesce(log, "_log_median", F.lit(0.0)))
+    log = "_log"
     zoned = split_zone(df, probe, keys=keys, row=row).withColumn("_part", F.col("in_prefix"))
     smooth = Frame(2, 2, lambda r: {"_s": F.avg(log).over(r(-2, 2))})
     zoned = apply_frames(zoned, [*keys, "_part"], smooth, row=row)

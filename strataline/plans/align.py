@@ -336,21 +336,23 @@ def prefix_alignment(spark, sf):
 
 WINDOW5 = "OVER (PARTITION BY user_id, is_eval ORDER BY row_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 UNIT_SQL = f"""
-sm AS (SELECT *, avg(value) {WINDOW5} AS sv, n - eval_start AS tail_n FROM s),
-wi AS (SELECT user_id, row_idx, is_eval, eval_start, n, tvt_input, list(sv) OVER (PARTITION BY user_id, is_eval ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w0 FROM sm),
-pa AS (SELECT *, CASE WHEN is_eval THEN list_concat(list_concat(list_transform(range(greatest(3 - (row_idx - eval_start), 0)), lambda i: w0[1]), w0),
-         list_transform(range(greatest(3 - (n - 1 - row_idx), 0)), lambda i: w0[-1])) ELSE w0 END AS w FROM wi),
+lm AS (SELECT user_id, quantile_cont(gr, 0.5) AS med FROM s GROUP BY 1),
+sl AS (SELECT s.*, coalesce(gr, med, 0) AS lg FROM s JOIN lm USING (user_id)),
+sm AS (SELECT *, avg(lg) {WINDOW5} AS sv, n - eval_start AS tail_n FROM sl),
+wi AS (SELECT user_id, row_idx, is_eval, eval_start, n, tvt_input, list(sv) OVER (PARTITION BY user_id, is_eval ORDER BY row_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS w0 FROM sm),
+pa AS (SELECT *, CASE WHEN is_eval THEN list_concat(list_concat(list_transform(range(greatest(15 - (row_idx - eval_start), 0)), lambda i: w0[1]), w0),
+         list_transform(range(greatest(15 - (n - 1 - row_idx), 0)), lambda i: w0[-1])) ELSE w0 END AS w FROM wi),
 un AS (SELECT *, list_transform(w, lambda v: (v - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS u FROM pa)"""
 
 
 @query(
     "f16_self_match",
-    f"""WITH {SERIES}, {UNIT_SQL}, c AS (SELECT t.user_id, t.row_idx, p.row_idx AS center, p.tvt_input AS v, list_dot_product(t.u, p.u) / 7 AS sc
-          FROM un t JOIN un p ON t.user_id = p.user_id AND t.is_eval AND NOT p.is_eval AND p.row_idx >= 3 AND p.row_idx + 3 < p.eval_start AND (p.row_idx - 3) % 3 = 0 AND p.eval_start >= 8)
+    f"""WITH {SERIES}, {UNIT_SQL}, c AS (SELECT t.user_id, t.row_idx, p.row_idx AS center, p.tvt_input AS v, list_dot_product(t.u, p.u) / 31 AS sc
+          FROM un t JOIN un p ON t.user_id = p.user_id AND t.is_eval AND NOT p.is_eval AND p.row_idx >= 15 AND p.row_idx + 15 < p.eval_start AND (p.row_idx - 15) % 3 = 0 AND p.eval_start >= 32)
         SELECT user_id, row_idx, arg_max(v, (round(sc, 9), -center)) AS match_value, round(max(sc), 6) + 0.0 AS match_score FROM c GROUP BY 1, 2""",
 )
 def self_match(spark, sf):
-    return show(align.self_match(series(spark, sf), 3, 3, "value", keys=KEYS), ID, ["match_value", "match_score"])
+    return show(align.self_match(series(spark, sf), 15, 3, keys=KEYS), ID, ["match_value", "match_score"])
 
 
 SCALES = ["scale_softmax", "scale_mean", "scale_delta"]
@@ -397,7 +399,7 @@ def signature_match(spark, sf):
 @query("f19_dtw_lag_features")
 def dtw_lag_features(spark, sf):
     """No SQL: a dynamic programme per pair of windows; checked against plain numpy in the tests."""
-    found = align.dtw_lag_features(series(spark, sf), curves(spark, sf), 6, 2, 15, 3, 5, log="value", **REF)
+    found = align.dtw_lag_features(series(spark, sf), curves(spark, sf), **REF)
     names = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
     return show(found, ID, names)
 
