@@ -22,6 +22,7 @@ FAMILIES = [
     "audit",
     "profile",
     "text",
+    "features",
     "flagship",
 ]
 
