@@ -23,8 +23,12 @@ HEADLINE = [
     "e12_path_summary",
     "f01_interp_join",
     "f06_lag_scan",
+    "f07_lag_scan_multiscale",
     "f10_local_offset_search",
     "f16_self_match",
+    "f18_signature_match",
+    "f19_dtw_lag_features",
+    "f24_posterior_match",
     "g04_layer_context",
     "h04_knn_idw",
     "i02_datum_predict",
@@ -38,6 +42,7 @@ HEADLINE = [
     "p01_numeric_summary",
     "q06_rank_records",
     "z01_holdout_report",
+    "z02_feature_set",
 ]
 
 

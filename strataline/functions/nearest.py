@@ -1,16 +1,15 @@
-"""Exact k nearest points through nested grids.
-
-Cells halve from level to level; the finest level is the first at which no cell holds many
-points. Counts of points per cell tell for every probe the finest level at which the 3×3 block
-of cells around it holds k points. A point closer than one cell width lies in that block, so a
-k-th distance of at most the cell width settles the probe; otherwise it looks again at cells
-twice as wide. A block with k points bounds the k-th distance by 2.83 widths, so two more looks
-are enough unless points are not allowed for the probe. Dense places are settled in small cells
-and never meet wide ones.
-
-Points at exactly the same place are thinned first to those that can be an answer at all: with
-the order at equal distance fixed, the first k of a place, and with "not from the same series"
-the first k of each of its first k+1 series.
+"""Exact k nearest points by descending through nested cells.
+
+The box around all points is halved along every axis from level to level; the finest level is the first at
+which no cell holds many points. Every probe starts with the whole box and goes down: its cells are replaced
+by their children that hold points it may have. The farthest corners of its cells, taken in order, tell how
+far it is at most to its k-th point; cells that begin beyond that are dropped. What is left at the finest
+level holds the answer and little else, so the work per probe does not grow with the number of points, also
+where a probe lies among many points of its own series, and in any number of dimensions.
+
+Points at exactly the same place are thinned first to those that can be an answer at all: with the order at
+equal distance fixed, the first k of a place, and with "not from the same series" the first k of each of its
+first k+1 series. Points closer together than the box's side over 2^MAX_LEVEL share a cell, however many.
 """
 
 from __future__ import annotations
@@ -22,25 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.series import spread_join
-from strataline.settings import checkpoint, group_rows
+from strataline.settings import checkpoint
 
-CELL_POINTS = 64
+CELL_POINTS = 32
 MAX_LEVEL = 40
-
-
-def _cells(axes: Sequence[str], low: Sequence[float], width: float) -> list[Column]:
-    return [F.floor((F.col(a) - F.lit(o)) / F.lit(width)).alias(f"_g{i}") for i, (a, o) in enumerate(zip(axes, low))]
-
-
-def _at_level(grid: Sequence[str], finest: int, level: Column) -> list[Column]:
-    """Cell numbers at a coarser level, from those at the finest one."""
-    return [F.floor(F.col(g) / F.pow(F.lit(2.0), F.lit(finest) - level)).alias(g) for g in grid]
-
-
-def _around(df: DataFrame, grid: Sequence[str]) -> DataFrame:
-    for g in grid:
-        df = df.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
-    return df
+# Levels that one histogram of the points covers.
+SPAN = 20
 
 
 def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool) -> DataFrame:
@@ -54,77 +40,40 @@ def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool
     return few.join(kept, [*place, "_owner"], "left_semi").drop("_r")
 
 
-def _finest(points: DataFrame, by: Sequence[str], axes: Sequence[str], low: Sequence[float], side: float) -> int:
-    """First level at which no cell holds more than ``CELL_POINTS`` points: doubling, then bisection."""
-
-    def fits(level: int) -> bool:
-        cells = _cells(axes, low, side / 2**level)
-        return points.groupBy(*by, *cells).count().agg(F.max("count")).first()[0] <= CELL_POINTS
-
-    if fits(0):
-        return 0
-    least, most = 0, 4
-    while most < MAX_LEVEL and not fits(most):
-        least, most = most, min(2 * most, MAX_LEVEL)
-    while most - least > 1:
-        level = (least + most) // 2
-        least, most = (least, level) if fits(level) else (level, most)
-    return most
-
-
-def _with_level(asked: DataFrame, points: DataFrame, by: Sequence[str], grid: Sequence[str], finest: int, k: int, ids, size) -> DataFrame:
-    """Add ``_level``: the finest one at which the block around the probe's cell holds k points, else 0."""
-    levels = F.explode(F.array(*[F.lit(n) for n in range(finest + 1)]))
-    cells = points.groupBy(*by, *grid).agg(F.count(F.lit(1)).alias("_n")).withColumn("_level", levels)
-    counted = cells.select(*by, "_level", *_at_level(grid, finest, F.col("_level")), "_n")
-    counted = counted.groupBy(*by, "_level", *grid).agg(F.sum("_n").alias("_n"))
-    rich = _around(counted, grid).groupBy(*by, "_level", *grid).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
-    places = asked.select(*by, *grid).distinct()
-    own = [F.col(g).alias(f"_own{g}") for g in grid]
-    tried = places.select(*by, *grid, *own).withColumn("_level", levels)
-    tried = tried.select(*by, "_level", *[f"_own{g}" for g in grid], *_at_level(grid, finest, F.col("_level")))
-    best = (
-        tried.join(rich, [*by, "_level", *grid], "left_semi")
-        .groupBy(*by, *[f"_own{g}" for g in grid])
-        .agg(F.max("_level").alias("_level"))
-    )
-    best = best.select(*by, *[F.col(f"_own{g}").alias(g) for g in grid], "_level")
-    return spread_join(asked, best, [*by, *grid], ids, "left", size).withColumn("_level", F.coalesce("_level", F.lit(0)))
+def _cells(coords: Sequence[str], low: Sequence[float], width: float, grid: Sequence[str]) -> list[Column]:
+    return [F.floor((F.col(c) - F.lit(o)) / F.lit(width)).alias(g) for c, o, g in zip(coords, low, grid)]
 
 
-def _in_block(
-    waiting: DataFrame,
-    points: DataFrame,
-    by: Sequence[str],
-    grid: Sequence[str],
-    coords: Sequence[str],
-    finest: int,
-    used: Sequence[int],
-    k: int,
-    ids: Sequence[str],
-    differ: tuple[str, str] | None,
-    tie: str,
-    size: int | None,
-) -> DataFrame:
-    """The k nearest points among those in the block of cells around each probe, at the probe's level."""
-    others = [c for c in waiting.columns if c not in grid]
-    asked = _around(waiting.select(*others, *_at_level(grid, finest, F.col("_level"))), grid)
-    answers = [c for c in points.columns if c not in (*by, *coords, *grid)]
-    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used])))
-    placed = placed.select(
-        *by, "_level", *[F.col(c).alias(f"_to{c}") for c in coords], *answers, *_at_level(grid, finest, F.col("_level"))
-    )
-    near = spread_join(asked, placed, [*by, "_level", *grid], ids, size=size)
-    if differ:
-        near = near.where(~F.col(differ[0]).eqNullSafe(F.col("_owner")))
-    square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
-    order = Window.partitionBy(*ids).orderBy("_d", f"_p_{tie}")
-    return (
-        near.withColumn("_d", F.sqrt(square))
-        .select(*ids, "_level", "_d", *[c for c in answers if c.startswith("_p_")])
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-    )
+def _coarser(grid: Sequence[str], steps: int, names: Sequence[str]) -> list[Column]:
+    return [F.shiftright(g, steps).alias(n) for g, n in zip(grid, names)]
+
+
+def _finest(points: DataFrame, by: Sequence[str], coords: Sequence[str], low: Sequence[float], side: float, step: int) -> int:
+    """First level, in steps, at which no cell holds more than ``CELL_POINTS`` points; one histogram for ``SPAN`` levels."""
+    grid = [f"_g{i}" for i in range(len(coords))]
+    for start in range(0, MAX_LEVEL, SPAN):
+        bottom = start + SPAN
+        levels = list(range(start, bottom + 1, step))
+        cells = points.select(*by, *_cells(coords, low, side / 2**bottom, grid)).groupBy(*by, *grid).agg(F.count(F.lit(1)).alias("n"))
+        spread = cells.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
+        coarse = [F.expr(f"shiftright({g}, {bottom} - level)").alias(g) for g in grid]
+        full = spread.select(*by, "level", *coarse, "n").groupBy(*by, "level", *grid).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
+        fits = [r.level for r in full.collect() if r.n <= CELL_POINTS]
+        if fits:
+            return min(fits)
+    return MAX_LEVEL
+
+
+def _corner(coords: Sequence[str], grid: Sequence[str], low: Sequence[float], width: float, slack: float) -> tuple[Column, Column]:
+    """Squared distances from the probe to the nearest and the farthest corner of a cell."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c, g, o in zip(coords, grid, low):
+        begin = F.lit(o) + F.col(g) * F.lit(width)
+        before, after = begin - F.col(c), F.col(c) - begin - F.lit(width)
+        gap = F.greatest(before - slack, after - slack, F.lit(0.0))
+        reach = F.greatest(F.abs(begin - F.col(c)), F.abs(begin + F.lit(width) - F.col(c))) + slack
+        near, far = near + gap * gap, far + reach * reach
+    return near, far
 
 
 def nearest_points(
@@ -149,58 +98,60 @@ def nearest_points(
     ids, by = list(ids), list(by)
     factors = list(scale or [1.0] * len(dims))
     coords = [f"_c{i}" for i in range(len(dims))]
-    axes = coords[:2]
-    grid = [f"_g{i}" for i in range(len(axes))]
+    grid, parent = [f"_g{i}" for i in range(len(dims))], [f"_p{i}" for i in range(len(dims))]
     scaled = [(F.col(d).cast("double") / F.lit(float(s))).alias(c) for d, s, c in zip(dims, factors, coords)]
     placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
-    extra = [differ[0]] if differ else []
-    asked = probes.select(*dict.fromkeys([*ids, *by, *extra]), *scaled).where(placed)
-    answers = [F.col(p).alias(f"_p_{p}") for p in dict.fromkeys([*payload, tie])]
+    extra = [F.col(differ[0]).alias("_mine")] if differ else []
+    asked = checkpoint(probes.select(*dict.fromkeys([*ids, *by]), *extra, *scaled).where(placed))
+    answers = [F.col(p).alias(f"_a_{p}") for p in dict.fromkeys([*payload, tie])]
     owner = [F.col(differ[1]).alias("_owner")] if differ else []
-    known = _thin(points.select(*by, *scaled, *answers, *owner).where(placed), [*by, *coords], k, f"_p_{tie}", bool(differ))
-    known, asked = checkpoint(known), checkpoint(asked)
-    low, side = _box(known, asked, axes)
-    base = (side or 1.0) * (1 + 1e-12)
-    finest = _finest(known, by, axes, low, base) if side else 0
-    known = known.select("*", *_cells(axes, low, base / 2**finest))
-    asked = asked.select("*", *_cells(axes, low, base / 2**finest))
-    # Few probes cannot overload a join key; otherwise the joins look for hot cells themselves.
-    rows = asked.count()
-    size = rows if 9 * rows <= group_rows(asked.sparkSession) else None
-    settled = []
-    if finest == 0:
-        only = asked.withColumn("_level", F.lit(0))
-        settled.append(_in_block(only, known, by, grid, coords, finest, [0], k, ids, differ, tie, size))
-        waiting = only.limit(0)
-    else:
-        waiting = checkpoint(_with_level(asked, known, by, grid, finest, k, ids, size))
-    while True:
-        used = [] if finest == 0 else [r[0] for r in waiting.select("_level").distinct().collect()]  # a few small numbers
-        if not used:
-            break
-        found = checkpoint(_in_block(waiting, known, by, grid, coords, finest, used, k, ids, differ, tie, size))
-        width = F.lit(base) / F.pow(F.lit(2.0), F.col("_level"))
-        sure = (
-            found.groupBy(*ids, "_level")
-            .agg(F.max("_d").alias("_far"), F.count(F.lit(1)).alias("_n"))
-            .where(((F.col("_n") == k) & (F.col("_far") <= width)) | (F.col("_level") == 0))
-            .select(*ids)
-        )
-        settled.append(found.join(sure, ids, "left_semi"))
-        # At level 0 one cell holds everything: those probes are done, with or without an answer.
-        left = waiting.where(F.col("_level") > 0).join(sure, ids, "left_anti")
-        waiting = checkpoint(left.withColumn("_level", F.col("_level") - 1))
-    answer = [F.col(f"_p_{p}").alias(p) for p in payload]
-    if not settled:  # no probes
-        nothing = asked.limit(0).withColumn("_level", F.lit(0))
-        settled.append(_in_block(nothing, known, by, grid, coords, finest, [0], k, ids, differ, tie, size))
-    every = reduce(lambda a, b: a.unionByName(b), settled)
-    return every.select(*ids, "rank", F.col("_d").alias("distance"), *answer)
-
-
-def _box(known: DataFrame, asked: DataFrame, axes: Sequence[str]) -> tuple[list[float], float]:
-    """Lower corner and longest side of the box around points and probes."""
-    ends = known.select(*axes).unionByName(asked.select(*axes)).agg(*[F.min(a) for a in axes], *[F.max(a) for a in axes]).first()
-    low = [v if v is not None else 0.0 for v in ends[: len(axes)]]
-    high = [v if v is not None else 0.0 for v in ends[len(axes):]]
-    return low, max(h - o for o, h in zip(low, high))
+    known = checkpoint(_thin(points.select(*by, *scaled, *answers, *owner).where(placed), [*by, *coords], k, f"_a_{tie}", bool(differ)))
+    low, side, rows = _box(known, asked, coords)
+    base = (side or 1.0) * (1 + 1e-9)
+    slack = base * 1e-9
+    step = 2 if len(dims) <= 3 else 1
+    finest = _finest(known, by, coords, low, base, step) if side else 0
+    known = known.select("*", *_cells(coords, low, base / 2**finest, grid))
+    carried = [*dict.fromkeys([*ids, *by]), *(["_mine"] if differ else []), *coords]
+    whole = Window.partitionBy(*ids)
+    frontier = asked.select(*carried, *[F.lit(0).cast("long").alias(g) for g in grid])
+    for level in range(0, finest, step):
+        below = min(level + step, finest)
+        cells = known.select(*by, *(["_owner"] if differ else []), *_coarser(grid, finest - level, parent), *_coarser(grid, finest - below, [f"_n{g}" for g in grid]))
+        cells = cells.select("*", *[F.col(f"_n{g}").alias(g) for g in grid]).drop(*[f"_n{g}" for g in grid])
+        children = cells.groupBy(*by, *parent, *grid).agg(F.count(F.lit(1)).alias("_n"))
+        here = frontier.select(*carried, *[F.col(g).alias(p) for g, p in zip(grid, parent)])
+        down = spread_join(here, children, [*by, *parent], ids, size=rows).drop(*parent)
+        if differ:
+            own = cells.groupBy(*by, "_owner", *grid).agg(F.count(F.lit(1)).alias("_own"))
+            own = own.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, *grid]], "_owner", "_own")
+            same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in [*by, *grid]])
+            down = down.join(own, same & F.col("_mine").eqNullSafe(F.col("_owner")), "left")
+            down = down.withColumn("_n", F.col("_n") - F.coalesce("_own", F.lit(0))).where("_n > 0")
+        near, far = _corner(coords, grid, low, base / 2**below, slack)
+        upto = F.sum("_n").over(whole.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
+        met = down.withColumns({"_near": near, "_far": far}).withColumn("_reach", F.when(upto >= k, F.col("_far")))
+        bound = F.min("_reach").over(whole)
+        frontier = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).select(*carried, *grid)
+    spots = known.select(*by, *grid, *[F.col(c).alias(f"_to{c}") for c in coords], *[c for c in known.columns if c.startswith("_a_") or c == "_owner"])
+    found = spread_join(frontier, spots, [*by, *grid], ids, size=rows)
+    if differ:
+        found = found.where(~F.col("_mine").eqNullSafe(F.col("_owner")))
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
+    order = whole.orderBy("_d", f"_a_{tie}")
+    return (
+        found.withColumn("_d", F.sqrt(square))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select(*ids, "rank", F.col("_d").alias("distance"), *[F.col(f"_a_{p}").alias(p) for p in payload])
+    )
+
+
+def _box(known: DataFrame, asked: DataFrame, coords: Sequence[str]) -> tuple[list[float], float, int]:
+    """Lower corner and longest side of the box around points and probes, and the number of probes."""
+    both = known.select(*coords, F.lit(0).alias("_p")).unionByName(asked.select(*coords, F.lit(1).alias("_p")))
+    ends = both.agg(*[F.min(c) for c in coords], *[F.max(c) for c in coords], F.sum("_p")).first()
+    n = len(coords)
+    low = [v if v is not None else 0.0 for v in ends[:n]]
+    high = [v if v is not None else 0.0 for v in ends[n : 2 * n]]
+    return low, max(h - o for o, h in zip(low, high)), ends[2 * n] or 0
