@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import Steps
+from strataline.llm.common import Steps, batch
+
+# Up to so many links are contracted by one task, in a few megabytes; more take the rounds over all tasks.
+FEW = 300_000
+
+
+def _contract_few(links: DataFrame) -> DataFrame:
+    """(node, component) of a counted, small number of links."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        least: dict = {}
+
+        def root(x):
+            while least[x] != x:
+                least[x] = least[least[x]]
+                x = least[x]
+            return x
+
+        for piece in batches:
+            for a, b in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
+                least.setdefault(a, a)
+                least.setdefault(b, b)
+                x, y = root(a), root(b)
+                least[max(x, y)] = min(x, y)
+        if least:
+            nodes = list(least)
+            yield batch(node=pa.array(nodes), component=pa.array([root(x) for x in nodes]))
+
+    return links.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -19,9 +49,12 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     Each round points the larger neighbours of every node, then the smaller ones and itself, at the least
     neighbour. Both use a partial minimum per node and a join, so a node with very many links is never
     gathered. Rounds go on until every component is a star; their number grows with the logarithm of its size.
+    At most ``FEW`` links, a number that is counted first, are contracted by one task instead.
     """
     now = steps.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(now)
+    if state[0] <= FEW:
+        return _contract_few(now)
     while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -20,10 +20,10 @@ BANDS, ROWS = 24, 4
 SAMPLES, SKETCH_BITS = 512, 512
 # Standard deviations above the expected distance at the threshold before a sketch rules a pair out.
 SLACK = 5.0
-# Documents of one bucket that a task compares with as many others.
-BLOCK = 512
-# Rounds that confirm only the likeliest link of each document before all that are left are confirmed.
-CAUTIOUS = 2
+# Similarity to a bucket's pivot, by sketch, from which a document belongs to the pivot's cluster.
+CLUSTER = 0.6
+# Documents of a cluster that a task compares with as many others, and their shingles.
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
 
 _LOWER = byte_table()
 _WORD = ~flags((9, 13), (32, 32))
@@ -85,10 +85,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
+def expected_apart(similarity: float) -> float:
+    """Distance of the sketches of a pair of that similarity, on average."""
+    return SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS))
+
+
 def most_apart(threshold: float) -> int:
     """The largest distance of two sketches that may still come from a pair at the threshold."""
     load = 4 * SAMPLES * (1 - threshold) / SKETCH_BITS
-    expected = SKETCH_BITS / 2 * (1 - math.exp(-load))
+    expected = expected_apart(threshold)
     from_samples = 2 * math.sqrt(SAMPLES * threshold * (1 - threshold)) * math.exp(-load)
     from_slots = math.sqrt(SKETCH_BITS / 4 * (1 - math.exp(-2 * load)))
     return math.ceil(expected + SLACK * math.hypot(from_samples, from_slots))
@@ -171,53 +176,90 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, i
     return map_slices(joined.select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}", text="text_a")
 
 
-def _block_pairs(rows: DataFrame, most: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs of documents of one bucket, in different components, that their sketches don't rule out.
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """(pair, side, rep, component, n, text) of every pair of blocks of a cluster that may hold links.
 
-    ``rows`` has key, m (documents of the bucket), rep, n, component, sketch and bands. A bucket is cut
-    into blocks by a hash of the document; each pair of blocks is a row for one task, compared there by
-    XOR and population counts. A pair that shares several buckets comes out of the first only.
+    ``docs`` has rep, cluster, component, n and text. A component too large for a block is cut into blocks
+    of its own by a hash; the others of the cluster share blocks, each whole in one of them. Two blocks of
+    one component are not paired. A block alone is a pair with one side.
     """
-    kind = rows.schema["rep"].dataType.simpleString()
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = (
-        cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .groupBy("key", "i", "j")
-        .agg(F.collect_list(F.struct("own", "rep", "component", "n", "sketch", "bands")).alias("docs"))
+    parts = F.ceil(F.greatest(F.sum("c") / BLOCK, F.sum("items") / BLOCK_ITEMS)).cast("int")
+    sizes = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("items"))
+    large = (F.col("c") > BLOCK) | (F.col("items") > BLOCK_ITEMS)
+    owned = sizes.withColumn("owner", F.when(large, F.col("component")))
+    cut = owned.groupBy("cluster", "owner").agg(parts.alias("parts"))
+    cut = cut.select(F.col("cluster").alias("_cluster"), F.col("owner").alias("_owner"), "parts")
+    same = (F.col("cluster") == F.col("_cluster")) & F.col("owner").eqNullSafe(F.col("_owner"))
+    split = F.when(F.col("owner").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("rep"))
+    placed = (
+        docs.join(owned.select("cluster", "component", "owner"), ["cluster", "component"])
+        .join(cut, same)
+        .withColumn("block", F.xxhash64("cluster", F.col("owner").isNull(), "owner", F.pmod(split, F.col("parts"))))
+    )
+    blocks = cut.select(
+        F.col("_cluster").alias("cluster"), F.col("_owner").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    ).select("cluster", "owner", F.xxhash64("cluster", F.col("owner").isNull(), "owner", F.col("part").cast("long")).alias("block"))
+    other = blocks.select(F.col("cluster").alias("_cluster"), F.col("owner").alias("_owner"), F.col("block").alias("_block"))
+    pairs = blocks.join(other, F.col("cluster") == F.col("_cluster")).where(
+        (F.col("block") <= F.col("_block")) & ~F.coalesce(F.col("owner") == F.col("_owner"), F.lit(False))
     )
+    ends = pairs.select(
+        F.xxhash64("block", "_block").alias("pair"),
+        F.explode(
+            F.when(F.col("block") == F.col("_block"), F.array(F.struct(F.lit(0).alias("side"), "block"))).otherwise(
+                F.array(F.struct(F.lit(0).alias("side"), "block"), F.struct(F.lit(1).alias("side"), F.col("_block").alias("block")))
+            )
+        ).alias("end"),
+    ).select("pair", "end.side", "end.block")
+    return placed.join(ends, "block").select("pair", "side", "rep", "component", "n", "text")
+
+
+def _links_in_blocks(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between different components, found on full sets block by block; of those that join the same two in a block one."""
+    num, den = share
+    kind = docs.schema["rep"].dataType.simpleString()
+    dealt = _in_blocks(docs).groupBy("pair").agg(F.collect_list(F.struct("side", "rep", "component", "text")).alias("docs"))  # two blocks
+
+    def links(own: pa.StructArray) -> tuple[list[int], list[int]]:
+        side = own.field("side").to_numpy(zero_copy_only=False)
+        sets = shingle_sets(own.field("text"), words)
+        size = np.array([len(s) for s in sets])
+        starts = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(np.arange(len(sets)), size)
+        vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+        label = np.unique(np.array(own.field("component").to_pylist()), return_inverse=True)[1]
+        flag = np.zeros(len(vocabulary), bool)
+        whole = not side.any()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not whole and len(np.unique(label[right])) > len(np.unique(label[left])):
+            left, right = right, left
+        a_out, b_out = [], []
+        for place, a in enumerate(left):
+            others = left[place + 1 :] if whole else right
+            near = (np.minimum(size[others], size[a]) * den >= np.maximum(size[others], size[a]) * num) & (label[others] != label[a])
+            others = others[near]
+            if not len(others):
+                continue
+            mine = code[starts[a] : starts[a + 1]]
+            flag[mine] = True
+            both = np.bincount(owner[flag[code]], minlength=len(sets))[others]
+            flag[mine] = False
+            for b in others[den * both >= num * (size[a] + size[others] - both)]:
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    a_out.append(int(a))
+                    b_out.append(int(b))
+        return a_out, b_out
 
     def run(batches):
         for piece in batches:
-            for i, j, key, docs in zip(*(piece.column(c).to_pylist() for c in ("i", "j", "key")), piece.column("docs"), strict=True):
-                own = docs.values
-                side = own.field("own").to_numpy(zero_copy_only=False)
-                reps = own.field("rep")
-                component = own.field("component").to_numpy(zero_copy_only=False)
-                n = own.field("n").to_numpy(zero_copy_only=False)
-                sketch = np.array(own.field("sketch").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(n), _WORDS64).view(U64)
-                bands = np.array(own.field("bands").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(n), BANDS)
-                band = int(np.flatnonzero(bands[0] == key)[0]) if len(n) else 0
-                left, right = (np.flatnonzero(side == i), np.flatnonzero(side == j))
-                found_a, found_b, found_z = [], [], []
-                for a in left:
-                    others = right[right > a] if i == j else right
-                    if not len(others):
-                        continue
-                    ok = (component[others] != component[a]) & (np.minimum(n[others], n[a]) * share[1] >= np.maximum(n[others], n[a]) * share[0])
-                    others = others[ok]
-                    z = np.bitwise_count(sketch[others] ^ sketch[a]).sum(axis=1)
-                    first = np.argmax(bands[others] == bands[a], axis=1) == band if len(others) else np.zeros(0, bool)
-                    hit = (z <= most) & first
-                    found_a += [a] * int(hit.sum())
-                    found_b += others[hit].tolist()
-                    found_z += z[hit].tolist()
-                if found_a:
-                    yield batch(a=reps.take(pa.array(found_a)), b=reps.take(pa.array(found_b)), z=pa.array(found_z, pa.int32()))
-
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}, z int")
+            for docs in piece.column("docs"):
+                a, b = links(docs.values)
+                if a:
+                    reps = docs.values.field("rep")
+                    yield batch(a=reps.take(pa.array(a)), b=reps.take(pa.array(b)))
+
+    return dealt.select("docs").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(
@@ -231,9 +273,9 @@ def near_duplicates(
     1. Texts with equal sets stand behind one representative, so copies make no pairs.
     2. Representatives that share a MinHash band fall into a bucket. In each bucket all are compared with
        one member picked by a hash, by odd sketch; the likeliest pair of each document is confirmed.
-    3. After contracting the links, buckets that still hold several components are compared in blocks, so
-       no pair of different texts is lost; pairs whose sketches allow a link are confirmed, the likeliest
-       first, until all that join two components have been.
+    3. Documents near a bucket's pivot, by a much lower bar, are one cluster with it: copies of one text
+       meet in many buckets, so that links lie within clusters. Clusters that still hold several components
+       are compared in blocks, on full sets and without a row per pair; blocks of one component are skipped.
 
     Null and empty texts have an empty set and are linked with nothing. Rows without id are linked with
     nothing, have no component and are kept. Rows that share an id are one node of the graph, each with
@@ -252,7 +294,9 @@ def near_duplicates(
     member = nodes.join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("id", "rep")
     span = steps.keep(member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top")))
     shared_ids = span.where("rep < top").select("id", F.col("rep").alias("b"))
-    same_id = steps.keep(member.join(shared_ids, "id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    same_id = None
+    if not shared_ids.isEmpty():
+        same_id = steps.keep(member.join(shared_ids, "id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
 
     entries = reps.select(F.explode("bands").alias("key"), "rep")
     full = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep"))["rep"].alias("pivot")).where("m > 1")
@@ -268,55 +312,39 @@ def near_duplicates(
     )
     pairs = buckets.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     sides = [looks.select(*(F.col(c).alias(f"{c}_{s}" if c != "rep" else s) for c in looks.columns)) for s in ("a", "b")]
-    allowed = steps.keep(
+    alike = steps.keep(
         pairs.join(sides[0], "a")
         .join(sides[1], "b")
-        .where(_alike_sizes("n_a", "n_b", share))
-        .select("a", "b", _apart("sketch_a", "sketch_b").alias("z"))
-        .where(F.col("z") <= most)
+        .select("a", "b", _apart("sketch_a", "sketch_b").alias("z"), _alike_sizes("n_a", "n_b", share).alias("sized"))
+        .where(F.col("z") <= max(most, expected_apart(CLUSTER)))
     )
 
-    def likeliest(candidates: DataFrame) -> DataFrame:
-        """The nearest pair of each document, by its smaller and its larger end."""
-        ends = candidates.select(F.explode(F.array("a", "b")).alias("end"), F.struct("z", "a", "b").alias("pair"))
-        return ends.groupBy("end").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-
     def contract(links: DataFrame) -> DataFrame:
         return steps.keep(components(links, steps))
 
-    tested = steps.keep(likeliest(allowed))
-    links = steps.keep(_confirm(tested, texts, words, share)).unionByName(same_id)
+    def labelled(df: DataFrame, by: DataFrame, column: str, out: str) -> DataFrame:
+        named = by.select(F.col("node").alias(column), F.col("component").alias("_component"))
+        return df.join(named, column, "left").withColumn(out, F.coalesce("_component", column)).drop("_component")
+
+    # The nearest pair of each document, by its smaller and its larger end.
+    allowed = alike.where(F.col("sized") & (F.col("z") <= most))
+    ends = allowed.select(F.explode(F.array("a", "b")).alias("end"), F.struct("z", "a", "b").alias("pair"))
+    likeliest = steps.keep(ends.groupBy("end").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+    links = steps.keep(_confirm(likeliest, texts, words, share))
+    if same_id is not None:
+        links = links.unionByName(same_id)
     found = contract(links)
 
-    def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
-        named = found.select(F.col("node").alias(column), F.col("component").alias("_component"))
-        return df.join(named, column, "left").withColumn(out, F.coalesce("_component", column)).drop("_component")
+    clusters = contract(alike.select("a", "b").unionByName(links))
+    placed = labelled(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), found, "rep", "component")
+    open_clusters = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cluster")
+    members = steps.keep(placed.join(open_clusters, "cluster").join(reps.select("rep", "n"), "rep").join(texts, "rep"))
+    more = steps.keep(_links_in_blocks(members, words, share))
+    if not more.isEmpty():
+        found = contract(links.unionByName(more))
 
-    many = labelled(buckets.where("m > 2").select("key", "m", "rep"), "rep", "component")
-    open_keys = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = many.join(open_keys, "key").join(reps.select("rep", "n", "sketch", "bands"), "rep")
-    candidates = steps.keep(
-        _block_pairs(rest, most, share)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "z")
-        .unionByName(allowed)
-        .groupBy("a", "b")
-        .agg(F.min("z").alias("z"))
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    turn = 0
-    while True:
-        still = labelled(labelled(candidates, "a", "own"), "b", "other").where("own <> other").select("a", "b", "z")
-        wanted = steps.keep(likeliest(still) if turn < CAUTIOUS else still.select("a", "b"))
-        if wanted.isEmpty():
-            break
-        links = links.unionByName(steps.keep(_confirm(wanted, texts, words, share)))
-        found = contract(links)
-        if turn >= CAUTIOUS:
-            break
-        candidates = steps.keep(still.join(wanted, ["a", "b"], "left_anti"))
-        turn += 1
-
-    labels = labelled(span.select("id", "rep"), "rep", "component").select("id", F.col("component").alias("rep_component"))
+    steps.drop_all_but(signed, span, found)
+    labels = labelled(span.select("id", "rep"), found, "rep", "component").select("id", F.col("component").alias("rep_component"))
     # A component is named by its least id: that of a representative, which is the least of its copies.
     out = signed.select("id", "n").join(labels, "id", "left")
     own = F.coalesce("rep_component", "id")
