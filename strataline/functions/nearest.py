@@ -4,8 +4,8 @@ The box around all points is halved along every axis from level to level; the fi
 which no cell holds many points. Every probe starts with the whole box and goes down: its cells are replaced
 by their children that hold points it may have. The farthest corners of its cells, taken in order, tell how
 far it is at most to its k-th point; cells that begin beyond that are dropped. What is left at the finest
-level holds the answer and little else, so the work per probe does not grow with the number of points, also
-where a probe lies among many points of its own series, and in any number of dimensions.
+level holds the answer and little else, in any number of dimensions. Points of the probe's own series cost
+nothing, however dense; along a dense line at some distance the points met grow with the root of its density.
 
 Points at exactly the same place are thinned first to those that can be an answer at all: with the order at
 equal distance fixed, the first k of a place, and with "not from the same series" the first k of each of its
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strataline.functions.series import spread_join
 from strataline.settings import checkpoint
 
-CELL_POINTS = 32
+CELL_POINTS = 8
 MAX_LEVEL = 40
 # Levels that one histogram of the points covers.
 SPAN = 20
@@ -95,6 +95,32 @@ def nearest_points(
     must not be equal (a series does not see itself). ``scale`` divides the coordinates. ``tie``
     orders points at equal distance. Fewer than ``k`` rows mean that no more points exist.
     """
+    ids = list(ids)
+    found, coords = candidates(probes, points, dims, k, ids=ids, tie=tie, by=by, differ=differ, payload=payload, scale=scale)
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
+    order = Window.partitionBy(*ids).orderBy("_d", f"_a_{tie}")
+    return (
+        found.withColumn("_d", F.sqrt(square))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select(*ids, "rank", F.col("_d").alias("distance"), *[F.col(f"_a_{p}").alias(p) for p in payload])
+    )
+
+
+def candidates(
+    probes: DataFrame,
+    points: DataFrame,
+    dims: Sequence[str],
+    k: int,
+    *,
+    ids: Sequence[str],
+    tie: str,
+    by: Sequence[str] = (),
+    differ: tuple[str, str] | None = None,
+    payload: Sequence[str] = (),
+    scale: Sequence[float] | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """Pairs of a probe and a point of its cells at the finest level, among them its k nearest; and the coordinates' names."""
     ids, by = list(ids), list(by)
     factors = list(scale or [1.0] * len(dims))
     coords = [f"_c{i}" for i in range(len(dims))]
@@ -137,14 +163,7 @@ def nearest_points(
     found = spread_join(frontier, spots, [*by, *grid], ids, size=rows)
     if differ:
         found = found.where(~F.col("_mine").eqNullSafe(F.col("_owner")))
-    square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
-    order = whole.orderBy("_d", f"_a_{tie}")
-    return (
-        found.withColumn("_d", F.sqrt(square))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(*ids, "rank", F.col("_d").alias("distance"), *[F.col(f"_a_{p}").alias(p) for p in payload])
-    )
+    return found, coords
 
 
 def _box(known: DataFrame, asked: DataFrame, coords: Sequence[str]) -> tuple[list[float], float, int]:

@@ -251,6 +251,16 @@ def known_row_blend(spark, sf):
     return show(rows, [*ID, "choice"], ["softmax", "rank", "choose"])
 
 
+@query(
+    "l20_choice_counts",
+    f"""WITH {MIXED}, k AS (SELECT user_id, list_sort([(sqrt(avg(pow(tvt_input - m1, 2))), 0), (sqrt(avg(pow(tvt_input - m2, 2))), 1), (sqrt(avg(pow(tvt_input - m3, 2))), 2)]) AS r
+          FROM mx WHERE NOT is_eval AND row_idx >= eval_start - 15 GROUP BY 1)
+        SELECT ['m1', 'm2', 'm3'][r[1][2] + 1] AS choice, count(*) AS entities FROM k GROUP BY 1""",
+)
+def choice_counts(spark, sf):
+    return blend.choice_counts(blend.known_row_blend(mixed(spark, sf), MODELS, "softmax", 15, keys=KEYS), KEYS)
+
+
 @query(
     "l21_confidence_gate",
     f"""WITH {MIXED} SELECT user_id, row_idx, round(CASE WHEN gr IS NULL THEN 0 ELSE least(greatest((0.05 + 0.55 / (1 + pow(coalesce(abs(m1 - m2) / 10, 25) / 8, 2)) / (1 + pow(row_idx % 5 / 1.2, 2)))

@@ -124,6 +124,12 @@ def overlap_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+def column_table(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``column_report`` as rows (side, column)."""
+    rows = [(side, name) for side, names in column_report(a, b).items() for name in names]
+    return a.sparkSession.createDataFrame(rows, "side string, column string")
+
+
 def column_report(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     """Columns only left, only right and in both: from the schemas, without a job."""
     left, right = set(a.columns), set(b.columns)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataline.functions.asof import interp_join, nearest_join
-from strataline.functions.nearest import nearest_points
+from strataline.functions.nearest import candidates, nearest_points
 from strataline.functions.quantiles import average_rank, key_percentiles, with_key_percentiles
 from strataline.functions.series import (
     Frame,
@@ -165,3 +165,24 @@ def test_nearest_points_against_all_pairs(spark, any_length, differ):
         want = sorted(allowed, key=lambda i: (distance[i], i))[:5]
         got = [r["id"] for r in sorted((r for r in found if r["q"] == q), key=lambda r: r["rank"])]
         assert [round(distance[i], 9) for i in got] == [round(distance[i], 9) for i in want]
+
+
+def test_candidates_of_dense_series_grow_with_the_points(spark):
+    """Ten straight, well separated series: four times the points are twice the pairs per probe, not four times."""
+
+    def pairs(n):
+        rows = spark.range(10 * n).select(
+            (F.col("id") % 10).alias("w"), "id", (F.floor(F.col("id") / 10) / n).alias("x"), ((F.col("id") % 10) * 0.5).cast("double").alias("y")
+        )
+        other = rows.select(F.col("w").alias("o"), F.col("id").alias("p"), "x", "y")
+        return candidates(rows, other, ["x", "y"], 5, ids=["id"], tie="p", differ=("w", "o"))[0].count()
+
+    assert pairs(400) < 9 * pairs(100)
+
+
+def test_candidates_in_five_dimensions(spark):
+    def pairs(n):
+        rows = spark.range(n).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_000)) / 10_000).alias(f"d{i}") for i in range(5)])
+        return candidates(rows, rows.select(F.col("id").alias("p"), *[f"d{i}" for i in range(5)]), [f"d{i}" for i in range(5)], 3, ids=["id"], tie="p")[0].count() / n
+
+    assert pairs(2000) < 2.5 * pairs(500)
