@@ -10,9 +10,11 @@ from strataline.plans.registry import query
 from strataline.sources.tables import make_row_id
 
 WIDE = [
-    "depth_from_start", "depth_fraction", "gr_filled", "tvt_input_filled", "x_step_1", "y_step_1", "z_step_1", "log_mean_10", "log_mean_30", "log_mean_100", "log_std_10",
+    "depth_from_start", "depth_fraction", "gr_filled", "tvt_input_filled", "x_step_1", "y_step_1", "z_step_1", "log_std_10",
     "log_slope_30", "log_diff_1", "log_diff_5", "log_lag_1", "log_lag_2", "log_lag_5", "log_lag_10", "log_lead_1", "log_lead_2", "log_lead_5", "log_lead_10", "path_step",
 ]
+# Means of few-digit values lie halfway between decimals now and then; as floats they don't.
+MEANS = ["log_mean_10", "log_mean_30", "log_mean_100"]
 ORDER = "PARTITION BY user_id ORDER BY row_idx"
 
 
@@ -33,10 +35,10 @@ wf AS (SELECT *, {", ".join(f"coalesce({c} - lag({c}) OVER ({ORDER}), 0) AS {c}_
 wide AS (SELECT *, CASE WHEN sl IS NULL OR isnan(sl) THEN 0 ELSE sl END AS log_slope_30, sqrt(x_step_1 * x_step_1 + y_step_1 * y_step_1 + z_step_1 * z_step_1) AS path_step FROM wf)"""
 
 
-@query("z02_feature_set", f"WITH {WIDE_SQL} SELECT user_id, row_idx, {rounded(*WIDE, digits=4)} FROM wide")
+@query("z02_feature_set", f"WITH {WIDE_SQL} SELECT user_id, row_idx, {rounded(*WIDE)}, {", ".join(f"CAST({m} AS FLOAT) AS {m}" for m in MEANS)} FROM wide")
 def feature_set(spark, sf):
     rows, _ = features.build_features(series(spark, sf), sets=["basic", "lags"], keys=KEYS)
-    return show(rows, ID, WIDE, 4)
+    return show(rows.withColumns({m: F.col(m).cast("float") for m in MEANS}), [*ID, *MEANS], WIDE)
 
 
 @query("z03_pipeline")
