@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.settings import work_folder
+from strataline.settings import ship, work_folder
 
 # Bytes of text that a Python function works on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -32,37 +32,47 @@ def held_out(doc_id: Column) -> Column:
 class Steps:
     """Tables written below spark.checkpoint.dir on the way to a result.
 
-    A written step is computed once and survives lost executors. ``drop`` removes a step
-    that nothing reads any more.
+    A written step is computed once and survives lost executors. ``drop`` and ``drop_all_but`` remove
+    steps that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[str, DataFrame]] = {}  # with the table, so that its id stays its own
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = work_folder(self.spark, self.name)
         df.write.parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(found)] = path
+        self.paths[id(found)] = (path, found)
+        # What the step shuffled is not needed any more; Spark deletes it once its own objects are collected.
+        self.spark._jvm.System.gc()
         return found
 
     def drop(self, *steps: DataFrame) -> None:
         for step in steps:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(step)))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(id(step))
 
+    def drop_all_but(self, *steps: DataFrame) -> None:
+        """Remove what the result does not read: it depends on these steps only."""
+        for key in self.paths.keys() - {id(s) for s in steps}:
+            self._delete(key)
 
-def own_ids(rows: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` (id, text) with an id per row, and the names (id, name) to go back by if ids had to be given.
+    def _delete(self, key: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[0])
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_ids(rows: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``rows`` (id, text) with an id per row and, if ids had to be given, the names (id, name) to go back by and the step of both.
 
     Ids that are present and unique stay. Else rows are numbered and written once, so that a row keeps its number.
     """
     most, absent = rows.groupBy("id").count().agg(F.max("count"), F.count_if(F.col("id").isNull())).first()
     if (most or 0) <= 1 and not absent:
-        return rows, None
+        return rows, None, None
     numbered = steps.keep(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
-    return numbered.select(F.col("row").alias("id"), "text"), numbered.select(F.col("row").alias("id"), F.col("id").alias("name"))
+    return numbered.select(F.col("row").alias("id"), "text"), numbered.select(F.col("row").alias("id"), F.col("id").alias("name")), numbered
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -82,11 +92,14 @@ def columns_of(df: DataFrame) -> str:
     return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in df.dtypes)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_slices(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = SLICE_BYTES
+) -> DataFrame:
     """Apply a function to slices of Arrow batches."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, limit):
             out = fn(piece)
             if out is not None and out.num_rows:
                 yield out

@@ -153,7 +153,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one, are documents of their own, in the order they are read. Other columns are ignored.
     """
     steps = Steps(docs.sparkSession, "spans")
-    rows, names = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
+    rows, names, numbered = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
     many = _span_rows(rows, run, min_words, full=False).groupBy("code").count().where("count > 1").select("code")
     spans = steps.keep(_span_rows(rows, run, min_words, full=True).join(many, "code"))
     first = spans.groupBy("code", "other").agg(F.min(F.struct("id", "first")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -163,6 +163,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .groupBy("id")
         .agg(F.collect_list(F.struct("first", "size")).alias("spans"))  # at most the sentences of one text
     )
+    gone = steps.keep(gone)
+    steps.drop_all_but(gone, *([numbered] if numbered is not None else []))
     out = _without(rows.join(gone, "id", "left").select("id", "text", "spans"))
     if names is not None:
         out = out.join(names, "id").drop("id").withColumnRenamed("name", "id")

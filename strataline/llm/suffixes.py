@@ -7,8 +7,10 @@ the passes move few rows, the digits of a suffix's key are taken in this order:
 1. the gram of 32 bytes with the least hash among those in the window (the first of equal ones). Suffixes
    that follow one another mostly share that gram at the same place, so one row stands for a run of them;
 2. the bytes of the whole run. Runs that are equal make all their suffixes equal;
-3. the bytes of each window, only in groups of digit 1 that hold different runs, and there once per
-   different run.
+3. only in groups of digit 1 that hold different runs, and there once per different run: the bytes that
+   16 neighbouring windows, counted from the gram, have in common;
+4. all bytes of those 16 windows. Blocks that are equal make all their suffixes equal;
+5. only in groups of digit 3 that hold different blocks: the bytes of each window.
 
 Whatever the order of digits, two suffixes have all digits equal exactly if their windows are equal.
 """
@@ -31,8 +33,13 @@ GRAM = 32
 SEGMENT = 1 << 18
 _PLACE_BITS = 20
 _PLACE = U64((1 << _PLACE_BITS) - 1)
-# A run's first byte and its number of windows in one long.
-_LEN_BITS = 20
+# Bytes of text at once where a text may give a row per window.
+FINE_BYTES = 1 << 18
+# Neighbouring windows that share a digit.
+BLOCK = 16
+# A run's first byte, its number of windows and the gram's place in it, in one long: 32, 16 and 16 bits.
+_HALF = 16
+_LOW = (1 << _HALF) - 1
 _A, _B, _C, _D = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)
 
 
@@ -129,7 +136,7 @@ def _grams(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _run_rows(rows: DataFrame, depth: int) -> DataFrame:
-    """(gram, digest, id, pos) of every run; pos holds the first byte in the text and the number of windows."""
+    """(gram, digest, id, pos) of every run; pos holds its first byte in the text, its number of windows and the gram's place."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list[np.ndarray]] = [[], [], [], []]
@@ -138,7 +145,7 @@ def _run_rows(rows: DataFrame, depth: int) -> DataFrame:
             digest = np.fromiter(
                 (_run_digest(view, b, n, s, depth) for b, n, s in zip(begin.tolist(), length.tolist(), spot.tolist(), strict=True)), np.int64, len(begin)
             )
-            for column, value in zip(out, (code.view(np.int64), digest, row, (start << _LEN_BITS) | length), strict=True):
+            for column, value in zip(out, (code.view(np.int64), digest, row, (start << 2 * _HALF) | (length << _HALF) | (spot - begin)), strict=True):
                 column.append(value)
         if not out[0]:
             return None
@@ -149,29 +156,74 @@ def _run_rows(rows: DataFrame, depth: int) -> DataFrame:
     return map_slices(rows, run, f"gram long, digest long, id {rows.schema['id'].dataType.simpleString()}, pos long")
 
 
-def _window_rows(asked: DataFrame, depth: int) -> DataFrame:
-    """(gram, window, digest, i) of every window of the runs asked for; ``asked`` has text and runs (gram, digest, pos)."""
+def _block_rows(asked: DataFrame, depth: int) -> DataFrame:
+    """(gram, digest, core, block, id, at, place) of the blocks of the runs asked for.
+
+    ``asked`` has id, text and runs (gram, digest, pos). Blocks are numbered from the gram backwards, so that
+    equal windows lie in blocks of one number. core: what all windows of that number have in common; block: the
+    bytes of those windows that the run has; at: where the first of them starts in the text; place: its number
+    in the run and how many there are.
+    """
+    core_size = depth - BLOCK + 1
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = Texts.of(piece.column("text"))
         view = memoryview(np.ascontiguousarray(texts.data))
-        grams, digests, sizes, windows = [], [], [], []
-        for base, runs in zip(texts.starts.tolist(), piece.column("runs").to_pylist(), strict=True):
+        digest = xxhash.xxh3_64_intdigest
+        owner, grams, digests, cores, blocks, ats, places = ([] for _ in range(7))
+        for row, (base, runs) in enumerate(zip(texts.starts.tolist(), piece.column("runs").to_pylist(), strict=True)):
             for r in runs:
-                start, length = base + (r["pos"] >> _LEN_BITS), r["pos"] & ((1 << _LEN_BITS) - 1)
-                grams.append(r["gram"])
-                digests.append(r["digest"])
-                sizes.append(length)
-                windows += [xxhash.xxh3_64_intdigest(view[s : s + depth]) for s in range(start, start + length)]
-        sizes = np.array(sizes, np.int64)
+                start, length, spot = r["pos"] >> 2 * _HALF, r["pos"] >> _HALF & _LOW, r["pos"] & _LOW
+                gram = base + start + spot
+                for number in range((spot - length + 1) // BLOCK, spot // BLOCK + 1):
+                    first, last = max(0, spot - number * BLOCK - BLOCK + 1), min(length - 1, spot - number * BLOCK)
+                    begin = gram - number * BLOCK
+                    owner.append(row)
+                    grams.append(r["gram"])
+                    digests.append(r["digest"])
+                    cores.append(digest(view[begin : begin + core_size], number))
+                    blocks.append(digest(view[base + start + first : base + start + last + depth], spot - first))
+                    ats.append(start + first)
+                    places.append(first << _HALF | (last - first + 1))
         return batch(
-            gram=np.repeat(np.array(grams, np.int64), sizes),
+            gram=np.array(grams, np.int64),
+            digest=np.array(digests, np.int64),
+            core=np.array(cores, U64).view(np.int64),
+            block=np.array(blocks, U64).view(np.int64),
+            id=piece.column("id").take(pa.array(owner, pa.int64())),
+            at=np.array(ats, np.int64),
+            place=np.array(places, np.int32),
+        )
+
+    kind = asked.schema["id"].dataType.simpleString()
+    return map_slices(asked, run, f"gram long, digest long, core long, block long, id {kind}, at long, place int", limit=FINE_BYTES)
+
+
+def _window_rows(asked: DataFrame, depth: int) -> DataFrame:
+    """(gram, window, core, block, i) of every window of the blocks asked for; ``asked`` has text and blocks."""
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts.of(piece.column("text"))
+        view = memoryview(np.ascontiguousarray(texts.data))
+        keys: list[tuple[int, int, int]] = []
+        sizes, windows = [], []
+        for base, blocks in zip(texts.starts.tolist(), piece.column("blocks").to_pylist(), strict=True):
+            for x in blocks:
+                start, n = base + x["at"], x["place"] & _LOW
+                keys.append((x["gram"], x["core"], x["block"]))
+                sizes.append(n)
+                windows += [xxhash.xxh3_64_intdigest(view[s : s + depth]) for s in range(start, start + n)]
+        repeat = np.array(sizes, np.int64)
+        gram, core, block = np.array(keys, np.int64).reshape(-1, 3).T
+        return batch(
+            gram=np.repeat(gram, repeat),
             window=np.array(windows, U64).view(np.int64),
-            digest=np.repeat(np.array(digests, np.int64), sizes),
-            i=(np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
+            core=np.repeat(core, repeat),
+            block=np.repeat(block, repeat),
+            i=(np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)).astype(np.int32),
         )
 
-    return map_slices(asked, run, "gram long, window long, digest long, i int")
+    return map_slices(asked, run, "gram long, window long, core long, block long, i int", limit=FINE_BYTES)
 
 
 def _without(joined: DataFrame, depth: int) -> DataFrame:
@@ -206,42 +258,63 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     One row per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept
     (the remaining bytes; a character may lose some of its bytes). Matches never cross documents; the same
-    document counts, overlaps too; strings are judged on the input. ``depth`` must be over 32.
+    document counts, overlaps too; strings are judged on the input. ``depth`` must be over 48.
 
     Null and empty texts, and those shorter than ``depth``, lose nothing. Rows that repeat an id are
     documents of their own, and so are rows without id. Other columns are ignored.
     """
     steps = Steps(docs.sparkSession, "suffixes")
-    rows, names = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
+    rows, names, numbered = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
     many = _grams(rows, depth).groupBy("gram").count().where("count > 1").select("gram")
     runs = steps.keep(_run_rows(rows, depth).join(many, "gram"))
     groups = steps.keep(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "pos")).alias("one")))
     mixed = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
     asked = groups.join(mixed, "gram").select("one.id", F.struct("gram", "digest", "one.pos").alias("run"))
     asked = asked.groupBy("id").agg(F.collect_list("run").alias("runs"))  # at most the runs of one text
-    windows = _window_rows(rows.join(asked, "id").select("text", "runs"), depth)
+    texts = steps.keep(rows.join(asked, "id"))
+
+    blocks = steps.keep(_block_rows(texts, depth))
+    kinds = steps.keep(
+        blocks.groupBy("gram", "core", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "at", "place")).alias("one"))
+    )
+    unlike = kinds.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram", "core")
+    wanted = kinds.join(unlike, ["gram", "core"]).select("one.id", F.struct("gram", "core", "block", "one.at", "one.place").alias("item"))
+    wanted = wanted.groupBy("id").agg(F.collect_list("item").alias("blocks"))  # at most the blocks of one text
+    windows = steps.keep(_window_rows(texts.select("id", "text").join(wanted, "id").select("text", "blocks"), depth))
+    steps.drop(texts)
     again = windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window")
-    # Repeated windows of a run that has no equal: one row per run, with the numbers of at most a few hundred windows.
-    partly = windows.join(again, ["gram", "window"]).groupBy("gram", "digest").agg(F.sort_array(F.collect_list("i")).alias("hits"))
-    covered = groups.join(partly, ["gram", "digest"], "left").where("copies > 1 or hits is not null").select("gram", "digest", (F.col("copies") > 1).alias("whole"), "hits")
-    start, length = F.shiftright("pos", _LEN_BITS), F.col("pos").bitwiseAND(F.lit((1 << _LEN_BITS) - 1))
-    # Window starts that follow one another within the depth cover one stretch.
-    stretches = F.aggregate(
-        "hits",
-        F.expr("cast(array() as array<struct<first: long, last: long>>)"),
-        lambda done, i: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["last"] + depth >= i),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), i.cast("long").alias("last")))),
-        ).otherwise(F.concat(done, F.array(F.struct(i.cast("long").alias("first"), i.cast("long").alias("last"))))),
+    partly = windows.join(again, ["gram", "window"]).groupBy("gram", "core", "block").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+
+    # The windows of a run start within less than a window of one another, so what its repeated windows
+    # cover is one stretch, from the first of them to the last.
+    size, first = F.col("place").bitwiseAND(F.lit(_LOW)), F.shiftright("place", _HALF)
+    known = kinds.join(partly, ["gram", "core", "block"], "left").where("copies > 1 or low is not null")
+    within = (
+        blocks.select("gram", "digest", "core", "block", "place")
+        .join(known.select("gram", "core", "block", "copies", "low", "high"), ["gram", "core", "block"])
+        .groupBy("gram", "digest")
+        .agg(
+            F.min(first + F.when(F.col("copies") > 1, F.lit(0)).otherwise(F.col("low"))).alias("low"),
+            F.max(first + F.when(F.col("copies") > 1, size - 1).otherwise(F.col("high"))).alias("high"),
+        )
     )
-    whole = F.array(F.struct(start.alias("first"), (start + length - 1).alias("last")))
-    parts = F.transform(F.col("stretches"), lambda s: F.struct((start + s["first"]).alias("first"), (start + s["last"]).alias("last")))
+    covered = groups.select("gram", "digest", "copies").join(within, ["gram", "digest"], "left").where("copies > 1 or low is not null")
+    start, length = F.shiftright("pos", 2 * _HALF), F.shiftright("pos", _HALF).bitwiseAND(F.lit(_LOW))
+    whole = F.col("copies") > 1
     spans = (
-        runs.join(covered.select("gram", "digest", "whole", F.when(~F.col("whole"), stretches).alias("stretches")), ["gram", "digest"])
-        .select("id", F.explode(F.when(F.col("whole"), whole).otherwise(parts)).alias("span"))
+        runs.join(covered, ["gram", "digest"])
+        .select(
+            "id",
+            F.struct(
+                (start + F.when(whole, F.lit(0)).otherwise(F.col("low"))).alias("first"),
+                (start + F.when(whole, length - 1).otherwise(F.col("high"))).alias("last"),
+            ).alias("span"),
+        )
         .groupBy("id")
         .agg(F.collect_list("span").alias("spans"))  # at most the runs of one text
     )
+    spans = steps.keep(spans)
+    steps.drop_all_but(spans, *([numbered] if numbered is not None else []))
     out = _without(rows.join(spans, "id", "left").select("id", "text", "spans"), depth)
     if names is not None:
         out = out.join(names, "id").drop("id").withColumnRenamed("name", "id")
