@@ -154,9 +154,10 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     steps = Steps(docs.sparkSession, "spans")
     rows, names, numbered = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
-    many = _span_rows(rows, run, min_words, full=False).groupBy("code").count().where("count > 1").select("code")
+    # Written, so that the joins read plain exchanges, of which Spark splits those of a hot span.
+    many = steps.keep(_span_rows(rows, run, min_words, full=False).groupBy("code").count().where("count > 1").select("code"))
     spans = steps.keep(_span_rows(rows, run, min_words, full=True).join(many, "code"))
-    first = spans.groupBy("code", "other").agg(F.min(F.struct("id", "first")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = steps.keep(spans.groupBy("code", "other").agg(F.min(F.struct("id", "first")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     gone = (
         spans.join(first.select("code", "other", "at"), ["code", "other"])
         .where((F.col("id") != F.col("at.id")) | (F.col("first") != F.col("at.first")))
