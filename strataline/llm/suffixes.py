@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     steps = Steps(docs.sparkSession, "suffixes")
     rows, names, numbered = own_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), steps)
-    many = _grams(rows, depth).groupBy("gram").count().where("count > 1").select("gram")
+    # Written, so that the join reads plain exchanges, of which Spark splits those of a hot gram.
+    many = steps.keep(_grams(rows, depth).groupBy("gram").count().where("count > 1").select("gram"))
     runs = steps.keep(_run_rows(rows, depth).join(many, "gram"))
     groups = steps.keep(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "pos")).alias("one")))
     mixed = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
