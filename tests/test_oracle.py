@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 # Long series: one query per way of crossing a chunk border.
 LONG = [
     "b02_zone_info", "b05_carry_last_known", "c03_interpolate_gaps", "c10_robust_zscore", "c11_pct_rank", "d20_window_chain",
-    "e03_lateral_distance", "f01_interp_join", "f16_self_match", "g03_layer_lookup", "j01_savgol", "j09_slope_limit", "p07_safe_corr",
+    "e03_lateral_distance", "f01_interp_join", "f06_lag_scan", "f16_self_match", "g03_layer_lookup", "h07_neighbor_dip", "j01_savgol", "j09_slope_limit", "p07_safe_corr",
 ]
 
 
