@@ -24,6 +24,8 @@ SLACK = 5.0
 CLUSTER = 0.6
 # Documents of a cluster that a task compares with as many others, and their shingles.
 BLOCK, BLOCK_ITEMS = 512, 1 << 20
+# Documents of a bucket whose sketches a task compares with as many others.
+SKETCH_BLOCK = 2048
 
 _LOWER = byte_table()
 _WORD = ~flags((9, 13), (32, 32))
@@ -262,6 +264,55 @@ def _links_in_blocks(docs: DataFrame, words: int, share: tuple[int, int]) -> Dat
     return dealt.select("docs").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _meetings(entries: DataFrame, most: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of documents of one bucket and of different clusters that may be a link; of those that join the same two in a block one.
+
+    ``entries`` has key, rep, cluster, n and sketch. All documents of a bucket are compared with each other,
+    by size and sketch. A large bucket is cut into blocks by a hash, and every pair of blocks is a row.
+    """
+    num, den = share
+    kind = entries.schema["rep"].dataType.simpleString()
+    sizes = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SKETCH_BLOCK).cast("int").alias("parts"))
+    dealt = (
+        entries.join(sizes, "key")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .agg(F.collect_list(F.struct((F.col("own") > F.col("other")).alias("side"), "rep", "cluster", "n", "sketch")).alias("docs"))  # two blocks
+    )
+
+    def run(batches):
+        for piece in batches:
+            lists = piece.column("docs")
+            flat = lists.flatten()
+            borders = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            side, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("side", "n"))
+            sketch = flat.field("sketch").flatten().to_numpy(zero_copy_only=False).view(U64).reshape(-1, _WORDS64)
+            cluster = np.unique(np.array(flat.field("cluster").to_pylist()), return_inverse=True)[1]
+            a_out, b_out = [], []
+            for first, last in zip(borders[:-1], borders[1:], strict=True):
+                label = cluster[first:last].copy()
+                right = np.flatnonzero(side[first:last])
+                left = np.flatnonzero(~side[first:last]) if len(right) else np.arange(last - first)
+                for place, a in enumerate(left):
+                    others = right if len(right) else left[place + 1 :]
+                    others = others[label[others] != label[a]]
+                    others = others[np.minimum(size[first + others], size[first + a]) * den >= np.maximum(size[first + others], size[first + a]) * num]
+                    if not len(others):
+                        continue
+                    apart = np.bitwise_count(sketch[first + others] ^ sketch[first + a]).sum(axis=1, dtype=np.int64)
+                    for b in others[apart <= most]:
+                        if label[a] != label[b]:
+                            label[label == label[b]] = label[a]
+                            a_out.append(int(first + a))
+                            b_out.append(int(first + b))
+            if a_out:
+                reps = flat.field("rep")
+                yield batch(a=reps.take(pa.array(a_out)), b=reps.take(pa.array(b_out)))
+
+    return dealt.select("docs").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)
 ) -> DataFrame:
@@ -274,8 +325,10 @@ def near_duplicates(
     2. Representatives that share a MinHash band fall into a bucket. In each bucket all are compared with
        one member picked by a hash, by odd sketch; the likeliest pair of each document is confirmed.
     3. Documents near a bucket's pivot, by a much lower bar, are one cluster with it: copies of one text
-       meet in many buckets, so that links lie within clusters. Clusters that still hold several components
-       are compared in blocks, on full sets and without a row per pair; blocks of one component are skipped.
+       meet in many buckets, so that most links lie within clusters. In buckets that hold several clusters all
+       documents are compared by sketch, in blocks: where two may be a link, their clusters become one.
+    4. Clusters that still hold several components are compared in blocks, on full sets and without a row
+       per pair; blocks of one component are skipped.
 
     Null and empty texts have an empty set and are linked with nothing. Rows without id are linked with
     nothing, have no component and are kept. Rows that share an id are one node of the graph, each with
@@ -335,7 +388,14 @@ def near_duplicates(
         links = links.unionByName(same_id)
     found = contract(links)
 
-    clusters = contract(alike.select("a", "b").unionByName(links))
+    near_pivots = alike.select("a", "b").unionByName(links)
+    clusters = contract(near_pivots)
+    # A bucket of one cluster has all its pairs in it. The others are compared whole, whatever their pivot is.
+    grouped = steps.keep(labelled(buckets.select("key", "rep"), clusters, "rep", "cluster"))
+    open_buckets = grouped.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("key")
+    meetings = steps.keep(_meetings(steps.keep(grouped.join(open_buckets, "key").join(looks, "rep")), most, share))
+    if not meetings.isEmpty():
+        clusters = contract(near_pivots.unionByName(meetings))
     placed = labelled(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), found, "rep", "component")
     open_clusters = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cluster")
     members = steps.keep(placed.join(open_clusters, "cluster").join(reps.select("rep", "n"), "rep").join(texts, "rep"))

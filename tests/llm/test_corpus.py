@@ -199,6 +199,25 @@ def test_large_groups_of_near_copies(spark, block, monkeypatch):
     assert {i: r.component_id for i, r in found.items()} == want
 
 
+def test_links_among_thousands_of_like_documents(spark, monkeypatch):
+    """Documents made of lines that many others hold too, similar at about a third: buckets are full of strangers, one of which is the pivot."""
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 100, raising=False)
+    pick = random.Random(23)
+    own_words = lambda k: [pick.choice(WORDS) + pick.choice(WORDS) + pick.choice(WORDS) for _ in range(k)]
+    lines = [own_words(10) for _ in range(60)]
+    texts = [[w for i in sorted(pick.sample(range(60), 33)) for w in lines[i]] for _ in range(8000)]
+    pairs = [(2 * i, 2 * i + 1) for i in range(150)]
+    for a, b in pairs:
+        texts[b] = texts[a][:-22] + own_words(22)
+    sets = word_sets({i: " ".join(t) for i, t in enumerate(texts)}, 3)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(a, b) >= 0.85 for a, b in pairs)
+    assert all(0.15 < alike(a, a + 101) < 0.6 for a in range(300, 7800, 7))
+    found = by_id(neardup.near_duplicates(docs_of(spark, [" ".join(t) for t in texts]), words=3, share=(85, 100)))
+    assert [(a, b) for a, b in pairs if found[b].component_id != a] == []
+    assert sum(not r.kept for r in found.values()) == len(pairs)
+
+
 def test_near_duplicate_edges(spark):
     rows = neardup.near_duplicates(edge_docs(spark), words=3, share=(85, 100)).collect()
     assert len(rows) == len(edge_rows())
