@@ -109,14 +109,14 @@ _DIGIT_RUN = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:(?:[ ,.()-]{{1,3}}|[ ]?(?:dot|
 _ONE_DIGIT_WORD = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.IGNORECASE)
 _DIGIT_HINT = re.compile(r"(?:ero|two|ree|our|ive|six|eve|igh|ine|ins|wei|rei|ier|ünf|sechs|sie|acht|neun|éro|deux|trois|quatre|cinq|sept|huit|neuf|uno|dos|tres|cuat|cinco|seis|iete|ocho|nuev)", re.IGNORECASE)
 
-# at and dot written out: in brackets, or as words of their own.
+# at and dot written out: in brackets, or as words of their own. The hint finds all that the rules for addresses accept.
 _AT = r"(?:[ ]?[(\[{<][ ]?(?:at|@|arroba|ät)[ ]?[)\]}>][ ]?|[ ](?:at|arroba|ät)[ ]|[ ]?@[ ]?)"
 _DOT = r"(?:[ ]?[(\[{<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[)\]}>][ ]?|[ ](?:dot|punkt|point|punto)[ ]|\.)"
 _LOCAL = r"[A-Za-z0-9_%+-]++(?:(?:[ ]?[(\[{<][ ]?(?:dot|punkt|point|punto)[ ]?[)\]}>][ ]?|[ ](?:dot|punkt|point|punto)[ ]|\.)[A-Za-z0-9_%+-]++)*+"
 _WRITTEN_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])({_LOCAL})({_AT})([A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+)", re.IGNORECASE)
 _WRITTEN_IP = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
 _DOT_AT = re.compile(_DOT, re.IGNORECASE)
-_WRITTEN_HINT = re.compile(r"[(\[{<][ ]?(?:at|@|arroba|ät|dot|punkt|point|punto|\.)[ ]?[)\]}>]|[ ](?:dot|punkt|point|punto)[ ]", re.IGNORECASE)
+_WRITTEN_HINT = re.compile(r"[(\[{<][ ]?(?:at|@|arroba|ät|dot|punkt|point|punto|\.)[ ]?[)\]}>]|[ ](?:dot|punkt|point|punto)[ ]|[ ](?:at|arroba|ät)[ ](?=[A-Za-z0-9-]++\.[A-Za-z0-9-])|[ ]@|@[ ]", re.IGNORECASE)
 
 
 @dataclass

@@ -123,6 +123,22 @@ def test_disguised_spans_map_back_to_the_source(text, kind, span):
     assert any(k == kind and text[s:e] == span for k, s, e in (*base, *added))
 
 
+FILLER = "Nothing else of note is said here, and so it goes on. " * 8
+
+
+@pytest.mark.parametrize("span", ["john at example.com", "john @ example.com", "john@ example.com", "john.doe @example.co.uk", "john at mail.example.org"])
+def test_written_addresses_alone_in_a_long_text(span):
+    text = f"{FILLER}write to {span} or not. {FILLER}"
+    base, added = find_private(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in added][-1:] == [("email", span)] and len(added) == 1
+
+
+@pytest.mark.parametrize("neighbour", ["", "x (at) y [dot] org "])
+def test_an_address_is_found_whatever_stands_beside_it(neighbour):
+    text = f"{FILLER}{neighbour}ask john at example.com. {FILLER}"
+    assert "john at example.com" in [text[s:e] for _, s, e in find_private(text)[1]]
+
+
 @pytest.mark.parametrize("text", ["We met at noon. The dot was red.", "One two three, go at once.", "look at me dot", PROSE, "un deux trois soleil"])
 def test_plain_prose_has_no_personal_data(text):
     assert find_private(text) == ([], [])
