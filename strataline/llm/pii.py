@@ -105,7 +105,8 @@ _SPELLED = {
 }
 _DIGIT_WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 # A run of spelled digits long enough for an identifier part; groups may be set apart by signs or "dot".
-_DIGIT_RUN = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:(?:[ ,.()-]{{1,3}}|[ ]?(?:dot|point)[ ]?){_DIGIT_WORD}){{3,}}(?!\w)", re.IGNORECASE)
+_PLUS = "(?:plus|più|piu|más|mas)"  # before a run: the sign of a phone number
+_DIGIT_RUN = re.compile(rf"(?<!\w)(?P<plus>{_PLUS}[ ,.()-]{{1,3}})?{_DIGIT_WORD}(?:(?:[ ,.()-]{{1,3}}|[ ]?(?:dot|point)[ ]?){_DIGIT_WORD}){{3,}}(?!\w)", re.IGNORECASE)
 _ONE_DIGIT_WORD = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.IGNORECASE)
 _DIGIT_HINT = re.compile(r"(?:ero|two|ree|our|ive|six|eve|igh|ine|ins|wei|rei|ier|ünf|sechs|sie|acht|neun|éro|deux|trois|quatre|cinq|sept|huit|neuf|uno|dos|tres|cuat|cinco|seis|iete|ocho|nuev)", re.IGNORECASE)
 
@@ -149,10 +150,14 @@ class Tape:
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    """Digit words of a run become digits, what stands between them goes or becomes a full stop."""
+    """Digit words of a run become digits, what stands between them goes or becomes a full stop, a plus word before them a sign."""
     out = []
     for run in _DIGIT_RUN.finditer(text):
-        words = list(_ONE_DIGIT_WORD.finditer(text, run.start(), run.end()))
+        first = run.start()
+        if run["plus"]:
+            first = run.end("plus")
+            out.append((*run.span("plus"), "+"))
+        words = list(_ONE_DIGIT_WORD.finditer(text, first, run.end()))
         for i, word in enumerate(words):
             if i:
                 between = text[words[i - 1].end() : word.start()]

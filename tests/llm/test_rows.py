@@ -144,6 +144,26 @@ def test_plain_prose_has_no_personal_data(text):
     assert find_private(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "span",
+    [
+        "plus four four two zero seven nine four six zero one two three",
+        "Plus vier neun drei null eins zwei drei vier fünf sechs",
+        "más tres cuatro nueve uno uno dos tres cuatro cinco seis siete",
+        "plus trois trois, un deux trois quatre cinq six sept huit",
+    ],
+)
+def test_spelled_phones_map_back_to_the_source(span):
+    text = f"{FILLER}call {span} today. {FILLER}"
+    base, added = find_private(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in added] == [("phone", span)]
+
+
+@pytest.mark.parametrize("text", ["plus one two three four", "one plus one", "a plus: two, three, four, five", "surplus four four two zero seven nine four six zero one two"])
+def test_a_plus_without_a_phone(text):
+    assert find_private(text) == ([], [])
+
+
 def test_pii_rows(spark):
     order = {k: i for i, k in enumerate(("email", "ip", "card", "phone"))}
     for row in documents(spark).join(find_pii(documents(spark)), "doc_id").collect():
