@@ -290,6 +290,26 @@ def test_mixed_order(spark):
     assert set(seen.values()) == {1}
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 0.7, "b": 0.299999, "c": 3e-5, None: 2**0.5}])
+def test_order_keeps_to_the_true_weights(spark, weights):
+    """Tens of thousands of slots: what one of them lacks must not add up."""
+    from fractions import Fraction
+
+    sizes = {"a": 30_000, "b": 1_700, "c": 1, None: 333}
+    rows = [(n, s) for s, size in sizes.items() for n in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    order = mixing.mix_sources(docs, weights=weights, block=1).collect()
+    line = [r.source for r in sorted(order, key=lambda r: r.slot)]
+    assert sorted(r.slot for r in order) == list(range(len(line))) and len(line) > 30_000
+    assert {(r.doc_id, r.source) for r in order} == set(rows)
+    true = {s: Fraction(w) for s, w in (weights or {s: n**mixing.POWER for s, n in sizes.items()}).items()}
+    total, had = sum(true.values()), Counter()
+    for slot, source in enumerate(line):
+        had[source] += 1
+        if slot % 97 == 0 or slot > len(line) - 500:
+            assert all(abs(had[s] - (slot + 1) * w / total) < 1 + 1e-9 for s, w in true.items())
+
+
 def test_mixing_edges(spark):
     rows = mixing.mix_sources(edge_docs(spark)).collect()
     assert {(r.doc_id, r.source) for r in rows} == {(r[0], r[3]) for r in edge_rows()}
