@@ -14,8 +14,10 @@ from strataline.llm.common import U64, Steps, Texts, Words, powers_upto, batch,
 # A span is the shortest run of at least so many sentences that has at least so many words.
 RUN = 2
 MIN_WORDS = 20
-# A sentence of more words is also cut after words whose hash is 0 modulo CUT, so that text without
-# full stops has sentences that follow its content.
+# A sentence of more words is also cut after the word with the least hash of every CUT consecutive ones, so
+# that text without full stops has sentences that follow its content, of at most CUT words but for its ends.
+# Two texts that share a passage of n words without marks share the cuts but for 2 CUT - 2 words at either
+# end, so that n > 4 CUT + MIN_WORDS - 4 words hold a span for certain.
 LONG_SENTENCE = 24
 CUT = 8
 
@@ -40,6 +42,21 @@ def _count(table: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
 
 
+def _cuts(code: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Words after which long sentences are cut: the last of the least in every CUT words of a sentence."""
+    at = np.flatnonzero(np.bincount(number)[number] > LONG_SENTENCE)
+    n = len(at) - CUT + 1
+    if n <= 0:
+        return at[:0]
+    code, number = code[at], number[at]
+    least, place = code[:n].copy(), np.arange(n)
+    for i in range(1, CUT):
+        lower = code[i : n + i] <= least
+        least[lower] = code[i : n + i][lower]
+        place[lower] = np.flatnonzero(lower) + i
+    return at[place[number[:n] == number[CUT - 1 :]]]
+
+
 def find_sentences(texts: Texts) -> Sentences:
     """Words are runs of letters, digits and non-ASCII characters; case is ignored. A sentence ends at a
     line end, or at a full stop, exclamation or question mark with white space before the next word."""
@@ -52,8 +69,7 @@ def find_sentences(texts: Texts) -> Sentences:
         a, b = words.end[:-1], words.start[1:]
         ends[:-1] = (line[b] > line[a]) | ((stop[b] > stop[a]) & (space[b] > space[a])) | (words.text[1:] != words.text[:-1])
         number = np.concatenate([[0], np.cumsum(ends[:-1])])
-        long = np.bincount(number)[number] > LONG_SENTENCE
-        ends |= long & (words.hash % U64(CUT) == 0)
+        ends[_cuts(words.hash, number)] = True
     head = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1]) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(head, n))
     first, last = np.searchsorted(head, words.first), np.searchsorted(head, words.last)

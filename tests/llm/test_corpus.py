@@ -110,6 +110,24 @@ def test_unpunctuated_passages(spark):
     assert sum(w in set(passage.split()) for w in left) < 184 and len(left) <= 33 + 61 + 45
 
 
+@pytest.mark.parametrize("vocabulary", [48, 2000])
+def test_every_unpunctuated_passage_of_over_fifty_words_is_found(spark, vocabulary):
+    pick = random.Random(vocabulary)
+    known = WORDS if vocabulary == 48 else [f"{a}{b}" for a in WORDS for b in WORDS][:vocabulary]
+    stream = lambda n: " ".join(pick.choice(known) for _ in range(n))
+    texts = []
+    for i in range(400):
+        passage = stream(51)
+        texts += [f"{stream(pick.randint(20, 90))} {passage} {stream(pick.randint(20, 90))}" for _ in range(2)]
+    line = "so it goes and so it went " * 8  # over fifty words, few of them distinct
+    texts += [f"{stream(9)}.\n{line}\n{stream(12)}.", f"{stream(14)}.\n{line}\n{stream(7)}."]
+    found = by_id(remove_repeated_spans(docs_of(spark, texts)))
+    assert [i for i in range(1, len(texts), 2) if not found[i].n_removed] == []
+    for i in range(1, 801, 2):
+        gone = len(texts[i].split()) - len(found[i].text.split())
+        assert 20 <= gone <= 51
+
+
 def test_span_edges(spark):
     rows = remove_repeated_spans(edge_docs(spark)).collect()
     assert len(rows) == len(edge_rows())
