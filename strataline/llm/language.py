@@ -33,6 +33,8 @@ BITS = 11
 ORDERS = (1, 2, 3)
 # Most labelled rows, in expectation, that the machines are fitted on: the bound on the training sample.
 SAMPLE_ROWS = 6_000
+# Rows of a language, in expectation, that the bound never goes below.
+LEAST_ROWS = 32
 SCALE = 64.0
 
 _SEED = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)  # odd multipliers, one per gram length
@@ -144,20 +146,33 @@ class LanguageModel:
         return list(picked), sure
 
 
+def _level(counts: Sequence[int], rows: int) -> float:
+    """Rows to take of each language, or all that it has, so that there are at most ``rows`` in all."""
+    left, level = rows, 0.0
+    for i, n in enumerate(sorted(counts)):
+        level = left / (len(counts) - i)
+        if n > level:
+            break
+        left -= n
+    return max(level, LEAST_ROWS)
+
+
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit the machines on rows with a language and a letter in the text.
 
-    At most ``sample_rows`` rows are used in expectation, picked by a hash of the id. The sample's
-    features are written once and each machine is fitted by Spark on the rows of its two sides.
+    At most ``sample_rows`` rows are used in expectation, or ``LEAST_ROWS`` of each language if that is
+    more, picked by a hash of the id: of every language the same number, or all rows if it has fewer. The
+    sample's features are written once and each machine is fitted by Spark on the rows of its two sides.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        "text is not null and lang is not null"
+        F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()
     )
-    known = labelled.count()
-    if known > sample_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / known))
-    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if sum(counts.values()) > sample_rows:
+        level = _level(list(counts.values()), sample_rows)
+        most = F.create_map(*(v for x, n in counts.items() for v in (F.lit(x), F.lit(int((1 << 30) * min(level / n, 1.0))))))
+        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < most[F.col("lang")])
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         features = _frequencies(Texts.of(rows.column("text")))

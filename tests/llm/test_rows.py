@@ -252,6 +252,26 @@ def test_language_of_held_out_documents(spark):
     assert language.predict_language(empty_docs(spark), model).collect() == []
 
 
+def test_a_rare_language_stays_in_the_sample(spark):
+    pick = random.Random(8)
+    words = {"aa": "kalo misu rena toba", "cc": "üöä éèê ñõã çßø"}
+    text = lambda lang: " ".join(pick.choice(words[lang].split()) for _ in range(12))
+    rows = [(i, lang, text(lang)) for i, lang in enumerate(["aa"] * 3000 + ["cc"] * 3)]
+    rows += [(10_000 + i, "cc", "1234 !!") for i in range(2000)]  # nothing to learn from
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fit_language(docs, sample_rows=100)
+    assert model.languages == ["aa", "cc"]
+    found = by_id(language.predict_language(docs_of(spark, [text("cc"), text("aa")]), model))
+    assert [found[i].lang_pred for i in range(2)] == ["cc", "aa"]
+
+
+def test_sample_level_keeps_the_bound():
+    for counts in ([5, 10, 9000, 90_000], [6001], [3, 3], [2000] * 4, [1, 5000, 5000]):
+        level = language._level(counts, 6000)
+        assert sum(min(n, level) for n in counts) <= 6000 + 1e-6 and (sum(counts) <= 6000 or sum(min(n, level) for n in counts) > 5999)
+    assert language._level([1000] * 1000, 6000) == language.LEAST_ROWS
+
+
 def test_one_language_and_no_language(spark):
     one = language.fit_language(docs_of(spark, [PROSE, "more words"]).withColumn("lang", F.lit("xx")))
     assert [r.lang_pred for r in language.predict_language(docs_of(spark, [LONG]), one).collect()] == ["xx"]
