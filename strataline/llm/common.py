@@ -205,3 +205,15 @@ def flags(*ranges: tuple[int, int]) -> np.ndarray:
 
 def batch(**columns: pa.Array | np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key, of which any may stand for a third of the rows.
+
+    ``hot`` tells the table's keys that hold more than a thousandth of the rows. They are fewer than a thousand,
+    which bounds their broadcast; no key of the shuffled rest holds more. The table should be a written step.
+    """
+    large, small = table.where(hot), table.where(~hot)
+    known = rows.join(F.broadcast(large), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key, how)
+    return known.unionByName(rest)

@@ -19,6 +19,8 @@ from strataline.llm.quality import fit_quality, score_quality
 from strataline.llm.spans import remove_repeated_spans
 from strataline.llm.suffixes import remove_repeats
 from strataline.llm.tokens import count_tokens
+from strataline.llm.warc import read_warc, write_warc
+from strataline.settings import work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -68,6 +70,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), work_folder(spark, "archive")
+    write_warc(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    found = read_warc(spark, folder, payloads=False)
+    return found.select(
+        F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +93,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_spans,
         op9_language_id,
         op10_token_counts,
+        op13_warc_archive,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op13_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             s AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS same FROM p),
+             r AS (
+                 SELECT *, row_number() OVER (PARTITION BY same ORDER BY page_id DESC NULLS LAST) AS nth,
+                     first_value(page_id) OVER (PARTITION BY same ORDER BY page_id DESC NULLS LAST) AS best FROM s
+             )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND nth > 1 THEN best END AS refers_to
+        FROM r
+    """,
+}
