@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.llm.common import held_out, table
+from strataline.llm.conversations import conversation_report, damage, repair_conversations
 from strataline.llm.decontaminate import scan_benchmark
 from strataline.llm.language import fit_language, predict_language
 from strataline.llm.merkle import compare_with_next
@@ -70,6 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_report(repair_conversations(damage(table(spark, sf_dir, "conversations"))))
+
+
 def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), work_folder(spark, "archive")
     write_warc(pages, folder)
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_spans,
         op9_language_id,
         op10_token_counts,
+        op11_conversation_repair,
         op13_warc_archive,
     )
 }
