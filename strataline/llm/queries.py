@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.collocations import top_collocations
 from strataline.llm.common import held_out, table
 from strataline.llm.conversations import conversation_report, damage, repair_conversations
 from strataline.llm.decontaminate import scan_benchmark
@@ -75,6 +76,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_report(repair_conversations(damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), work_folder(spark, "archive")
     write_warc(pages, folder)
@@ -99,10 +104,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_token_counts,
         op11_conversation_repair,
+        op12_collocations,
         op13_warc_archive,
     )
 }
 SQL: dict[str, str] = {
+    "op12_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+        ),
+        p AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+        i AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM w WHERE len(words) > 0),
+        g AS (
+            SELECT lang, array_to_string(list_slice(words, pos, pos + m - 1), ' ') AS phrase
+            FROM i, (VALUES (1), (2), (3), (4)) AS s(m) WHERE pos + m - 1 <= len(words)
+        ),
+        c AS (SELECT lang, phrase, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
+        f AS MATERIALIZED (SELECT lang, string_split(phrase, ' ') AS ws, f FROM c),
+        total AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+        cut AS (
+            SELECT c.lang, c.ws, c.f AS a, k, l.f AS l, r.f AS r,
+                CAST((2000000::HUGEINT * c.f) // (l.f + r.f) AS BIGINT) AS score
+            FROM f c, (VALUES (1), (2), (3)) AS s(k), f l, f r
+            WHERE len(c.ws) > k AND l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k) AND r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, len(c.ws))
+        ),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS nth FROM cut),
+        part AS (
+            SELECT lang, list_slice(ws, x, x + m - 1) AS ws, max(f) AS f FROM f, (VALUES (2), (3)) AS s(m), (VALUES (1), (2), (3)) AS o(x)
+            WHERE len(ws) > m AND x + m - 1 <= len(ws) GROUP BY ALL
+        ),
+        kept AS (
+            SELECT low.lang, array_to_string(low.ws, ' ') AS phrase, a, l, r, score FROM low
+            LEFT JOIN part ON part.lang = low.lang AND part.ws = low.ws
+            WHERE nth = 1 AND NOT coalesce(100::HUGEINT * part.f >= 80::HUGEINT * a, false)
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
     "op13_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              s AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS same FROM p),
