@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import Steps, Texts, byte_table, find_words, flags, map_slices
+from strataline.llm.common import Steps, Texts, byte_table, flags, map_slices
 from strataline.settings import ship
 
 LONGEST, LEAST, SCALE, COVER, TOP = 4, 30, 2_000_000, (80, 100), 2000
 # Text that is counted at once before the shuffle.
-SLICE = 8 << 20
+SLICE = 4 << 20
 # Text bytes per partition of records, and one text in so many to place the partitions' bounds (nothing else depends on it).
-PART_BYTES, BOUNDS_SHARE, MOST_PARTS = 24 << 20, 64, 50_000
+PART_BYTES, BOUNDS_SHARE, MOST_PARTS = 8 << 20, 64, 50_000
 
 _END = flags((10, 13), (33, 33), (44, 44), (46, 46), (58, 59), (63, 63))  # . , ; : ! ? and line ends
 _WORD = ~(_END | flags((9, 9), (32, 32)))
@@ -52,15 +52,22 @@ _BACK = bytes([0, *range(9), *range(10, 256)])
 def _records(lang: str, column: pa.Array) -> tuple[pa.Array, np.ndarray] | None:
     """Distinct records of a slice's texts in one language, in order, and their counts."""
     texts = Texts.of(column)
-    words = find_words(texts, texts.data, _WORD)
-    n = len(words.start)
+    # Words are runs of word bytes; a text may begin right after the last word of the text before it.
+    inside = _WORD[texts.data]
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    first = texts.starts[texts.sizes > 0]
+    head[first] = inside[first]
+    start = np.flatnonzero(head)
+    n = len(start)
     if not n:
         return None
+    upto = np.cumsum(inside, dtype=np.int32)
     # Words by their bytes: distinct ones in order, each with its end.
-    offsets = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    offsets = np.append(upto[start] - 1, upto[-1]).astype(np.int64)
     wide = offsets[-1] * (LONGEST + 1) + 8 * n > 2**31 - 1
     kind, width = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
-    flat = _HELD[texts.data[_WORD[texts.data]]]
+    flat = _HELD[texts.data[inside]]
     held = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(flat)])
     found = held.dictionary_encode()
     order = pc.array_sort_indices(found.dictionary)
@@ -69,9 +76,12 @@ def _records(lang: str, column: pa.Array) -> tuple[pa.Array, np.ndarray] | None:
     word = rank[found.indices.to_numpy(zero_copy_only=False)]
     end, nothing = pa.scalar(b"\0", kind), pa.scalar(b"", kind)
     lexicon = pa.concat_arrays([pa.array([b""], kind), pc.binary_join_element_wise(found.dictionary.take(order), end, nothing)])
-    piece = np.cumsum(_END[texts.data])[words.start]
+    # A piece ends at its marks and with its text.
+    marks = _END[texts.data].astype(np.int32)
+    np.add.at(marks, first, 1)
+    piece = np.cumsum(marks, dtype=np.int32)[start]
     following = np.zeros(n, bool)  # whether the next word is in the same piece
-    following[:-1] = (words.text[1:] == words.text[:-1]) & (piece[1:] == piece[:-1])
+    following[:-1] = piece[1:] == piece[:-1]
 
     def after(values: np.ndarray, steps: int) -> np.ndarray:
         """The value so many words on in the piece, else 0."""

@@ -124,13 +124,16 @@ SQL: dict[str, str] = {
         c AS (SELECT lang, phrase, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
         f AS MATERIALIZED (SELECT lang, string_split(phrase, ' ') AS ws, f FROM c),
         total AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+        way AS MATERIALIZED (
+            SELECT lang, ws, f AS a, k, list_slice(ws, 1, k) AS head, list_slice(ws, k + 1, len(ws)) AS tail
+            FROM f, (VALUES (1), (2), (3)) AS s(k) WHERE len(ws) > k
+        ),
+        half AS MATERIALIZED (SELECT way.*, f.f AS l FROM way JOIN f ON f.lang = way.lang AND f.ws = way.head),
         cut AS (
-            SELECT c.lang, c.ws, c.f AS a, k, l.f AS l, r.f AS r,
-                CAST((2000000::HUGEINT * c.f) // (l.f + r.f) AS BIGINT) AS score
-            FROM f c, (VALUES (1), (2), (3)) AS s(k), f l, f r
-            WHERE len(c.ws) > k AND l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k) AND r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, len(c.ws))
+            SELECT half.*, f.f AS r, CAST((2000000::HUGEINT * a) // (l + f.f) AS BIGINT) AS score
+            FROM half JOIN f ON f.lang = half.lang AND f.ws = half.tail
         ),
-        low AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS nth FROM cut),
+        low AS (SELECT lang, ws, a, l, r, score, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS nth FROM cut),
         part AS (
             SELECT lang, list_slice(ws, x, x + m - 1) AS ws, max(f) AS f FROM f, (VALUES (2), (3)) AS s(m), (VALUES (1), (2), (3)) AS o(x)
             WHERE len(ws) > m AND x + m - 1 <= len(ws) GROUP BY ALL
