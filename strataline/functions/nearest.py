@@ -4,8 +4,9 @@ The box around all points is halved along every axis from level to level; the fi
 which no cell holds many points. Every probe starts with the whole box and goes down: its cells are replaced
 by their children that hold points it may have. The farthest corners of its cells, taken in order, tell how
 far it is at most to its k-th point; cells that begin beyond that are dropped. What is left at the finest
-level holds the answer and little else, in any number of dimensions. Points of the probe's own series cost
-nothing, however dense; along a dense line at some distance the points met grow with the root of its density.
+level holds the answer and little else. In more than three dimensions corners say little, so a probe first takes
+real distances to some points of its own cell, at a level where cells hold several: any ``k`` points bound the k-th.
+Points of the probe's own series cost nothing, however dense; along a dense line at some distance the points met grow with the root of its density.
 
 Points at exactly the same place are thinned first to those that can be an answer at all: with the order at
 equal distance fixed, the first k of a place, and with "not from the same series" the first k of each of its
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from strataline.functions.series import spread_join
 from strataline.settings import checkpoint
 
-CELL_POINTS = 8
+# Points a cell of the finest level may hold; in more than CORNERS dimensions a ball meets many cells, so they are smaller.
+CELL_POINTS, SMALL_CELL = 8, 2
+# Points per cell that bound a probe's distance, as a multiple of k, in more than CORNERS dimensions.
+SEEDS, CORNERS = 8, 3
 MAX_LEVEL = 40
 # Levels that one histogram of the points covers.
 SPAN = 20
@@ -48,20 +52,42 @@ def _coarser(grid: Sequence[str], steps: int, names: Sequence[str]) -> list[Colu
     return [F.shiftright(g, steps).alias(n) for g, n in zip(grid, names)]
 
 
-def _finest(points: DataFrame, by: Sequence[str], coords: Sequence[str], low: Sequence[float], side: float, step: int) -> int:
-    """First level, in steps, at which no cell holds more than ``CELL_POINTS`` points; one histogram for ``SPAN`` levels."""
+def _levels(points: DataFrame, by: Sequence[str], coords: Sequence[str], low: Sequence[float], side: float, step: int, seeds: int) -> tuple[int, int]:
+    """First level, in steps, at which no cell holds more than the wanted points, and the last at which a point's cell
+    holds ``seeds`` on average; one histogram for ``SPAN`` levels."""
     grid = [f"_g{i}" for i in range(len(coords))]
+    seeded, wanted = 0, SMALL_CELL if len(coords) > CORNERS else CELL_POINTS
     for start in range(0, MAX_LEVEL, SPAN):
         bottom = start + SPAN
         levels = list(range(start, bottom + 1, step))
         cells = points.select(*by, *_cells(coords, low, side / 2**bottom, grid)).groupBy(*by, *grid).agg(F.count(F.lit(1)).alias("n"))
         spread = cells.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
         coarse = [F.expr(f"shiftright({g}, {bottom} - level)").alias(g) for g in grid]
-        full = spread.select(*by, "level", *coarse, "n").groupBy(*by, "level", *grid).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n"))
-        fits = [r.level for r in full.collect() if r.n <= CELL_POINTS]
+        full = spread.select(*by, "level", *coarse, "n").groupBy(*by, "level", *grid).agg(F.sum("n").alias("n")).groupBy("level")
+        found = full.agg(F.max("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("met")).collect()
+        seeded = max([seeded, *(r.level for r in found if r.met >= seeds)])
+        fits = [r.level for r in found if r.n <= wanted]
         if fits:
-            return min(fits)
-    return MAX_LEVEL
+            return min(fits), min(seeded, min(fits))
+    return MAX_LEVEL, seeded
+
+
+def _seed_bounds(
+    asked: DataFrame, known: DataFrame, by: Sequence[str], coords: Sequence[str], grid: Sequence[str], cells: list[Column], steps: int, k: int, ids: Sequence[str], rows: int
+) -> DataFrame:
+    """Per probe the k-th least distance to some points of its cell, where there are k: at most ``SEEDS`` times k of a cell are met."""
+    coarse = known.select("*", *_coarser(grid, steps, [f"_s{g}" for g in grid]))
+    place = [*by, *[f"_s{g}" for g in grid]]
+    few = Window.partitionBy(*place).orderBy(F.xxhash64(*coords), *coords)
+    some = coarse.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= SEEDS * k)
+    some = some.select(*place, *[F.col(c).alias(f"_to{c}") for c in coords], *[c for c in known.columns if c == "_owner"])
+    mine = asked.select("*", *cells).select("*", *_coarser(grid, steps, [f"_s{g}" for g in grid])).drop(*grid)
+    met = spread_join(mine, some, place, ids, size=rows)
+    if "_owner" in known.columns:
+        met = met.where(~F.col("_mine").eqNullSafe(F.col("_owner")))
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
+    kept = F.get(F.array_sort(F.collect_list(square)), F.lit(k - 1))
+    return met.groupBy(*ids).agg((kept * (1 + 1e-9)).alias("_seed"))
 
 
 def _corner(coords: Sequence[str], grid: Sequence[str], low: Sequence[float], width: float, slack: float) -> tuple[Column, Column]:
@@ -136,10 +162,15 @@ def candidates(
     base = (side or 1.0) * (1 + 1e-9)
     slack = base * 1e-9
     step = 2 if len(dims) <= 3 else 1
-    finest = _finest(known, by, coords, low, base, step) if side else 0
+    finest, seeded = _levels(known, by, coords, low, base, step, 2 * k) if side else (0, 0)
     known = known.select("*", *_cells(coords, low, base / 2**finest, grid))
     carried = [*dict.fromkeys([*ids, *by]), *(["_mine"] if differ else []), *coords]
     whole = Window.partitionBy(*ids)
+    seeds = len(dims) > CORNERS and finest > 0
+    if seeds:
+        bounds = _seed_bounds(asked, known, by, coords, grid, _cells(coords, low, base / 2**finest, grid), finest - seeded, k, ids, rows)
+        asked = checkpoint(asked.join(bounds, ids, "left"))
+        carried = [*carried, "_seed"]
     frontier = asked.select(*carried, *[F.lit(0).cast("long").alias(g) for g in grid])
     for level in range(0, finest, step):
         below = min(level + step, finest)
@@ -147,7 +178,11 @@ def candidates(
         cells = cells.select("*", *[F.col(f"_n{g}").alias(g) for g in grid]).drop(*[f"_n{g}" for g in grid])
         children = cells.groupBy(*by, *parent, *grid).agg(F.count(F.lit(1)).alias("_n"))
         here = frontier.select(*carried, *[F.col(g).alias(p) for g, p in zip(grid, parent)])
-        down = spread_join(here, children, [*by, *parent], ids, size=rows).drop(*parent)
+        if level or by:
+            down = spread_join(here, children, [*by, *parent], ids, size=rows).drop(*parent)
+        else:
+            # The root has one cell per corner and step, 64 at most: every probe meets them all.
+            down = here.drop(*parent).crossJoin(F.broadcast(children.drop(*parent)))
         if differ:
             own = cells.groupBy(*by, "_owner", *grid).agg(F.count(F.lit(1)).alias("_own"))
             own = own.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, *grid]], "_owner", "_own")
@@ -157,7 +192,7 @@ def candidates(
         near, far = _corner(coords, grid, low, base / 2**below, slack)
         upto = F.sum("_n").over(whole.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
         met = down.withColumns({"_near": near, "_far": far}).withColumn("_reach", F.when(upto >= k, F.col("_far")))
-        bound = F.min("_reach").over(whole)
+        bound = F.least(F.min("_reach").over(whole), "_seed") if seeds else F.min("_reach").over(whole)
         frontier = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).select(*carried, *grid)
     spots = known.select(*by, *grid, *[F.col(c).alias(f"_to{c}") for c in coords], *[c for c in known.columns if c.startswith("_a_") or c == "_owner"])
     found = spread_join(frontier, spots, [*by, *grid], ids, size=rows)

@@ -1,24 +1,26 @@
-"""Rolling correlation of a series with a reference curve at many lags, chunk by chunk in Arrow batches.
+"""A series next to its reference curve as arrays, chunk by chunk in Arrow batches.
 
-A series is cut into chunks of ``SCAN_ROWS`` rows, each with the rows within half a window around it, and meets
-its curve as one array. A chunk then needs rows × lags numbers in memory only a block of rows at a time, where
-Spark windows would first multiply every row by every lag.
+A series meets its curve as one array. A series of at most ``SCAN_ROWS`` rows is one chunk and is prepared (gaps,
+scales) where it is scanned; a longer one is prepared by Spark and cut into chunks of ``SCAN_ROWS`` rows, each with
+the rows within ``halo`` around it. Many short series are worked on together: rows × lags is one matrix, and running
+sums down its columns serve all windows and lags at once, so neither a lag nor a series costs calls of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.functions.series import ROW, largest_group, with_place
+from strataline.functions.series import ROW, largest_group, longest, with_place
 from strataline.settings import group_rows
 
 SCAN_ROWS = 20_000
-BLOCK = 4_096
+BLOCK = 2_048
 _AT, _CHUNK = "_at", "_scan_chunk"
 
 
@@ -27,52 +29,170 @@ def curve_fits(ref: DataFrame, ref_keys: Sequence[str]) -> bool:
     return largest_group(ref, ref_keys)[0] <= group_rows(ref.sparkSession)
 
 
-def _sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0.0], np.cumsum(values)])
-    return upto[high] - upto[low]
+def one_chunk(df: DataFrame, row: str = ROW) -> bool:
+    """Whether every series is known to be one chunk."""
+    bound = longest(df, row)
+    return bound is not None and bound <= min(SCAN_ROWS, group_rows(df.sparkSession))
 
 
-def rolling_correlations(
-    x: np.ndarray, place: np.ndarray, curve_x: np.ndarray, curve_y: np.ndarray, lags: np.ndarray, halves: Sequence[int], epsilon: float | None
-) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per window a matrix rows × lags of correlations, and the curve's values rows × lags.
+@dataclass
+class Part:
+    """A series, or a chunk of one, and its curve. Unknown values are NaN."""
 
-    Fewer than three rows, or a side without spread beyond rounding, give 0. Sums run over values less their
-    mean, so that differences of running sums keep their digits.
+    x: np.ndarray
+    place: np.ndarray
+    curve_x: np.ndarray
+    curve_y: np.ndarray
+    middle: float  # median of the curve's places
+    whole: bool
+
+    def fill(self) -> None:
+        """Gaps of value and place become the series' median (the curve's, then 0 or none), curve points without value go."""
+        if self.whole:
+            for values in (self.x, self.place):
+                gaps = np.isnan(values)
+                if gaps.any() and not gaps.all():
+                    values[gaps] = np.median(values[~gaps])
+        self.x[np.isnan(self.x)] = 0.0
+        self.place[np.isnan(self.place)] = self.middle
+        known = ~np.isnan(self.curve_y)
+        self.curve_x, self.curve_y = self.curve_x[known], self.curve_y[known]
+
+
+    def known_points(self) -> None:
+        """Curve points without value go; nothing is filled."""
+        known = ~np.isnan(self.curve_y)
+        self.curve_x, self.curve_y = self.curve_x[known], self.curve_y[known]
+
+
+def robust_scores(values: np.ndarray) -> np.ndarray:
+    """``(v − median) / (1.4826·MAD)``; a tiny scale falls back to the standard deviation, then to 1. Unknown gives 0."""
+    known = values[~np.isnan(values)]
+    if not len(known):
+        return np.zeros(len(values))
+    middle = np.median(known)
+    scales = (1.4826 * np.median(np.abs(known - middle)), known.std(), 1.0)
+    return np.nan_to_num((values - middle) / next(s for s in scales if s >= 1e-6), nan=0.0)
+
+
+def _interpolated(x: np.ndarray, curve_x: np.ndarray, curve_y: np.ndarray) -> np.ndarray:
+    """Linear interpolation, ends held, in the order of operations that ``asof.interp_join`` has."""
+    low = np.clip(np.searchsorted(curve_x, x, "right") - 1, 0, max(len(curve_x) - 2, 0))
+    high = np.minimum(low + 1, len(curve_x) - 1)
+    x0, y0 = curve_x[low], curve_y[low]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        found = y0 + (curve_y[high] - y0) * (x - x0) / (curve_x[high] - x0)
+    found = np.where(x <= curve_x[0], curve_y[0], found)
+    return np.where(x >= curve_x[-1], curve_y[-1], found)
+
+
+class Block:
+    """Parts one after the other, as many as make a worthwhile matrix."""
+
+    def __init__(self, parts: list[tuple[Part, np.ndarray, int, int]]):
+        self.parts = [p for p, _, _, _ in parts]
+        self.spans = [(low, high) for _, _, low, high in parts]
+        sizes = np.array([high - low for low, high in self.spans])
+        self.start = np.cumsum(sizes) - sizes
+        self.first = np.repeat(self.start, sizes)
+        self.last = np.repeat(self.start + sizes, sizes)
+        self.x = np.concatenate([p.x[low:high] for p, _, low, high in parts])
+        self.place = np.concatenate([p.place[low:high] for p, _, low, high in parts])
+        self.row = np.concatenate([row[low:high] for _, row, low, high in parts])
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def curve_at(self, shifts: np.ndarray) -> np.ndarray:
+        """The curve's values at the rows' places plus each shift: a matrix, ends held, NaN without a curve."""
+        out = np.full((len(self), len(shifts)), np.nan)
+        for part, (low, high), at in zip(self.parts, self.spans, self.start, strict=True):
+            if len(part.curve_x):
+                out[at : at + high - low] = _interpolated(part.place[low:high, None] + shifts, part.curve_x, part.curve_y)
+        return out
+
+    def curve_at_places(self, places: np.ndarray) -> np.ndarray:
+        """The curve's values at one place per row."""
+        out = np.full(len(self), np.nan)
+        for part, (low, high), at in zip(self.parts, self.spans, self.start, strict=True):
+            if len(part.curve_x):
+                own = slice(at, at + high - low)
+                out[own] = _interpolated(places[own], part.curve_x, part.curve_y)
+        return out
+
+    def around(self, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per row the bounds of the rows at most ``half`` away in its part."""
+        at = np.arange(len(self))
+        return np.maximum(at - half, self.first), np.minimum(at + half + 1, self.last)
+
+    def centred(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values less their part's mean, and the means, in extended precision: differences of running sums keep their digits."""
+        count = (self.last - self.first).astype(float)
+        wide = values.astype(np.longdouble)
+        means = np.add.reduceat(wide, self.start, axis=0)[np.searchsorted(self.start, self.first)]
+        means = means / (count if values.ndim == 1 else count[:, None])
+        return wide - means, means.astype(float)
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Running sums in extended precision: a window may vary by a billionth of what its sums hold."""
+    out = np.zeros((len(values) + 1, *values.shape[1:]), np.longdouble)
+    np.cumsum(values, axis=0, out=out[1:])
+    return out
+
+
+def rolling_correlations(block: Block, values: np.ndarray, halves: Sequence[int], epsilon: float | None) -> list[np.ndarray]:
+    """Per window a matrix rows × lags of correlations of the rows' values with ``values``.
+
+    Fewer than three rows, or a side without spread beyond rounding, give 0.
     """
-    n = len(x)
-    at = np.arange(n)
-    bounds = [(np.maximum(at - h, 0), np.minimum(at + h + 1, n)) for h in halves]
-    shift = x.mean() if n else 0.0
-    xc = x - shift
-    own = []
-    for low, high in bounds:
+    xc, shift = block.centred(block.x)
+    yc, middle = block.centred(values)
+    sums_x, sums_xx = _running(xc), _running(xc * xc)
+    sums_y, sums_yy, sums_xy = _running(yc), _running(yc * yc), _running(xc[:, None] * yc)
+    out = []
+    for half in halves:
+        low, high = block.around(half)
         count = (high - low).astype(float)
-        sx, sxx = _sums(xc, low, high), _sums(xc * xc, low, high)
-        raw = sxx + 2 * shift * sx + count * shift * shift
-        own.append((count, sx, sxx - sx * sx / count, raw))
-    values = np.empty((n, len(lags)))
-    out = [np.zeros((n, len(lags))) for _ in halves]
-    for k, lag in enumerate(lags):
-        y = np.interp(place + lag, curve_x, curve_y) if len(curve_x) else np.full(n, np.nan)
-        values[:, k] = y
-        middle = y.mean() if n else 0.0
-        yc = y - middle
-        for w, (low, high) in enumerate(bounds):
-            count, sx, vx, raw_x = own[w]
-            sy, syy = _sums(yc, low, high), _sums(yc * yc, low, high)
-            vy = syy - sy * sy / count
-            raw_y = syy + 2 * middle * sy + count * middle * middle
-            covariance = _sums(xc * yc, low, high) - sx * sy / count
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scale = np.sqrt(np.maximum(vx, 0.0) * np.maximum(vy, 0.0))
-                usable = (count >= 3) & (vx > 1e-9 * raw_x) & (vy > 1e-9 * raw_y)
-                if epsilon is None:
-                    found = np.where(usable & (scale > 1e-8), covariance / scale, 0.0)
-                else:
-                    found = np.where(usable, covariance / (scale + epsilon), 0.0)
-            out[w][:, k] = np.nan_to_num(found)
-    return out, values
+        sx, sxx = sums_x[high] - sums_x[low], sums_xx[high] - sums_xx[low]
+        vx, sx = (sxx - sx * sx / count).astype(float), sx.astype(float)
+        varied = (count >= 3) & (vx > 1e-9 * (sxx.astype(float) + 2 * shift * sx + count * shift * shift))
+        per_row = count[:, None]
+        sy, syy = sums_y[high] - sums_y[low], sums_yy[high] - sums_yy[low]
+        vy, syy = (syy - sy * sy / per_row).astype(float), syy.astype(float)
+        covariance = (sums_xy[high] - sums_xy[low] - (sums_x[high] - sums_x[low])[:, None] / per_row * sy).astype(float)
+        sy = sy.astype(float)
+        usable = varied[:, None] & (vy > 1e-9 * (syy + middle * (2 * sy + per_row * middle)))
+        scale = np.sqrt(np.maximum(vx, 0.0)[:, None] * np.maximum(vy, 0.0))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if epsilon is None:
+                found = np.where(usable & (scale > 1e-8), covariance / scale, 0.0)
+            else:
+                found = np.where(usable, covariance / (scale + epsilon), 0.0)
+        out.append(np.nan_to_num(found))
+    return out
+
+
+def per_part(
+    fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]],
+) -> Callable[[Block], dict[str, np.ndarray]]:
+    """A reduction of one part at a time: values, places, and the curve's places and values."""
+
+    def run(block: Block) -> dict[str, np.ndarray]:
+        found = [fn(p.x[low:high], p.place[low:high], p.curve_x, p.curve_y) for p, (low, high) in zip(block.parts, block.spans, strict=True)]
+        return {name: np.concatenate([f[name] for f in found]) for name in found[0]}
+
+    return run
+
+
+def lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0 and the values of a list column; a null list is empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+
+
+def field(values: pa.StructArray, name: str) -> np.ndarray:
+    return values.field(name).to_numpy(zero_copy_only=False).astype(float)
 
 
 def scan_chunks(
@@ -82,55 +202,81 @@ def scan_chunks(
     ref_keys: Sequence[str],
     columns: tuple[str, str, str, str],
     halo: int,
-    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]],
+    reduce: Callable[[Block], dict[str, np.ndarray]],
     result: str,
     row: str = ROW,
+    prepare: Callable[[Part], None] = Part.fill,
 ) -> DataFrame:
-    """Run ``reduce(x, place, curve x, curve y)`` on every chunk; one result row per row of the series.
+    """Run ``reduce`` on blocks of prepared series or chunks; one result row per row of the series.
 
-    ``columns`` names the value, its place on the curve, and the curve's place and value; ``result`` is the
-    schema of what ``reduce`` returns. A series has one curve.
+    ``columns`` names the value, its place on the curve, and the curve's place and value; ``result`` is the schema
+    of what ``reduce`` returns. A series has one curve. ``prepare`` sees whole series where ``one_chunk`` holds.
     """
     value, place, ref_x, ref_y = columns
     keys, ref_keys = list(keys), list(ref_keys)
     kinds = dict(df.dtypes)
-    placed = with_place(df.select(*dict.fromkeys([*keys, *ref_keys, row, value, place])), keys, _AT, row)
-    size = F.lit(SCAN_ROWS)
-    first = F.greatest(F.floor((F.col(_AT) - halo) / size), F.lit(0))
-    last = F.floor((F.col(_AT) + halo) / size)
-    entry = F.struct(F.col(_AT).alias("at"), F.col(row).alias("row"), F.col(value).cast("double").alias("x"), F.col(place).cast("double").alias("p"))
-    chunks = (
-        placed.withColumn(_CHUNK, F.explode(F.sequence(first, last)))
-        .groupBy(*dict.fromkeys([*keys, *ref_keys]), _CHUNK)
-        .agg(F.sort_array(F.collect_list(entry)).alias("_rows"))  # at most SCAN_ROWS and two halos
-    )
-    known = ref.where(F.col(ref_x).isNotNull() & F.col(ref_y).isNotNull())
+    every = list(dict.fromkeys([*keys, *ref_keys]))
+    rows = df.select(*dict.fromkeys([*every, row, value, place]))
+    whole = one_chunk(df, row)
+    if whole:
+        dealt = rows.withColumns({_AT: F.lit(0).cast("long"), _CHUNK: F.lit(0).cast("long")})
+    else:
+        size = F.lit(SCAN_ROWS)
+        placed = with_place(rows, keys, _AT, row)
+        first = F.greatest(F.floor((F.col(_AT) - halo) / size), F.lit(0))
+        dealt = placed.withColumn(_CHUNK, F.explode(F.sequence(first, F.floor((F.col(_AT) + halo) / size))))
+    entry = F.struct(F.col(row).alias("row"), F.col(_AT).alias("at"), F.col(value).cast("double").alias("x"), F.col(place).cast("double").alias("p"))
+    chunks = dealt.groupBy(*every, _CHUNK).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))  # at most SCAN_ROWS and two halos
     point = F.struct(F.col(ref_x).cast("double").alias("x"), F.col(ref_y).cast("double").alias("y"))
-    curves = known.groupBy(*ref_keys).agg(F.sort_array(F.collect_list(point)).alias("_curve"))  # checked by curve_fits
-    joined = chunks.join(curves, ref_keys, "left").select(*keys, _CHUNK, "_rows", "_curve")
+    # Curves were measured by curve_fits.
+    curves = ref.where(F.col(ref_x).isNotNull()).groupBy(*ref_keys)
+    curves = curves.agg(F.sort_array(F.collect_list(point)).alias("_curve"), F.percentile(ref_x, F.lit(0.5)).alias("_middle"))
+    joined = chunks.join(curves, ref_keys, "left").select(*keys, _CHUNK, "_rows", "_curve", "_middle")
+    names = [c.strip().split(" ")[0].strip("`") for c in result.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ends, entries = lists(batch.column("_rows"))
+            curve_ends, points = lists(batch.column("_curve"))
+            numbers = entries.field("row")
+            at, row_of = field(entries, "at"), numbers.to_numpy(zero_copy_only=False)
+            x, p, cx, cy = field(entries, "x"), field(entries, "p"), field(points, "x"), field(points, "y")
+            middles = batch.column("_middle").to_numpy(zero_copy_only=False).astype(float)
+            waiting: list[tuple[Part, np.ndarray, int, int]] = []
+            inner: list[np.ndarray] = []  # rows of the batch that come out, per waiting part, and where they are in the block
+            kept: list[np.ndarray] = []
+            owners: list[np.ndarray] = []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                found = reduce(Block(waiting))
+                where, own = np.concatenate(kept), pa.array(np.concatenate(owners))
+                columns = [batch.column(k).take(own) for k in keys]
+                columns.append(numbers.take(pa.array(np.concatenate(inner))))
+                columns += [pa.array(found[n][where], from_pandas=True) for n in names]
+                for each in (waiting, inner, kept, owners):
+                    each.clear()
+                return pa.RecordBatch.from_arrays(columns, names=[*keys, row, *names])
+
             for i in range(batch.num_rows):
-                piece = batch.slice(i, 1)
-                rows = piece.column("_rows").flatten()
-                curve = piece.column("_curve").flatten()
-                at = rows.field("at").to_numpy(zero_copy_only=False)
-                own = np.flatnonzero(at // SCAN_ROWS == piece.column(_CHUNK)[0].as_py())
-                if not len(own):
-                    continue
-                x, p = (rows.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "p"))
-                cx, cy = (curve.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y"))
+                a, b = ends[i], ends[i + 1]
+                c, d = curve_ends[i], curve_ends[i + 1]
+                part = Part(x[a:b].copy(), p[a:b].copy(), cx[c:d], cy[c:d], middles[i], whole)
+                prepare(part)
+                own = np.arange(b - a) if whole else np.flatnonzero(at[a:b] // SCAN_ROWS == batch.column(_CHUNK)[i].as_py())
                 for start in range(0, len(own), BLOCK):
-                    part = own[start : start + BLOCK]
-                    low, high = max(part[0] - halo, 0), min(part[-1] + halo + 1, len(x))
-                    found = reduce(x[low:high], p[low:high], cx, cy)
-                    inner = slice(part[0] - low, part[-1] - low + 1)
-                    none = pa.array(np.zeros(len(part), np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(piece.column(k).take(none) for k in keys), rows.field("row").take(pa.array(part)), *(pa.array(v[inner], from_pandas=True) for v in found.values())],
-                        names=[*keys, row, *found],
-                    )
+                    mine = own[start : start + BLOCK]
+                    low, high = max(mine[0] - halo, 0), min(mine[-1] + halo + 1, b - a)
+                    waiting.append((part, row_of[a:b], low, high))
+                    inner.append(a + mine)
+                    kept.append(held + mine - low)
+                    owners.append(np.full(len(mine), i))
+                    held += high - low
+                    if held >= BLOCK:
+                        yield flush()
+                        held = 0
+            if waiting:
+                yield flush()
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, row])
     return joined.mapInArrow(run, f"{schema}, {result}")

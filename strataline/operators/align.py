@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,20 @@ from strataline.functions.asof import curve_at_offsets, interp_join, nearest_joi
 from strataline.functions.columns import array_mean, array_median, array_std, clip, correlation, ratio, total
 from strataline.functions.nearest import nearest_points
 from strataline.functions.quantiles import key_percentiles, with_key_percentiles
-from strataline.functions.scan import curve_fits, rolling_correlations, scan_chunks
+from strataline.functions.scan import (
+    BLOCK,
+    SCAN_ROWS,
+    Block,
+    Part,
+    curve_fits,
+    field,
+    lists,
+    one_chunk,
+    per_part,
+    robust_scores,
+    rolling_correlations,
+    scan_chunks,
+)
 from strataline.functions.series import (
     ROW,
     Frame,
@@ -32,7 +46,9 @@ from strataline.functions.series import (
     spread_join,
     with_bound,
     with_key_stats,
+    with_place,
 )
+from strataline.functions.windows_match import best_windows
 from strataline.operators.gaps import interpolate_gaps, robust_zscore
 from strataline.operators.windows import median_frame, rolling_frame, signature_frames
 from strataline.operators.zones import last_known, split_zone
@@ -126,6 +142,15 @@ def _signals(
     ).drop("_log_median", "_prior_median", "_curve_median")
 
 
+def _scannable(
+    df: DataFrame, ref: DataFrame, log: str, prior: str, ref_x: str, keys: Sequence[str], ref_keys: Sequence[str], row: str
+) -> tuple[DataFrame, str, str]:
+    """Series of one chunk as they are: the scan fills their gaps. Longer ones with gaps filled."""
+    if one_chunk(df, row):
+        return df, log, prior
+    return _signals(df, ref, log, prior, ref_x, keys, ref_keys, row), "_x", "_p"
+
+
 def _best_of(corr: np.ndarray) -> np.ndarray:
     """Column of the best correlation, the lowest lag at equal ones to nine decimals."""
     return np.argmax(np.round(corr, 9), axis=1)
@@ -202,31 +227,33 @@ def lag_scan(
     series' median. Curves that do not fit a task take the way over Spark windows.
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
-    ids = [*keys, row]
-    df = _signals(df, ref, log, prior, ref_x, keys, list(ref_keys or keys), row)
-    log, prior = "_x", "_p"
-    if curve_fits(ref, list(ref_keys or keys)):
+    ids, ref_keys = [*keys, row], list(ref_keys or keys)
+    if curve_fits(ref, ref_keys):
         half, shifts = window // 2, np.array(lags)
 
-        def reduce(x, place, curve_x, curve_y):
-            (corr,), values = rolling_correlations(x, place, curve_x, curve_y, shifts, [half], 1e-6)
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            values = block.curve_at(shifts)
+            (corr,) = rolling_correlations(block, values, [half], 1e-6)
             best = _best_of(corr)
-            at = np.arange(len(x))
+            at = np.arange(len(block))
             top, there = corr[at, best], values[at, best]
             zero = np.flatnonzero(shifts == 0)
             return {
                 "best_lag": shifts[best],
                 "best_corr": top,
-                "corr_at_0": corr[:, zero[0]] if len(zero) else np.full(len(x), np.nan),
+                "corr_at_0": corr[:, zero[0]] if len(zero) else np.full(len(block), np.nan),
                 "corr_max_minus_mean": top - corr.mean(axis=1),
                 "peakiness": (top - np.median(corr, axis=1)) / (corr.std(axis=1) + 1e-6),
                 "ref_at_best": there,
-                "ref_minus_log": there - x,
+                "ref_minus_log": there - block.x,
             }
 
         result = "best_lag double, best_corr double, corr_at_0 double, corr_max_minus_mean double, peakiness double, ref_at_best double, ref_minus_log double"
-        return scan_chunks(df, ref, keys, list(ref_keys or keys), (log, prior, ref_x, ref_y), half, reduce, result, row)
-    rows = _row_lags(df, ref, list(ref_keys or keys), keys, row, log, prior, ref_x, ref_y, lags, [window])
+        own, value, place = _scannable(df, ref, log, prior, ref_x, keys, ref_keys, row)
+        return scan_chunks(own, ref, keys, ref_keys, (value, place, ref_x, ref_y), half, reduce, result, row)
+    df = _signals(df, ref, log, prior, ref_x, keys, ref_keys, row)
+    log, prior = "_x", "_p"
+    rows = _row_lags(df, ref, ref_keys, keys, row, log, prior, ref_x, ref_y, lags, [window])
     scored = apply_frames(rows, [*keys, "lag"], _correlation_frame(window, "corr", 1e-6), row=row)
     best = F.max_by(F.struct("lag", "corr", "_y", "_x"), F.struct(F.round("corr", 9), -F.col("lag")))
     reduced = scored.groupBy(*ids).agg(
@@ -248,6 +275,10 @@ def lag_scan(
     )
 
 
+# Rows on each side over which the median lag is averaged.
+CONSENSUS = 25
+
+
 def lag_scan_multiscale(
     df: DataFrame,
     ref: DataFrame,
@@ -271,49 +302,69 @@ def lag_scan_multiscale(
     ref_keys = list(ref_keys or keys)
     ids = [*keys, row]
     lags = [float(v) for v in np.arange(-max_lag, max_lag + step / 2, step)]
-    df = _signals(df, ref, log, prior, ref_x, keys, ref_keys, row)
-    prior = "_p"
-    own = robust_zscore(df, log, "_z", keys=keys, row=row)
-    curve = robust_zscore(ref, ref_y, "_rz", keys=ref_keys)
+    usable = ref.where(F.col(ref_x).isNotNull())
     if curve_fits(ref, ref_keys):
         halves, shifts = [w // 2 for w in windows], np.array(lags)
 
-        def reduce(x, place, curve_x, curve_y):
-            corrs, _ = rolling_correlations(x, place, curve_x, curve_y, shifts, halves, None)
+        def prepare(part: Part) -> None:
+            scores = robust_scores(part.x) if part.whole else part.x
+            part.curve_y = robust_scores(part.curve_y)
+            part.fill()
+            part.x = scores
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            corrs = rolling_correlations(block, block.curve_at(shifts), halves, None)
             best = [_best_of(c) for c in corrs]
-            at = np.arange(len(x))
+            at = np.arange(len(block))
+            found = np.stack([shifts[b] for b in best])
+            middle = np.median(found, axis=0)
+            low, high = block.around(CONSENSUS)
+            upto = np.concatenate([[0.0], np.cumsum(middle)])
+            there = block.curve_at_places(block.place + middle)
             return (
-                {"_z": x}
-                | {f"best_lag_{w}": shifts[b] for w, b in zip(windows, best, strict=True)}
+                {f"best_lag_{w}": lag for w, lag in zip(windows, found, strict=True)}
                 | {f"best_corr_{w}": c[at, b] for w, c, b in zip(windows, corrs, best, strict=True)}
+                | {
+                    "lag_agreement": found.std(axis=0),
+                    "median_lag": middle,
+                    "lag_consensus": (upto[high] - upto[low]) / (high - low),
+                    "ref_z_at_median": there,
+                    "residual_z": block.x - there,
+                }
             )
 
-        result = ", ".join(f"{c} double" for c in ["_z", *(f"best_lag_{w}" for w in windows), *(f"best_corr_{w}" for w in windows)])
-        found = scan_chunks(own, curve, keys, ref_keys, ("_z", prior, ref_x, "_rz"), max(halves), reduce, result, row)
-    else:
-        rows = _row_lags(own, curve, ref_keys, keys, row, "_z", prior, ref_x, "_rz", lags, windows)
-        frames = [_correlation_frame(w, f"corr_{w}", None) for w in windows]
-        scored = apply_frames(rows, [*keys, "lag"], frames, row=row)
-        reduced = scored.groupBy(*ids).agg(
-            *[
-                F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.round(f"corr_{w}", 9), -F.col("lag"))).alias(f"_b{w}")
-                for w in windows
-            ],
-            F.max("_x").alias("_z"),
-        )
-        found = reduced.select(
-            *ids,
-            "_z",
-            *[F.col(f"_b{w}.lag").alias(f"best_lag_{w}") for w in windows],
-            *[F.col(f"_b{w}.corr").alias(f"best_corr_{w}") for w in windows],
-        )
+        names = [*(f"best_lag_{w}" for w in windows), *(f"best_corr_{w}" for w in windows)]
+        result = ", ".join(f"{c} double" for c in [*names, "lag_agreement", "median_lag", "lag_consensus", "ref_z_at_median", "residual_z"])
+        own, value, place = _scannable(df, ref, log, prior, ref_x, keys, ref_keys, row)
+        if value != log:
+            own, value = robust_zscore(own, log, "_z", keys=keys, row=row), "_z"
+        halo = max(halves) + CONSENSUS
+        return scan_chunks(own, usable, keys, ref_keys, (value, place, ref_x, ref_y), halo, reduce, result, row, prepare)
+    df = _signals(df, ref, log, prior, ref_x, keys, ref_keys, row)
+    own = robust_zscore(df, log, "_z", keys=keys, row=row)
+    curve = robust_zscore(usable, ref_y, "_rz", keys=ref_keys)
+    rows = _row_lags(own, curve, ref_keys, keys, row, "_z", "_p", ref_x, "_rz", lags, windows)
+    scored = apply_frames(rows, [*keys, "lag"], [_correlation_frame(w, f"corr_{w}", None) for w in windows], row=row)
+    reduced = scored.groupBy(*ids).agg(
+        *[
+            F.max_by(F.struct("lag", F.col(f"corr_{w}").alias("corr")), F.struct(F.round(f"corr_{w}", 9), -F.col("lag"))).alias(f"_b{w}")
+            for w in windows
+        ],
+        F.max("_x").alias("_z"),
+    )
+    found = reduced.select(
+        *ids,
+        "_z",
+        *[F.col(f"_b{w}.lag").alias(f"best_lag_{w}") for w in windows],
+        *[F.col(f"_b{w}.corr").alias(f"best_corr_{w}") for w in windows],
+    )
     every = F.array(*[F.col(f"best_lag_{w}") for w in windows])
     found = found.withColumns({"lag_agreement": array_std(every), "median_lag": array_median(every)})
     bound = longest(df, row)
     found = with_bound(found, bound, row) if bound else found
-    smooth = Frame(25, 25, lambda r: {"lag_consensus": F.avg("median_lag").over(r(-25, 25))})
+    smooth = Frame(CONSENSUS, CONSENSUS, lambda r: {"lag_consensus": F.avg("median_lag").over(r(-CONSENSUS, CONSENSUS))})
     found = apply_frames(found, keys, smooth, row=row)
-    places = found.join(df.select(*dict.fromkeys([*ids, *ref_keys]), F.col(prior).alias("_prior")), ids).withColumn(
+    places = found.join(df.select(*dict.fromkeys([*ids, *ref_keys]), F.col("_p").alias("_prior")), ids).withColumn(
         "_at", F.col("_prior") + F.col("median_lag")
     )
     looked = interp_join(places, curve, ref_keys, "_at", ref_x, "_rz", "ref_z_at_median")
@@ -639,33 +690,43 @@ def prefix_alignment(
     )
 
 
-MATCH_BLOCK = 256
-
-
-def _unit_windows(rows: DataFrame, keys: Sequence[str], col: str, half: int, row: str) -> DataFrame:
-    """Values ±half around each row as an array with mean 0 and deviation 1, ends padded with the edge value."""
-    size = 2 * half + 1
-
-    def window(r: Rows) -> dict[str, Column]:
-        return {
-            "_w": F.collect_list(col).over(r(-half, half)),
-            "_before": F.count(F.lit(1)).over(r(-half, 0)) - 1,
-        }
-
-    found = apply_frames(rows, keys, Frame(half, half, window), row=row)
-    left = F.lit(half) - F.col("_before")
-    right = F.lit(size) - F.size("_w") - left
-    padded = F.concat(
-        F.array_repeat(F.get("_w", F.lit(0)), left.cast("int")),
-        F.col("_w"),
-        F.array_repeat(F.try_element_at("_w", F.lit(-1)), right.cast("int")),
-    )
-    found = found.withColumn("_p", padded)
-    mean, std = array_mean(F.col("_p")), array_std(F.col("_p"))
-    found = found.withColumns({"_mean": mean, "_std": std}).withColumn(
-        "_unit", F.transform("_p", lambda v: (v - F.col("_mean")) / (F.col("_std") + 1e-6))
-    )
-    return found.withColumn("_whole", F.size("_w") == size).drop("_w", "_before", "_p", "_mean", "_std")
+def _smoothed(values: np.ndarray) -> np.ndarray:
+    """Mean of the values at most two places away."""
+    at = np.arange(len(values))
+    low, high = np.maximum(at - 2, 0), np.minimum(at + 3, len(values))
+    shift = values.mean() if len(values) else 0.0
+    upto = np.concatenate([[0.0], np.cumsum(values - shift)])
+    return (upto[high] - upto[low]) / (high - low) + shift
+
+
+def _best_centers(tail: np.ndarray, own: slice, prefix: np.ndarray, centers: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the tail's own places the best of the prefix's centres and its score; values around the tail's ends repeat."""
+    smooth = _smoothed(tail)
+    left, right = max(half - own.start, 0), max(own.stop + half - len(tail), 0)
+    inner = smooth[max(own.start - half, 0) : own.stop + half]
+    padded = np.concatenate([np.full(left, smooth[0]), inner, np.full(right, smooth[-1])])
+    return best_windows(padded, _smoothed(prefix), 2 * half + 1, centers - half)
+
+
+def _match_series(row: np.ndarray, x: np.ndarray, known: np.ndarray, half: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A whole series: places of the rows to match, their values and scores."""
+    missing = np.isnan(known)
+    start = row[missing.argmax()] if missing.any() else len(row)
+    gaps = np.isnan(x)
+    x = np.where(gaps, np.median(x[~gaps]) if not gaps.all() else 0.0, x)
+    split = int(np.searchsorted(row, start))
+    wanted = np.flatnonzero(missing)
+    before = known[:split][~np.isnan(known[:split])]
+    value = np.full(len(wanted), before[-1] if len(before) else np.nan)
+    score = np.zeros(len(wanted))
+    centers = np.arange(half, split - half)
+    centers = centers[(row[centers] - half) % stride == 0]
+    if start >= 2 * half + 2 and len(centers) and len(wanted):
+        best, found = _best_centers(x[split:], slice(0, len(x) - split), x[:split], centers, half)
+        at = wanted - split
+        value, score = known[centers[best[at]]], found[at]
+        value = np.where(np.isnan(value), before[-1] if len(before) else np.nan, value)
+    return wanted, value, score
 
 
 def self_match(
@@ -680,78 +741,73 @@ def self_match(
 ) -> DataFrame:
     """For each tail row, the known value at the prefix window most correlated with the window around the row.
 
-    Every tail window is compared with every prefix window, as the definition asks, in blocks
-    of both: a block pair is one matrix product and leaves one row per tail row. The number of
-    pairs grows with prefix × tail of a series; no pair of windows is ever a row. Gaps of the log count as the
-    series' median.
+    Every tail window is compared with every prefix window, as the definition asks, by running sums along
+    diagonals: one product per pair of positions. A series of one chunk travels once, as one array of its values.
+    A longer one is cut into tiles, each pair of a tail tile and a prefix tile is one piece of work, and the
+    best of its tiles is kept per row. Gaps of the log count as the series' median.
     """
     keys = list(keys)
-    size = 2 * half + 1
-    df = with_key_percentiles(df, keys, {"_log_median": (log, 0.5)}, row).withColumn("_log", F.coalesce(log, "_log_median", F.lit(0.0)))
-    log = "_log"
-    zoned = split_zone(df, probe, keys=keys, row=row).withColumn("_part", F.col("in_prefix"))
-    smooth = Frame(2, 2, lambda r: {"_s": F.avg(log).over(r(-2, 2))})
-    zoned = apply_frames(zoned, [*keys, "_part"], smooth, row=row)
-    units = _unit_windows(zoned, [*keys, "_part"], "_s", half, row)
-    prefix = units.where(
-        F.col("in_prefix") & F.col("_whole") & ((F.col(row) - half) % stride == 0) & (F.col("eval_start") >= size + 1)
-    ).select(
-        *keys,
-        F.floor(F.col(row) / (MATCH_BLOCK * stride)).alias("_pb"),
-        F.col(row).alias("_center"),  # keeps the recorded bound of the row number
-        F.col("_unit"),
-        F.col(probe).cast("double").alias("_value"),
-    )
-    tail = units.where(F.col("is_eval") & (F.col(row) >= F.col("eval_start"))).select(
-        *keys, F.col(row).alias(row), F.floor(F.col(row) / MATCH_BLOCK).alias("_tb"), "_unit"
-    )
-    prefix_blocks = prefix.select(*keys, "_pb").distinct()
-    tail_blocks = tail.select(*keys, "_tb").distinct()
-    pair = [*keys, "_pb", "_tb"]
-
-    def packed(rows: DataFrame, fields: Sequence[str], place: str) -> DataFrame:
-        """One row per block: its windows end to end in one array, the other fields beside it."""
-        inner = F.array_sort(F.collect_list(F.struct(place, *[f for f in fields if f != place], "_unit")))
-        blocks = rows.groupBy(*pair).agg(inner.alias("_all"))
-        return blocks.select(
-            *pair,
-            F.flatten("_all._unit").alias(f"_units_{place}"),
-            *[F.col(f"_all.{f}").alias(f"_list_{f}") for f in fields],
-        )
-
-    left = packed(attach(tail, prefix_blocks, keys, row, "inner"), [row], row)
-    right = packed(attach(prefix, tail_blocks, keys, "_center", "inner"), ["_center", "_value"], "_center")
-
-    def best(tails: pd.Series, prefixes: pd.Series) -> pd.DataFrame:
-        places, scores = [], []
-        for t, p in zip(tails, prefixes):
-            product = np.asarray(t).reshape(-1, size) @ np.asarray(p).reshape(-1, size).T / size
-            at = product.argmax(axis=1)
-            places.append(at)
-            scores.append(product[np.arange(len(at)), at])
-        return pd.DataFrame({"at": places, "score": scores})
-
-    match = F.pandas_udf(best, "at array<bigint>, score array<double>")
-    joined = left.join(right, pair).withColumn("_m", match(f"_units_{row}", "_units__center"))
-    entries = F.arrays_zip(F.col(f"_list_{row}").alias("r"), F.col("_m.at").alias("at"), F.col("_m.score").alias("score"))
-    blocks = joined.select(*keys, "_list__center", "_list__value", F.explode(entries).alias("_e")).select(
-        *keys,
-        F.col("_e.r").alias(row),
-        F.col("_e.score").alias("_score"),
-        F.get("_list__center", F.col("_e.at").cast("int")).alias("_center"),
-        F.get("_list__value", F.col("_e.at").cast("int")).alias("_value"),
-    )
-    found = blocks.groupBy(*keys, row).agg(
-        F.max_by(F.struct("_value", "_score"), F.struct(F.col("_score"), -F.col("_center"))).alias("_b")
-    )
+    kinds = dict(df.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, row])
+    if one_chunk(df, row):
+        entry = F.struct(F.col(row).alias("row"), F.col(log).cast("double").alias("x"), F.col(probe).cast("double").alias("v"))
+        whole = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+
+        def run(batches):
+            for batch in batches:
+                ends, entries = lists(batch.column("_rows"))
+                place, x, known = (field(entries, f) for f in ("row", "x", "v"))
+                found = [_match_series(place[a:b], x[a:b], known[a:b], half, stride) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                own = pa.array(np.repeat(np.arange(len(found)), [len(w) for w, _, _ in found]))
+                at = np.concatenate([a + w for a, (w, _, _) in zip(ends[:-1], found, strict=True)])
+                columns = [batch.column(k).take(own) for k in keys] + [entries.field("row").take(pa.array(at))]
+                columns += [pa.array(np.concatenate([f[i] for f in found]), from_pandas=True) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, row, "match_value", "match_score"])
+
+        return whole.mapInArrow(run, f"{named}, match_value double, match_score double")
+    filled = with_key_percentiles(df, keys, {"_log_median": (log, 0.5)}, row).withColumn("_log", F.coalesce(log, "_log_median", F.lit(0.0)))
+    zoned = checkpoint(split_zone(filled, probe, keys=keys, row=row).select(*keys, row, "_log", probe, "eval_start", "in_prefix", "is_eval"))
+    placed = with_place(zoned, [*keys, "in_prefix"], "_at", row)
+    halo, size = half + 2, F.lit(SCAN_ROWS)
+    reach = F.sequence(F.greatest(F.floor((F.col("_at") - halo) / size), F.lit(0)), F.floor((F.col("_at") + halo) / size))
+    entry = F.struct(F.col("_at").alias("at"), F.col(row).alias("row"), F.col("_log").alias("x"), F.col(probe).cast("double").alias("v"), "is_eval")
+    tiles = placed.withColumn("_tile", F.explode(reach)).groupBy(*keys, "in_prefix", "_tile")
+    tiles = tiles.agg(F.sort_array(F.collect_list(entry)).alias("_rows"), F.max("eval_start").alias("_start"))  # at most SCAN_ROWS and two halos
+    tiles = checkpoint(tiles)
+    prefix = tiles.where(F.col("in_prefix") & (F.col("_start") >= 2 * half + 2)).select(*keys, F.col("_tile").alias("_other"), F.col("_rows").alias("_prefix"))
+    others = prefix.groupBy(*keys).agg(F.collect_list("_other").alias("_others"))
+    tails = tiles.where(~F.col("in_prefix")).select(*keys, "_tile", "_rows").join(others, keys).withColumn("_other", F.explode("_others")).drop("_others")
+    pairs = tails.join(prefix, [*keys, "_other"])
+
+    def run_pairs(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                piece = batch.slice(i, 1)
+                tail, known = (lists(piece.column(c))[1] for c in ("_rows", "_prefix"))
+                at, there = tail.field("at").to_numpy(), known.field("at").to_numpy()
+                mine = np.flatnonzero(at // SCAN_ROWS == piece.column("_tile")[0].as_py())
+                numbers = known.field("row").to_numpy()
+                centers = np.flatnonzero((there // SCAN_ROWS == piece.column("_other")[0].as_py()) & ((numbers - half) % stride == 0))
+                centers = centers[(centers >= half) & (centers + half < len(there))]
+                if not len(mine) or not len(centers):
+                    continue
+                best, score = _best_centers(field(tail, "x"), slice(mine[0], mine[-1] + 1), field(known, "x"), centers, half)
+                wanted = np.flatnonzero(tail.field("is_eval").to_numpy(zero_copy_only=False)[mine])
+                chosen = centers[best[wanted]]
+                none = pa.array(np.zeros(len(wanted), np.int64))
+                columns = [piece.column(k).take(none) for k in keys] + [tail.field("row").take(pa.array(mine[wanted]))]
+                columns += [pa.array(field(known, "v")[chosen], from_pandas=True), pa.array(score[wanted]), pa.array(numbers[chosen])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, row, "_value", "_score", "_center"])
+
+    blocks = pairs.mapInArrow(run_pairs, f"{named}, _value double, _score double, _center {kinds[row]}")
+    found = blocks.groupBy(*keys, row).agg(F.max_by(F.struct("_value", "_score"), F.struct(F.round("_score", 9), -F.col("_center"))).alias("_b"))
     anchored = last_known(zoned.where(F.col(row) < F.col("eval_start")), {"_last": probe}, probe, keys, row)
     lasts = anchored.groupBy(*keys).agg(F.max("_last").alias("_last"))
-    rows = zoned.where(F.col("is_eval")).select(*keys, row)
-    joined = attach(rows, lasts, keys, row).join(found, [*keys, row], "left")
+    joined = attach(zoned.where("is_eval").select(*keys, row), lasts, keys, row).join(found, [*keys, row], "left")
     return joined.select(
         *keys,
         row,
-        F.coalesce("_b._value", "_last").alias("match_value"),
+        F.coalesce("_b._value", F.col("_last").cast("double")).alias("match_value"),
         F.coalesce("_b._score", F.lit(0.0)).alias("match_score"),
     )
 
@@ -772,6 +828,35 @@ def combine_scales(df: DataFrame, values: Sequence[str], scores: Sequence[str],
 SIGNATURE = ["sig_mean", "sig_std", "sig_range", "sig_grad", "sig_center"]
 
 
+def _match_signatures(values: dict[str, np.ndarray], half: int, stride: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A whole series: places of the tail's rows, and value, change, score, trust and gap of each."""
+    row, probe, inside, wanted = values["row"], values["v"], values["in_prefix"] > 0, np.flatnonzero(values["is_eval"] > 0)
+    points = np.stack([values[c] for c in SIGNATURE], axis=1)
+    usable = inside & (values["logged"] > 0) & ~np.isnan(probe)
+    known = usable.sum()
+    cands = np.flatnonzero(usable & (row % stride == 0) & ~np.isnan(points).any(axis=1))
+    out = [np.full(len(wanted), np.nan) for _ in range(5)]
+    if known < max(30, 2 * half) or len(cands) < 5:
+        return wanted, out
+    deviation = points[cands].std(axis=0)
+    scaled = (points - np.median(points[cands], axis=0)) / np.where(deviation >= 1e-6, deviation, 1.0)
+    asked = np.flatnonzero(~np.isnan(points[wanted]).any(axis=1))
+    anchor = probe[~np.isnan(probe)][-1]
+    for first in range(0, len(asked), 512):
+        some = asked[first : first + 512]
+        square = np.zeros((len(some), len(cands)))
+        for i in range(len(SIGNATURE)):
+            square += (scaled[wanted[some], i][:, None] - scaled[cands, i]) ** 2
+        distance = np.sqrt(square)
+        best = probe[cands[np.argmin(np.round(distance, 9), axis=1)]]
+        two = np.partition(distance, 1, axis=1)
+        score = np.exp(-np.clip(two[:, 0], 0.0, 20.0) / 2.5)
+        trust = np.clip(score * min(known / 250.0, 1.0), 0.0, 1.0)
+        for column, found in zip(out, (best, best - anchor, score, trust, two[:, 1] - two[:, 0]), strict=True):
+            column[some] = found
+    return wanted, out
+
+
 def signature_match(
     df: DataFrame,
     half: int = 15,
@@ -785,11 +870,32 @@ def signature_match(
     """Known value at the prefix row whose window signature is nearest to that of each tail row.
 
     Signatures of prefix and tail are computed apart and scaled by the prefix (median, population
-    std). Score ``exp(−d/2.5)``, trust = score × prefix length / 250 (at most 1), gap to the second.
+    std). Score ``exp(−d/2.5)``, trust = score × prefix length / 250 (at most 1), gap to the second. A series of one
+    chunk is matched as arrays, a longer one by the nearest points of its prefix.
     """
     keys = list(keys)
     zoned = split_zone(df, probe, keys=keys, row=row).withColumn("_part", F.col("in_prefix"))
     signed = apply_frames(zoned, [*keys, "_part"], *signature_frames(log, half), row=row).drop("_step")
+    if one_chunk(df, row):
+        kinds = dict(df.dtypes)
+        flags = {"in_prefix": F.col("in_prefix"), "is_eval": F.col("is_eval"), "logged": F.col(log).isNotNull(), "v": F.col(probe)}
+        entry = F.struct(F.col(row).alias("row"), *[c.cast("double").alias(n) for n, c in flags.items()], *[F.col(c).cast("double").alias(c) for c in SIGNATURE])
+        whole = signed.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+        names, fields = ["match_value", "match_delta", "match_score", "match_trust", "match_gap"], ["row", *flags, *SIGNATURE]
+
+        def run(batches):
+            for batch in batches:
+                ends, entries = lists(batch.column("_rows"))
+                columns = {n: field(entries, n) for n in fields}
+                found = [_match_signatures({n: c[a:b] for n, c in columns.items()}, half, stride) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                own = pa.array(np.repeat(np.arange(len(found)), [len(w) for w, _ in found]))
+                at = np.concatenate([a + w for a, (w, _) in zip(ends[:-1], found, strict=True)])
+                out = [batch.column(k).take(own) for k in keys] + [entries.field("row").take(pa.array(at))]
+                out += [pa.array(np.concatenate([f[i] for _, f in found]), from_pandas=True) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(out, names=[*keys, row, *names])
+
+        schema = [*(f"`{c}` {kinds[c]}" for c in [*keys, row]), *(f"{n} double" for n in names)]
+        return whole.mapInArrow(run, ", ".join(schema))
     usable = signed.where(F.col("in_prefix") & F.col(log).isNotNull() & F.col(probe).isNotNull())
     counted = with_key_stats(usable, keys, {"_known": F.count(F.lit(1))}, row)
     candidates = counted.where((F.col("_known") >= max(30, 2 * half)) & (F.col(row) % stride == 0))
@@ -838,32 +944,59 @@ def signature_match(
     )
 
 
-def _banded_distance(radius: int):
-    """Dynamic-time-warping distance of paired arrays, one numpy step per cell of the band for a whole batch."""
+def _warped(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Banded time-warping distances of windows along the first axis, one numpy step per cell of the band for all pairs."""
+    n = len(x)
+    before = [np.inf] * (n + 1)
+    before[0] = 0.0
+    for i in range(1, n + 1):
+        now = [np.inf] * (n + 1)
+        for j in range(max(1, i - radius), min(n, i + radius) + 1):
+            cheapest = np.minimum(np.minimum(before[j], now[j - 1]), before[j - 1])
+            now[j] = (x[i - 1] - y[j - 1]) ** 2 + cheapest
+        before = now
+    return np.sqrt(before[n] / n)
+
+
+def dtw_distance(a: str | Column, b: str | Column, radius: int) -> Column:
+    """Banded time-warping distance of two equally long arrays: ``sqrt(D / length)`` with squared cost."""
 
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.full(len(a), np.nan)
         lengths = a.map(len).to_numpy()
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
-            x, y = np.stack(a.to_numpy()[at]), np.stack(b.to_numpy()[at])
-            before = np.full((len(at), n + 1), np.inf)
-            before[:, 0] = 0.0
-            for i in range(1, n + 1):
-                now = np.full((len(at), n + 1), np.inf)
-                for j in range(max(1, i - radius), min(n, i + radius) + 1):
-                    cheapest = np.minimum(np.minimum(before[:, j], now[:, j - 1]), before[:, j - 1])
-                    now[:, j] = (x[:, i - 1] - y[:, j - 1]) ** 2 + cheapest
-                before = now
-            out[at] = np.sqrt(before[:, n] / n)
+            out[at] = _warped(np.stack(a.to_numpy()[at], axis=1), np.stack(b.to_numpy()[at], axis=1), radius)
         return pd.Series(out)
 
-    return F.pandas_udf(distance, "double")
+    return F.pandas_udf(distance, "double")(a, b)
 
 
-def dtw_distance(a: str | Column, b: str | Column, radius: int) -> Column:
-    """Banded time-warping distance of two equally long arrays: ``sqrt(D / length)`` with squared cost."""
-    return _banded_distance(radius)(a, b)
+WARPED = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
+
+
+def _warp_block(block: Block, shifts: np.ndarray, half: int, radius: int, sample_step: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of the sampled rows of a block (every k-th row number, and the last of a part) and their features."""
+    ends = np.cumsum([high - low for low, high in block.spans]) - 1
+    last = np.zeros(len(block), bool)
+    last[ends] = [high == len(p.x) for p, (_, high) in zip(block.parts, block.spans, strict=True)]
+    sampled = np.flatnonzero((block.row % sample_step == 0) | last)
+    values = block.curve_at(shifts)
+    low, high = (bound[sampled] for bound in block.around(half))
+    distance = np.full((len(sampled), len(shifts)), np.nan)
+    for n in np.unique(high - low):
+        same = np.flatnonzero(high - low == n)
+        for first in range(0, len(same), 256):
+            some = same[first : first + 256]
+            at = low[some] + np.arange(n)[:, None]
+            distance[some] = _warped(block.x[at][:, :, None], values[at], radius)
+    best = np.argmin(distance, axis=1)
+    least = distance[np.arange(len(sampled)), best]
+    zero = np.flatnonzero(shifts == 0)
+    second = np.partition(distance, 1, axis=1)[:, 1] if len(shifts) > 1 else np.full(len(sampled), np.nan)
+    lag = np.where(np.isnan(least), np.nan, shifts[best])
+    at_zero = distance[:, zero[0]] if len(zero) else np.full(len(sampled), np.nan)
+    return sampled, [lag, least, at_zero, distance.max(axis=1) - least, (second - least) / (least + 1e-6)]
 
 
 def dtw_lag_features(
@@ -885,19 +1018,43 @@ def dtw_lag_features(
 ) -> DataFrame:
     """Warping distance of the log window to the reference window at each lag, for every k-th row, filled in between.
 
-    Best lag, least distance, distance at lag 0, spread, and confidence (second − best)/(best + 1e-6). Gaps of
-    log and prior count as the series' median.
+    Best lag (the lowest at equal distance), least distance, distance at lag 0, spread, and confidence
+    (second − best)/(best + 1e-6). Gaps of log and prior count as the series' median. Windows are cut where the series
+    meets its curve, for the sampled rows only. The spread needs the distance at every lag, so that no lag can be
+    left out by a lower bound. Curves that do not fit a task take the way over Spark windows.
     """
     lags = [float(v) for v in np.arange(-max_lag, max_lag + lag_step / 2, lag_step)]
-    ids = [*keys, row]
+    ids, ref_keys = [*keys, row], list(ref_keys or keys)
     half = window // 2
     given = df
-    df = _signals(df, ref, log, prior, ref_x, keys, list(ref_keys or keys), row)
+    if curve_fits(ref, ref_keys):
+        own, value, place = _scannable(df, ref, log, prior, ref_x, keys, ref_keys, row)
+        # Series that are never cut are filled in between where they are scanned.
+        whole, shifts = one_chunk(own, row) and longest(own, row) <= BLOCK, np.array(lags)
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            sampled, found = _warp_block(block, shifts, half, radius, sample_step)
+            out = [np.full(len(block), np.nan) for _ in WARPED]
+            for column, values in zip(out, found, strict=True):
+                column[sampled] = values
+                if whole:
+                    for a, (low, high) in zip(block.start, block.spans, strict=True):
+                        own = slice(a, a + high - low)
+                        known = np.flatnonzero(~np.isnan(column[own]))
+                        if len(known):
+                            column[own] = np.interp(block.row[own], block.row[own][known], column[own][known])
+            return dict(zip(WARPED, out, strict=True))
+
+        result = ", ".join(f"{c} double" for c in WARPED)
+        anchors = scan_chunks(own, ref, keys, ref_keys, (value, place, ref_x, ref_y), half, reduce, result, row)
+        rows = given.join(anchors, ids, "left")
+        return rows if whole else interpolate_columns(rows, WARPED, keys=keys, row=row)
+    df = _signals(df, ref, log, prior, ref_x, keys, ref_keys, row)
     log, prior = "_x", "_p"
     ends = with_key_stats(df, keys, {"_last": F.max(row)}, row)
     ends = ends.withColumn("_sampled", (F.col(row) % sample_step == 0) | (F.col(row) == F.col("_last")))
     looked = curve_at_offsets(
-        ends, ref, list(ref_keys or keys), ids, prior, ref_x, ref_y, lags, [log, "_sampled"], "clamp"
+        ends, ref, ref_keys, ids, prior, ref_x, ref_y, lags, [log, "_sampled"], "clamp"
     ).select(*ids, "_sampled", F.col(log).alias("_x"), F.col("ref_at").alias("_y"), F.col("offset").alias("lag"))
     bound = longest(df, row)
     looked = _spread(df, keys, with_bound(looked, bound, row) if bound else looked)
@@ -919,9 +1076,8 @@ def dtw_lag_features(
         (F.max("d") - F.min("d")).alias("dtw_spread"),
         ((F.get(ordered, F.lit(1)) - F.min("d")) / (F.min("d") + 1e-6)).alias("dtw_confidence"),
     )
-    names = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
     rows = given.join(anchors, ids, "left")
-    return interpolate_columns(rows, names, keys=keys, row=row)
+    return interpolate_columns(rows, WARPED, keys=keys, row=row)
 
 
 def interpolate_columns(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str] = WELL, row: str = ROW) -> DataFrame:
@@ -1063,7 +1219,7 @@ def posterior_match(
     near_log, near_pos = 0.5 / sigma_log**2, 0.5 / sigma_pos**2
     if curve_fits(ref, keys):
 
-        def reduce(x, place, curve_x, curve_y):
+        def match(x, place, curve_x, curve_y):
             position, peak = np.full(len(x), np.nan), np.full(len(x), np.nan)
             known = np.flatnonzero(~np.isnan(x) & ~np.isnan(place)) if len(curve_x) else np.zeros(0, int)
             rows = max(1, 2_000_000 // max(len(curve_x), 1))
@@ -1075,7 +1231,8 @@ def posterior_match(
                 position[part], peak[part] = weight @ curve_x / total, 1 / total
             return {"posterior_position": position, "posterior_peak": peak}
 
-        return scan_chunks(df, ref, ids[:-1], keys, (log, prior, ref_x, ref_y), 0, reduce, "posterior_position double, posterior_peak double", ids[-1])
+        result = "posterior_position double, posterior_peak double"
+        return scan_chunks(df, ref, ids[:-1], keys, (log, prior, ref_x, ref_y), 0, per_part(match), result, ids[-1], Part.known_points)
     probes = df.where(F.col(log).isNotNull() & F.col(prior).isNotNull()).select(
         *dict.fromkeys([*ids, *keys]), F.col(prior).alias("_t0"), F.col(log).alias("_g")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strataline.functions.asof import bracket
 from strataline.functions.columns import col as as_col
 from strataline.functions.quantiles import with_key_percentiles
-from strataline.functions.scan import curve_fits, scan_chunks
+from strataline.functions.scan import Part, curve_fits, per_part, scan_chunks
 from strataline.functions.series import ROW, Frame, Rows, apply_frames, carried, spread_join, with_key_stats
 
 WELL = ("well_id",)
@@ -299,14 +299,14 @@ def distinct_in_range(
         known = ref.where(F.col(ref_x).isNotNull() & F.col(label).isNotNull())
         coded = known.withColumn("_code", F.dense_rank().over(Window.partitionBy(*keys).orderBy(label)))
 
-        def reduce(values, _, curve_x, codes):
+        def count(values, _, curve_x, codes):
             found = np.zeros(len(values), np.int64)
             for code in np.unique(codes):
                 at = curve_x[codes == code]
                 found += np.searchsorted(at, values + reach, "right") > np.searchsorted(at, values - reach, "left")
             return {out: np.where(np.isnan(values), 0, found)}
 
-        counts = scan_chunks(df, coded, ids[:-1], keys, (x, x, ref_x, "_code"), 0, reduce, f"`{out}` long", ids[-1])
+        counts = scan_chunks(df, coded, ids[:-1], keys, (x, x, ref_x, "_code"), 0, per_part(count), f"`{out}` long", ids[-1], Part.known_points)
     else:
         labels = ref.select(*keys, label).distinct()
         places = df.select(*dict.fromkeys([*ids, *keys]), F.col(x).alias("_x"))

@@ -121,14 +121,13 @@ def offset_family(spark, sf):
     return show(found, ID, FAMILY_NAMES)
 
 
-SCAN_LAGS = [float(v) for v in range(-60, 61)]
+SCAN_LAGS = [float(v) for v in range(-80, 81)]
 
 
 def correlation_sql(half, epsilon, name="corr"):
+    # lc is ly less the series' least value: where a window touches the end of the curve, its spread is a small part of ly.
     o = f"OVER (PARTITION BY user_id, off ORDER BY row_idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    cov = f"(sum(lx * ly) {o} - sum(lx) {o} * sum(ly) {o} / count(*) {o})"
-    vx = f"(sum(lx * lx) {o} - sum(lx) {o} * sum(lx) {o} / count(*) {o})"
-    vy = f"(sum(ly * ly) {o} - sum(ly) {o} * sum(ly) {o} / count(*) {o})"
+    cov, vx, vy = (f"({moment} {o} * count(*) {o})" for moment in ("covar_pop(lx, lc)", "var_pop(lx)", "var_pop(lc)"))
     usable = f"count(*) {o} >= 3 AND {vx} > 1e-9 * sum(lx * lx) {o} AND {vy} > 1e-9 * sum(ly * ly) {o}"
     if epsilon:
         return f"CASE WHEN {usable} THEN {cov} / (sqrt({vx} * {vy}) + 1e-6) ELSE 0 END AS {name}"
@@ -145,7 +144,7 @@ SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness"
 
 @query(
     "f06_lag_scan",
-    f"""WITH {SERIES}, {REFERENCE}, {FILLED_SQL}, {offsets_sql(SCAN_LAGS, "clamp", "sf")}, w AS (SELECT user_id, row_idx, off, lx, ref_at AS ly FROM lk),
+    f"""WITH {SERIES}, {REFERENCE}, {FILLED_SQL}, {offsets_sql(SCAN_LAGS, "clamp", "sf")}, w AS (SELECT user_id, row_idx, off, lx, ref_at AS ly, ref_at - min(ref_at) OVER (PARTITION BY user_id) AS lc FROM lk),
         c AS (SELECT *, {correlation_sql(25, True)} FROM w),
         b AS (SELECT user_id, row_idx, arg_max({{'off': off, 'corr': corr, 'lx': lx, 'ly': ly}}, (round(corr, 9), -off)) AS m,
           max(corr) FILTER (off = 0) AS corr_at_0, avg(corr) AS av, quantile_cont(corr, 0.5) AS me, stddev_pop(corr) AS sd FROM c GROUP BY 1, 2),
@@ -154,11 +153,13 @@ SCAN = ["best_lag", "best_corr", "corr_at_0", "corr_max_minus_mean", "peakiness"
         SELECT user_id, row_idx, {rounded(*SCAN)} FROM o""",
 )
 def lag_scan(spark, sf):
-    found = align.lag_scan(series(spark, sf), curves(spark, sf), 60, 51, **REF)
+    found = align.lag_scan(series(spark, sf), curves(spark, sf), 80, 51, **REF)
     return show(found, ID, SCAN)
 
 
-MULTI = ["best_lag_21", "best_lag_51", "best_corr_21", "best_corr_51", "lag_agreement", "median_lag", "lag_consensus", "ref_z_at_median", "residual_z"]
+
+MULTI_WINDOWS = (21, 51, 101)
+MULTI = [*(f"best_lag_{w}" for w in MULTI_WINDOWS), *(f"best_corr_{w}" for w in MULTI_WINDOWS), "lag_agreement", "median_lag", "lag_consensus", "ref_z_at_median", "residual_z"]
 
 
 def robust_sql(table, key, col, out, name):
@@ -174,19 +175,18 @@ def robust_sql(table, key, col, out, name):
         zseg AS (SELECT ref_id, tvt AS x0, rz AS y0, lead(tvt) OVER w AS x1, lead(rz) OVER w AS y1 FROM rzt WINDOW w AS (PARTITION BY ref_id ORDER BY tvt)),
         zrb AS (SELECT ref_id, min(tvt) AS lo, max(tvt) AS hi, arg_min(rz, tvt) AS ylo, arg_max(rz, tvt) AS yhi FROM rzt GROUP BY 1),
         {offsets_sql(SCAN_LAGS, "clamp", "sz").replace("rb ab", "zrb ab").replace("seg ag", "zseg ag")},
-        w AS (SELECT user_id, row_idx, off, lz AS lx, ref_at AS ly FROM lk),
-        c AS (SELECT *, {correlation_sql(10, False, "c21")}, {correlation_sql(25, False, "c51")} FROM w),
-        b AS (SELECT user_id, row_idx, max(lx) AS lz, arg_max({{'off': off, 'corr': c21}}, (round(c21, 9), -off)) AS m21,
-          arg_max({{'off': off, 'corr': c51}}, (round(c51, 9), -off)) AS m51 FROM c GROUP BY 1, 2),
-        d AS (SELECT b.user_id, b.row_idx, lz, prior, ref_id, m21.off AS best_lag_21, m51.off AS best_lag_51, m21.corr AS best_corr_21, m51.corr AS best_corr_51,
-          abs(m21.off - m51.off) / 2 AS lag_agreement, (m21.off + m51.off) / 2 AS median_lag FROM b JOIN s USING (user_id, row_idx)),
+        w AS (SELECT user_id, row_idx, off, lz AS lx, ref_at AS ly, ref_at - min(ref_at) OVER (PARTITION BY user_id) AS lc FROM lk),
+        c AS (SELECT *, {", ".join(correlation_sql(v // 2, False, f"c{v}") for v in MULTI_WINDOWS)} FROM w),
+        b AS (SELECT user_id, row_idx, max(lx) AS lz, {", ".join(f"arg_max({{'off': off, 'corr': c{v}}}, (round(c{v}, 9), -off)) AS m{v}" for v in MULTI_WINDOWS)} FROM c GROUP BY 1, 2),
+        d AS (SELECT b.user_id, b.row_idx, lz, prior, ref_id, {", ".join(f"m{v}.off AS best_lag_{v}, m{v}.corr AS best_corr_{v}" for v in MULTI_WINDOWS)},
+          list_stddev_pop([{", ".join(f"m{v}.off" for v in MULTI_WINDOWS)}]) AS lag_agreement, list_median([{", ".join(f"m{v}.off" for v in MULTI_WINDOWS)}]) AS median_lag FROM b JOIN s USING (user_id, row_idx)),
         q AS (SELECT *, prior + median_lag AS place, avg(median_lag) OVER ({BY} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS lag_consensus FROM d),
         o AS (SELECT q.*, {interp_sql("a", "q.place")} AS ref_z_at_median, lz - ref_z_at_median AS residual_z
           FROM {interp_from("a", "q", "q.place", "q.ref_id").replace("rb ab", "zrb ab").replace("seg ag", "zseg ag")})
         SELECT user_id, row_idx, {rounded(*MULTI)} FROM o""",
 )
 def lag_scan_multiscale(spark, sf):
-    found = align.lag_scan_multiscale(series(spark, sf), curves(spark, sf), 60, (21, 51), **REF)
+    found = align.lag_scan_multiscale(series(spark, sf), curves(spark, sf), 80, MULTI_WINDOWS, **REF)
     return show(found, ID, MULTI)
 
 
@@ -374,14 +374,14 @@ def combine_scales(spark, sf):
 MATCH = ["match_value", "match_delta", "match_score", "match_trust", "match_gap"]
 SIG = ["sig_mean", "sig_std", "sig_range", "sig_grad", "sig_center"]
 PART = "PARTITION BY user_id, is_eval ORDER BY row_idx"
-O5 = f"OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+O15 = f"OVER ({PART} ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)"
 
 
 @query(
     "f18_signature_match",
     f"""WITH {SERIES}, d0 AS (SELECT *, value - lag(value) OVER ({PART}) AS st FROM s),
-        sg AS (SELECT *, CASE WHEN count(value) {O5} >= 3 THEN avg(value) {O5} END AS sig_mean, coalesce(stddev_samp(value) {O5}, 0) AS sig_std,
-          max(value) {O5} - min(value) {O5} AS sig_range, coalesce(CASE WHEN count(st) {O5} >= 3 THEN avg(st) {O5} END, 0) AS sig_grad, value AS sig_center FROM d0),
+        sg AS (SELECT *, CASE WHEN count(value) {O15} >= 3 THEN avg(value) {O15} END AS sig_mean, coalesce(stddev_samp(value) {O15}, 0) AS sig_std,
+          max(value) {O15} - min(value) {O15} AS sig_range, coalesce(CASE WHEN count(st) {O15} >= 3 THEN avg(st) {O15} END, 0) AS sig_grad, value AS sig_center FROM d0),
         cn AS (SELECT * FROM sg WHERE NOT is_eval AND row_idx % 3 = 0 AND eval_start >= 30),
         sc AS (SELECT user_id, max(eval_start) AS known, {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}, CASE WHEN stddev_pop({c}) >= 1e-6 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in SIG)} FROM cn GROUP BY 1 HAVING count(*) >= 5),
         dd AS (SELECT t.user_id, t.row_idx, c.row_idx AS center, c.value AS v, known, sqrt({" + ".join(f"pow((t.{c} - c.{c}) / s_{c}, 2)" for c in SIG)}) AS d
@@ -393,7 +393,7 @@ O5 = f"OVER ({PART} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
         SELECT user_id, row_idx, {rounded(*MATCH)} FROM o""",
 )
 def signature_match(spark, sf):
-    return show(align.signature_match(series(spark, sf), 5, 3, "value", keys=KEYS), ID, MATCH)
+    return show(align.signature_match(series(spark, sf), 15, 3, "value", keys=KEYS), ID, MATCH)
 
 
 @query("f19_dtw_lag_features")
