@@ -18,6 +18,7 @@ def _contract_few(links: DataFrame) -> DataFrame:
 
     def run(batches):
         least: dict = {}
+        own = None
 
         def root(x):
             while least[x] != x:
@@ -26,6 +27,7 @@ def _contract_few(links: DataFrame) -> DataFrame:
             return x
 
         for piece in batches:
+            own = piece.column("a").type
             for a, b in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
                 least.setdefault(a, a)
                 least.setdefault(b, b)
@@ -33,7 +35,7 @@ def _contract_few(links: DataFrame) -> DataFrame:
                 least[max(x, y)] = min(x, y)
         if least:
             nodes = list(least)
-            yield batch(node=pa.array(nodes), component=pa.array([root(x) for x in nodes]))
+            yield batch(node=pa.array(nodes, own), component=pa.array([root(x) for x in nodes], own))
 
     return links.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
 

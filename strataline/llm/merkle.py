@@ -1,10 +1,10 @@
 """Merkle fingerprints of documents over sections, paragraphs and sentences, in DataFrame functions only (operator 2).
 
-The tree of a text: its paragraphs (each with its line feed) are grouped into sections, and a
-paragraph branches into leaves, its sentences, of at most 8 words. A section ends with a paragraph
-whose digest is 0 modulo 8, so an edit changes the sections around it and no later ones. Every inner
-digest is over the digests below it. Equal roots mean equal texts; where roots differ, sections that
-differ lead to the paragraphs that differ.
+The tree of a text: its paragraphs (each with its line feed) are grouped into sections. A section ends
+with a paragraph whose leaves hash to 0 modulo 8, so an edit changes the sections around it and no later ones.
+Paragraphs, sections and the root are SHA-256 digests, each over what is below it, so equal roots mean equal texts
+at any number of documents; where roots differ, sections that differ lead to the paragraphs that differ. A paragraph
+also branches into leaves, its sentences, of at most 8 words: 64-bit hashes for the likeness of trees and the cuts only.
 """
 
 from __future__ import annotations
@@ -24,24 +24,26 @@ def add_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Add the digests of the leaves, paragraphs and sections in order, and the root, as four columns."""
     leaf, paragraph, section, root = (f"{prefix}{x}" for x in ("leaves", "paragraphs", "sections", "root"))
     parts = F.filter(F.split(F.col(text), _PARAGRAPH), lambda p: p != "")
-    nested = F.transform(parts, lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda s: F.xxhash64(s)))
+    nested = F.transform(f"{prefix}parts", lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda s: F.xxhash64(s)))
+    last = F.size(f"{prefix}nested") - 1
     ends = F.filter(
-        F.transform(F.col(paragraph), lambda n, i: F.when((F.pmod(n, F.lit(SECTION)) == 0) | (i == F.size(paragraph) - 1), i + 1)),
+        F.transform(F.col(f"{prefix}nested"), lambda x, i: F.when((F.pmod(F.xxhash64(x), F.lit(SECTION)) == 0) | (i == last), i + 1)),
         lambda i: i.isNotNull(),
     )
     spans = F.zip_with(
         F.concat(F.array(F.lit(0)), F.slice(f"{prefix}ends", 1, F.greatest(F.size(f"{prefix}ends") - 1, F.lit(0)))),
         F.col(f"{prefix}ends"),
-        lambda s, e: F.when(e.isNotNull(), F.xxhash64(F.slice(paragraph, s + 1, e - s))),
+        lambda s, e: F.when(e.isNotNull(), F.sha2(F.array_join(F.slice(paragraph, s + 1, e - s), ","), 256)),
     )
     return (
-        df.withColumn(f"{prefix}nested", nested)
+        df.withColumn(f"{prefix}parts", parts)
+        .withColumn(f"{prefix}nested", nested)
         .withColumn(leaf, F.flatten(f"{prefix}nested"))
-        .withColumn(paragraph, F.transform(f"{prefix}nested", lambda x: F.xxhash64(x)))
+        .withColumn(paragraph, F.transform(f"{prefix}parts", lambda p: F.sha2(p, 256)))
         .withColumn(f"{prefix}ends", ends)
         .withColumn(section, F.filter(spans, lambda s: s.isNotNull()))
-        .withColumn(root, F.sha2(F.concat_ws(",", F.transform(section, lambda d: F.hex(d))), 256))
-        .drop(f"{prefix}nested", f"{prefix}ends")
+        .withColumn(root, F.sha2(F.concat_ws(",", section), 256))
+        .drop(f"{prefix}parts", f"{prefix}nested", f"{prefix}ends")
     )
 
 
@@ -108,8 +110,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     nexts = rows
     if repeated:
-        least = Window.partitionBy("id").orderBy("text")
-        nexts = rows.withColumn("_rank", F.row_number().over(least)).where("_rank = 1").drop("_rank")
+        # A minimum is combined before the shuffle, so that an id with very many rows is no task's burden.
+        nexts = rows.groupBy("id").agg(F.min("text").alias("text"))
     given = nexts.join(wanted, F.col("id").eqNullSafe(F.col("next_id")))
     given = add_tree(given, "text", "next_").select("for_id", F.expr("substring(text, 1, room)").alias("head"), "next_leaves")
     joined = rows.join(given, F.col("id").eqNullSafe(F.col("for_id"))).withColumn("n_chars", F.char_length("text").cast("long"))

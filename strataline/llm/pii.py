@@ -18,12 +18,11 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 # Base patterns. Fixed values; possessive where that changes no match.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_SIDE = re.compile(r"[A-Za-z0-9._%+@-]*+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_EMAIL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def _luhn(digits: str) -> bool:
@@ -41,16 +40,18 @@ def _digits(text: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches lie inside runs of address characters, so only runs around an @ are searched."""
+    """From every @ the domain after it, matched once, then the local part back to the end of the match before: linear in the text."""
     done, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > done and text[start - 1] in _EMAIL_LETTERS:
-            start -= 1
-        done = _EMAIL_SIDE.match(text, at).end()
-        for m in _EMAIL.finditer(text, start, done):
-            yield m.span()
-        at = text.find("@", done)
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            start = at
+            while start > done and text[start - 1] in _LOCAL_LETTERS:
+                start -= 1
+            if start < at:
+                done = domain.end()
+                yield start, done
+        at = text.find("@", max(done, at + 1))
 
 
 def find_plain(text: str) -> list[Span]:
@@ -114,7 +115,9 @@ _DIGIT_HINT = re.compile(r"(?:ero|two|ree|our|ive|six|eve|igh|ine|ins|wei|rei|ie
 _AT = r"(?:[ ]?[(\[{<][ ]?(?:at|@|arroba|ät)[ ]?[)\]}>][ ]?|[ ](?:at|arroba|ät)[ ]|[ ]?@[ ]?)"
 _DOT = r"(?:[ ]?[(\[{<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[)\]}>][ ]?|[ ](?:dot|punkt|point|punto)[ ]|\.)"
 _LOCAL = r"[A-Za-z0-9_%+-]++(?:(?:[ ]?[(\[{<][ ]?(?:dot|punkt|point|punto)[ ]?[)\]}>][ ]?|[ ](?:dot|punkt|point|punto)[ ]|\.)[A-Za-z0-9_%+-]++)*+"
-_WRITTEN_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])({_LOCAL})({_AT})([A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+)", re.IGNORECASE)
+_WRITTEN_LOCAL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}", re.IGNORECASE)
+_WRITTEN_AT = re.compile(_AT, re.IGNORECASE)
+_WRITTEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++", re.IGNORECASE)
 _WRITTEN_IP = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.IGNORECASE)
 _DOT_AT = re.compile(_DOT, re.IGNORECASE)
 _WRITTEN_HINT = re.compile(r"[(\[{<][ ]?(?:at|@|arroba|ät|dot|punkt|point|punto|\.)[ ]?[)\]}>]|[ ](?:dot|punkt|point|punto)[ ]|[ ](?:at|arroba|ät)[ ](?=[A-Za-z0-9-]++\.[A-Za-z0-9-])|[ ]@|@[ ]", re.IGNORECASE)
@@ -168,17 +171,35 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _windows(text: str, hits: list[tuple[int, int]], reach: int = 160) -> list[tuple[int, int]]:
-    """Ranges around the hits, merged: nothing that a disguise is part of is longer than the reach on either side."""
+    """Ranges around the hits, merged. A disguise reaches no further than the reach and the word that stands there, however long."""
     out: list[list[int]] = []
     for s, e in hits:
         s, e = max(0, s - reach), min(len(text), e + reach)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+        before = out[-1][1] if out else 0
+        while s > before and not text[s - 1].isspace():
+            s -= 1
+        if out and s <= before:
+            out[-1][1] = max(before, e)
         else:
             out.append([s, e])
+        while out[-1][1] < len(text) and not text[out[-1][1]].isspace():
+            out[-1][1] += 1
     return [(s, e) for s, e in out]
 
 
+def _written_addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses with written-out signs: each chain of words and dots is walked once, as a local part that a sign and a domain follow."""
+    local = _WRITTEN_LOCAL.search(text)
+    while local:
+        done = local.end()
+        sign = _WRITTEN_AT.match(text, done)
+        domain = _WRITTEN_DOMAIN.match(text, sign.end()) if sign else None
+        if domain and _is_address(text, local, sign.group(), domain.group()):
+            done = domain.end()
+            yield local.start(), done, re.sub(_DOT_AT, ".", local.group()) + "@" + re.sub(_DOT_AT, ".", domain.group())
+        local = _WRITTEN_LOCAL.search(text, done)
+
+
 def find_disguised(text: str) -> list[Span]:
     """Identifiers that show only after normalising; spans in characters of the source."""
     hits = [m.span() for m in _WRITTEN_HINT.finditer(text)]
@@ -190,8 +211,7 @@ def find_disguised(text: str) -> list[Span]:
         tape = Tape.of(text[first:last])
         tape = tape.rewrite([(m.start(), m.end(), _ALIKE[m.group()]) for m in _ALIKE_AT.finditer(tape.text)])
         tape = tape.rewrite(_spelled_edits(tape.text))
-        written = [(*m.span(), re.sub(_DOT_AT, ".", m.group(1)) + "@" + re.sub(_DOT_AT, ".", m.group(3))) for m in _WRITTEN_EMAIL.finditer(tape.text) if _is_address(m)]
-        tape = tape.rewrite(written)
+        tape = tape.rewrite(list(_written_addresses(tape.text)))
         tape = tape.rewrite([(*m.span(), re.sub(_DOT_AT, ".", m.group())) for m in _WRITTEN_IP.finditer(tape.text)])
         for kind, s, e in find_plain(tape.text):
             s, e = tape.source(s, e)
@@ -199,19 +219,24 @@ def find_disguised(text: str) -> list[Span]:
     return found
 
 
-def _is_address(m: re.Match[str]) -> bool:
-    """A written-out sign must be there; a bare "at" between words also needs a written-out dot."""
-    signs, domain = m.group(2), m.group(3)
+# Words before an address, and words after which "at" tells a place, in the languages handled. Fixed values.
+_CUE = re.compile(
+    r"(?<!\w)(?:e-?mail\w*|mail\w*|contact\w*|kontakt\w*|address\w*|adress\w*|correo|write|writing|schreib\w*|écri\w*|escrib\w*|reach|ask)(?!\w)"
+    r"[ :,;=-]{1,3}(?:(?:to|an|à|a|is|ist|est|es|for|für|with|me|us|him|her|them)[ :]{1,2}){0,2}$",
+    re.IGNORECASE,
+)
+_NO_NAMES = frozenset("me us it him her them you i we they he she that this now here there uns mich ihn sie moi nous lui mí nos".split())
+
+
+def _is_address(text: str, local: re.Match[str], sign: str, domain: str) -> bool:
+    """A sign in brackets or an @ tells an address, as does a written-out dot in its domain. A bare "at" before plain full
+    stops is mostly prose ("we met at example.com"): there a word such as "mail" or "write to" must stand before the name."""
     end = re.split(_DOT_AT, domain)[-1]
     if not 2 <= len(end) <= 12 or not end.isalpha():
         return False
-    if any(c in signs for c in "([{<@"):
+    if any(c in sign for c in "([{<@") or re.search(r"[(\[{<]|[ ]", domain):
         return True
-    return re.search(r"[(\[{<]|[ ]", domain) is not None or (signs.strip().lower() == "at" and end.islower() and end in _ENDINGS)
-
-
-# Endings of domains after a bare "at" and plain full stops. Fixed values.
-_ENDINGS = frozenset("com org net edu gov info io de fr es uk eu".split())
+    return local.group().lower() not in _NO_NAMES and _CUE.search(text, max(0, local.start() - 40), local.start()) is not None
 
 
 def find_private(text: str | None) -> tuple[list[Span], list[Span]]:

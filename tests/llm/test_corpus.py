@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from cases import (
     PROSE,
@@ -20,8 +21,9 @@ from cases import (
     repeated_bytes,
     word_sets,
 )
+from pyspark.sql import functions as F
 
-from strataline.llm import mixing, neardup
+from strataline.llm import graph, mixing, neardup
 from strataline.llm.common import Steps
 from strataline.llm.graph import components
 from strataline.llm.merkle import compare_with_next, fingerprint
@@ -265,6 +267,28 @@ def test_sketch_estimates_high_similarities(spark):
     assert worst < 0.12
 
 
+@pytest.mark.parametrize("few", [300_000, 0])
+@pytest.mark.parametrize("kind", ["int", "short", "long", "string", "date", "decimal(20,0)"])
+def test_ids_of_any_type(spark, monkeypatch, kind, few):
+    """Both ways of contracting links keep the type of the ids."""
+    monkeypatch.setattr(graph, "FEW", few)
+    numbered = docs_of(spark, [PROSE * 3, PROSE * 3 + "End.", PROSE * 3 + "The end.", "something else entirely, of no other kind"], first=1)
+    ids = numbered.select((F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)).alias("doc_id"), "text")
+    found = neardup.near_duplicates(ids)
+    assert dict(found.dtypes)["component_id"] == dict(ids.dtypes)["doc_id"]
+    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    assert [r.kept for r in rows] == [True, False, False, True]
+    assert rows[0].component_id == rows[1].component_id == rows[2].component_id == rows[0].doc_id
+
+
+def test_texts_that_share_an_id_stay_unless_alike(spark):
+    rows = [(1, PROSE * 3), (1, "quite another text that nobody else has, of more than five words"), (2, PROSE * 3), (None, PROSE * 3), (None, None), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x")).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.text) for r in kept.collect()) == sorted(["None", "None", PROSE * 3, rows[1][1]])
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     ids = list(range(n))
@@ -377,5 +401,6 @@ def test_every_stage_on_edge_rows(spark):
             assert out.columns == docs.columns, name
             assert len(rows) <= len(edge_rows())
         assert stage(spark, empty_docs(spark), SF_DIR).collect() == []
+    # Both texts under id 7 stay; of the copies, the one without id goes like the others.
     ids = Counter(r.doc_id for r in p.near_dedup(spark, docs, SF_DIR).collect())
-    assert ids == {1: 1, 3: 1, 4: 1, 5: 1, None: 2, 6: 1, 7: 1, 8: 1}
+    assert ids == {1: 1, 3: 1, 4: 1, 5: 1, None: 1, 6: 1, 7: 2, 8: 1}

@@ -144,6 +144,68 @@ def test_plain_prose_has_no_personal_data(text):
     assert find_private(text) == ([], [])
 
 
+PLACES = [
+    "meet at booking.com",
+    "call me at example.com",
+    "look at github.io",
+    "I bought it at ebay.co.uk yesterday",
+    "profit at siemens.de",
+    "contact us at example.com",
+    "write to me at example.org",
+    "she arrived at example.net. Then",
+]
+HIDDEN = [
+    ("mail jane at example.ru today", "jane at example.ru"),
+    ("contact: piet at example.be", "piet at example.be"),
+    ("schreib an hans at beispiel.de", "hans at beispiel.de"),
+    ("e-mail ana at correo.es or", "ana at correo.es"),
+    ("jane (at) example.museum", "jane (at) example.museum"),
+    ("we have jane at example dot ru", "jane at example dot ru"),
+]
+
+
+def test_precision_and_recall_of_a_bare_at():
+    """None of the places is taken for an address, every address with a cue or another written sign is found."""
+    for text in PLACES:
+        assert find_private(f"{FILLER}{text}. {FILLER}") == ([], []), text
+    for text, span in HIDDEN:
+        whole = f"{FILLER}{text}. {FILLER}"
+        base, added = find_private(whole)
+        assert base == [] and [whole[s:e] for _, s, e in added] == [span], text
+
+
+def test_long_addresses_are_found_whole():
+    for local in ("q" * 300, "q" * 5000):
+        for text, span in ((f"see {local} @ example.com.", f"{local} @ example.com"), (f"mail {local} [at] example.com", f"{local} [at] example.com")):
+            assert [text[s:e] for _, s, e in find_private(text)[1]] == [span]
+        text = f"x {local}@{'d' * 400}.example.com y"
+        assert find_plain(text) == [("email", 2, len(text) - 2)]
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "a@" + "b" * n,
+        lambda n: "a dot " * (n // 6),
+        lambda n: "a.b" * (n // 3) + "@",
+        lambda n: "one two " * (n // 8),
+        lambda n: ("QWxhZGRpbjpvcGVuIHNlc2FtZQ" * (n // 26)) + "@x one two three four",
+        lambda n: "mail a at b " * (n // 12),
+        lambda n: "[.]" * (n // 3),
+    ],
+)
+def test_hard_texts_take_linear_time(make):
+    import time
+
+    def seconds(n):
+        text, start = make(n), time.process_time()
+        find_private(text)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 6 * max(seconds(100_000), 0.05)
+
+
 @pytest.mark.parametrize(
     "span",
     [
