@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import Steps, held_out, table
+from strataline.llm.common import Steps, held_out, join_unique, table
 from strataline.llm.decontaminate import drop_contaminated
 from strataline.llm.language import fit_language, keep_identified
 from strataline.llm.mixing import mix_sources
@@ -23,15 +23,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the least id: five words, similarity 0.8 or more.
 
-    Rows without id stay. Of rows that share an id the one with the least text stays.
+    Nothing but likeness removes a row: where an id is absent or repeated, the rows are numbered, written, and
+    compared by number. Of a group's rows one with the least known id stays.
     """
-    found = near_duplicates(docs, words=5, share=(4, 5))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    known = rest.where("doc_id is not null").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return known.where("_nth = 1").drop("_nth").unionByName(rest.where("doc_id is null"))
+    most, absent = docs.groupBy("doc_id").count().agg(F.max("count"), F.count_if(F.col("doc_id").isNull())).first()
+    if (most or 0) <= 1 and not absent:
+        gone = near_duplicates(docs, words=5, share=(4, 5)).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    steps = Steps(spark, "rows")
+    numbered = steps.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(numbered, id_col="_row", words=5, share=(4, 5)).select("_row", "component_id")
+    named = steps.keep(found.join(numbered.select("_row", "doc_id"), "_row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row")
+    groups = named.groupBy("component_id").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = steps.keep(groups.select("component_id", F.col("best._row").alias("_best"), "n"))
+    gone = join_unique(named, groups, "component_id", F.col("n") * 1000 > named.count()).where("_row <> _best").select("_row")
+    return numbered.join(gone, "_row", "left_anti").drop("_row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
