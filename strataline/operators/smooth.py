@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -261,6 +262,9 @@ def _limit(rows: DataFrame, max_slope: float, col: str, md: str, row: str, group
             for i, (owner, v, d, entry, entry_md) in enumerate(zip(owners, *columns)):
                 if owner != current:
                     current, value, depth = owner, entry, entry_md
+                if v != v:
+                    out[i] = np.nan
+                    continue
                 reach = max_slope * max(abs(d - depth), 1e-6)
                 value = min(max(v, value - reach), value + reach)
                 depth = d
@@ -272,6 +276,68 @@ def _limit(rows: DataFrame, max_slope: float, col: str, md: str, row: str, group
     return rows.repartition(*group).sortWithinPartitions(*group, row).mapInPandas(run, schema)
 
 
+class Transfer:
+    """What a stretch of rows makes of the value it is entered with: monotone, with slopes 0 and 1, as its corners (x, y).
+
+    One row leaves the values within its reach at its own value and moves the others by the reach towards it.
+    """
+
+    def __init__(self) -> None:
+        self.x: list[float] = []
+        self.y: list[float] = []
+
+    def _source(self, y: float, after: int) -> float:
+        """The entry value that gives ``y``, which lies between the corners ``after - 1`` and ``after``."""
+        if not self.x:
+            return y
+        near = after - 1 if after else 0
+        return self.x[near] + (y - self.y[near])
+
+    def add(self, value: float, reach: float) -> None:
+        low, high = value - reach, value + reach
+        i, j = bisect_left(self.y, low), bisect_right(self.y, high)
+        x = [self._source(low, i), self._source(high, j)]
+        self.x[i:j] = x
+        self.y = [y + reach for y in self.y[:i]] + [value, value] + [y - reach for y in self.y[j:]]
+
+
+def carry_through(x: Sequence[float], y: Sequence[float], entry: float) -> float:
+    """The exit value of a stretch with the given corners."""
+    at = bisect_left(x, entry)
+    if at < len(x) and (at == 0 or y[at - 1] != y[at]):
+        return y[at] - (x[at] - entry)
+    return y[at - 1] if at < len(x) else y[-1] + (entry - x[-1]) if len(x) else entry
+
+
+def _transfers(rows: DataFrame, max_slope: float, col: str, md: str, row: str, group: Sequence[str]) -> DataFrame:
+    """(group, corners) of each group's transfer; rows stream through in order."""
+    group = list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, transfer, depth = None, Transfer(), 0.0
+        done: list[tuple] = []
+        names = [*group, "_x", "_y"]
+        for pdf in batches:
+            owners = list(zip(*[pdf[g] for g in group]))
+            for owner, v, d, entry_md in zip(owners, *[pdf[c].to_numpy(float).tolist() for c in (col, md, "_entry_md")]):
+                if owner != current:
+                    if current is not None:
+                        done.append((*current, transfer.x, transfer.y))
+                    current, transfer, depth = owner, Transfer(), entry_md
+                if v == v:
+                    transfer.add(v, max_slope * max(abs(d - depth), 1e-6))
+                    depth = d
+            if done:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if current is not None:
+            yield pd.DataFrame([(*current, transfer.x, transfer.y)], columns=names)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in group], "_x array<double>, _y array<double>"])
+    return rows.repartition(*group).sortWithinPartitions(*group, row).mapInPandas(run, schema)
+
+
 def slope_limit(
     df: DataFrame,
     col: str,
@@ -286,10 +352,10 @@ def slope_limit(
 ) -> DataFrame:
     """Forward limiter: each value stays within ``max_slope`` per unit of depth of the one before; no later row is read.
 
-    ``start`` and ``start_md`` are the last known value and its depth. A long series is limited in
-    chunks, each from a guessed entry value; chunks whose entry turns out different run again
-    until none changes. Limited paths meet as soon as one value is within reach, so few rounds
-    are needed and the result is the sequential one.
+    ``start`` and ``start_md`` are the last known value and its depth. A row without value stays without one and is passed
+    over. A long series goes by chunks in two passes, whatever
+    its values: what each chunk makes of any entry value (``Transfer``), from which the entries follow chunk by
+    chunk, and then the limiter within each chunk.
     """
     keys = list(keys)
     if not is_long(df, row):
@@ -304,27 +370,24 @@ def slope_limit(
         )
     )
     before = Window.partitionBy(*keys).orderBy(CHUNK)
-    ends = rows.groupBy(*group).agg(
-        F.max_by(col, row).alias("_last"), F.max_by(md, row).alias("_last_md"), F.max("_start").alias("_s"), F.max("_start_md").alias("_m")
-    )
-    entries = checkpoint(
-        ends.select(
-            *group,
-            F.coalesce(F.lag("_last").over(before), "_s").alias("_entry"),
-            F.coalesce(F.lag("_last_md").over(before), "_m").alias("_entry_md"),
-        )
-    )
-    while True:
-        limited = checkpoint(_limit(rows.join(entries, group), max_slope, col, md, row, group))
-        left = limited.groupBy(*group).agg(F.max_by("_limited", row).alias("_exit"))
-        checked = checkpoint(
-            entries.join(left, group).select(
-                *group, "_entry", "_entry_md", F.coalesce(F.lag("_exit").over(before), "_entry").alias("_true")
-            )
-        )
-        if checked.where(F.col("_true") != F.col("_entry")).limit(1).count() == 0:
-            break
-        entries = checked.select(*group, F.col("_true").alias("_entry"), "_entry_md")
+    known_row = F.when(F.col(col).isNotNull(), F.col(row))
+    ends = rows.groupBy(*group).agg(F.max_by(md, known_row).alias("_last_md"), F.max("_start").alias("_s"), F.max("_start_md").alias("_m"))
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    borders = checkpoint(ends.select(*group, "_s", F.coalesce(F.last("_last_md", ignorenulls=True).over(earlier), "_m").alias("_entry_md")))
+    corners = _transfers(rows.join(borders.drop("_s"), group), max_slope, col, md, row, group)
+
+    def enter(chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values(CHUNK)
+        entries, value = [], float(chunks["_s"].iloc[0])
+        for x, y in zip(chunks["_x"], chunks["_y"]):
+            entries.append(value)
+            value = carry_through(x, y, value)
+        return chunks[[*group, "_entry_md"]].assign(_entry=entries)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in group], "_entry_md double", "_entry double"])
+    entries = checkpoint(borders.withColumn("_entry_md", F.col("_entry_md").cast("double")).join(corners, group).groupBy(*keys).applyInPandas(enter, schema))
+    limited = _limit(rows.join(entries, group), max_slope, col, md, row, group)
     done = limited.select(*group, row, F.col("_limited").alias(out))
     return df.withColumn(CHUNK, F.floor(F.col(row) / size)).join(done, [*group, row]).drop(CHUNK)
 

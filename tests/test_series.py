@@ -149,6 +149,36 @@ def test_duplicate_reference_rows_are_averaged(spark, any_length):
     assert values(align.prepare_reference(ref, keys=KEYS), "gr") == [3, 4, 5]
 
 
+def test_slope_limit_in_two_passes(spark, any_length, monkeypatch):
+    """Steep steps, flat stretches and gaps: the sequential result, with one pass for the chunks' transfers and one to limit."""
+    import random
+
+    passes = []
+    for name in ("_limit", "_transfers"):
+        inner = getattr(smooth, name)
+        monkeypatch.setattr(smooth, name, lambda *a, name=name, inner=inner: passes.append(name) or inner(*a))
+    pick = random.Random(8)
+    rows, want = [], {}
+    for k in range(6):
+        depth, value, last = 0.0, 5.0, 0.0
+        for i in range(40):
+            depth += pick.choice([0.5, 1.0, 4.0])
+            v = None if pick.random() < 0.1 else pick.choice([0.0, 100.0, -100.0, float(i), pick.uniform(-9, 9)])
+            rows.append((k, depth, v, 5.0, 0.0))
+            if v is None:
+                want[k, i] = None
+                continue
+            reach = 1.5 * max(abs(depth - last), 1e-6)
+            value, last = min(max(v, value - reach), value + reach), depth
+            want[k, i] = value
+    df = index_series(spark.createDataFrame(rows, "k long, md double, v double, v0 double, m0 double"), ["k"], ["md"])
+    found = {(r.k, r.row_idx): r.limited for r in smooth.slope_limit(df, "v", 1.5, "v0", "m0", keys=["k"]).collect()}
+    assert {k for k, v in found.items() if v is None or v != v} == {k for k, v in want.items() if v is None}
+    known = [k for k, v in want.items() if v is not None]
+    assert [found[k] for k in known] == pytest.approx([want[k] for k in known])
+    assert passes == (["_limit"] if any_length == "short" else ["_transfers", "_limit"])
+
+
 @pytest.mark.parametrize("differ", [None, ("owner", "other")])
 def test_nearest_points_against_all_pairs(spark, any_length, differ):
     import numpy as np
