@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions.asof import curve_at_offsets, interp_join, nearest_join
 from strataline.functions.columns import array_mean, array_median, array_std, clip, correlation, ratio, total
+from strataline.functions.moving import apply_moving, moving_stats
 from strataline.functions.nearest import nearest_points
 from strataline.functions.quantiles import key_percentiles, with_key_percentiles
 from strataline.functions.scan import (
@@ -50,7 +51,7 @@ from strataline.functions.series import (
 )
 from strataline.functions.windows_match import best_windows
 from strataline.operators.gaps import interpolate_gaps, robust_zscore
-from strataline.operators.windows import median_frame, rolling_frame, signature_frames
+from strataline.operators.windows import signature_frames
 from strataline.operators.zones import last_known, split_zone
 from strataline.settings import checkpoint
 
@@ -375,8 +376,9 @@ def smooth_lag(
     df: DataFrame, lag: str = "best_lag", mean: int = 50, median: int = 75, *, keys=WELL, row: str = ROW
 ) -> DataFrame:
     """Best lag smoothed by a centred mean and by a centred median."""
-    frames = [*rolling_frame(lag, [mean], ["mean"], center=True, prefix="lag_"), median_frame(lag, median, f"lag_median_{median}")]
-    return apply_frames(df, keys, frames, row=row)
+    sides = [(w // 2, (w - 1) // 2) for w in (mean, median)]
+    steps = [moving_stats(lag, *sides[0], {"mean": f"lag_mean_{mean}"}), moving_stats(lag, *sides[1], {"median": f"lag_median_{median}"})]
+    return apply_moving(df, keys, steps, row)
 
 
 def best_shift(

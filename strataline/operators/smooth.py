@@ -25,7 +25,7 @@ from strataline.functions.series import (
     with_key_stats,
     with_place,
 )
-from strataline.operators.windows import median_frame
+from strataline.operators.windows import rolling_median
 from strataline.operators.zones import last_known
 from strataline.settings import checkpoint, group_rows
 
@@ -180,7 +180,7 @@ def median_cascade(
     """
     half = median // 2
     if pad == "shrink":
-        filtered = apply_frames(df, keys, median_frame(col, median, "_median"), row=row)
+        filtered = rolling_median(df, col, median, "_median", keys=keys, row=row)
     else:
         kept = F.struct(F.col(col).cast("double").alias("v"))
         lists = Frame(half, half, lambda rows: {"_v": F.collect_list(kept).over(rows(-half, half))})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strataline.functions.asof import bracket
 from strataline.functions.columns import col as as_col
 from strataline.functions.quantiles import with_key_percentiles
+from strataline.functions.moving import apply_moving, moving_slopes, moving_stats
 from strataline.functions.scan import Part, curve_fits, per_part, scan_chunks
 from strataline.functions.series import ROW, Frame, Rows, apply_frames, carried, spread_join, with_key_stats
 
@@ -63,8 +64,27 @@ def rolling_frame(
     return [one(w) for w in windows]
 
 
-def rolling_stats(df: DataFrame, col: str, windows: Sequence[int], *, keys=WELL, row: str = ROW, **options) -> DataFrame:
-    return apply_frames(df, keys, rolling_frame(col, windows, **options), row=row)
+# Windows of more rows move along arrays, so that their time does not grow with the rows.
+WIDE = 100
+
+
+def rolling_stats(
+    df: DataFrame,
+    col: str,
+    windows: Sequence[int],
+    stats: Sequence[str] = STATS,
+    *,
+    prefix: str = "",
+    center: bool = False,
+    symmetric: bool = False,
+    keys=WELL,
+    row: str = ROW,
+) -> DataFrame:
+    """The statistics of ``rolling_frame``; wide windows in time that does not depend on their width."""
+    if max(windows, default=0) <= WIDE:
+        return apply_frames(df, keys, rolling_frame(col, windows, stats, prefix=prefix, center=center, symmetric=symmetric), row=row)
+    steps = [moving_stats(col, *_bounds(w, center, symmetric), {s: f"{prefix}{s}_{w}" for s in stats}) for w in windows]
+    return apply_moving(df, keys, steps, row)
 
 
 def median_frame(value: str | Column, window: int, out: str = "median", *, center: bool = True) -> Frame:
@@ -75,7 +95,8 @@ def median_frame(value: str | Column, window: int, out: str = "median", *, cente
 
 
 def rolling_median(df: DataFrame, col: str, window: int, out: str = "median", *, center=True, keys=WELL, row: str = ROW):
-    return apply_frames(df, keys, median_frame(col, window, out, center=center), row=row)
+    """Median of the known values of a trailing or centred window, in time that does not depend on the window."""
+    return apply_moving(df, keys, [moving_stats(col, *_bounds(window, center, False), {"median": out})], row)
 
 
 def slope_frame(y: str, x: str, window: int, out: str = "slope") -> Frame:
@@ -85,6 +106,8 @@ def slope_frame(y: str, x: str, window: int, out: str = "slope") -> Frame:
 
 
 def rolling_slope(df: DataFrame, y: str, x: str, window: int, out: str = "slope", *, keys=WELL, row: str = ROW):
+    if window > WIDE:
+        return apply_moving(df, keys, [moving_slopes(y, x, window - 1, 0, out)], row)
     return apply_frames(df, keys, slope_frame(y, x, window, out), row=row)
 
 
