@@ -45,6 +45,7 @@ class Part:
     curve_y: np.ndarray
     middle: float  # median of the curve's places
     whole: bool
+    others: dict[str, np.ndarray]
 
     def fill(self) -> None:
         """Gaps of value and place become the series' median (the curve's, then 0 or none), curve points without value go."""
@@ -99,27 +100,27 @@ class Block:
         self.x = np.concatenate([p.x[low:high] for p, _, low, high in parts])
         self.place = np.concatenate([p.place[low:high] for p, _, low, high in parts])
         self.row = np.concatenate([row[low:high] for _, row, low, high in parts])
+        names = self.parts[0].others
+        self.others = {n: np.concatenate([p.others[n][low:high] for p, _, low, high in parts]) for n in names}
 
     def __len__(self) -> int:
         return len(self.x)
 
-    def curve_at(self, shifts: np.ndarray) -> np.ndarray:
-        """The curve's values at the rows' places plus each shift: a matrix, ends held, NaN without a curve."""
-        out = np.full((len(self), len(shifts)), np.nan)
-        for part, (low, high), at in zip(self.parts, self.spans, self.start, strict=True):
-            if len(part.curve_x):
-                out[at : at + high - low] = _interpolated(part.place[low:high, None] + shifts, part.curve_x, part.curve_y)
-        return out
-
-    def curve_at_places(self, places: np.ndarray) -> np.ndarray:
-        """The curve's values at one place per row."""
-        out = np.full(len(self), np.nan)
+    def curve_at(self, places: np.ndarray, edge: str = "clamp") -> np.ndarray:
+        """The curve's values at one or several places per row; ends held, or unknown beyond them, NaN without a curve."""
+        out = np.full(places.shape, np.nan)
         for part, (low, high), at in zip(self.parts, self.spans, self.start, strict=True):
             if len(part.curve_x):
                 own = slice(at, at + high - low)
                 out[own] = _interpolated(places[own], part.curve_x, part.curve_y)
+                if edge == "null":
+                    out[own][(places[own] < part.curve_x[0]) | (places[own] > part.curve_x[-1])] = np.nan
+        out[np.isnan(places)] = np.nan
         return out
 
+    def shifted(self, shifts: np.ndarray) -> np.ndarray:
+        return self.place[:, None] + shifts
+
     def around(self, half: int) -> tuple[np.ndarray, np.ndarray]:
         """Per row the bounds of the rows at most ``half`` away in its part."""
         at = np.arange(len(self))
@@ -206,17 +207,19 @@ def scan_chunks(
     result: str,
     row: str = ROW,
     prepare: Callable[[Part], None] = Part.fill,
+    others: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``reduce`` on blocks of prepared series or chunks; one result row per row of the series.
 
     ``columns`` names the value, its place on the curve, and the curve's place and value; ``result`` is the schema
-    of what ``reduce`` returns. A series has one curve. ``prepare`` sees whole series where ``one_chunk`` holds.
+    of what ``reduce`` returns. A series has one curve. ``prepare`` sees whole series where ``one_chunk`` holds; ``others``
+    are further columns that the blocks carry.
     """
     value, place, ref_x, ref_y = columns
     keys, ref_keys = list(keys), list(ref_keys)
     kinds = dict(df.dtypes)
     every = list(dict.fromkeys([*keys, *ref_keys]))
-    rows = df.select(*dict.fromkeys([*every, row, value, place]))
+    rows = df.select(*dict.fromkeys([*every, row, value, place, *others]))
     whole = one_chunk(df, row)
     if whole:
         dealt = rows.withColumns({_AT: F.lit(0).cast("long"), _CHUNK: F.lit(0).cast("long")})
@@ -225,7 +228,8 @@ def scan_chunks(
         placed = with_place(rows, keys, _AT, row)
         first = F.greatest(F.floor((F.col(_AT) - halo) / size), F.lit(0))
         dealt = placed.withColumn(_CHUNK, F.explode(F.sequence(first, F.floor((F.col(_AT) + halo) / size))))
-    entry = F.struct(F.col(row).alias("row"), F.col(_AT).alias("at"), F.col(value).cast("double").alias("x"), F.col(place).cast("double").alias("p"))
+    more = [F.col(c).cast("double").alias(f"o_{c}") for c in others]
+    entry = F.struct(F.col(row).alias("row"), F.col(_AT).alias("at"), F.col(value).cast("double").alias("x"), F.col(place).cast("double").alias("p"), *more)
     chunks = dealt.groupBy(*every, _CHUNK).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))  # at most SCAN_ROWS and two halos
     point = F.struct(F.col(ref_x).cast("double").alias("x"), F.col(ref_y).cast("double").alias("y"))
     # Curves were measured by curve_fits.
@@ -240,6 +244,7 @@ def scan_chunks(
             curve_ends, points = lists(batch.column("_curve"))
             numbers = entries.field("row")
             at, row_of = field(entries, "at"), numbers.to_numpy(zero_copy_only=False)
+            carried = {c: field(entries, f"o_{c}") for c in others}
             x, p, cx, cy = field(entries, "x"), field(entries, "p"), field(points, "x"), field(points, "y")
             middles = batch.column("_middle").to_numpy(zero_copy_only=False).astype(float)
             waiting: list[tuple[Part, np.ndarray, int, int]] = []
@@ -261,7 +266,7 @@ def scan_chunks(
             for i in range(batch.num_rows):
                 a, b = ends[i], ends[i + 1]
                 c, d = curve_ends[i], curve_ends[i + 1]
-                part = Part(x[a:b].copy(), p[a:b].copy(), cx[c:d], cy[c:d], middles[i], whole)
+                part = Part(x[a:b].copy(), p[a:b].copy(), cx[c:d], cy[c:d], middles[i], whole, {n: v[a:b] for n, v in carried.items()})
                 prepare(part)
                 own = np.arange(b - a) if whole else np.flatnonzero(at[a:b] // SCAN_ROWS == batch.column(_CHUNK)[i].as_py())
                 for start in range(0, len(own), BLOCK):

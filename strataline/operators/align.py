@@ -114,12 +114,21 @@ def offset_family(
     keys: Sequence[str] = WELL,
     edge: str = "null",
 ) -> DataFrame:
-    """One residual ``log − ref(anchor + offset)`` per offset and row."""
+    """One residual ``log − ref(anchor + offset)`` per offset and row; all offsets of a row are looked up at once in its curve."""
+    names = [f"{prefix}_{_label(o)}" for o in offsets]
+    if curve_fits(ref, keys):
+        shifts = np.array([float(o) for o in offsets])
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            return dict(zip(names, (block.x[:, None] - block.curve_at(block.shifted(shifts), edge)).T, strict=True))
+
+        result = ", ".join(f"{n} double" for n in names)
+        return scan_chunks(df, ref, ids[:-1], keys, (log, anchor, ref_x, ref_y), 0, reduce, result, ids[-1], Part.known_points)
     looked = curve_at_offsets(df, ref, keys, ids, anchor, ref_x, ref_y, offsets, [log], edge)
     return looked.groupBy(*ids).agg(
         *[
-            F.max(F.when(F.col("offset") == float(o), F.col(log) - F.col("ref_at"))).alias(f"{prefix}_{_label(o)}")
-            for o in offsets
+            F.max(F.when(F.col("offset") == float(o), F.col(log) - F.col("ref_at"))).alias(name)
+            for o, name in zip(offsets, names, strict=True)
         ]
     )
 
@@ -233,7 +242,7 @@ def lag_scan(
         half, shifts = window // 2, np.array(lags)
 
         def reduce(block: Block) -> dict[str, np.ndarray]:
-            values = block.curve_at(shifts)
+            values = block.curve_at(block.shifted(shifts))
             (corr,) = rolling_correlations(block, values, [half], 1e-6)
             best = _best_of(corr)
             at = np.arange(len(block))
@@ -314,14 +323,14 @@ def lag_scan_multiscale(
             part.x = scores
 
         def reduce(block: Block) -> dict[str, np.ndarray]:
-            corrs = rolling_correlations(block, block.curve_at(shifts), halves, None)
+            corrs = rolling_correlations(block, block.curve_at(block.shifted(shifts)), halves, None)
             best = [_best_of(c) for c in corrs]
             at = np.arange(len(block))
             found = np.stack([shifts[b] for b in best])
             middle = np.median(found, axis=0)
             low, high = block.around(CONSENSUS)
             upto = np.concatenate([[0.0], np.cumsum(middle)])
-            there = block.curve_at_places(block.place + middle)
+            there = block.curve_at(block.place + middle)
             return (
                 {f"best_lag_{w}": lag for w, lag in zip(windows, found, strict=True)}
                 | {f"best_corr_{w}": c[at, b] for w, c, b in zip(windows, corrs, best, strict=True)}
@@ -450,6 +459,20 @@ def _reduce_candidates(looked: DataFrame, ids: Sequence[str], log: str, scale: f
     ]
 
 
+def _best_offsets(miss: np.ndarray, at: np.ndarray, offsets: np.ndarray, scale: float) -> dict[str, np.ndarray]:
+    """As ``_reduce_candidates``, from misfits and curve values rows × offsets (ascending)."""
+    known = ~np.isnan(miss)
+    some = known.any(axis=1)
+    filled = np.where(known, miss, np.inf)
+    rows, best = np.arange(len(miss)), np.argmin(filled, axis=1)
+    two = np.partition(filled, 1, axis=1)[:, :2] if miss.shape[1] > 1 else np.column_stack([filled, np.full(len(miss), np.inf)])
+    weight = np.where(known, np.exp(-np.where(known, miss, 0.0) / scale), 0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        soft, gap = (weight * offsets).sum(axis=1) / weight.sum(axis=1), two[:, 1] - two[:, 0]
+    found = {"best": offsets[best], "best_miss": filled[rows, best], "soft": soft, "best_ref": at[rows, best]}
+    return {n: np.where(some, v, np.nan) for n, v in found.items()} | {"top2_gap": np.where(known.sum(axis=1) >= 2, gap, np.nan)}
+
+
 def local_offset_search(
     df: DataFrame,
     ref: DataFrame,
@@ -465,6 +488,25 @@ def local_offset_search(
 ) -> DataFrame:
     """Offset around ``base`` with the smallest log misfit: offset, misfit, misfit at 0, top-2 gap, soft mean."""
     zero = float(min(offsets, key=abs))
+    if curve_fits(ref, keys):
+        shifts = np.array(sorted({float(o) for o in offsets}))
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            at = block.curve_at(block.shifted(shifts), "null")
+            miss = np.abs(block.x[:, None] - at)
+            found = _best_offsets(miss, at, shifts, scale)
+            return {
+                "best_offset": found["best"],
+                "best_abs_resid": found["best_miss"],
+                "zero_abs_resid": miss[:, np.flatnonzero(shifts == zero)[0]],
+                "top2_gap": found["top2_gap"],
+                "soft_offset": found["soft"],
+                "best_ref": found["best_ref"],
+            }
+
+        names = ["best_offset", "best_abs_resid", "zero_abs_resid", "top2_gap", "soft_offset", "best_ref"]
+        result = ", ".join(f"{n} double" for n in names)
+        return scan_chunks(df, ref, ids[:-1], keys, (log, base, ref_x, ref_y), 0, reduce, result, ids[-1], Part.known_points)
     looked = curve_at_offsets(df, ref, keys, ids, base, ref_x, ref_y, offsets, [log])
     at_zero = F.max(F.when(F.col("offset") == zero, F.abs(F.col(log) - F.col("ref_at"))))
     found = looked.groupBy(*ids).agg(*_reduce_candidates(looked, ids, log, scale), at_zero.alias("zero_abs_resid"))
@@ -494,6 +536,26 @@ def candidate_paths(
     keys: Sequence[str] = WELL,
 ) -> DataFrame:
     """Straight paths ``start + frac·endpoint``: residual per endpoint, best and soft endpoint, top-2 gap."""
+    widest = max(abs(float(e)) for e in endpoints)
+    if curve_fits(ref, keys):
+        ends = np.array(sorted({float(e) for e in endpoints}))
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            at = block.curve_at(block.place[:, None] + block.others[frac][:, None] * ends, "null")
+            resid = block.x[:, None] - at
+            found = _best_offsets(np.abs(resid), at, ends, scale)
+            return {f"path_resid_{_label(e)}": r for e, r in zip(ends, resid.T, strict=True)} | {
+                "min_abs_resid": found["best_miss"],
+                "best_endpoint": found["best"],
+                "best_endpoint_centered": found["best"] / widest,
+                "top2_gap": found["top2_gap"],
+                "soft_endpoint": found["soft"],
+                "best_resid": block.x - found["best_ref"],
+            }
+
+        rest = ["min_abs_resid", "best_endpoint", "best_endpoint_centered", "top2_gap", "soft_endpoint", "best_resid"]
+        result = ", ".join(f"{n} double" for n in [*(f"path_resid_{_label(e)}" for e in endpoints), *rest])
+        return scan_chunks(df, ref, ids[:-1], keys, (log, start, ref_x, ref_y), 0, reduce, result, ids[-1], Part.known_points, [frac])
     rows = df.select(
         *dict.fromkeys([*ids, *keys]),
         log,
@@ -502,7 +564,6 @@ def candidate_paths(
         F.explode(F.array(*[F.lit(float(e)) for e in endpoints])).alias("offset"),
     ).withColumn("at", F.col("_s") + F.col("_f") * F.col("offset"))
     looked = interp_join(rows, ref, keys, "at", ref_x, ref_y, "ref_at", "null")
-    widest = max(abs(float(e)) for e in endpoints)
     found = looked.groupBy(*ids).agg(
         *_reduce_candidates(looked, ids, log, scale),
         F.max(log).alias("_log"),
@@ -983,7 +1044,7 @@ def _warp_block(block: Block, shifts: np.ndarray, half: int, radius: int, sample
     last = np.zeros(len(block), bool)
     last[ends] = [high == len(p.x) for p, (_, high) in zip(block.parts, block.spans, strict=True)]
     sampled = np.flatnonzero((block.row % sample_step == 0) | last)
-    values = block.curve_at(shifts)
+    values = block.curve_at(block.shifted(shifts))
     low, high = (bound[sampled] for bound in block.around(half))
     distance = np.full((len(sampled), len(shifts)), np.nan)
     for n in np.unique(high - low):
@@ -1140,6 +1201,35 @@ def fuse_candidates(
     Penalties are capped at 6; an unknown misfit counts as 60 (log) and 120 (surface). Without weight the
     median of the candidates stands in. Also the weighted std, weight sum, count and least log misfit.
     """
+    if curve_fits(ref, keys):
+
+        def reduce(block: Block) -> dict[str, np.ndarray]:
+            v = np.column_stack([block.others[c] for c in candidates])
+            there = ~np.isnan(v)
+            miss = np.abs(block.x[:, None] - block.curve_at(v, "null"))
+            weight = np.exp(-np.clip(np.where(np.isnan(miss), 60.0, miss) / 20.0, 0.0, 6.0))
+            if surface:
+                level = block.others[surface][:, None]
+                off = np.abs(v + block.others[z][:, None] - level)
+                factor = 0.20 + 0.80 * np.exp(-np.clip(np.where(np.isnan(off), 120.0, off) / 35.0, 0.0, 6.0))
+                weight = weight * np.where(np.isnan(level), 1.0, factor)
+            weight, count = np.where(there, weight, 0.0), there.sum(axis=1)
+            held, total_weight = np.where(there, v, 0.0), weight.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                fused = (weight * held).sum(axis=1) / total_weight
+                std = np.sqrt((weight * (held - fused[:, None]) ** 2).sum(axis=1) / total_weight)
+            for i in np.flatnonzero((total_weight <= 1e-8) & (count > 0)):
+                fused[i], std[i] = np.median(v[i][there[i]]), v[i][there[i]].std()
+            least = np.min(np.where(there & ~np.isnan(miss), miss, np.inf), axis=1)
+            out = {"fused": fused, "fused_std": std, "weight_sum": total_weight, "candidate_count": count}
+            out["best_log_misfit"] = np.where(np.isinf(least), np.nan, least)
+            return out | ({"fused_delta": fused - block.others[anchor]} if anchor else {})
+
+        names = ["fused", *(["fused_delta"] if anchor else []), "fused_std", "weight_sum", "candidate_count", "best_log_misfit"]
+        result = ", ".join(f"{n} {'long' if n == 'candidate_count' else 'double'}" for n in names)
+        others = list(dict.fromkeys([*candidates, *([surface, z] if surface else []), *([anchor] if anchor else [])]))
+        found = scan_chunks(df, ref, ids[:-1], keys, (log, candidates[0], ref_x, ref_y), 0, reduce, result, ids[-1], Part.known_points, others)
+        return found.where("candidate_count > 0")
     values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(candidates)])
     carry = [log, z, *([surface] if surface else []), *([anchor] if anchor else [])]
     rows = df.select(*dict.fromkeys([*ids, *keys, *carry]), F.explode(values).alias("_c")).select("*", "_c.i", "_c.v").drop("_c")

@@ -196,3 +196,25 @@ def test_scan_plan_has_one_exchange_per_side(spark):
     # Series numbered and gathered by key, curves gathered, both joined.
     assert text.count("Exchange") <= 4 and "Window" in text and "Expand" not in text
     assert align.self_match(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_offsets_as_arrays_and_as_rows(spark, cut, monkeypatch):
+    """The same rows from the chunk scan and from the way over joins, with gaps, ties and places beyond the curve."""
+    rows, df, ref, _ = tables(spark, SIZES)
+    df = df.withColumns({"frac": F.col("md") / 60, "c2": F.when(F.col("row_idx") % 3 > 0, F.col("prior") + 4), "surf": F.when(F.col("row_idx") % 5 > 0, F.lit(70.0)), "z": F.col("md")})
+    ref = align.prepare_reference(ref)
+    ids = ["well_id", "row_idx"]
+    calls = [
+        lambda: align.offset_family(df, ref, "prior", [-7.0, 0.0, 2.5], ids=ids),
+        lambda: align.local_offset_search(df, ref, [3.0, -3.0, 0.0, 8.0], ids=ids),
+        lambda: align.candidate_paths(df, ref, [-9.0, 0.0, 9.0], "prior", ids=ids),
+        lambda: align.fuse_candidates(df, ref, ["prior", "c2", "surf"], surface="surf", anchor="prior", ids=ids),
+    ]
+    for call in calls:
+        found = []
+        for fits in (True, False):
+            monkeypatch.setattr(align, "curve_fits", lambda ref, keys, fits=fits: fits)
+            out = call()
+            rows = {(r.well_id, r.row_idx): r for r in out.select(*ids, *sorted(set(out.columns) - set(ids))).collect()}
+            found.append({k: [v if v is None else round(float(v), 7) for v in r[2:]] for k, r in rows.items()})
+        assert found[0] == found[1] and found[0]
