@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.common import U64, Texts, Words, batch, byte_table, columns_of, find_words, flags, map_slices, mix
+from strataline.settings import ship
 
 WINDOW = 13
-# Most bytes of benchmark text in one broadcast set; a larger benchmark is scanned for in several parts.
-PART_BYTES = 32 << 20
+# Most bytes of benchmark text in one broadcast set, which takes about six times that; a larger benchmark is scanned for in parts.
+PART_BYTES = 16 << 20
 # A document is contaminated when this many times its hit words reach its words.
 ONE_IN = 20
 
@@ -44,31 +45,48 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class BenchmarkSet:
-    """Windows of a benchmark: by size, a table of occupied slots, sorted hashes, and the windows' bytes to verify hits."""
+    """Windows of a benchmark as arrays: its normalised bytes and words, and per size the sorted hashes with their windows.
+
+    A few dozen bytes per word, built without a step per window. ``groups`` holds, for hashes that were met, the items of each
+    spelling, so that a hit is verified on the words.
+    """
 
     items: list[str]
-    windows: dict[int, dict[bytes, list[int]]] = field(default_factory=dict)
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
     hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    windows: dict[int, np.ndarray] = field(default_factory=dict)
+    groups: dict[tuple[int, int], dict[bytes, list[int]]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[str, str]], window: int) -> BenchmarkSet:
-        found: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i, (_, text) in enumerate(rows):
-            texts = Texts.of(pa.array([text], pa.string()))
-            data = _LOWER[texts.data]
-            words = find_words(texts, data, _WORD)
-            count = int(words.counts[0])
-            if not count:
-                continue
-            size = min(window, count)
-            first, code = _windows(words, size)
-            hashes[size].append(code)
-            for w in first:
-                owners = found[size][_spelled(data, words, int(w), size)]
-                if not owners or owners[-1] != i:
-                    owners.append(i)
-        return cls([r[0] for r in rows], {k: dict(v) for k, v in found.items()}, {k: np.unique(np.concatenate(v)) for k, v in hashes.items()})
+        texts = Texts.of(pa.array([r[1] for r in rows], pa.string()))
+        data = _LOWER[texts.data]
+        words = find_words(texts, data, _WORD)
+        owner = words.text.astype(np.int32)
+        found = cls([r[0] for r in rows], data, words.start.astype(np.int32), words.end.astype(np.int32), owner)
+        sizes = np.minimum(words.counts, window)
+        for size in np.unique(sizes[sizes > 0]):
+            first, code = _windows(words, int(size))
+            own = sizes[owner[first]] == size
+            order = np.argsort(code[own], kind="stable")
+            found.hashes[int(size)] = code[own][order]
+            found.windows[int(size)] = first[own][order].astype(np.int32)
+        return found
+
+    def owners(self, size: int, code: np.uint64) -> dict[bytes, list[int]]:
+        """Spellings of the windows with that hash, and the items of each."""
+        low, high = (int(np.searchsorted(self.hashes[size], code, side)) for side in ("left", "right"))
+        if (size, low) not in self.groups:
+            found: dict[bytes, list[int]] = defaultdict(list)
+            for w in self.windows[size][low:high].tolist():
+                own = found[_spelled(self.data, self, w, size)]
+                if not own or own[-1] != self.owner[w]:
+                    own.append(int(self.owner[w]))
+            self.groups[size, low] = dict(found)
+        return self.groups[size, low]
 
     def hits(self, data: np.ndarray, words: Words) -> list[tuple[int, int, list[int]]]:
         """(first word, one past the last, items) of every verified window, by first word within each size."""
@@ -80,14 +98,15 @@ class BenchmarkSet:
             maybe = np.flatnonzero(occupied[code & U64(_SLOTS - 1)])
             near = np.searchsorted(known, code[maybe])
             maybe = maybe[known[np.minimum(near, len(known) - 1)] == code[maybe]]
-            for w in first[maybe]:
-                owners = self.windows[size].get(_spelled(data, words, int(w), size))
+            for at in maybe.tolist():
+                w = int(first[at])
+                owners = self.owners(size, code[at]).get(_spelled(data, words, w, size))
                 if owners:
-                    out.append((int(w), int(w) + size, owners))
+                    out.append((w, w + size, owners))
         return out
 
 
-def _spelled(data: np.ndarray, words: Words, first: int, size: int) -> bytes:
+def _spelled(data: np.ndarray, words: Words | BenchmarkSet, first: int, size: int) -> bytes:
     return b" ".join(data[s:e].tobytes() for s, e in zip(words.start[first : first + size], words.end[first : first + size], strict=True))
 
 
@@ -166,11 +185,33 @@ def _finish(found: DataFrame, one_in: int) -> DataFrame:
     )
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> tuple[DataFrame, int]:
-    """(item, text) rows, and how many parts of at most about ``part_bytes`` they make."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int, window: int) -> tuple[DataFrame, int]:
+    """(item, text) rows, and how many parts of at most about ``part_bytes`` they make.
+
+    An item of more than a quarter of a part is cut into pieces that share ``window - 1`` words, so that no part grows with an item.
+    """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return items, -(-size // part_bytes) or 1
+    size, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    most = max(part_bytes // 4, 1)
+
+    def cut(batches):
+        for rows in batches:
+            for item, text in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                whole = Texts.of(pa.array([text], pa.string()))
+                words = find_words(whole, _LOWER[whole.data], _WORD)
+                count = len(words.start)
+                step = max(window, count * most // max(len(whole.data), 1))
+                for first in range(0, max(count - window + 1, 1), step):
+                    last = min(first + step + window - 1, count)
+                    piece = whole.data[words.start[first] : words.end[last - 1]].tobytes().decode() if count else ""
+                    yield batch(item=pa.array([item], pa.string()), text=pa.array([piece], pa.string()))
+
+    if (longest or 0) > most:
+        ship(benchmark.sparkSession)
+        small = items.where(F.octet_length("text") <= most)
+        items = small.unionByName(items.where(F.octet_length("text") > most).mapInArrow(cut, "item string, text string"))
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    return items, -(-(size or 0) // part_bytes) or 1
 
 
 def _loaded(items: DataFrame, window: int) -> BenchmarkSet:
@@ -193,7 +234,7 @@ def drop_contaminated(
     A benchmark of one part is scanned for where the rows are. Beyond that the verdicts are joined by
     id and a digest of the text.
     """
-    items, parts = _items(benchmark, item_col, "text", part_bytes)
+    items, parts = _items(benchmark, item_col, "text", part_bytes, window)
     if parts > 1:
         found = scan_benchmark(docs, benchmark, id_col, text_col, item_col, window, one_in, part_bytes, digest=True)
         bad = found.where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
@@ -232,13 +273,13 @@ def scan_benchmark(
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. Every window of
     ``window`` words of a benchmark item, or the whole item if it has fewer, goes into a hash set that is
     broadcast; hits are verified on the words themselves. The size of the benchmark is measured first:
-    beyond ``part_bytes`` it is dealt into parts by a hash of the item, each part is broadcast and scanned
+    beyond ``part_bytes`` it is dealt into parts by a hash of its items or, of long ones, of their pieces; each part is broadcast and scanned
     for on its own, and the ranges and items of a row are brought together, so no broadcast grows with it.
 
     Null and empty texts and items have no words; an item without id is left out; an item that is repeated counts once; repeated rows and
     null ids give a row each; other columns are ignored; an empty benchmark hits nothing.
     """
-    items, parts = _items(benchmark, item_col, text_col, part_bytes)
+    items, parts = _items(benchmark, item_col, text_col, part_bytes, window)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("row_key", F.sha2(F.coalesce("text", F.lit("")), 256) if digest or parts > 1 else F.lit(""))
     if parts == 1:
@@ -246,7 +287,7 @@ def scan_benchmark(
     else:
         found = None
         for part in range(parts):
-            own = _loaded(items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part), window)
+            own = _loaded(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part), window)
             scanned = _scan(keyed, own).withColumn("part", F.lit(part))
             found = scanned if found is None else found.unionByName(scanned)
         # Equal rows (id and text) are counted, brought together once and repeated at the end.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import Steps, map_slices
+from strataline.llm.common import SLICE_BYTES, Steps, map_slices
+from strataline.settings import ship
 
 # The split of byte-level BPE vocabularies of this kind. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,12 +177,35 @@ def _encode_chunks(chunks: DataFrame, shipped: _Shipped, chunk: int, overlap: in
     return map_slices(chunks, run, schema)
 
 
+def _cut(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(text_key, k, text) of the chunks, each with its overlap, in one pass over a text."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+            keys, numbers, parts = zip(*rows, strict=True)
+            columns = [pa.array(keys, pa.string()), pa.array(numbers, pa.int64()), pa.array(parts, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["text_key", "k", "text"])
+
+        for piece in batches:
+            waiting: list[tuple[str, int, str]] = []
+            for key, text in zip(piece.column("text_key"), piece.column("text"), strict=True):
+                name, whole = key.as_py(), text.as_py()
+                for k, start in enumerate(range(0, len(whole), chunk)):
+                    waiting.append((name, k, whole[start : start + chunk + overlap]))
+                    if len(waiting) * (chunk + overlap) > SLICE_BYTES:
+                        yield made(waiting)
+                        waiting = []
+            if waiting:
+                yield made(waiting)
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key string, k long, text string")
+
+
 def _spliced(texts: DataFrame, shipped: _Shipped, chunk: int, overlap: int) -> DataFrame:
     """Tokens per text_key; null where two neighbours have no proven boundary in common."""
-    cut = texts.select(
-        "text_key", F.posexplode(F.expr(f"sequence(0L, cast((char_length(text) - 1) div {chunk} as long))")).alias("pos", "k"), "text"
-    ).select("text_key", "k", F.expr(f"substring(text, cast(k * {chunk} + 1 as int), {chunk + overlap})").alias("text"))
-    encoded = _encode_chunks(cut.groupBy("text_key", "k").agg(F.first("text").alias("text")), shipped, chunk, overlap)
+    cut = _cut(texts, chunk, overlap).groupBy("text_key", "k").agg(F.first("text").alias("text"))
+    encoded = _encode_chunks(cut, shipped, chunk, overlap)
     # Border b lies between chunks b - 1 and b: each chunk hands its overlaps to the borders on both sides.
     none = F.lit(None).cast("array<long>")
     sides = encoded.select(

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from strataline.llm import language, quality
 from strataline.llm.common import held_out
-from strataline.llm.decontaminate import drop_contaminated, scan_benchmark
+from strataline.llm.decontaminate import BenchmarkSet, drop_contaminated, scan_benchmark
 from strataline.llm.pii import find_pii, find_plain, find_private, mask_pii
 from strataline.llm.tokens import count_tokens
 
@@ -55,6 +55,21 @@ def test_huge_texts_are_spliced_exactly(spark, library, text):
     assert found.n_tokens == len(library.encode(text, add_special_tokens=False))
 
 
+def test_cutting_a_huge_text_takes_linear_time(spark):
+    import time
+
+    from strataline.llm.tokens import _cut
+
+    def seconds(n):
+        rows = docs_of(spark, ["漢 word " * (n // 7)]).select(F.col("doc_id").cast("string").alias("text_key"), "text")
+        start = time.time()
+        assert _cut(rows, 32_768, 512).agg(F.sum(F.char_length("text"))).first()[0] >= n - 7
+        return time.time() - start
+
+    seconds(1 << 20)
+    assert seconds(16 << 20) < 6 * max(seconds(4 << 20), 0.5)
+
+
 def test_other_tokenizers_are_left_to_their_library(spark):
     import sentencepiece
 
@@ -296,6 +311,23 @@ def test_benchmark_edges(spark, part_bytes):
     assert not any(r.contaminated for r in scan_benchmark(edge_docs(spark), bench.limit(0)).collect())
 
 
+def test_a_large_benchmark_is_compact_and_long_items_are_cut(spark):
+    import pickle
+    import time
+
+    pick = random.Random(6)
+    words = [f"w{i}" for i in range(30_000)]
+    text = " ".join(pick.choice(words) for _ in range(700_000))  # 4 MB
+    start = time.process_time()
+    known = BenchmarkSet.of([("a", text), ("b", "two words")], 13)
+    assert time.process_time() - start < 10 and len(pickle.dumps(known)) < 12 * len(text)
+    inner = text.split()
+    docs = docs_of(spark, [" ".join(inner[i : i + 14]) for i in (0, 40_000, 349_993, 699_986)] + ["has two words in it", "nothing"])
+    bench = spark.createDataFrame([("a", text), ("b", "two words")], "item_id string, text string")
+    whole, cut = (sorted(map(str, scan_benchmark(docs, bench, part_bytes=size).collect())) for size in (32 << 20, 1 << 20))
+    assert whole == cut and sum("contaminated=True" in r for r in whole) == 5
+
+
 # ---- language and quality, held out
 
 
