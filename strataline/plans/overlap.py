@@ -47,7 +47,7 @@ gp AS (SELECT te.*, z - CASE WHEN md = x0 THEN z0 ELSE z0 + (z1 - z0) * (md - x0
          CASE WHEN md = x0 THEN t0 ELSE t0 + (t1 - t0) * (md - x0) / (x1 - x0) END AS tv, abs(gr - CASE WHEN md = x0 THEN g0 ELSE g0 + (g1 - g0) * (md - x0) / (x1 - x0) END) AS gl FROM te ASOF LEFT JOIN cu ON cu.user_id = te.user_id AND te.md >= cu.x0),
 gt AS (SELECT user_id, count(gz) AS z_rows, count(CASE WHEN gz IS NOT NULL THEN gr END) AS log_rows, count(gt) AS known_rows, avg(abs(gz)) AS z_gap,
          avg(CASE WHEN gz IS NOT NULL THEN gl END) AS log_gap, sqrt(avg(gt * gt)) AS target_rmse FROM gp GROUP BY 1),
-ga AS (SELECT *, CASE WHEN user_id NOT IN (SELECT user_id FROM tr) THEN 'no_copy' WHEN z_rows < 20 THEN 'too_few_z_rows' WHEN known_rows < 20 THEN 'too_few_known_rows'
+ga AS (SELECT *, CASE WHEN user_id NOT IN (SELECT user_id FROM tr) THEN 'no_copy' WHEN z_rows < 50 THEN 'too_few_z_rows' WHEN known_rows < 50 THEN 'too_few_known_rows'
          WHEN target_rmse < 0.02 AND log_gap < 0.5 AND z_gap < 0.02 THEN 'accepted' ELSE 'gate_failed' END AS status FROM gt)"""
 
 
@@ -57,7 +57,7 @@ ga AS (SELECT *, CASE WHEN user_id NOT IN (SELECT user_id FROM tr) THEN 'no_copy
 )
 def overlap_gate(spark, sf):
     test, train = split(spark, sf)
-    gate = overlap.overlap_gate(test, train, {"rows": 20}, "target", keys=KEYS)
+    gate = overlap.overlap_gate(test, train, None, "target", keys=KEYS)
     return show(gate, [*KEYS, "z_rows", "log_rows", "known_rows", "status", "accepted"], ["z_gap", "log_gap", "target_rmse"])
 
 
@@ -68,7 +68,7 @@ def overlap_gate(spark, sf):
 )
 def gated_override(spark, sf):
     test, train = split(spark, sf)
-    gate = overlap.overlap_gate(test, train, {"rows": 20}, "target", keys=KEYS)
+    gate = overlap.overlap_gate(test, train, None, "target", keys=KEYS)
     return show(overlap.gated_override(test, train, gate, "pred", 0.5, "target", keys=KEYS), [*ID, "changed"], ["overridden"])
 
 
@@ -89,7 +89,7 @@ def lookup_complete(spark, sf):
 )
 def changed_report(spark, sf):
     test, train = split(spark, sf)
-    gate = overlap.overlap_gate(test, train, {"rows": 20}, "target", keys=KEYS)
+    gate = overlap.overlap_gate(test, train, None, "target", keys=KEYS)
     return overlap.changed_report(overlap.gated_override(test, train, gate, "pred", 0.5, "target", keys=KEYS), KEYS)
 
 
