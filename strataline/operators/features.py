@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions.quantiles import add_overall, overall, with_key_percentiles
 from strataline.functions.series import ROW, Frame, apply_frames, with_key_stats
-from strataline.operators.align import dtw_lag_features, lag_scan
+from strataline.operators.align import dtw_lag_features, lag_scan, lag_scan_multiscale, self_match, signature_match
 from strataline.operators.layers import layer_context
 from strataline.operators.windows import diff_frame, rolling_frame, slope_frame
 from strataline.sources.tables import sanitize_features
@@ -46,7 +46,9 @@ WINDOW_SETS: dict[str, Callable[[str, str], list[Frame]]] = {
     "basic": _log_frames,
     "lags": lambda log, md: [_shift_frame(log, [1, 2, 5, 10])],
 }
-REFERENCE_SETS = ("scan", "warp", "layers")
+REFERENCE_SETS = ("scan", "scales", "warp", "layers")
+# Sets of the tail that compare it with the series' own prefix.
+OWN_SETS = ("self", "signature")
 
 
 def build_features(
@@ -69,9 +71,11 @@ def build_features(
 
     ``basic``: depth from the start and as a share, filled log with rolling statistics, slope and steps, filled
     target, steps and length of the path. ``lags``: the log some rows away. ``scan``, ``warp`` and ``layers``
-    need the reference: lag scan, warping distance, and layers around the prior (``options`` by set name).
+    need the reference: lag scan, warping distance, and layers around the prior (``options`` by set name), as does ``scales``:
+    lag scans of the scaled log at several windows. ``self`` and ``signature`` match the tail with the prefix. Series and curves of
+    all these sets are gathered once per set, as arrays, and come back by row.
     """
-    unknown = set(sets) - {*WINDOW_SETS, *REFERENCE_SETS}
+    unknown = set(sets) - {*WINDOW_SETS, *REFERENCE_SETS, *OWN_SETS}
     if unknown:
         raise ValueError(f"unknown feature sets {sorted(unknown)}")
     options = options or {}
@@ -106,6 +110,12 @@ def build_features(
             found = dtw_lag_features(df, ref, log=log, prior=prior, keys=keys, ref_keys=ref_keys, row=row, **own).drop(
                 *[c for c in given if c not in ids]
             )
+        elif name == "scales":
+            found = lag_scan_multiscale(df, ref, log=log, prior=prior, keys=keys, ref_keys=ref_keys, row=row, **own)
+        elif name in OWN_SETS:
+            match = self_match if name == "self" else signature_match
+            found = match(df, **({"log": log, "probe": probe} | own), keys=keys, row=row)
+            found = found.withColumnsRenamed({c: c.replace("match", name) for c in found.columns if c not in ids})
         elif name == "layers":
             found = layer_context(df, ref, prior, log, label=label, ids=ids, keys=list(ref_keys or keys), **own)
         else:

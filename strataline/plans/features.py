@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from strataline.functions.gram import gram
 from strataline.operators import align, blend, evaluate, features, search, smooth
 from strataline.plans.fixtures import ID, KEYS, REF_KEYS, SERIES, reference, rounded, series, show
-from strataline.plans.registry import query
+from strataline.plans.align import MULTI, REF, SCAN, curves
+from strataline.plans.registry import CATALOG, query
 from strataline.sources.tables import make_row_id
 
 WIDE = [
@@ -41,6 +42,26 @@ def feature_set(spark, sf):
     return show(rows.withColumns({m: F.col(m).cast("float") for m in MEANS}), [*ID, *MEANS], WIDE)
 
 
+OWN = {"self": ["value", "score"], "signature": ["value", "delta", "score", "trust", "gap"]}
+ALIGNED = [*SCAN, *MULTI, *(f"{s}_{c}" for s, names in OWN.items() for c in names)]
+
+
+def aligned_sql() -> str:
+    parts = {"a": "f06_lag_scan", "b": "f07_lag_scan_multiscale", "c": "f16_self_match", "d": "f18_signature_match"}
+    tables = " LEFT JOIN ".join(f"({CATALOG[q].sql}) {n}{'' if n == 'a' else ' USING (user_id, row_idx)'}" for n, q in parts.items())
+    own = [f"coalesce({t}.match_{c}, 0) AS {s}_{c}" for t, (s, names) in zip("cd", OWN.items(), strict=True) for c in names]
+    return f"SELECT user_id, row_idx, {', '.join([*(f'coalesce({c}, 0) AS {c}' for c in [*SCAN, *MULTI]), *own])} FROM {tables}"
+
+
+@query("z04_aligned_features", aligned_sql())
+def aligned_features(spark, sf):
+    """Lag scans at one and at several windows, self match and signatures beside the basic set, in one frame at full size."""
+    rows, _ = features.build_features(
+        series(spark, sf), curves(spark, sf), ["basic", "scan", "scales", "self", "signature"], options={"signature": {"log": "value"}}, **REF
+    )
+    return show(rows, ID, ALIGNED)
+
+
 @query("z03_pipeline")
 def pipeline(spark, sf):
     """No SQL: fits per fold. From raw series over feature sets, two out-of-fold models and their blend to a smoothed submission."""
