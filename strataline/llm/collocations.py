@@ -36,7 +36,7 @@ LONGEST, LEAST, SCALE, COVER, TOP = 4, 30, 2_000_000, (80, 100), 2000
 # Text that is counted at once before the shuffle.
 SLICE = 4 << 20
 # Text bytes per partition of records, and one text in so many to place the partitions' bounds (nothing else depends on it).
-PART_BYTES, BOUNDS_SHARE, MOST_PARTS = 8 << 20, 64, 50_000
+PART_BYTES, BOUNDS_SHARE, MOST_PARTS = 5 << 20, 64, 50_000
 
 _END = flags((10, 13), (33, 33), (44, 44), (46, 46), (58, 59), (63, 63))  # . , ; : ! ? and line ends
 _WORD = ~(_END | flags((9, 9), (32, 32)))
