@@ -96,6 +96,91 @@ def ridge_stack(spark, sf):
     return show(blend.ridge_stack(mixed(spark, sf), MODELS, "value", 1.0, "fold")[1], [*ID, "fold"], ["oof"], 4)
 
 
+# With one or two models every search and every constrained fit has a closed form or a small grid.
+TWO = ["m1", "m2"]
+SUMS = "sum(m1 * m1) AS aa, sum(m1 * m2) AS ab, sum(m2 * m2) AS bb, sum(m1 * value) AS ay, sum(m2 * value) AS byy, sum(value * value) AS yy, count(*)::DOUBLE AS n"
+
+
+def two_rmse(a, b):
+    return f"sqrt(greatest({a} * {a} * aa + 2 * {a} * {b} * ab + {b} * {b} * bb - 2 * {a} * ay - 2 * {b} * byy + yy, 0) / n)"
+
+
+def two_rows(found):
+    """Both models' weights from one row (a, b, e)."""
+    return f"SELECT 'm1' AS model, round(a, 5) + 0.0 AS weight, round(e, 5) + 0.0 AS rmse FROM {found} UNION ALL SELECT 'm2', round(b, 5) + 0.0, round(e, 5) + 0.0 FROM {found}"
+
+
+@query(
+    "l04_average_of_two",
+    f"""WITH RECURSIVE {MIXED}, g AS (SELECT {SUMS} FROM mx),
+        st AS (SELECT CASE WHEN {two_rmse(1, 0)} <= {two_rmse(0, 1)} THEN 1.0::DOUBLE ELSE 0.0 END AS ca, CASE WHEN {two_rmse(1, 0)} <= {two_rmse(0, 1)} THEN 0.0::DOUBLE ELSE 1.0 END AS cb,
+            least({two_rmse(1, 0)}, {two_rmse(0, 1)}) AS e FROM g
+          UNION ALL
+          SELECT CASE WHEN ea < e - 1e-5 THEN ca + 1 ELSE ca END, CASE WHEN ea < e - 1e-5 THEN cb ELSE cb + 1 END, CASE WHEN ea < e - 1e-5 THEN ea ELSE eb END
+          FROM (SELECT ca, cb, e, {two_rmse("((ca + 1) / (ca + cb + 1))", "(cb / (ca + cb + 1))")} AS ea, {two_rmse("(ca / (ca + cb + 1))", "((cb + 1) / (ca + cb + 1))")} AS eb FROM st, g)
+          WHERE least(ea, eb) < e - 1e-5),
+        z AS (SELECT ca / (ca + cb) AS a, cb / (ca + cb) AS b, e FROM st ORDER BY ca + cb DESC LIMIT 1)
+        {two_rows("z")}""",
+)
+def average_of_two(spark, sf):
+    return weights(blend.hill_climb_average(mixed(spark, sf), TWO, "value"))
+
+
+@query(
+    "l05_transfer_of_two",
+    f"""WITH {MIXED}, g AS (SELECT {SUMS} FROM mx), q AS (SELECT k / 100.0::DOUBLE AS a, 1 - k / 100.0::DOUBLE AS b FROM range(101) t(k)),
+        z AS (SELECT a, b, {two_rmse("a", "b")} AS e FROM q, g ORDER BY e LIMIT 1) {two_rows("z")}""",
+)
+def transfer_of_two(spark, sf):
+    return weights(blend.hill_climb_transfer(mixed(spark, sf), TWO, "value", 0.01))
+
+
+@query(
+    "l06_greedy_of_two",
+    f"""WITH {MIXED}, g AS (SELECT {SUMS} FROM mx), f AS (SELECT {two_rmse(1, 0)} <= {two_rmse(0, 1)} AS first, least({two_rmse(1, 0)}, {two_rmse(0, 1)}) AS alone FROM g),
+        q AS (SELECT CASE WHEN first THEN 1 - w ELSE w END AS a, CASE WHEN first THEN w ELSE 1 - w END AS b, w, alone FROM (SELECT k / 20.0::DOUBLE AS w FROM range(-10, 11) t(k)), f),
+        e AS (SELECT a, b, w, alone, {two_rmse("a", "b")} AS e FROM q, g),
+        z AS (SELECT a, b, e FROM e WHERE e < alone - 1e-7 OR w = 0 ORDER BY e, w LIMIT 1) {two_rows("z")}""",
+)
+def greedy_of_two(spark, sf):
+    return weights(blend.greedy_blend(mixed(spark, sf), TWO, "value", 0.05, True))
+
+
+OTHERS = "o AS (SELECT u.fold, m2 AS x, value AS y FROM mx JOIN (SELECT DISTINCT fold FROM mx) u ON mx.fold <> u.fold)"
+
+
+@query(
+    "l08_nnls_one_model",
+    f"""WITH {MIXED}, {OTHERS}, c AS (SELECT fold, regr_slope(y, x) AS w, regr_intercept(y, x) AS b, greatest(sum(x * y) / sum(x * x), 0) AS w0, greatest(avg(y), 0) AS b0,
+          sum(x * x) AS xx, sum(x * y) AS xy, sum(y) AS sy, count(*) AS n FROM o GROUP BY 1),
+        k AS (SELECT fold, CASE WHEN w >= 0 AND b >= 0 THEN w WHEN w0 * w0 * xx - 2 * w0 * xy <= b0 * b0 * n - 2 * b0 * sy THEN w0 ELSE 0 END AS w,
+          CASE WHEN w >= 0 AND b >= 0 THEN b WHEN w0 * w0 * xx - 2 * w0 * xy <= b0 * b0 * n - 2 * b0 * sy THEN 0 ELSE b0 END AS b FROM c)
+        SELECT user_id, row_idx, fold, round(k.w * m2 + k.b, 4) + 0.0 AS oof FROM mx JOIN k USING (fold)""",
+)
+def nnls_one_model(spark, sf):
+    return show(blend.nnls_stack(mixed(spark, sf), ["m2"], "value", "fold", True)[1], [*ID, "fold"], ["oof"], 4)
+
+
+@query(
+    "l09_convex_two_models",
+    f"""WITH {MIXED}, u AS (SELECT user_id, avg((m1 - m2) * (m1 - m2)) AS dd, avg((m1 - m2) * (value - m2)) AS dy, avg((value - m2) * (value - m2)) AS yy FROM mx GROUP BY 1),
+        v AS (SELECT avg(dd) AS dd, avg(dy) AS dy, avg(yy) AS yy FROM u), w AS (SELECT *, least(greatest((dy + 1.0) / (dd + 2.0), 0), 1) AS a FROM v),
+        z AS (SELECT a, 1 - a AS b, sqrt(a * a * dd - 2 * a * dy + yy) AS e FROM w)
+        SELECT 'm1' AS model, round(a, 4) + 0.0 AS weight, round(e, 4) + 0.0 AS rmse FROM z UNION ALL SELECT 'm2', round(b, 4) + 0.0, round(e, 4) + 0.0 FROM z""",
+)
+def convex_two_models(spark, sf):
+    return show(blend.convex_weights(mixed(spark, sf), TWO, "value", 1.0, "entities", keys=KEYS), ["model"], ["weight", "rmse"], 4)
+
+
+@query(
+    "l10_ridge_one_model",
+    f"""WITH {MIXED}, {OTHERS}, c AS (SELECT fold, greatest(covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + 1.0), 0) AS w, avg(x) AS ax, avg(y) AS ay FROM o GROUP BY 1)
+        SELECT user_id, row_idx, fold, round(w * m2 + ay - w * ax, 4) + 0.0 AS oof FROM mx JOIN c USING (fold)""",
+)
+def ridge_one_model(spark, sf):
+    return show(blend.ridge_stack(mixed(spark, sf), ["m2"], "value", 1.0, "fold")[1], [*ID, "fold"], ["oof"], 4)
+
+
 @query(
     "l11_weight_grid",
     f"""WITH {MIXED}, g AS (SELECT u, v FROM (VALUES (0.0::DOUBLE), (0.25), (0.5)) a(u), (VALUES (-0.1::DOUBLE), (0.0), (0.1)) b(v))

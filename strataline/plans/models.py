@@ -1,11 +1,10 @@
 """Queries for model fits. No SQL counterpart except for the column arithmetic."""
 
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from strataline.operators import models
 from strataline.operators.blend import entity_features
-from strataline.plans.evaluate import mixed
+from strataline.plans.evaluate import MIXED, mixed
 from strataline.plans.fixtures import ID, KEYS, PREDICTIONS, predictions, series, show
 from strataline.plans.registry import query
 from strataline.settings import work_folder
@@ -61,10 +60,21 @@ def fit_residual(spark, sf):
     return show(found, ID, ["corrected"], 4)
 
 
+@query(
+    "m04_residual_one_column",
+    f"""WITH {MIXED}, t AS (SELECT avg(md) AS mx0, stddev_pop(md) AS sx, avg(value - m1) AS my, count(*) AS cnt FROM mx),
+        w AS (SELECT sum((md - mx0) / sx * (value - m1)) / (max(cnt) + 10) AS slope FROM mx, t)
+        SELECT user_id, row_idx, round(m1 + 0.5 * (my + slope * (md - mx0) / sx), 4) + 0.0 AS corrected FROM mx, t, w""",
+)
+def residual_one_column(spark, sf):
+    rows = mixed(spark, sf)
+    found = models.fit_residual(rows, "m1", "value", lambda d, y: models.fit_ridge(d, ["md"], y, 10.0), 0.5)
+    return show(found, ID, ["corrected"], 4)
+
+
 @query("m05_fit_meta")
 def fit_meta(spark, sf):
-    make = lambda: GBTRegressor(maxIter=3, maxDepth=3, seed=42)
-    rows, _ = models.fit_meta(mixed(spark, sf), ["m1", "m2", "m3"], "value", "fold", 5, make)
+    rows, _ = models.fit_meta(mixed(spark, sf), ["m1", "m2", "m3"], "value", "fold", 5)
     return show(rows, [*ID, "fold"], ["oof"], 4)
 
 
