@@ -62,6 +62,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from strataline.plans.catalog import CATALOG
+    from strataline.settings import clear_work
 
     wanted = sys.argv[1:]
     names = HEADLINE if not wanted else [n for n in CATALOG if wanted == ["all"] or any(n.startswith(w) for w in wanted)]
@@ -71,7 +72,9 @@ def main() -> None:
     def run(name: str) -> float:
         start = time.perf_counter()
         CATALOG[name].plan(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        took = time.perf_counter() - start
+        clear_work(spark)
+        return took
 
     run("d01_rolling_trailing")  # start-up is not part of any query
     times = {}

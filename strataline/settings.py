@@ -41,6 +41,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def clear_work(spark: SparkSession) -> int:
+    """Delete the tables that ``checkpoint`` has written for this application so far, and return how many.
+
+    For long sessions, between pieces of work: what was derived from such a table and is not written yet cannot be read any more.
+    """
+    context = spark.sparkContext
+    written: list[str] = getattr(context, "_strataline_tables", [])
+    done = 0
+    while written:
+        path = context._jvm.org.apache.hadoop.fs.Path(written.pop())
+        done += bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application.
 
@@ -72,5 +86,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     columns they need. Column metadata (the recorded bound) is kept in the file schema.
     """
     path = work_folder(df.sparkSession, "step")
+    context = df.sparkSession.sparkContext
+    if not hasattr(context, "_strataline_tables"):
+        context._strataline_tables = []
+    context._strataline_tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import re
 
 import __spark_entry__ as entry_points
 from strataline.plans.catalog import CATALOG
+from strataline.settings import checkpoint, clear_work
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -38,3 +39,10 @@ def test_scans_read_only_the_needed_columns(spark):
 def test_contract(spark):
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() == 3
+
+
+def test_written_steps_can_be_removed(spark):
+    clear_work(spark)
+    kept = checkpoint(spark.range(5))
+    assert kept.count() == 5
+    assert clear_work(spark) == 1 and clear_work(spark) == 0
