@@ -396,12 +396,33 @@ def signature_match(spark, sf):
     return show(align.signature_match(series(spark, sf), 15, 3, "value", keys=KEYS), ID, MATCH)
 
 
-@query("f19_dtw_lag_features")
+WARP_LAGS = [float(v) for v in range(-40, 41, 2)]
+BAND = range(1, 12)  # cell t of row i is column i + t - 6, five on either side of the diagonal
+CELLS = ", ".join(
+    f"CASE WHEN i + {t} - 5 BETWEEN 1 AND m THEN (a[i + 1] - b[i + {t} - 5]) * (a[i + 1] - b[i + {t} - 5]) ELSE 'inf'::DOUBLE END"
+    f" + least({', '.join([f'd{t}', *([f'd{t + 1}'] if t < 11 else []), *([f'n{t - 1}'] if t > 1 else [])])}) AS n{t}"
+    for t in BAND
+)
+FILLED_IN = ", ".join(f"CASE WHEN r1 IS NULL THEN {c}0 ELSE {c}0 + ({c}1 - {c}0) * ((s.row_idx - r0)::DOUBLE / (r1 - r0)) END AS {c}" for c in align.WARPED)
+
+
+@query(
+    "f19_dtw_lag_features",
+    f"""WITH RECURSIVE {SERIES}, {REFERENCE}, {FILLED_SQL}, {offsets_sql(WARP_LAGS, "clamp", "sf")},
+        w AS (SELECT user_id, row_idx, off, n, list(lx) OVER o AS a, list(ref_at) OVER o AS b FROM lk WINDOW o AS (PARTITION BY user_id, off ORDER BY row_idx ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)),
+        pr AS MATERIALIZED (SELECT row_number() OVER () AS id, user_id, row_idx, off, a, b, len(a) AS m FROM w WHERE row_idx % 5 = 0 OR row_idx = n - 1),
+        d AS (SELECT id, 0::BIGINT AS i, {", ".join(f"{'0' if t == 6 else chr(39) + 'inf' + chr(39)}::DOUBLE AS d{t}" for t in BAND)} FROM pr
+          UNION ALL SELECT id, i + 1, {", ".join(f"n{t}" for t in BAND)} FROM (SELECT d.id, d.i, {CELLS} FROM d JOIN pr USING (id) WHERE d.i < m)),
+        e AS (SELECT user_id, row_idx, off, sqrt(d6 / m) AS v FROM d JOIN pr USING (id) WHERE i = m),
+        f AS (SELECT user_id, row_idx, arg_min(off, (v, off)) AS dtw_best_lag, min(v) AS dtw_min_distance, max(v) FILTER (off = 0) AS dtw_distance_at_0, max(v) - min(v) AS dtw_spread,
+          (list_sort(list(v))[2] - min(v)) / (min(v) + 1e-6) AS dtw_confidence FROM e GROUP BY 1, 2),
+        k AS (SELECT user_id, row_idx AS r0, lead(row_idx) OVER o AS r1, {", ".join(f"{c} AS {c}0, lead({c}) OVER o AS {c}1" for c in align.WARPED)} FROM f WINDOW o AS (PARTITION BY user_id ORDER BY row_idx)),
+        o AS (SELECT s.user_id, s.row_idx, {FILLED_IN} FROM s ASOF JOIN k ON s.user_id = k.user_id AND s.row_idx >= k.r0)
+        SELECT user_id, row_idx, {rounded(*align.WARPED)} FROM o""",
+)
 def dtw_lag_features(spark, sf):
-    """No SQL: a dynamic programme per pair of windows; checked against plain numpy in the tests."""
     found = align.dtw_lag_features(series(spark, sf), curves(spark, sf), **REF)
-    names = ["dtw_best_lag", "dtw_min_distance", "dtw_distance_at_0", "dtw_spread", "dtw_confidence"]
-    return show(found, ID, names)
+    return show(found, ID, align.WARPED)
 
 
 @query(
