@@ -183,3 +183,30 @@ def nested_audit(spark, sf):
     """No SQL: weight search per outer fold."""
     found = evaluate.nested_audit(mixed(spark, sf), ["m1", "m2", "m3"], "value", "fold")
     return show(found, ["fold", "chosen", "rows"], ["train_rmse", "valid_rmse"], 5)
+
+
+# With two models the audit chooses between each of them and the greedy average, which starts with the better one.
+def pair_rmse(a, b, t=""):
+    return f"sqrt(greatest({a} * {a} * {t}aa + 2 * {a} * {b} * {t}ab + {b} * {b} * {t}bb - 2 * {a} * {t}ay - 2 * {b} * {t}byy + {t}yy, 0) / {t}n)"
+
+
+PAIR_SUMS = {"aa": "m1 * m1", "ab": "m1 * m2", "bb": "m2 * m2", "ay": "m1 * value", "byy": "m2 * value", "yy": "value * value", "n": "1.0::DOUBLE"}
+
+
+@query(
+    "k12_audit_of_two",
+    f"""WITH RECURSIVE {MIXED}, w AS (SELECT fold, {", ".join(f"sum({e}) AS v{c}" for c, e in PAIR_SUMS.items())} FROM mx GROUP BY 1),
+        g AS (SELECT w.*, {", ".join(f"sum(v{c}) OVER () - v{c} AS {c}" for c in PAIR_SUMS)} FROM w),
+        st AS (SELECT fold, {pair_rmse(1, 0)} <= {pair_rmse(0, 1)} AS first, CASE WHEN {pair_rmse(1, 0)} <= {pair_rmse(0, 1)} THEN 1.0::DOUBLE ELSE 0.0 END AS ca,
+            CASE WHEN {pair_rmse(1, 0)} <= {pair_rmse(0, 1)} THEN 0.0::DOUBLE ELSE 1.0 END AS cb, least({pair_rmse(1, 0)}, {pair_rmse(0, 1)}) AS e FROM g
+          UNION ALL
+          SELECT fold, first, CASE WHEN ea < e - 1e-5 THEN ca + 1 ELSE ca END, CASE WHEN ea < e - 1e-5 THEN cb ELSE cb + 1 END, CASE WHEN ea < e - 1e-5 THEN ea ELSE eb END
+          FROM (SELECT st.fold, first, ca, cb, e, {pair_rmse("((ca + 1) / (ca + cb + 1))", "(cb / (ca + cb + 1))")} AS ea, {pair_rmse("(ca / (ca + cb + 1))", "((cb + 1) / (ca + cb + 1))")} AS eb FROM st JOIN g USING (fold))
+          WHERE least(ea, eb) < e - 1e-5),
+        z AS (SELECT fold, first, arg_max(ca / (ca + cb), ca + cb) AS a, arg_max(cb / (ca + cb), ca + cb) AS b, arg_max(e, ca + cb) AS e, max(ca + cb) AS steps FROM st GROUP BY 1, 2)
+        SELECT z.fold, CASE WHEN steps > 1 THEN 'greedy' WHEN first THEN 'single:m1' ELSE 'single:m2' END AS chosen, vn AS rows, round(e, 5) + 0.0 AS train_rmse,
+          round({pair_rmse("a", "b", "v")}, 5) + 0.0 AS valid_rmse FROM z JOIN g USING (fold)""",
+)
+def audit_of_two(spark, sf):
+    found = evaluate.nested_audit(mixed(spark, sf), ["m1", "m2"], "value", "fold")
+    return show(found, ["fold", "chosen", "rows"], ["train_rmse", "valid_rmse"], 5)

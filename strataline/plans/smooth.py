@@ -175,6 +175,31 @@ def poly_project(spark, sf):
     return show(smooth.poly_project(predictions(spark, sf), 3, 0.75, pred="pred_a", keys=KEYS), ID, ["projected"], 4)
 
 
+def line_passes(count):
+    """Weighted lines fitted again and again: CTEs f0 … f{count} with c0 and c1 per series, from rows "ba" with s and u."""
+    out, rows, weight = [], "ba", "1.0::DOUBLE"
+    for i in range(count + 1):
+        out.append(f"""a{i} AS (SELECT user_id, sum(wt) AS p0, sum(wt * sx) AS p1, sum(wt * sx * sx) AS p2, sum(wt * u) AS t0, sum(wt * sx * u) AS t1 FROM (SELECT *, {weight} AS wt FROM {rows}) GROUP BY 1),
+        f{i} AS (SELECT user_id, (t0 - p1 * (p0 * t1 - p1 * t0) / (p0 * p2 - p1 * p1)) / p0 AS c0, (p0 * t1 - p1 * t0) / (p0 * p2 - p1 * p1) AS c1 FROM a{i})""")
+        out.append(f"""e{i} AS (SELECT ba.*, u - c0 - c1 * sx AS r FROM ba JOIN f{i} USING (user_id)),
+        q{i} AS (SELECT e{i}.*, mad FROM e{i} JOIN (SELECT user_id, quantile_cont(abs(r), 0.5) AS mad FROM e{i} GROUP BY 1) USING (user_id))""")
+        rows, weight = f"q{i}", "pow(1 / (1 + pow(r / (2.0 * (mad * 1.4826::DOUBLE + 1e-6)), 2)), 2)"
+    return ", ".join(out)
+
+
+@query(
+    "j13_project_line",
+    f"""WITH {PREDICTIONS}, an AS (SELECT user_id, count(tvt_input) AS known, count(*) FILTER (is_eval) AS tails, arg_max(tvt_input, row_idx) AS v, arg_max(z, row_idx) FILTER (NOT is_eval) AS z0,
+          arg_max(md, row_idx) FILTER (NOT is_eval) AS m0, arg_max(md, row_idx) AS m1 FROM p GROUP BY 1),
+        ba AS (SELECT user_id, row_idx, 2 * (md - m0) / greatest(m1 - m0, 1e-6) - 1 AS sx, pred_a + z - v - z0 AS u FROM p JOIN an USING (user_id) WHERE is_eval AND known >= 5 AND tails >= 3),
+        {line_passes(4)}
+        SELECT p.user_id, p.row_idx, round(pred_a + 0.75 * coalesce(c0 + c1 * sx - u, 0), 4) + 0.0 AS projected FROM p LEFT JOIN ba USING (user_id, row_idx) LEFT JOIN f4 ON f4.user_id = p.user_id""",
+)
+def project_line(spark, sf):
+    """The reweighted fit of a line has a closed form in each pass."""
+    return show(smooth.poly_project(predictions(spark, sf), 1, 0.75, pred="pred_a", keys=KEYS), ID, ["projected"], 4)
+
+
 @query(
     "j14_offset_round",
     f"WITH {SERIES} SELECT user_id, row_idx, round(round_even((x + 0.1) / 0.05, 0) * 0.05, 6) + 0.0 AS rounded FROM s",
