@@ -1,5 +1,12 @@
-"""Exact k nearest points by descending through nested cells.
+"""Exact k nearest points.
 
+In up to three dimensions points and probes are dealt into the leaves of a tree of nested cells, each with few of
+both. A leaf's own points bound the distance that its probes look; a leaf then receives the points of other leaves
+within that bound, once for all its probes, and compares them as arrays. Probes whose series owns most of a leaf, and
+those with fewer than ``k`` usable points in theirs, look apart from the others: their own points are not sent to them,
+and corners of cells (below) bound what they look at.
+
+In more dimensions, or where points must agree on other columns, every probe descends by itself through nested cells.
 The box around all points is halved along every axis from level to level; the finest level is the first at
 which no cell holds many points. Every probe starts with the whole box and goes down: its cells are replaced
 by their children that hold points it may have. The farthest corners of its cells, taken in order, tell how
@@ -15,13 +22,18 @@ first k+1 series. Points closer together than the box's side over 2^MAX_LEVEL sh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataline.functions.series import spread_join
+from strataline.functions.stream import by_group, joined
 from strataline.settings import checkpoint
 
 # Points a cell of the finest level may hold; in more than CORNERS dimensions a ball meets many cells, so they are smaller.
@@ -31,6 +43,8 @@ SEEDS, CORNERS = 8, 3
 MAX_LEVEL = 40
 # Levels that one histogram of the points covers.
 SPAN = 20
+# Points, and probes, that a leaf may hold in up to CORNERS dimensions; distances that a task holds at once.
+LEAF_ROWS, DISTANCES = 1024, 2**20
 
 
 def _thin(points: DataFrame, place: Sequence[str], k: int, tie: str, owned: bool) -> DataFrame:
@@ -122,6 +136,9 @@ def nearest_points(
     orders points at equal distance. Fewer than ``k`` rows mean that no more points exist.
     """
     ids = list(ids)
+    if not by and len(dims) <= CORNERS:
+        asked, known, coords = _ready(probes, points, dims, k, ids, tie, by, differ, payload, scale)
+        return _nearest_in_leaves(asked, known, coords, k, ids, tie, payload)
     found, coords = candidates(probes, points, dims, k, ids=ids, tie=tie, by=by, differ=differ, payload=payload, scale=scale)
     square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
     order = Window.partitionBy(*ids).orderBy("_d", f"_a_{tie}")
@@ -133,6 +150,20 @@ def nearest_points(
     )
 
 
+def _ready(probes, points, dims, k, ids, tie, by, differ, payload, scale) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Probes and thinned points that have a place, written, with scaled coordinates; and the coordinates' names."""
+    factors = list(scale or [1.0] * len(dims))
+    coords = [f"_c{i}" for i in range(len(dims))]
+    scaled = [(F.col(d).cast("double") / F.lit(float(s))).alias(c) for d, s, c in zip(dims, factors, coords)]
+    placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
+    extra = [F.col(differ[0]).alias("_mine")] if differ else []
+    asked = checkpoint(probes.select(*dict.fromkeys([*ids, *by]), *extra, *scaled).where(placed))
+    answers = [F.col(p).alias(f"_a_{p}") for p in dict.fromkeys([*payload, tie])]
+    owner = [F.col(differ[1]).alias("_owner")] if differ else []
+    known = checkpoint(_thin(points.select(*by, *scaled, *answers, *owner).where(placed), [*by, *coords], k, f"_a_{tie}", bool(differ)))
+    return asked, known, coords
+
+
 def candidates(
     probes: DataFrame,
     points: DataFrame,
@@ -148,16 +179,8 @@ def candidates(
 ) -> tuple[DataFrame, list[str]]:
     """Pairs of a probe and a point of its cells at the finest level, among them its k nearest; and the coordinates' names."""
     ids, by = list(ids), list(by)
-    factors = list(scale or [1.0] * len(dims))
-    coords = [f"_c{i}" for i in range(len(dims))]
+    asked, known, coords = _ready(probes, points, dims, k, ids, tie, by, differ, payload, scale)
     grid, parent = [f"_g{i}" for i in range(len(dims))], [f"_p{i}" for i in range(len(dims))]
-    scaled = [(F.col(d).cast("double") / F.lit(float(s))).alias(c) for d, s, c in zip(dims, factors, coords)]
-    placed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in coords])
-    extra = [F.col(differ[0]).alias("_mine")] if differ else []
-    asked = checkpoint(probes.select(*dict.fromkeys([*ids, *by]), *extra, *scaled).where(placed))
-    answers = [F.col(p).alias(f"_a_{p}") for p in dict.fromkeys([*payload, tie])]
-    owner = [F.col(differ[1]).alias("_owner")] if differ else []
-    known = checkpoint(_thin(points.select(*by, *scaled, *answers, *owner).where(placed), [*by, *coords], k, f"_a_{tie}", bool(differ)))
     low, side, rows = _box(known, asked, coords)
     base = (side or 1.0) * (1 + 1e-9)
     slack = base * 1e-9
@@ -209,3 +232,235 @@ def _box(known: DataFrame, asked: DataFrame, coords: Sequence[str]) -> tuple[lis
     low = [v if v is not None else 0.0 for v in ends[:n]]
     high = [v if v is not None else 0.0 for v in ends[n : 2 * n]]
     return low, max(h - o for o, h in zip(low, high)), ends[2 * n] or 0
+
+
+def _splits(known: DataFrame, asked: DataFrame, coords: Sequence[str], grid: Sequence[str], step: int) -> list[DataFrame]:
+    """Cells to be split, level by level: more points or probes than a leaf may hold, and not all at one place."""
+    rows = known.select(*coords, *grid, F.lit(0).alias("_kind")).unionByName(asked.select(*coords, *grid, F.lit(1).alias("_kind")))
+    splits: list[DataFrame] = []
+    for level in range(0, MAX_LEVEL, step):
+        here = rows
+        if splits:
+            # A cell is split only if all around it are, so the last level's cells say which rows are left.
+            above = splits[-1].select(*[F.col(g).alias(f"_s{g}") for g in grid])
+            same = reduce(lambda a, b: a & b, [F.shiftright(g, MAX_LEVEL - level + step) == F.col(f"_s{g}") for g in grid])
+            here = rows.join(F.broadcast(above), same, "left_semi")
+        counted = here.select("_kind", *coords, *_coarser(grid, MAX_LEVEL - level, grid)).groupBy(*grid).agg(
+            F.sum("_kind").alias("_probes"), F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*coords)).alias("_to"), F.min(F.struct(*coords)).alias("_from")
+        )
+        many = F.greatest(F.col("_probes"), F.col("_rows") - F.col("_probes")) > LEAF_ROWS
+        heavy = checkpoint(counted.where(many & (F.col("_from") != F.col("_to"))).select(*grid))
+        if heavy.isEmpty():
+            break
+        splits.append(heavy)
+    return splits
+
+
+def _in_leaves(rows: DataFrame, splits: Sequence[DataFrame], grid: Sequence[str], step: int) -> DataFrame:
+    """Level and cell of each row's leaf, as ``_l`` and the grid columns."""
+    depth = F.lit(0)
+    for i, split in enumerate(splits):
+        own = split.select(*[F.col(g).alias(f"_s{i}{g}") for g in grid], F.lit(step).alias(f"_d{i}"))
+        same = reduce(lambda a, b: a & b, [F.shiftright(g, MAX_LEVEL - i * step) == F.col(f"_s{i}{g}") for g in grid])
+        rows = rows.join(F.broadcast(own), same, "left").drop(*[f"_s{i}{g}" for g in grid])
+        depth = depth + F.coalesce(F.col(f"_d{i}"), F.lit(0))
+    rows = rows.withColumn("_l", depth).drop(*[f"_d{i}" for i in range(len(splits))])
+    return rows.withColumns({g: F.expr(f"shiftright({g}, {MAX_LEVEL} - _l)") for g in grid})
+
+
+def _gap(begin: Column, width: Column, other: Column, wide: Column | float, slack: float) -> Column:
+    """Between two intervals, 0 where they meet."""
+    return F.greatest(other - begin - width - slack, begin - other - wide - slack, F.lit(0.0))
+
+
+def _codes(arrays: Sequence[pa.Array]) -> np.ndarray:
+    """Equal numbers for equal values, null among them."""
+    whole = arrays[0] if len(arrays) == 1 else pa.concat_arrays(arrays)
+    return pc.dictionary_encode(whole, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _stack(batch: pa.RecordBatch, coords: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in coords])
+
+
+def _distance_blocks(asked: np.ndarray, spots: np.ndarray, mine: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances of some probes at a time to all points, infinite to points of the probe's own series."""
+    size = max(1, DISTANCES // max(len(spots), 1))
+    for first in range(0, len(asked), size):
+        some = asked[first : first + size]
+        square = sum((some[:, i][:, None] - spots[:, i]) ** 2 for i in range(asked.shape[1]))
+        yield first, np.where(mine[first : first + size][:, None] == own, np.inf, np.sqrt(square))
+
+
+def _radii(place: Sequence[str], coords: Sequence[str], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per leaf and kind of probe the largest k-th distance to the leaf's points, none where a probe has fewer than k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shared, piece in by_group(batches, place, "_kind"):
+            n = shared[0].num_rows if shared else 0
+            codes = _codes([b.column("_who") for b in [*shared, piece]])
+            own, mine = codes[:n], codes[n:]
+            counts = np.bincount(own, minlength=codes.max() + 1)
+            enough = n - counts[mine] >= k
+            apart = ~enough | ((2 * counts > n)[mine])
+            far = np.full(len(mine), np.nan)
+            if enough.any():
+                spots, asked = _stack(shared[0], coords), _stack(piece, coords)
+                for first, distance in _distance_blocks(asked, spots, mine, own):
+                    far[first : first + len(distance)] = np.partition(distance, k - 1, axis=1)[:, k - 1]
+                far[~enough] = np.nan
+            who, at = np.unique(mine[apart], return_index=True)
+            at = np.flatnonzero(apart)[at]
+            radius = [far[mine == w].max() if enough[a] else None for w, a in zip(who, at, strict=True)]
+            classes, rest = [int(a) for a in at], [False] * len(at)
+            if not apart.all():
+                classes, rest, radius = [*classes, None], [*rest, True], [*radius, far[~apart].max()]
+            none = pa.array(np.zeros(len(rest), np.int64))
+            columns = [piece.column(c).take(none) for c in place]
+            columns += [pa.array(rest), piece.column("_who").take(pa.array(classes, pa.int64())), pa.array(radius, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*place, "_rest", "_class", "_radius"])
+
+    return run
+
+
+def _best(
+    group: Sequence[str], coords: Sequence[str], k: int, ids: Sequence[str], payload: Sequence[str]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest of the points that a group of probes received, which come in the order that decides at equal distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
+        for shared, piece in by_group(batches, group, "_kind"):
+            if not shared:
+                continue
+            n = shared[0].num_rows
+            codes = _codes([shared[0].column("_who"), piece.column("_who")])
+            spots, asked = _stack(shared[0], coords), _stack(piece, coords)
+            for first, distance in _distance_blocks(asked, spots, codes[n:], codes[:n]):
+                last = np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if n > k else np.inf
+                probe, point = np.nonzero((distance <= last) & np.isfinite(distance))
+                order = np.lexsort((distance[probe, point], probe))
+                probe, point = probe[order], point[order]
+                rank = np.arange(len(probe)) - np.searchsorted(probe, probe)
+                probe, point, rank = (v[rank < k] for v in (probe, point, rank))
+                asker, answer = pa.array(first + probe), pa.array(point)
+                columns = [piece.column(f"_i_{c}").take(asker) for c in ids]
+                columns += [pa.array((rank + 1).astype(np.int32)), pa.array(distance[probe, point])]
+                columns += [shared[0].column(f"_a_{c}").take(answer) for c in payload]
+                ready.append(pa.RecordBatch.from_arrays(columns, names=[*ids, "rank", "distance", *payload]))
+                if sum(b.num_rows for b in ready[-64:]) >= 10_000 or len(ready) >= 64:
+                    yield joined(ready)
+                    ready = []
+        if ready:
+            yield joined(ready)
+
+    return run
+
+
+def _nearest_in_leaves(asked: DataFrame, known: DataFrame, coords: list[str], k: int, ids: list[str], tie: str, payload: Sequence[str]) -> DataFrame:
+    low, side, _ = _box(known, asked, coords)
+    base = (side or 1.0) * (1 + 1e-9)
+    slack, step = base * 1e-9, 2
+    grid = [f"_g{i}" for i in range(len(coords))]
+    place = ["_l", *grid]
+    if "_owner" not in known.columns:
+        asked, known = asked.withColumn("_mine", F.lit(0)), known.withColumn("_owner", F.lit(1))
+    elif asked.schema["_mine"].dataType != known.schema["_owner"].dataType:
+        asked, known = asked.withColumn("_mine", F.col("_mine").cast("string")), known.withColumn("_owner", F.col("_owner").cast("string"))
+    kind = known.schema["_owner"].dataType
+    fine = _cells(coords, low, base / 2**MAX_LEVEL, grid)
+    asked, known = asked.select("*", *fine), known.select("*", *fine)
+    splits = _splits(known, asked, coords, grid, step)
+    asked, known = _in_leaves(asked, splits, grid, step), _in_leaves(known, splits, grid, step)
+
+    # How far the probes of a leaf look, by its own points.
+    points = known.select(*place, F.lit(0).alias("_kind"), *coords, F.col("_owner").alias("_who"))
+    probes = asked.select(*place, F.lit(1).alias("_kind"), *coords, F.col("_mine").alias("_who"))
+    sorted_rows = points.unionByName(probes).repartition(*place).sortWithinPartitions(*place, "_kind")
+    longs = [T.StructField(c, T.IntegerType() if c == "_l" else T.LongType()) for c in place]
+    schema = T.StructType([*longs, T.StructField("_rest", T.BooleanType()), T.StructField("_class", kind), T.StructField("_radius", T.DoubleType())])
+    found = sorted_rows.mapInArrow(_radii(place, coords, k), schema)
+    group = [*place, "_rest", "_class"]
+    units = checkpoint(found.groupBy(*group).agg(F.max("_radius").alias("_radius")))
+
+    # The leaves within that distance, from the whole box down.
+    pairs = _leaves_met(units, known, len(splits) * step, grid, low, base, slack, step, k)
+    width = F.lit(base) * F.pow(F.lit(2.0), -F.col("_u_l"))
+    apart = [_gap(F.lit(o) + F.col(f"_u{g}") * width, width, F.col(c), 0.0, slack) for c, g, o in zip(coords, grid, low)]
+    near = reduce(lambda a, b: a + b, [v * v for v in apart])
+    wanted = (F.col("_limit").isNull() | (near <= F.col("_limit"))) & (F.col("_rest") | ~F.col("_owner").eqNullSafe(F.col("_class")))
+    sent = known.join(pairs, place).where(wanted).select(
+        F.col("_u_l").alias("_l"), *[F.col(f"_u{g}").alias(g) for g in grid], "_rest", "_class", F.lit(0).alias("_kind"), *coords,
+        F.col("_owner").alias("_who"), F.col(f"_a_{tie}").alias("_tie"), *[f"_a_{p}" for p in payload],
+    )
+    alone = units.where(~F.col("_rest")).select(*[F.col(c).alias(f"_u{c}") for c in place], F.col("_class"), F.lit(True).alias("_apart"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_u{c}") for c in place])
+    askers = asked.join(alone, same & F.col("_mine").eqNullSafe(F.col("_class")), "left").select(
+        *place, F.col("_apart").isNull().alias("_rest"), F.when(F.col("_apart"), F.col("_mine")).alias("_class"), F.lit(1).alias("_kind"),
+        *coords, F.col("_mine").alias("_who"), *[F.col(c).alias(f"_i_{c}") for c in ids],
+    )
+    rows = sent.unionByName(askers, allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group, "_kind", "_tie").drop("_tie")
+    kinds = {f.name: f for f in asked.schema.fields}
+    answers = {f.name: f for f in known.schema.fields}
+    schema = T.StructType(
+        [T.StructField(c, kinds[c].dataType, True, kinds[c].metadata) for c in ids]
+        + [T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())]
+        + [T.StructField(p, answers[f"_a_{p}"].dataType) for p in payload]
+    )
+    return rows.mapInArrow(_best(group, coords, k, ids, payload), schema)
+
+
+def _leaves_met(
+    units: DataFrame, known: DataFrame, depth: int, grid: Sequence[str], low: Sequence[float], base: float, slack: float, step: int, k: int
+) -> DataFrame:
+    """Per leaf and kind of probe the leaves with points within its distance, and the distance's square ``_limit``.
+
+    Probes without a distance take it from corners: the farthest corners of cells, in order, until they hold ``k`` usable points.
+    """
+    place = ["_l", *grid]
+    unit, node = [f"_u{c}" for c in place], [f"_n{c}" for c in place]
+
+    def at(level: int, names: Sequence[str]) -> list[Column]:
+        """The cell of a leaf at a level, the leaf itself where it is coarser."""
+        return [F.least(F.col("_l"), F.lit(level)).alias(names[0]), *[F.expr(f"shiftright({g}, greatest(_l - {level}, 0))").alias(n) for g, n in zip(grid, names[1:])]]
+
+    leaves = checkpoint(known.groupBy(*place).agg(F.count(F.lit(1)).alias("_count")))
+    given = units.select(*[F.col(c).alias(u) for c, u in zip(place, unit)], "_rest", "_class", (F.col("_radius") * F.col("_radius") * (1 + 1e-9)).alias("_limit"))
+    root = [F.lit(0).alias(node[0]), *[F.lit(0).cast("long").alias(n) for n in node[1:]]]
+    sure, lost = given.where("_limit is not null").select("*", *root), given.where("_limit is null").select("*", *root)
+    width, wide = (F.lit(base) * F.pow(F.lit(2.0), -F.col(c)) for c in (unit[0], node[0]))
+    near, far = F.lit(0.0), F.lit(0.0)
+    for u, n, o in zip(unit[1:], node[1:], low):
+        begin, other = F.lit(o) + F.col(u) * width, F.lit(o) + F.col(n) * wide
+        gap = _gap(begin, width, other, wide, slack)
+        reach = F.greatest(F.abs(other + wide - begin), F.abs(begin + width - other)) + slack
+        near, far = near + gap * gap, far + reach * reach
+
+    def below(level: int) -> DataFrame:
+        parent = [f"_p{c}" for c in place]
+        return leaves.select(*at(level - step, parent), *at(level, node), "_count").groupBy(*parent, *node).agg(F.sum("_count").alias("_count"))
+
+    def down(frontier: DataFrame, level: int) -> DataFrame:
+        renamed = frontier.withColumnsRenamed({n: f"_p{c}" for n, c in zip(node, place)})
+        return renamed.join(below(level), [f"_p{c}" for c in place]).drop(*[f"_p{c}" for c in place])
+
+    for level in range(step, depth + 1, step):
+        sure = down(sure, level).drop("_count").where(near <= F.col("_limit"))
+    if not lost.isEmpty():
+        who = lost.select("_class").distinct()
+        owned = known.join(who, known["_owner"].eqNullSafe(who["_class"]), "left_semi")
+        owned = checkpoint(owned.groupBy(*place, "_owner").agg(F.count(F.lit(1)).alias("_count")))
+        whole = Window.partitionBy(*unit, "_class")
+        upto = F.sum("_usable").over(whole.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
+        for level in range(step, depth + 1, step):
+            own = owned.select(*at(level, [f"_o{c}" for c in place]), "_owner", "_count").groupBy(*[f"_o{c}" for c in place], "_owner")
+            own = own.agg(F.sum("_count").alias("_own"))
+            here = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_o{c}") for n, c in zip(node, place)])
+            met = down(lost, level).join(own, here & F.col("_class").eqNullSafe(F.col("_owner")), "left")
+            met = met.withColumn("_usable", F.col("_count") - F.coalesce("_own", F.lit(0))).where("_usable > 0")
+            met = met.withColumns({"_near": near, "_far": far}).withColumn("_reach", F.when(upto >= k, F.col("_far")))
+            met = met.withColumn("_limit", F.least("_limit", F.min("_reach").over(whole)))
+            left = met.where(F.col("_limit").isNull() | (F.col("_near") <= F.col("_limit"))).select(*unit, "_rest", "_class", "_limit", *node)
+            lost = checkpoint(left) if level % (2 * step) == 0 else left  # a task holds the sorts of two levels
+        sure = sure.unionByName(lost)
+    return sure.withColumnsRenamed(dict(zip(node, place)))
