@@ -1,6 +1,7 @@
 """A series next to its reference curve as arrays, chunk by chunk in Arrow batches.
 
-A series meets its curve as one array. A series of at most ``SCAN_ROWS`` rows is one chunk and is prepared (gaps,
+A series meets its curve as one array. The curve comes once for all the series of a task that share it, and they pass by
+as plain rows in order, so a task holds one curve, one chunk and a few thousand rows. A series of at most ``SCAN_ROWS`` rows is one chunk and is prepared (gaps,
 scales) where it is scanned; a longer one is prepared by Spark and cut into chunks of ``SCAN_ROWS`` rows, each with
 the rows within ``halo`` around it. Many short series are worked on together: rows × lags is one matrix, and running
 sums down its columns serve all windows and lags at once, so neither a lag nor a series costs calls of its own.
@@ -17,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.series import ROW, largest_group, longest, with_place
+from strataline.functions.stream import starts, whole_runs
 from strataline.settings import group_rows
 
 SCAN_ROWS = 20_000
 BLOCK = 2_048
-_AT, _CHUNK = "_at", "_scan_chunk"
+# Lags whose running sums are worked on together: few enough for them to stay in the processor's cache.
+LAGS = 24
+_AT, _CHUNK, _DEAL, _KIND = "_at", "_scan_chunk", "_deal", "_kind"
+# Tasks per partition that the series of all curves are dealt to; each holds one curve.
+DEALS = 2
 
 
 def curve_fits(ref: DataFrame, ref_keys: Sequence[str]) -> bool:
@@ -128,10 +134,10 @@ class Block:
 
     def centred(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values less their part's mean, and the means, in extended precision: differences of running sums keep their digits."""
-        count = (self.last - self.first).astype(float)
+        sizes = np.diff(self.start, append=len(self)).astype(float)
         wide = values.astype(np.longdouble)
-        means = np.add.reduceat(wide, self.start, axis=0)[np.searchsorted(self.start, self.first)]
-        means = means / (count if values.ndim == 1 else count[:, None])
+        means = np.add.reduceat(wide, self.start, axis=0) / (sizes if values.ndim == 1 else sizes[:, None])
+        means = np.take(means, np.searchsorted(self.start, self.first), axis=0)
         return wide - means, means.astype(float)
 
 
@@ -143,34 +149,38 @@ def _running(values: np.ndarray) -> np.ndarray:
 
 
 def rolling_correlations(block: Block, values: np.ndarray, halves: Sequence[int], epsilon: float | None) -> list[np.ndarray]:
-    """Per window a matrix rows × lags of correlations of the rows' values with ``values``.
+    """Per window a matrix rows × lags of correlations of the rows' values with ``values``, some lags at a time.
 
     Fewer than three rows, or a side without spread beyond rounding, give 0.
     """
     xc, shift = block.centred(block.x)
-    yc, middle = block.centred(values)
     sums_x, sums_xx = _running(xc), _running(xc * xc)
-    sums_y, sums_yy, sums_xy = _running(yc), _running(yc * yc), _running(xc[:, None] * yc)
-    out = []
+    windows = []
     for half in halves:
         low, high = block.around(half)
         count = (high - low).astype(float)
-        sx, sxx = sums_x[high] - sums_x[low], sums_xx[high] - sums_xx[low]
-        vx, sx = (sxx - sx * sx / count).astype(float), sx.astype(float)
+        wide, sxx = sums_x[high] - sums_x[low], sums_xx[high] - sums_xx[low]
+        vx, sx = (sxx - wide * wide / count).astype(float), wide.astype(float)
         varied = (count >= 3) & (vx > 1e-9 * (sxx.astype(float) + 2 * shift * sx + count * shift * shift))
-        per_row = count[:, None]
-        sy, syy = sums_y[high] - sums_y[low], sums_yy[high] - sums_yy[low]
-        vy, syy = (syy - sy * sy / per_row).astype(float), syy.astype(float)
-        covariance = (sums_xy[high] - sums_xy[low] - (sums_x[high] - sums_x[low])[:, None] / per_row * sy).astype(float)
-        sy = sy.astype(float)
-        usable = varied[:, None] & (vy > 1e-9 * (syy + middle * (2 * sy + per_row * middle)))
-        scale = np.sqrt(np.maximum(vx, 0.0)[:, None] * np.maximum(vy, 0.0))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            if epsilon is None:
-                found = np.where(usable & (scale > 1e-8), covariance / scale, 0.0)
-            else:
-                found = np.where(usable, covariance / (scale + epsilon), 0.0)
-        out.append(np.nan_to_num(found))
+        windows.append((low, high, count[:, None], wide[:, None] / count[:, None], np.maximum(vx, 0.0)[:, None], varied[:, None]))
+    out = [np.empty(values.shape) for _ in halves]
+    for first in range(0, values.shape[1], LAGS):
+        own = slice(first, first + LAGS)
+        yc, middle = block.centred(values[:, own])
+        sums_y, sums_yy, sums_xy = _running(yc), _running(yc * yc), _running(xc[:, None] * yc)
+        for result, (low, high, count, mean_x, vx, varied) in zip(out, windows, strict=True):
+            sy, syy, sxy = (np.take(v, high, axis=0) - np.take(v, low, axis=0) for v in (sums_y, sums_yy, sums_xy))
+            vy, syy = (syy - sy * sy / count).astype(float), syy.astype(float)
+            covariance = (sxy - mean_x * sy).astype(float)
+            sy = sy.astype(float)
+            usable = varied & (vy > 1e-9 * (syy + middle * (2 * sy + count * middle)))
+            scale = np.sqrt(vx * np.maximum(vy, 0.0))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                if epsilon is None:
+                    found = np.where(usable & (scale > 1e-8), covariance / scale, 0.0)
+                else:
+                    found = np.where(usable, covariance / (scale + epsilon), 0.0)
+            result[:, own] = np.nan_to_num(found)
     return out
 
 
@@ -196,6 +206,10 @@ def field(values: pa.StructArray, name: str) -> np.ndarray:
     return values.field(name).to_numpy(zero_copy_only=False).astype(float)
 
 
+def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
 def scan_chunks(
     df: DataFrame,
     ref: DataFrame,
@@ -213,7 +227,7 @@ def scan_chunks(
 
     ``columns`` names the value, its place on the curve, and the curve's place and value; ``result`` is the schema
     of what ``reduce`` returns. A series has one curve. ``prepare`` sees whole series where ``one_chunk`` holds; ``others``
-    are further columns that the blocks carry.
+    are further columns that the blocks carry. ``reduce`` may return Arrow arrays for results that are no numbers.
     """
     value, place, ref_x, ref_y = columns
     keys, ref_keys = list(keys), list(ref_keys)
@@ -229,53 +243,68 @@ def scan_chunks(
         first = F.greatest(F.floor((F.col(_AT) - halo) / size), F.lit(0))
         dealt = placed.withColumn(_CHUNK, F.explode(F.sequence(first, F.floor((F.col(_AT) + halo) / size))))
     more = [F.col(c).cast("double").alias(f"o_{c}") for c in others]
-    entry = F.struct(F.col(row).alias("row"), F.col(_AT).alias("at"), F.col(value).cast("double").alias("x"), F.col(place).cast("double").alias("p"), *more)
-    chunks = dealt.groupBy(*every, _CHUNK).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))  # at most SCAN_ROWS and two halos
-    point = F.struct(F.col(ref_x).cast("double").alias("x"), F.col(ref_y).cast("double").alias("y"))
-    # Curves were measured by curve_fits.
-    curves = ref.where(F.col(ref_x).isNotNull()).groupBy(*ref_keys)
-    curves = curves.agg(F.sort_array(F.collect_list(point)).alias("_curve"), F.percentile(ref_x, F.lit(0.5)).alias("_middle"))
-    joined = chunks.join(curves, ref_keys, "left").select(*keys, _CHUNK, "_rows", "_curve", "_middle")
+    curves = ref.where(F.col(ref_x).isNotNull()).dropna(subset=ref_keys)
+    # The fewer the curves, the more parts their series are dealt to; each part gets a copy of its curve.
+    tasks = DEALS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deals = max(-(-tasks // max(curves.select(*ref_keys).distinct().count(), 1)), 1)
+    every_deal = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long")))
+    points = curves.select(*ref_keys, every_deal.alias(_DEAL), F.lit(0).alias(_KIND), F.col(ref_x).cast("double").alias("_x"), F.col(ref_y).cast("double").alias("_p"))
+    entries = dealt.select(
+        *every, F.pmod(F.xxhash64(*keys, _CHUNK), F.lit(deals)).alias(_DEAL), F.lit(1).alias(_KIND), _CHUNK, F.col(row).alias("_row"), _AT,
+        F.col(value).cast("double").alias("_x"), F.col(place).cast("double").alias("_p"), *more,
+    )
+    group = [*ref_keys, _DEAL]
+    piece = [*group, _KIND, *[k for k in keys if k not in ref_keys], _CHUNK]
+    merged = points.unionByName(entries, allowMissingColumns=True).repartition(*group)
+    joined = merged.sortWithinPartitions(*piece, "_row", _AT, "_x", "_p", *[f"o_{c}" for c in others])
     names = [c.strip().split(" ")[0].strip("`") for c in result.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends, entries = lists(batch.column("_rows"))
-            curve_ends, points = lists(batch.column("_curve"))
-            numbers = entries.field("row")
-            at, row_of = field(entries, "at"), numbers.to_numpy(zero_copy_only=False)
-            carried = {c: field(entries, f"o_{c}") for c in others}
-            x, p, cx, cy = field(entries, "x"), field(entries, "p"), field(points, "x"), field(points, "y")
-            middles = batch.column("_middle").to_numpy(zero_copy_only=False).astype(float)
+        before = None
+        curve_x = curve_y = np.empty(0)
+        middle = np.nan
+        for batch, begins in whole_runs(batches, piece):
+            fresh = starts(batch, group, before)
+            before = batch.slice(batch.num_rows - 1)
+            numbers = batch.column("_row")
+            at, kind, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in (_AT, _KIND, _CHUNK))
+            carried = {c: _floats(batch, f"o_{c}") for c in others}
+            x, p = _floats(batch, "_x"), _floats(batch, "_p")
             waiting: list[tuple[Part, np.ndarray, int, int]] = []
             inner: list[np.ndarray] = []  # rows of the batch that come out, per waiting part, and where they are in the block
             kept: list[np.ndarray] = []
-            owners: list[np.ndarray] = []
             held = 0
 
             def flush() -> pa.RecordBatch:
                 found = reduce(Block(waiting))
-                where, own = np.concatenate(kept), pa.array(np.concatenate(owners))
-                columns = [batch.column(k).take(own) for k in keys]
-                columns.append(numbers.take(pa.array(np.concatenate(inner))))
-                columns += [pa.array(found[n][where], from_pandas=True) for n in names]
-                for each in (waiting, inner, kept, owners):
+                where, own = np.concatenate(kept), pa.array(np.concatenate(inner))
+                columns = [batch.column(k).take(own) for k in keys] + [numbers.take(own)]
+                for n in names:
+                    given = found[n]
+                    columns.append(given.take(pa.array(where)) if isinstance(given, pa.Array) else pa.array(given[where], from_pandas=True))
+                for each in (waiting, inner, kept):
                     each.clear()
                 return pa.RecordBatch.from_arrays(columns, names=[*keys, row, *names])
 
-            for i in range(batch.num_rows):
-                a, b = ends[i], ends[i + 1]
-                c, d = curve_ends[i], curve_ends[i + 1]
-                part = Part(x[a:b].copy(), p[a:b].copy(), cx[c:d], cy[c:d], middles[i], whole, {n: v[a:b] for n, v in carried.items()})
+            row_of = numbers.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(begins)
+            for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
+                if fresh[a]:
+                    curve_x = curve_y = np.empty(0)
+                    middle = np.nan
+                if kind[a] == 0:
+                    curve_x, curve_y = x[a:b].copy(), p[a:b].copy()
+                    middle = 0.5 * curve_x[(b - a - 1) // 2] + 0.5 * curve_x[(b - a) // 2]
+                    continue
+                part = Part(x[a:b].copy(), p[a:b].copy(), curve_x, curve_y, middle, whole, {n: v[a:b] for n, v in carried.items()})
                 prepare(part)
-                own = np.arange(b - a) if whole else np.flatnonzero(at[a:b] // SCAN_ROWS == batch.column(_CHUNK)[i].as_py())
+                own = np.arange(b - a) if whole else np.flatnonzero(at[a:b] // SCAN_ROWS == chunk[a])
                 for start in range(0, len(own), BLOCK):
                     mine = own[start : start + BLOCK]
                     low, high = max(mine[0] - halo, 0), min(mine[-1] + halo + 1, b - a)
                     waiting.append((part, row_of[a:b], low, high))
                     inner.append(a + mine)
                     kept.append(held + mine - low)
-                    owners.append(np.full(len(mine), i))
                     held += high - low
                     if held >= BLOCK:
                         yield flush()
