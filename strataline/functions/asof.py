@@ -2,7 +2,8 @@
 
 Probe rows and reference rows of a key are merged into one order; the reference row
 before and after each probe is then a carried value. The work is a sort, never a
-product of probes and reference rows.
+product of probes and reference rows. Where many probes share a key, they are dealt into parts that
+each get a copy of the key's reference rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from strataline.functions.series import carried, index_series, largest_group
 from strataline.settings import group_rows
 
+# Rows of one key that a task sorts, where the key's reference rows are no more than that.
+SPREAD_ROWS = 100_000
+# Types that can tell rows apart by a hash.
+_PLAIN = ("int", "bigint", "smallint", "tinyint", "double", "float", "string", "date", "timestamp", "timestamp_ntz", "boolean", "decimal")
+
 
 def bracket(
     probe: DataFrame,
@@ -25,11 +31,12 @@ def bracket(
     values: Sequence[str],
     low: str = "_low",
     high: str = "_high",
-    sizes: tuple[int, int] | None = None,
+    sizes: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Add the last reference row at or before ``x`` and the first one after it, as structs ``(_x, values…)``.
 
-    Reference positions must be unique within the key (see ``prepare_reference``).
+    Reference positions must be unique within the key (see ``prepare_reference``). ``sizes``: the most rows of both kinds
+    in a key, rows in all, and the most reference rows in a key.
     """
     point = F.struct(F.col(ref_x).cast("double").alias("_x"), *[F.col(v).alias(v) for v in values])
     refs = ref.where(F.col(ref_x).isNotNull()).select(
@@ -39,10 +46,21 @@ def bracket(
         *keys, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.struct(*probe.columns).alias("_probe")
     )
     merged = refs.unionByName(probes, allowMissingColumns=True)
-    sizes = sizes or largest_group(merged, keys)
-    if sizes[0] <= group_rows(probe.sparkSession):
-        ahead = Window.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-        back = Window.partitionBy(*keys).orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    if sizes is None:
+        counts = merged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("_kind")).alias("r"))
+        sizes = tuple(v or 0 for v in counts.agg(F.max("n"), F.sum("n"), F.max("r")).first())
+    held = group_rows(probe.sparkSession)
+    most = min(SPREAD_ROWS, held)
+    parts = sizes[0] // most + 1 if sizes[2] <= most else 1
+    if sizes[0] <= held or parts > 1:
+        within = list(keys)
+        if parts > 1:
+            plain = [c for c, kind in probe.dtypes if kind.split("(")[0] in _PLAIN]
+            dealt = probes.withColumn("_deal", F.pmod(F.xxhash64(*[F.col("_probe")[c] for c in plain]), F.lit(parts)))
+            copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+            merged, within = refs.withColumn("_deal", copies).unionByName(dealt, allowMissingColumns=True), [*keys, "_deal"]
+        ahead = Window.partitionBy(*within).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        back = Window.partitionBy(*within).orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
         found = merged.withColumns(
             {
                 low: F.last("_ref", ignorenulls=True).over(ahead),
@@ -50,7 +68,7 @@ def bracket(
             }
         )
     else:
-        placed = index_series(merged, keys, ["_x", "_kind"], "_place", sizes)
+        placed = index_series(merged, keys, ["_x", "_kind"], "_place", sizes[:2])
         found = carried(placed, keys, last={low: F.col("_ref")}, following={high: F.col("_ref")}, row="_place")
     return found.where(F.col("_kind") == 1).select("_probe.*", low, high)
 
@@ -78,7 +96,7 @@ def interp_join(
     ref_y: str | dict[str, str],
     out: str = "ref_at",
     edge: str = "clamp",
-    sizes: tuple[int, int] | None = None,
+    sizes: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Piecewise-linear look-up of one or several reference columns ``{output: column}`` at ``x``."""
     outputs = ref_y if isinstance(ref_y, dict) else {out: ref_y}
@@ -130,5 +148,5 @@ def curve_at_offsets(
         "at", F.col(x) + F.col("offset")
     )
     own, curve = largest_group(df, keys), largest_group(ref, keys)
-    sizes = tuple(a * len(offsets) + b for a, b in zip(own, curve))
+    sizes = (own[0] * len(offsets) + curve[0], own[1] * len(offsets) + curve[1], curve[0])
     return interp_join(shifted, ref, keys, "at", ref_x, ref_y, "ref_at", edge, sizes)
