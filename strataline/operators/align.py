@@ -413,21 +413,52 @@ def best_shift(
     ref_keys = list(ref_keys or keys)
     zoned = split_zone(df, probe, keys=keys, row=row).where(F.col("in_prefix") & F.col(log).isNotNull())
     known = zoned.withColumn("from_end", F.col("eval_start") - F.col(row))
-    looked = curve_at_offsets(
-        known, ref, ref_keys, [*keys, row], probe, ref_x, ref_y, shifts, [log, "from_end"], "clamp"
-    )
-    miss = F.pow(F.col(log) - F.col("ref_at"), 2)
 
     def name(t: int | None) -> str:
         return "all" if t is None else str(t)
 
-    def inside(t: int | None) -> Column:
-        return F.lit(True) if t is None else F.col("from_end") <= t
+    if curve_fits(ref, ref_keys):
+        moves = np.array([float(v) for v in shifts])
+
+        def reduce(block: Block) -> dict[str, pa.Array]:
+            """Per part of a series the sums and counts of squared misfits by shift, at its first row."""
+            at = block.curve_at(block.shifted(moves))
+            there, miss = ~np.isnan(at), (block.x[:, None] - at) ** 2
+            out = {}
+            for t in tails:
+                inside = there if t is None else there & (block.others["from_end"] <= t)[:, None]
+                sums, counts = (np.add.reduceat(v, block.start, axis=0) for v in (np.where(inside, miss, 0.0), inside.astype(float)))
+                for kind, found in (("s", sums), ("n", counts)):
+                    lines: list = [None] * len(block)
+                    for i, line in zip(block.start, found, strict=True):
+                        lines[i] = line
+                    out[f"_{kind}{name(t)}"] = pa.array(lines, pa.list_(pa.float64()))
+            return out
+
+        names = [f"_{kind}{name(t)}" for t in tails for kind in "sn"]
+        result = ", ".join(f"{n} array<double>" for n in names)
+        parts = scan_chunks(known, ref, keys, ref_keys, (log, probe, ref_x, ref_y), 0, reduce, result, row, lambda part: None, ["from_end"])
+        lines = parts.where(F.col(names[0]).isNotNull()).select(*keys, F.posexplode(F.arrays_zip(*names)).alias("_i", "_v"))
+        moved = F.get(F.array(*[F.lit(float(v)) for v in shifts]), F.col("_i")).alias("offset")
+        sums = lines.groupBy(*keys, moved).agg(*[F.sum(F.col("_v")[n]).alias(n) for n in names])
+        per_shift = sums.select(
+            *keys, "offset",
+            *[F.when(F.col(f"_n{name(t)}") > 0, F.col(f"_s{name(t)}") / F.col(f"_n{name(t)}")).alias(f"_m{name(t)}") for t in tails],
+            *[F.col(f"_n{name(t)}").cast("long").alias(f"_n{name(t)}") for t in tails],
+        )
+    else:
+        looked = curve_at_offsets(
+            known, ref, ref_keys, [*keys, row], probe, ref_x, ref_y, shifts, [log, "from_end"], "clamp"
+        )
+        miss = F.pow(F.col(log) - F.col("ref_at"), 2)
+
+        def inside(t: int | None) -> Column:
+            return F.lit(True) if t is None else F.col("from_end") <= t
 
-    per_shift = looked.groupBy(*keys, "offset").agg(
-        *[F.avg(F.when(inside(t), miss)).alias(f"_m{name(t)}") for t in tails],
-        *[F.count(F.when(inside(t), miss)).alias(f"_n{name(t)}") for t in tails],
-    )
+        per_shift = looked.groupBy(*keys, "offset").agg(
+            *[F.avg(F.when(inside(t), miss)).alias(f"_m{name(t)}") for t in tails],
+            *[F.count(F.when(inside(t), miss)).alias(f"_n{name(t)}") for t in tails],
+        )
     best = per_shift.groupBy(*keys).agg(
         *[F.min_by(F.struct("offset", F.col(f"_m{name(t)}").alias("m")), F.struct(f"_m{name(t)}", "offset")).alias(f"_b{name(t)}") for t in tails],
         *[F.avg(f"_m{name(t)}").alias(f"_a{name(t)}") for t in tails],
