@@ -22,7 +22,7 @@ first k+1 series. Points closer together than the box's side over 2^MAX_LEVEL sh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.functions.series import spread_join
+from strataline.functions.series import largest_group, spread_join
 from strataline.functions.stream import by_group, joined
 from strataline.settings import checkpoint
 
@@ -138,7 +138,13 @@ def nearest_points(
     ids = list(ids)
     if not by and len(dims) <= CORNERS:
         asked, known, coords = _ready(probes, points, dims, k, ids, tie, by, differ, payload, scale)
-        return _nearest_in_leaves(asked, known, coords, k, ids, tie, payload)
+        if largest_group(asked, ids)[0] <= 1:
+            return _nearest_in_leaves(asked, known, coords, k, ids, tie, payload)
+        # Probes that share their ids are one probe: the k nearest to any of them.
+        counted = checkpoint(asked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*ids))))
+        once, shared = (_nearest_in_leaves(counted.where(c).drop("_n"), known, coords, k, ids, tie, p) for c, p in (("_n = 1", payload), ("_n > 1", dict.fromkeys([*payload, tie]))))
+        ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy(*ids).orderBy("distance", tie))).where(F.col("rank") <= k)
+        return once.unionByName(ranked.select(*once.columns))
     found, coords = candidates(probes, points, dims, k, ids=ids, tie=tie, by=by, differ=differ, payload=payload, scale=scale)
     square = reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"_to{c}"), 2) for c in coords])
     order = Window.partitionBy(*ids).orderBy("_d", f"_a_{tie}")
@@ -357,7 +363,8 @@ def _best(
     return run
 
 
-def _nearest_in_leaves(asked: DataFrame, known: DataFrame, coords: list[str], k: int, ids: list[str], tie: str, payload: Sequence[str]) -> DataFrame:
+def _nearest_in_leaves(asked: DataFrame, known: DataFrame, coords: list[str], k: int, ids: list[str], tie: str, payload: Iterable[str]) -> DataFrame:
+    payload = list(payload)
     low, side, _ = _box(known, asked, coords)
     base = (side or 1.0) * (1 + 1e-9)
     slack, step = base * 1e-9, 2
@@ -426,7 +433,7 @@ def _leaves_met(
 
     leaves = checkpoint(known.groupBy(*place).agg(F.count(F.lit(1)).alias("_count")))
     given = units.select(*[F.col(c).alias(u) for c, u in zip(place, unit)], "_rest", "_class", (F.col("_radius") * F.col("_radius") * (1 + 1e-9)).alias("_limit"))
-    root = [F.lit(0).alias(node[0]), *[F.lit(0).cast("long").alias(n) for n in node[1:]]]
+    root = [F.lit(0).alias(node[0]), *[F.expr(f"shiftright({u}, {unit[0]})").alias(n) for u, n in zip(unit[1:], node[1:])]]
     sure, lost = given.where("_limit is not null").select("*", *root), given.where("_limit is null").select("*", *root)
     width, wide = (F.lit(base) * F.pow(F.lit(2.0), -F.col(c)) for c in (unit[0], node[0]))
     near, far = F.lit(0.0), F.lit(0.0)

@@ -153,6 +153,7 @@ def rolling_correlations(block: Block, values: np.ndarray, halves: Sequence[int]
 
     Fewer than three rows, or a side without spread beyond rounding, give 0.
     """
+    values = np.where(np.isnan(values), 0.0, values)  # a part without curve must not reach the sums of the parts after it
     xc, shift = block.centred(block.x)
     sums_x, sums_xx = _running(xc), _running(xc * xc)
     windows = []
@@ -222,12 +223,14 @@ def scan_chunks(
     row: str = ROW,
     prepare: Callable[[Part], None] = Part.fill,
     others: Sequence[str] = (),
+    null_keys: bool = False,
 ) -> DataFrame:
     """Run ``reduce`` on blocks of prepared series or chunks; one result row per row of the series.
 
     ``columns`` names the value, its place on the curve, and the curve's place and value; ``result`` is the schema
     of what ``reduce`` returns. A series has one curve. ``prepare`` sees whole series where ``one_chunk`` holds; ``others``
     are further columns that the blocks carry. ``reduce`` may return Arrow arrays for results that are no numbers.
+    ``null_keys``: series of an unknown curve have the curve without a name, as in the look-ups over Spark windows.
     """
     value, place, ref_x, ref_y = columns
     keys, ref_keys = list(keys), list(ref_keys)
@@ -243,7 +246,8 @@ def scan_chunks(
         first = F.greatest(F.floor((F.col(_AT) - halo) / size), F.lit(0))
         dealt = placed.withColumn(_CHUNK, F.explode(F.sequence(first, F.floor((F.col(_AT) + halo) / size))))
     more = [F.col(c).cast("double").alias(f"o_{c}") for c in others]
-    curves = ref.where(F.col(ref_x).isNotNull()).dropna(subset=ref_keys)
+    curves = ref.where(F.col(ref_x).isNotNull())
+    curves = curves if null_keys else curves.dropna(subset=ref_keys)
     # The fewer the curves, the more parts their series are dealt to; each part gets a copy of its curve.
     tasks = DEALS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = max(-(-tasks // max(curves.select(*ref_keys).distinct().count(), 1)), 1)

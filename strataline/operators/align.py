@@ -437,7 +437,7 @@ def best_shift(
 
         names = [f"_{kind}{name(t)}" for t in tails for kind in "sn"]
         result = ", ".join(f"{n} array<double>" for n in names)
-        parts = scan_chunks(known, ref, keys, ref_keys, (log, probe, ref_x, ref_y), 0, reduce, result, row, lambda part: None, ["from_end"])
+        parts = scan_chunks(known, ref, keys, ref_keys, (log, probe, ref_x, ref_y), 0, reduce, result, row, lambda part: None, ["from_end"], null_keys=True)
         lines = parts.where(F.col(names[0]).isNotNull()).select(*keys, F.posexplode(F.arrays_zip(*names)).alias("_i", "_v"))
         moved = F.get(F.array(*[F.lit(float(v)) for v in shifts]), F.col("_i")).alias("offset")
         sums = lines.groupBy(*keys, moved).agg(*[F.sum(F.col("_v")[n]).alias(n) for n in names])

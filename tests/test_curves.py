@@ -110,3 +110,23 @@ def test_correlations_do_not_depend_on_the_slices(monkeypatch):
         assert np.array_equal(a, b)
     want = [np.corrcoef(block.x[31:44], values[31:44, j])[0, 1] for j in range(61)]
     assert sliced[1][31] == pytest.approx(np.array(want), abs=1e-5) and np.all(sliced[0][30] == 0)
+
+
+def test_a_series_without_curve_leaves_the_next_one_alone():
+    random = np.random.default_rng(2)
+    xs, ys = np.array(CURVE).T
+    known = (scan.Part(random.normal(5, 2, 30), random.uniform(0, 39, 30), xs, ys, 20.0, True, {}), np.arange(30), 0, 30)
+    none = (scan.Part(random.normal(5, 2, 20), np.full(20, np.nan), np.empty(0), np.empty(0), np.nan, True, {}), np.arange(20), 0, 20)
+    shifts = np.arange(-10, 11.0)
+    alone, after = scan.Block([known]), scan.Block([none, known])
+    (want,) = scan.rolling_correlations(alone, alone.curve_at(alone.shifted(shifts)), [5], 1e-6)
+    (got,) = scan.rolling_correlations(after, after.curve_at(after.shifted(shifts)), [5], 1e-6)
+    assert np.all(got[:20] == 0) and np.abs(want).max() > 0.1
+    assert got[20:] == pytest.approx(want, abs=1e-12)
+
+
+def test_best_shift_of_a_curve_without_name(spark):
+    """A series whose curve is unknown has the curve that has no name either, as the join of sorted rows had it."""
+    df = series(spark, (None,), n=2, rows=20).withColumn("known", F.col("place"))
+    found = align.best_shift(df, curves(spark).withColumn("c", F.lit(None).cast("long")), [0.0, 1.0], (None,), 3, "v", "known", "x", "y", keys=["k"], ref_keys=["c"])
+    assert all(r.misfit_all < 1e6 for r in found.collect())

@@ -63,3 +63,10 @@ def test_leaves_receive_few_points_per_row(spark, monkeypatch):
     points = rows.select(F.col("q").alias("p"), F.col("fold").alias("other"), "x", "y")
     found = nearest.nearest_points(rows, points, ["x", "y"], 30, ids=["q"], differ=("fold", "other"), payload=["p"], tie="p")
     assert 20_000 <= found.agg(F.sum("distance")).first()[0] <= 6 * 20_000
+
+
+def test_probes_that_share_ids_are_one_probe(spark):
+    points = spark.createDataFrame([(i, float(i), 0.0) for i in range(10)], "id int, x double, y double")
+    asked = spark.createDataFrame([(0, 0.0, 0.0), (0, 9.0, 0.0), (1, 4.0, 0.0)], "q int, x double, y double")
+    found = nearest.nearest_points(asked, points, ["x", "y"], 3, ids=["q"], payload=["id"], tie="id").collect()
+    assert sorted((r.q, r["rank"], r.id) for r in found) == [(0, 1, 0), (0, 2, 9), (0, 3, 1), (1, 1, 4), (1, 2, 3), (1, 3, 5)]
