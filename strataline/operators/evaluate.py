@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator
@@ -84,6 +84,13 @@ def group_holdout(df: DataFrame, key: str, fraction: float, seed: int = 0, out:
     return index_series(groups, [], order, "_place").select(key, (F.col("_place") < take).alias(out))
 
 
+def with_vectors(df: DataFrame, vectors: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add a vector column of each list of features; unknown values stay as NaN."""
+    for out, features in vectors.items():
+        df = VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+    return df
+
+
 def run_cv(
     df: DataFrame,
     make: Callable[[], Estimator],
@@ -92,23 +99,26 @@ def run_cv(
     fold: str,
     folds: int,
     test: DataFrame | None = None,
+    vector: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Out-of-fold predictions, mean test prediction, and scores per fold; ``cv_summary`` sums them up.
 
-    One distributed fit per fold; what loops is the number of folds.
+    One distributed fit per fold; what loops is the number of folds. ``vector`` names the features where a written step has
+    them as one column already (``with_vectors``), so that several models read the same step.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    rows = checkpoint(assembler.transform(df))  # read by every fit and every score
-    held, mean = [], None if test is None else assembler.transform(test)
+    column = vector or "_features"
+    assembled = lambda rows: with_vectors(rows, {column: features})
+    rows = df if vector else checkpoint(assembled(df))  # read by every fit and every score
+    held, mean = [], None if test is None else assembled(test)
     for i in range(folds):
-        model = make().setParams(featuresCol="_features", labelCol=y, predictionCol="oof").fit(rows.where(F.col(fold) != i))
+        model = make().setParams(featuresCol=column, labelCol=y, predictionCol="oof").fit(rows.where(F.col(fold) != i))
         held.append(model.transform(rows.where(F.col(fold) == i)))
         if mean is not None:
             mean = model.setPredictionCol(f"_p{i}").transform(mean)
-    out = reduce(lambda a, b: a.unionByName(b), held).drop("_features")
+    out = reduce(lambda a, b: a.unionByName(b), held).drop(column)
     if mean is not None:
         total = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(folds)])
-        mean = mean.withColumn("prediction", total / float(folds)).drop("_features", *[f"_p{i}" for i in range(folds)])
+        mean = mean.withColumn("prediction", total / float(folds)).drop(column, *[f"_p{i}" for i in range(folds)])
     return out, mean, metrics_by(out, y, "oof", [fold])
 
 

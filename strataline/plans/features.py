@@ -8,6 +8,7 @@ from strataline.operators import align, blend, evaluate, features, search, smoot
 from strataline.plans.fixtures import ID, KEYS, REF_KEYS, SERIES, reference, rounded, series, show
 from strataline.plans.align import MULTI, REF, SCAN, curves
 from strataline.plans.registry import CATALOG, query
+from strataline.settings import checkpoint
 from strataline.sources.tables import make_row_id
 
 WIDE = [
@@ -69,9 +70,11 @@ def pipeline(spark, sf):
     rows = series(spark, sf).withColumn("fold", (F.col("user_id") % 5).cast("int"))
     wide, names = features.build_features(rows, curve, ["basic", "lags", "scan", "layers"], keys=KEYS, ref_keys=REF_KEYS)
     narrow = [n for n in names if not n.startswith(("best_", "corr_", "ref_", "peak", "layer", "label", "log_minus", "log_label", "distinct", "n_layers"))]
+    vectors = evaluate.with_vectors(wide, {"_narrow": narrow, "_wide": names})
+    wide = checkpoint(vectors.select(*rows.columns, "_narrow", "_wide"))  # both models read it
     line = lambda: LinearRegression(solver="normal", regParam=0.1)
-    first, _, _ = evaluate.run_cv(wide, line, narrow, "value", "fold", 5)
-    second, _, _ = evaluate.run_cv(wide, line, names, "value", "fold", 5)
+    first, _, _ = evaluate.run_cv(wide, line, narrow, "value", "fold", 5, vector="_narrow")
+    second, _, _ = evaluate.run_cv(wide, line, names, "value", "fold", 5, vector="_wide")
     both = first.withColumnRenamed("oof", "narrow").join(second.select(*ID, F.col("oof").alias("wide")), ID)
     weights, _ = search.greedy_average(gram(both, ["narrow", "wide"], "value"))
     mixed = blend.blend(both, dict(zip(["narrow", "wide"], weights, strict=True)))
